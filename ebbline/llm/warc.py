@@ -19,7 +19,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 INDEX = "page_id long, record_id string, record_type string, refers_to long, bundle string, frame int, offset long, length long"
-RECORDS = "page_id long, url string, record_id string, record_type string, refers_to long, payload_digest string, payload binary"
+RECORDS = "bundle string, page_id long, url string, record_id string, record_type string, refers_to long, payload_digest string, payload binary"
 
 
 def record_id(page_id: int | None, url: str | None) -> str:
@@ -107,7 +107,7 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-RECORD_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+RECORD_SCHEMA = pa.schema([("bundle", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 INDEX_SCHEMA = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
@@ -123,7 +123,8 @@ def write_archives(pages: DataFrame, folder: str, *, least_revisit: int = 100, f
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = rows.filter(F.octet_length("payload") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest", "left").select("page_id", "url", F.when(F.col("first").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first")).alias("first"), "digest", "payload")
+    # payloads meet the first of their digest by a merge join at any size: it can split a digest that many pages share
+    rows = rows.join(first.hint("merge"), "digest", "left").select("page_id", "url", F.when(F.col("first").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first")).alias("first"), "digest", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -158,42 +159,49 @@ def _archives(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
 
 
-def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """All records of the archives that the index lists, decoded frame by frame."""
-    files = _archives(spark, folder).join(index.select("bundle").distinct(), "bundle", "left_semi").select("content")
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of all archives in the folder, decoded frame by frame where each archive is read.
+
+    A bundle that the index doesn't list, left by an attempt that failed, is told by its name: see `listed`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for batch in batches:
-            for content in batch.column(0):
-                content = content.as_py()
+            for bundle, content in zip(batch.column(0), batch.column(1), strict=True):
+                bundle, content = bundle.as_py(), content.as_py()
                 for at, packed, size in seek_table(content):
                     raw, here, rows = zstandard.ZstdDecompressor().decompress(content[at : at + packed], max_output_size=size), 0, []
                     while here < len(raw):
                         fields, block, here = parse_record(raw, here)
-                        rows.append(row_of(fields, block))
+                        rows.append((bundle, *row_of(fields, block)))
                     yield batch_of(rows, RECORD_SCHEMA)
 
-    return files.mapInArrow(run, RECORDS)
+    return _archives(spark, folder).select("bundle", "content").mapInArrow(run, RECORDS)
+
+
+def listed(records: DataFrame, index: DataFrame) -> DataFrame:
+    """The records of the bundles that the index lists. Project first: what is joined here is shuffled."""
+    return records.join(index.select("bundle").distinct(), "bundle", "left_semi")
 
 
 def fetch_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """The records of some rows of an index: only their frames are decoded, each once."""
     by_bundle = wanted.groupBy("bundle", "frame").agg(F.collect_list(F.col("offset")).alias("offsets")).groupBy("bundle").agg(F.collect_list(F.struct("frame", "offsets")).alias("frames"))
-    files = _archives(spark, folder).join(by_bundle, "bundle").select("content", "frames")
+    files = _archives(spark, folder).join(by_bundle, "bundle").select("bundle", "content", "frames")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for batch in batches:
-            for content, frames in zip(batch.column(0), batch.column(1), strict=True):
-                content = content.as_py()
+            for bundle, content, frames in zip(*(batch.column(k) for k in range(3)), strict=True):
+                bundle, content = bundle.as_py(), content.as_py()
                 table = seek_table(content)
                 for f in frames.as_py():
                     at, packed, size = table[f["frame"]]
                     raw = zstandard.ZstdDecompressor().decompress(content[at : at + packed], max_output_size=size)
-                    yield batch_of([row_of(*parse_record(raw, o)[:2]) for o in f["offsets"]], RECORD_SCHEMA)
+                    yield batch_of([(bundle, *row_of(*parse_record(raw, o)[:2])) for o in f["offsets"]], RECORD_SCHEMA)
 
     return files.mapInArrow(run, RECORDS)
 
@@ -202,7 +210,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the archives and reads them back: the records, with a revisit's payload taken from its response."""
     spark, folder = pages.sparkSession, scratch(pages.sparkSession, "warc")
     index = write_archives(pages, folder)
-    records = read_archives(spark, folder, index).select("page_id", "record_type", "refers_to", F.col("payload_digest").alias("named"), F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest"))
+    records = read_archives(spark, folder).select("bundle", "page_id", "record_type", "refers_to", F.col("payload_digest").alias("named"), F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest"))
+    records = listed(records, index)
     full = records.filter(F.col("record_type") == "response").groupBy(F.col("own_digest").alias("named")).agg(F.max("own_bytes").alias("full_bytes"))
     same = records.join(full, "named", "left")
     revisit = F.col("record_type") == "revisit"

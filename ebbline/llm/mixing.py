@@ -46,14 +46,15 @@ def chance(*of) -> Column:
 
 
 def fold(items: Column, seed: int, round_no: int) -> Column:
-    """(left, done) of items (id, a, x): pairs are settled one after another.
+    """(left, done) of items (a, id, x): pairs are settled one after another, the largest first.
 
     Of two items with parts x and sizes a, one is raised and the other lowered so that a * x keeps its
     sum, up to where one is 0 or 1; which of the two is drawn so that both keep their expectation.
-    The one that is settled goes to `done`; the other meets the next item.
+    The one that is settled goes to `done`; the other meets the next item. A large item is settled
+    by the smaller ones that follow it, so that what is left at the end, the source's error, is small.
     """
-    kind = "struct<id:struct<h:bigint,d:bigint>,a:double,x:double>"
-    item = lambda i, x: F.struct(i["id"].alias("id"), i["a"].alias("a"), x.alias("x"))
+    kind = "struct<a:double,id:struct<h:bigint,d:bigint>,x:double>"
+    item = lambda i, x: F.struct(i["a"].alias("a"), i["id"].alias("id"), x.alias("x"))
 
     def step(s: Column, j: Column) -> Column:
         i = s["left"]
@@ -83,13 +84,13 @@ def round_parts(parts: DataFrame, seed: int) -> DataFrame:
     so that a round has about 1/FOLD of the rows of the one before, however large a source is.
     """
     done, round_no = None, 0
-    left = parts.select("source", F.struct("id", "a", "x").alias("item"))
+    left = parts.select("source", F.struct("a", "id", "x").alias("item"))
     while True:
         counts = left.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("n"))
         groups = F.ceil(F.col("n") / FOLD)
         dealt = left.join(counts, F.col("source").eqNullSafe(F.col("_source"))).select("source", "item", groups.alias("groups"))
         dealt = dealt.withColumn("group", F.pmod(F.xxhash64("item.id", F.lit(seed), F.lit(round_no)), F.col("groups")))
-        folded = dealt.groupBy("source", "group").agg(F.sort_array(F.collect_list("item")).alias("items"), F.max("groups").alias("groups"))
+        folded = dealt.groupBy("source", "group").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"), F.max("groups").alias("groups"))
         folded = written(folded.select("source", "groups", fold(F.col("items"), seed, round_no).alias("f")), f"mix-round-{round_no}")
         settled = folded.select(F.explode("f.done").alias("d")).select("d.id", F.col("d.x"))
         done = settled if done is None else done.unionByName(settled)

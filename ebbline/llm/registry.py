@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, secrets, url_filter, warc
+from . import licenses, minhash, mixing, packing, quality, secrets, topk, url_filter, warc
 from .common import table
 from .oracles import SQL as SQL
 
@@ -27,6 +27,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.as_integers(F.col("embedding")).alias("v"))
+    return topk.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, ledger = secrets.scan_new_blobs(table(spark, sf_dir, "documents"))
     found = secrets.findings(paths, ledger)
@@ -60,4 +69,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op4_warc, op7_secret_scan, op8_license_scan, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op4_warc, op5_near_duplicates, op6_topk_search, op7_secret_scan, op8_license_scan, op9_mixing, op10_packing)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, quality, secrets, topk, url_filter, warc
+from . import licenses, minhash, mixing, packing, quality, repeats, secrets, topk, url_filter, warc
 from .common import table
 from .oracles import SQL as SQL
 
@@ -23,6 +23,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -69,4 +75,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op4_warc, op5_near_duplicates, op6_topk_search, op7_secret_scan, op8_license_scan, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_repeated_passages, op4_warc, op5_near_duplicates, op6_topk_search, op7_secret_scan, op8_license_scan, op9_mixing, op10_packing)}

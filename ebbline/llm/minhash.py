@@ -120,18 +120,24 @@ def bag_signatures(doc: np.ndarray, s: np.ndarray, weight: np.ndarray, n_docs: i
         span = span * 2
 
 
-SIGNED = "doc_id long, node binary, bands array<long>"
+#: Stands for a null doc_id, so that it comes after all others.
+NO_ID = (1 << 63) - 1
+SIGNED = "place long, node binary, bands array<long>"
+
+
+def addressed(docs: DataFrame) -> DataFrame:
+    """docs with place (doc_id, or NO_ID) and node (a 128-bit hash of the text)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"place": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "node": F.unhex(F.md5(text.cast("binary")))})
 
 
 def sign(docs: DataFrame, *, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (a 128-bit hash of the text) and the bands' hashes; a text without words has no bands."""
+    """place, node and the bands' hashes of addressed docs; a text without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            for start, end in chunks(batch.column(1)):
-                texts = batch.column(1).slice(start, end - start)
+            for start, end in chunks(batch.column(2)):
+                texts = batch.column(2).slice(start, end - start)
                 doc, s = shingles(texts, shingle)
                 _, doc, s, count = counted(doc, s)
                 bits = bag_signatures(doc, s, count.astype("f8"), len(texts), hashes).view(U)
@@ -141,10 +147,9 @@ def sign(docs: DataFrame, *, shingle: int = SHINGLE, hashes: int = HASHES, rows:
                 bands = mix64(bands + np.arange(hashes // rows, dtype=U)).view("i8")
                 has = np.bincount(doc, minlength=len(texts)) > 0
                 lists = [b if h else [] for b, h in zip(bands, has, strict=True)]
-                nodes = [xxhash.xxh3_128_digest((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in (0, 1)), pa.array(lists, pa.list_(pa.int64()))], ["place", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return docs.select("place", "node", F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
 def overlap(a: pa.Array, b: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -195,32 +200,19 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id of every row of docs (doc_id, text): the smallest doc_id of its class.
-
-    Classes are the connected components of pairs whose word-shingle multisets have a weighted Jaccard
-    similarity of `threshold` or more; equal texts are one class to begin with. Texts that share a
-    band's hash form a bucket. In its first round a bucket compares all its texts with one, that which
-    shares most buckets with others; in later rounds with 2, 4, 8, ... more. Texts already in one class
-    aren't compared, so a large group of copies costs a few comparisons a text, and no pair of texts
-    of different classes in one bucket is left out: rounds end when none is left.
-
-    A text without words is in a class of its own with its equals; null texts are empty. A null doc_id gets its class's
-    smallest id, null if there is none. Repeated rows give a row each. No rows give no rows.
-    """
-    spark = docs.sparkSession
-    signed = written(sign(docs, shingle=shingle, hashes=hashes, rows=rows), "near-signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+def node_classes(rows: DataFrame, signed: DataFrame, *, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
+    """(node, place, class_place, class_node) of each node of addressed rows and their signatures: the smallest place of the node, and the smallest place and node of its class."""
+    spark = rows.sparkSession
+    nodes = signed.groupBy("node").agg(F.min("place").alias("place"), F.first("bands").alias("bands"))
     banded = written(nodes.select("node", F.explode("bands").alias("bucket")), "near-bands")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = written(banded.join(sizes, "bucket"), "near-shared")
     weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
     members = written(shared.join(weight, "node").withColumn("rank", F.row_number().over(order)).select("bucket", "size", "node", "rank"), "near-members")
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place")
-    wanted = nodes.join(weight.select("node"), "node", "left_semi").select(place, "node")
-    texts = same_text(docs.select(place, "text").join(wanted.hint("shuffle_hash"), "place"))
-    if not signed.groupBy("doc_id", "node").count().filter("count > 1").isEmpty():
+    wanted = nodes.join(weight.select("node"), "node", "left_semi").select("place", "node")
+    texts = rows.select("place", "node", "text").join(wanted.hint("shuffle_hash"), ["place", "node"], "left_semi").select("node", "text")
+    if not signed.groupBy("place", "node").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])
     texts = written(texts, "near-texts")
     edges, labels, pivots = None, None, 1
@@ -241,21 +233,40 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = S
             if not found.isEmpty():
                 labels = components(spark, edges, "near")
         pivots *= 2
-    roots = nodes.select("node", "doc_id")
+    roots = nodes.select("node", "place")
     roots = roots.withColumn("root", F.col("node")) if labels is None else roots.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = roots.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    by_node = written(roots.join(classes, "root").select("node", "class_id"), "near-classes")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id")
-
+    roots = written(roots, "near-roots")
+    classes = roots.groupBy("root").agg(F.min(F.struct("place", "node")).alias("least"))
+    return roots.join(classes, "root").select("node", "place", F.col("least.place").alias("class_place"), F.col("least.node").alias("class_node"))
 
-def same_text(own: DataFrame) -> DataFrame:
-    """(node, text) without the rows where another text has the same doc_id."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+    """doc_id and class_id of every row of docs (doc_id, text): the smallest doc_id of its class.
 
-        for batch in batches:
-            digests = pa.array([xxhash.xxh3_128_digest((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")], pa.binary())
-            yield batch.filter(pc.equal(digests, batch.column("node")))
+    Classes are the connected components of pairs whose word-shingle multisets have a weighted Jaccard
+    similarity of `threshold` or more; equal texts are one class to begin with. Texts that share a
+    band's hash form a bucket. In its first round a bucket compares all its texts with one, that which
+    shares most buckets with others; in later rounds with 2, 4, 8, ... more. Texts already in one class
+    aren't compared, so a large group of copies costs a few comparisons a text, and no pair of texts
+    of different classes in one bucket is left out: rounds end when none is left.
 
-    return own.select("node", "text").mapInArrow(run, "node binary, text string")
+    A text without words is in a class with its equals alone; null texts are empty. A null doc_id gets its class's
+    smallest id, null if there is none. Repeated rows give a row each. No rows give no rows.
+    """
+    addresses = addressed(docs)
+    signed = written(sign(addresses, shingle=shingle, hashes=hashes, rows=rows), "near-signed")
+    classes = node_classes(addresses, signed, threshold=threshold, shingle=shingle).select("node", "class_place")
+    some = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return signed.select("place", "node").join(classes, "node").select(some("place").alias("doc_id"), some("class_place").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, *, threshold: float = 0.8, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for a class: that of the smallest doc_id (null last), once if it is repeated."""
+    addresses = addressed(docs)
+    signed = written(sign(addresses, shingle=shingle, hashes=hashes, rows=rows), "near-signed")
+    classes = node_classes(addresses, signed, threshold=threshold, shingle=shingle)
+    stay = classes.filter("node = class_node").select("place", "node")
+    kept = addresses.join(stay.hint("shuffle_hash"), ["place", "node"], "left_semi")
+    if not signed.groupBy("place", "node").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["place", "node"])
+    return kept.select(*docs.columns)

@@ -79,7 +79,7 @@ def fold(items: Column, seed: int, round_no: int) -> Column:
 def round_parts(parts: DataFrame, seed: int) -> DataFrame:
     """(id, x) with each x 0 or 1, from (source, id, a, x) with 0 < x < 1 and distinct ids.
 
-    The sum of a * x of each source is kept to within one item. Items are dealt to groups of about FOLD by a hash
+    The sum of a * x of each source is kept to within half an item: the last one goes to the nearer side. Items are dealt to groups of about FOLD by a hash
     of their id, each group is folded in one row, and what is left of each goes to the next round,
     so that a round has about 1/FOLD of the rows of the one before, however large a source is.
     """
@@ -96,12 +96,30 @@ def round_parts(parts: DataFrame, seed: int) -> DataFrame:
         done = settled if done is None else done.unionByName(settled)
         more = folded.filter("groups > 1 AND f.left IS NOT NULL")
         last = folded.filter("groups = 1 AND f.left IS NOT NULL").select("f.left.*")
-        done = done.unionByName(last.select("id", (chance("id", F.lit(seed)) < F.col("x")).cast("double").alias("x")))
+        done = done.unionByName(last.select("id", (F.col("x") >= 0.5).cast("double").alias("x")))
         if more.isEmpty():
             return done
         left, round_no = more.select("source", F.col("f.left").alias("item")), round_no + 1
 
 
+def identity() -> Column:
+    """Tells items apart: rows of one id, source and text are one item."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(text, F.col("source").cast("string")).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"))
+
+
+def copies_due(docs: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """A row an item: doc_id, source, size, id, rows, source_size, target, and total, the copies of all its rows together."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"), identity().alias("id"))
+    items = written(rows.groupBy("doc_id", "source", "size", "id").agg(F.count("*").alias("rows")), "mix-items")
+    goals = written(targets(items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, most), "mix-targets")
+    due = items.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    due = due.withColumn("due", F.when(F.col("size") == 0, 0.0).otherwise(F.col("rows") * F.col("target") / F.col("source_size"))).withColumn("whole", F.floor("due")).withColumn("x", F.col("due") - F.col("whole"))
+    rounded = round_parts(due.filter("x > 0").select("source", "id", F.col("size").cast("double").alias("a"), "x"), seed)
+    total = F.col("whole") + F.coalesce(F.col("up"), F.lit(0.0)).cast("long")
+    return due.join(rounded.select("id", F.col("x").alias("up")), "id", "left").withColumn("total", total).drop("due", "whole", "x", "up")
+
+
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target and copies for each row of docs (doc_id, text, source).
 
@@ -110,14 +128,17 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float
     times the copies; its copies are dealt over its rows, and differ by one at most. Documents without words get no copies.
     Draws hash ids and texts, so a rerun agrees, however the rows are dealt. Null texts have no words; null sources are one source; null ids are told apart by their texts.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(text).alias("size"), F.struct(F.xxhash64(text, F.col("source")).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d")).alias("id"))
-    items = written(rows.groupBy("doc_id", "source", "size", "id").agg(F.count("*").alias("rows")), "mix-items")
-    goals = written(targets(items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, most), "mix-targets")
-    due = items.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    due = due.withColumn("due", F.when(F.col("size") == 0, 0.0).otherwise(F.col("rows") * F.col("target") / F.col("source_size"))).withColumn("whole", F.floor("due")).withColumn("x", F.col("due") - F.col("whole"))
-    rounded = round_parts(due.filter("x > 0").select("source", "id", F.col("size").cast("double").alias("a"), "x"), seed)
-    total = due.join(rounded.select("id", F.col("x").alias("up")), "id", "left").withColumn("total", F.col("whole") + F.coalesce(F.col("up"), F.lit(0.0)).cast("long"))
-    each = total.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row"))
+    due = copies_due(docs, weights, most, seed)
+    each = due.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row"))
     copies = F.floor(F.col("total") / F.col("rows")) + F.when(F.col("row") <= F.col("total") % F.col("rows"), 1).otherwise(0)
-    return each.select("doc_id", "id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return each.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def take(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
+    """The rows of the mix, with all columns of docs: each document as many times as mix() gives it copies."""
+    due = written(copies_due(docs, weights, most, seed).select("id", "rows", "total"), "mix-copies")
+    rows = docs.withColumn("_item", identity())
+    if not due.filter("rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["_item"])
+    taken = rows.join(due.filter("total > 0").select(F.col("id").alias("_item"), "total").hint("shuffle_hash"), "_item")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("total"))).alias("_copy")).drop("_copy")

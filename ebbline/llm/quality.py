@@ -30,7 +30,7 @@ def covered_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """The counts of each document; all other columns but text stay."""
+    """The counts of each document of docs (text, ...); all other columns stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
     has_word = r"[^\x20\x09-\x0D]"
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word))
@@ -101,10 +101,33 @@ def certified_cutoffs(labelled: DataFrame, strata: str, risk: float, error: floa
     return passed.groupBy("stratum", "score").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, strata: str = "lang", risk: float = 0.02, error: float = 0.05, floor: int = 20, repeat_percent: int = 30) -> DataFrame:
+BASE = {"floor": 20, "repeat_percent": 30}
+
+
+def base_failed(floor: int = 20, repeat_percent: int = 30) -> Column:
+    return (F.col("n_words") < floor) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+
+
+def calibrated(done: DataFrame, labels: DataFrame, strata: str, risk: float, error: float) -> DataFrame:
+    """A row a stratum with the certified cutoff of each score, or null, from features of all documents and labels (doc_id, quality)."""
+    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    cutoffs = certified_cutoffs(done.filter(~base_failed(**BASE)).join(good, "doc_id", "left_semi"), strata, risk, error)
+    return cutoffs.groupBy("stratum").agg(*[F.min(F.when(F.col("score") == s, F.col("cutoff"))).alias(f"_{s}") for s in SCORES])
+
+
+def verdicts(done: DataFrame, cutoffs: DataFrame, strata: str) -> DataFrame:
+    """done with base_failed and kept."""
+    joined = done.join(cutoffs, F.col(strata).eqNullSafe(F.col("stratum")), "left").withColumn("base_failed", base_failed(**BASE))
+    rejected = F.lit(False)
+    for s in SCORES:
+        rejected = rejected | F.coalesce(F.expr(SCORES[s]) >= F.col(f"_{s}"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", *[f"_{s}" for s in SCORES])
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, strata: str = "lang", risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """Features and verdict of every row of docs (doc_id, text, and a column of strata); its other columns stay, text goes.
 
-    Base rules reject texts of under `floor` words or with over `repeat_percent` percent of words in
+    Base rules reject texts of under 20 words or with over 30 percent of words in
     repeated windows. Others are kept unless a score reaches its stratum's certified cutoff; a
     stratum with too few labelled good documents to certify any cutoff rejects nothing more. A
     document labelled more than once is good if any label says so. Null texts are empty and fail;
@@ -112,13 +135,15 @@ def judge(docs: DataFrame, labels: DataFrame, *, strata: str = "lang", risk: flo
     base rules alone decide. The counts are made once, over whole texts, and written as a narrow table.
     """
     done = written(features(docs), "quality")
-    done = done.withColumn("base_failed", (F.col("n_words") < floor) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    cutoffs = certified_cutoffs(done.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi"), strata, risk, error)
-    wide = cutoffs.groupBy("stratum").pivot("score", list(SCORES)).agg(F.min("cutoff"))
-    wide = wide.select("stratum", *[F.col(s).alias(f"_{s}") for s in SCORES])
-    joined = done.join(wide, done[strata].eqNullSafe(wide["stratum"]), "left")
-    rejected = F.lit(False)
-    for s in SCORES:
-        rejected = rejected | F.coalesce(F.expr(SCORES[s]) >= F.col(f"_{s}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", *[f"_{s}" for s in SCORES])
+    return verdicts(done, calibrated(done, labels, strata, risk, error), strata)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, strata: str = "lang", risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps.
+
+    Texts are read twice, to count for the cutoffs and to filter, and never shuffled.
+    """
+    done = written(features(docs.select("doc_id", "text", strata)), "quality")
+    cutoffs = written(calibrated(done, labels, strata, risk, error), "quality-cutoffs")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.col(strata).alias("stratum_"))
+    return verdicts(features(whole), cutoffs, "stratum_").filter("kept").select("row.*")

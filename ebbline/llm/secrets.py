@@ -100,3 +100,15 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+
+
+def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
+    """All rows of docs, with their columns, and every span of the rules masked in text; n_chars, where there is one, follows."""
+    paths, ledger = scan_new_blobs(docs, rules=rules)
+    hits = ledger.filter(F.size("spans") > 0).select("blob").distinct()
+    found = findings(hits, ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    rows = docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(found.hint("shuffle_hash"), "_blob", "left")
+    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"), mask)))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

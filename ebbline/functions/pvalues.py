@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -53,13 +54,13 @@ def normal_two_sided(z) -> np.ndarray:
     return np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2)), otypes=["f8"])(np.asarray(z, "f8"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal value; null stays null."""
     return pd.Series(np.where(z.isna(), np.nan, normal_two_sided(z.fillna(0.0)))).where(z.notna().to_numpy(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation of n points; null with under 3 points or no correlation."""
     ok = (r.notna() & (n > 2)).to_numpy()

@@ -104,9 +104,9 @@ def j11(spark, sf):
     return cells.join(calendar, hit, "left_semi")
 
 
-@query("j12_wildcard_rules", "SELECT p_type, p_brand, count(*) AS n FROM part WHERE (p_type LIKE 'S%' AND p_brand LIKE 'Brand#1_') OR p_brand LIKE '%55' GROUP BY 1, 2")
+@query("j12_wildcard_rules", "SELECT p_type, p_brand, count(*) AS n FROM part WHERE (p_type LIKE 'S%' AND p_brand LIKE 'Brand#1_') OR p_brand LIKE '%25' GROUP BY 1, 2")
 def j12(spark, sf):
-    rules = spark.createDataFrame([("s*", "brand#1?"), ("*", "*55")], "item_glob string, target_glob string")
+    rules = spark.createDataFrame([("s*", "brand#1?"), ("*", "*25")], "item_glob string, target_glob string")
     items = table(spark, sf, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
     return items.join(F.broadcast(rules), F.rlike("p_type", glob_pattern(C("item_glob"))) & F.rlike("p_brand", glob_pattern(C("target_glob"))), "left_semi")
 

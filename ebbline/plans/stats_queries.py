@@ -1 +1,247 @@
-"""Queries to come."""
+"""Queries of statistical analytics (T)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import grouped
+from ..operators import periods as per
+from ..operators import stats as st
+from .catalog import query
+from .facts import EVENTS_SQL, SALES_SQL, events, sales
+from .variance_queries import NOW, monthly
+
+C = F.col
+W = f"WITH {SALES_SQL}"
+D = lambda c, n=None, k=4: F.round(C(c).cast("double"), k).alias(n or c)
+
+
+def series(spark, sf, dim="brand", value="revenue"):
+    """Complete months of each item, 0 where it has none."""
+    return per.dense(monthly(spark, sf, dim).filter(C("period") <= NOW), dim, value)
+
+
+DENSE = f"""{W}, p AS (SELECT period, CAST(row_number() OVER (ORDER BY period) AS INTEGER) AS period_idx FROM (SELECT DISTINCT period FROM sales WHERE period <= DATE '2001-07-31')), m0 AS (SELECT brand AS item, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2),
+    s AS (SELECT b.item, p.period, p.period_idx, coalesce(m0.v, 0) AS value FROM (SELECT DISTINCT item FROM m0) b CROSS JOIN p LEFT JOIN m0 ON m0.item = b.item AND m0.period = p.period)"""
+
+PROFILE = f"""{DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY period DESC) AS k FROM s), t AS (SELECT item, avg(value) AS a, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi, regr_slope(value, period_idx) FILTER (k <= 3) AS s3, corr(value, period_idx) FILTER (k <= 3) AS r3, regr_slope(value, period_idx) FILTER (k > 3 AND k <= 6) AS s6 FROM r GROUP BY 1)"""
+
+
+@query("t01_item_profiles", f"{PROFILE} SELECT item, round(a, 4) AS avg, round(sd, 4) AS std, round(sd / abs(a), 6) AS cv, round(s3, 3) AS slope_3mo, round(r3, 6) AS slope_3mo_r_value, round(1 - 2 / pi() * atan(abs(r3) / sqrt(greatest(1 - r3 * r3, 1e-300))), 5) AS slope_3mo_p_value, round(s3 - s6, 3) AS acceleration_3mo, round(lo, 4) AS min, round(hi, 4) AS max FROM t")
+def t01(spark, sf):
+    out = st.item_profiles(series(spark, sf))
+    return out.select("item", D("avg"), D("std"), D("cv", k=6), D("slope_3mo", k=3), D("slope_3mo_r_value", k=6), D("slope_3mo_p_value", k=5), D("acceleration_3mo", k=3), D("min"), D("max"))
+
+
+@query("t02_top_items", f"{PROFILE}, a AS (SELECT 'driver' AS kind, item, round(abs(a), 4) AS size FROM t ORDER BY abs(a) DESC, item LIMIT 10), b AS (SELECT 'volatile' AS kind, item, round(sd / abs(a), 4) AS size FROM t ORDER BY sd / abs(a) DESC, item LIMIT 10) SELECT * FROM a UNION ALL SELECT * FROM b")
+def t02(spark, sf):
+    out = st.item_profiles(series(spark, sf))
+    top = lambda kind, by: out.orderBy(F.desc(by), "item").limit(10).select(F.lit(kind).alias("kind"), "item", F.round(by, 4).alias("size"))
+    return top("driver", F.abs("avg")).unionByName(top("volatile", C("cv")))
+
+
+@query("t03_z_anomalies", f"{DENSE}, z AS (SELECT *, (value - avg(value) OVER (PARTITION BY item)) / stddev_pop(value) OVER (PARTITION BY item) AS z FROM s) SELECT item, period, round(value, 4) AS value, round(z, 6) AS z_score FROM z WHERE abs(z) >= 2 ORDER BY period DESC, abs(z) DESC, item LIMIT 20", dates="period")
+def t03(spark, sf):
+    out = st.z_anomalies(series(spark, sf))
+    return out.orderBy(F.desc("period"), F.desc(F.abs("z_score")), "item").limit(20).select("item", "period", D("value"), D("z_score", k=6))
+
+
+@query("t03_p_values")
+def t03p(spark, sf):
+    """All anomalies with their two-sided p."""
+    return st.z_anomalies(series(spark, sf)).select("item", "period", D("z_score", k=6), D("p_value", k=9))
+
+
+TOP = ("Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15", "Brand#16")
+
+
+def _wide(spark, sf):
+    names = {b: f"b{b[-2:]}" for b in TOP}
+    s = series(spark, sf)
+    return s.groupBy("period", "period_idx").agg(*[F.sum(F.when(C("item") == b, C("value"))).alias(n) for b, n in names.items()]), tuple(names.values())
+
+
+PAIRS = f"{DENSE}, q AS (SELECT 'b' || right(item, 2) AS item, period, value FROM s WHERE item IN {TOP}), c AS (SELECT x.item AS a, y.item AS b, corr(x.value, y.value) AS r, count(*) AS n FROM q x JOIN q y ON x.period = y.period AND x.item < y.item GROUP BY 1, 2)"
+
+
+@query("t04_uniform_growth", f"{PAIRS} SELECT count(*) AS pairs, count(*) FILTER (abs(r) >= 0.95) AS strong, count(*) FILTER (abs(r) >= 0.95) > 0.5 * count(*) AS uniform FROM c")
+def t04(spark, sf):
+    wide, names = _wide(spark, sf)
+    c = st.correlations(wide, names)
+    strong = F.count_if(F.abs("r") >= 0.95)
+    return c.agg(F.count("*").alias("pairs"), strong.alias("strong"), (strong > 0.5 * F.count("*")).alias("uniform"))
+
+
+@query("t05_item_correlations", f"{PAIRS} SELECT a, b, round(r, 6) AS r, n FROM c")
+def t05(spark, sf):
+    wide, names = _wide(spark, sf)
+    return st.correlations(wide, names).select("a", "b", D("r", k=6), "n")
+
+
+@query("t05_key_correlations")
+def t05p(spark, sf):
+    """Pairs that are strong and significant, at most six."""
+    wide, names = _wide(spark, sf)
+    return st.with_p(st.correlations(wide, names)).filter((F.abs("r") > 0.1) & (C("p_value") < 0.5)).orderBy(F.desc(F.abs("r")), "a", "b").limit(6)
+
+
+@query("t06_mad_outliers", f"""{DENSE}, c AS (SELECT item, median(value) AS med, avg(value) AS m, stddev_pop(value) AS sd, count(*) AS n FROM s GROUP BY 1), d AS (SELECT s.item, median(abs(value - med)) AS mad FROM s JOIN c USING (item) GROUP BY 1),
+    z AS (SELECT s.item, period, value, med, 0.6745 * (value - med) / mad AS z, (value - m) / sd AS tz FROM s JOIN c USING (item) JOIN d USING (item) WHERE mad <> 0 AND n >= 6) SELECT item, period, round(value, 4) AS amount, round(med, 4) AS median, round(z, 6) AS modified_z_score, round(tz, 6) AS traditional_z_score, abs(tz) <= 2 AS mad_only, round(value - med, 4) AS deviation_from_median FROM z WHERE abs(z) > 2.5""", dates="period")
+def t06(spark, sf):
+    out = st.mad_outliers(series(spark, sf), 2.5)
+    return out.select("item", "period", D("value", "amount"), D("median"), D("modified_z_score", k=6), D("traditional_z_score", k=6), "mad_only", D("deviation_from_median"))
+
+
+@query("t07_robust_z", f"WITH {EVENTS_SQL}, t AS (SELECT day AS period, CAST(sum(value) AS DOUBLE) AS v FROM ev GROUP BY 1), m AS (SELECT median(v) AS med FROM t), d AS (SELECT median(abs(v - med)) AS mad FROM t, m), z AS (SELECT period, v, (v - med) / (1.4826 * mad) AS z FROM t, m, d) SELECT period, round(v, 4) AS value, round(z, 6) AS z_score, CASE WHEN abs(z) >= 5 THEN 'high' ELSE 'medium' END AS severity FROM z WHERE abs(z) >= 1", dates="period")
+def t07(spark, sf):
+    t = events(spark, sf).groupBy(C("day").alias("period")).agg(F.sum("value").cast("double").alias("value"))
+    return st.robust_z(t, 1.0).select("period", D("value"), D("z_score", k=6), "severity")
+
+
+@query("t08_outlier_impact", f"""{DENSE}, c AS (SELECT *, median(value) OVER (PARTITION BY item) AS med, avg(value) OVER (PARTITION BY item) AS m, stddev_pop(value) OVER (PARTITION BY item) AS sd FROM s), d AS (SELECT *, median(abs(value - med)) OVER (PARTITION BY item) AS mad FROM c), o AS (SELECT *, (abs(value - m) >= 2 * sd AND sd > 0) OR (abs(value - med) > 3 * mad AND mad > 0) AS hit FROM d),
+    k AS (SELECT *, CASE WHEN hit THEN avg(CASE WHEN NOT hit THEN value END) OVER (PARTITION BY item) ELSE value END AS clean FROM o) SELECT item, count(*) FILTER (hit) AS outliers, round(avg(value), 4) AS mean_with, round(avg(clean), 4) AS mean_without, round(regr_slope(value, period_idx), 3) AS slope_with, round(regr_slope(clean, period_idx), 3) AS slope_without FROM k GROUP BY 1 HAVING count(*) FILTER (hit) > 0""")
+def t08(spark, sf):
+    out = st.outlier_impact(series(spark, sf))
+    return out.select("item", "outliers", D("mean_with"), D("mean_without"), D("slope_with", k=3), D("slope_without", k=3))
+
+
+@query("t09_variance_decomposition", f"{W}, g AS (SELECT avg(CAST(revenue AS DOUBLE)) AS m, sum((CAST(revenue AS DOUBLE)) ^ 2) AS ss, count(*) AS n FROM sales), f AS (SELECT 'region' AS factor, sum(c * (a - m) ^ 2) AS b FROM (SELECT region, avg(CAST(revenue AS DOUBLE)) AS a, count(*) AS c FROM sales GROUP BY 1), g UNION ALL SELECT 'brand', sum(c * (a - m) ^ 2) FROM (SELECT brand, avg(CAST(revenue AS DOUBLE)) AS a, count(*) AS c FROM sales GROUP BY 1), g) SELECT factor, round(b / (ss - n * m * m), 9) AS eta_squared FROM f, g")
+def t09(spark, sf):
+    df = sales(spark, sf, "region", "brand")
+    return st.one_way_share(df, "region", "revenue").unionByName(st.one_way_share(df, "brand", "revenue")).select("factor", D("eta_squared", k=9))
+
+
+@query("t10_two_way_anova")
+def t10(spark, sf):
+    """Region and segment with their interaction, Type II."""
+    return grouped.two_way(sales(spark, sf, "region", "segment"), "region", "segment", "revenue")
+
+
+MOMENTS = f"""{DENSE}, a AS (SELECT *, avg(value) OVER (PARTITION BY item) AS m FROM s), q AS (SELECT item, count(*) AS n, avg((value - m) ^ 2) AS m2, avg((value - m) ^ 3) AS m3, avg((value - m) ^ 4) AS m4, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM a GROUP BY 1), k AS (SELECT *, m3 / m2 ^ 1.5 AS g1, m4 / m2 ^ 2 - 3 AS g2 FROM q)"""
+
+
+@query("t11_distribution_shape", f"{MOMENTS} SELECT item, n AS n_observations, round(g1, 6) AS skewness, round(g2, 6) AS excess_kurtosis, round(q[1], 4) AS p5, round(q[2], 4) AS p25, round(q[3], 4) AS p50, round(q[4], 4) AS p75, round(q[5], 4) AS p95 FROM k")
+def t11(spark, sf):
+    out = st.moments(series(spark, sf))
+    return out.select("item", "n_observations", D("skewness", k=6), D("excess_kurtosis", k=6), *[D(f"p{k}") for k in (5, 25, 50, 75, 95)])
+
+
+@query("t11_normality")
+def t11n(spark, sf):
+    """The joint test of skew and kurtosis per item."""
+    return grouped.normality(series(spark, sf))
+
+
+@query("t12_bimodality", f"{MOMENTS} SELECT item, round((g1 ^ 2 + 1) / (g2 + 3), 6) AS bimodality, (g1 ^ 2 + 1) / (g2 + 3) > 0.555 AS is_bimodal FROM k WHERE n >= 10")
+def t12(spark, sf):
+    return st.moments(series(spark, sf)).select("item", D("bimodality", k=6), "is_bimodal")
+
+
+def _conc(source: str, groups: str, where: str = "true") -> str:
+    g, p = (f"{groups}, ", f"PARTITION BY {groups}") if groups else ("", "")
+    return f"""r AS (SELECT *, abs(value) AS x, sum(abs(value)) OVER ({p}) AS t FROM {source} WHERE {where}), k AS (SELECT *, row_number() OVER ({p} ORDER BY x DESC, item) AS k, coalesce(sum(x) OVER ({p} ORDER BY x DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER ({p} ORDER BY x, item DESC) AS i FROM r),
+    h AS (SELECT {g}count(*) AS total_entities, count(*) FILTER (b < 0.8 * t) AS pareto_count, round(sum(x) FILTER (k <= 5) / max(t), 9) AS top_5_share, round(sum(x) FILTER (k <= 10) / max(t), 9) AS top_10_share, round(sum((100 * x / t) ^ 2), 6) AS hhi, round(2 * sum(i * x) / (count(*) * max(t)) - (count(*) + 1) / count(*), 9) AS gini FROM k {'GROUP BY ' + groups if groups else ''})"""
+
+
+COLS = ("total_entities", "pareto_count", "top_5_share", "top_10_share", "hhi", "gini")
+shown = lambda df, *keys: df.select(*keys, "total_entities", "pareto_count", D("top_5_share", k=9), D("top_10_share", k=9), D("hhi", k=6), D("gini", k=9))
+
+
+@query("t13_concentration", f"{DENSE}, {_conc('s', '', chr(112) + 'eriod = DATE ' + chr(39) + '2001-07-31' + chr(39))} SELECT {', '.join(COLS)} FROM h")
+def t13(spark, sf):
+    return shown(st.concentration(series(spark, sf).filter(C("period") == NOW)))
+
+
+@query("t14_concentration_trend", f"{DENSE}, {_conc('s', 'period')}, j AS (SELECT h.*, p.period_idx FROM h JOIN p USING (period)) SELECT round(regr_slope(hhi, period_idx), 6) AS hhi_slope, round(regr_slope(gini, period_idx), 9) AS gini_slope, count(*) AS periods FROM j")
+def t14(spark, sf):
+    per_period = st.concentration(series(spark, sf), "period", "period_idx")
+    x = C("period_idx").cast("double")
+    return per_period.agg(F.round(F.regr_slope(F.round("hhi", 6), x), 6).alias("hhi_slope"), F.round(F.regr_slope(F.round("gini", 9), x), 9).alias("gini_slope"), F.count("*").alias("periods"))
+
+
+@query("t15_variance_concentration", f"{DENSE}, d AS (SELECT item, abs(value - lag(value) OVER (PARTITION BY item ORDER BY period)) AS v FROM s), a AS (SELECT item, sum(v) AS value FROM d GROUP BY 1), {_conc('a', '')} SELECT {', '.join(COLS)} FROM h")
+def t15(spark, sf):
+    d = series(spark, sf).withColumn("v", F.abs(C("value") - per.lagged("value", ("item",)))).groupBy("item").agg(F.sum("v").alias("value"))
+    return shown(st.concentration(d))
+
+
+@query("t16_segmented_concentration", f"{W}, a AS (SELECT region, nation AS item, CAST(sum(revenue) AS DOUBLE) AS value FROM sales WHERE period = DATE '2001-07-31' GROUP BY 1, 2), {_conc('a', 'region')} SELECT region, {', '.join(COLS)} FROM h")
+def t16(spark, sf):
+    a = sales(spark, sf, "region", "nation").filter(C("period") == NOW).groupBy("region", C("nation").alias("item")).agg(F.sum("revenue").cast("double").alias("value"))
+    return shown(st.concentration(a, "region"), "region")
+
+
+METRICS = ("revenue", "quantity", "price", "lines")
+TABLE = f"{W}, m AS (SELECT {{}}period, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS price, CAST(count(*) AS DOUBLE) AS lines FROM sales WHERE period <= DATE '2001-07-31' GROUP BY ALL)"
+PAIR_SQL = " UNION ALL ".join(f"SELECT {{0}}'{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) AS n FROM m {{1}}" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :])
+
+
+def metrics(spark, sf, *dims):
+    m = sales(spark, sf, *dims).filter(C("period") <= NOW).groupBy(*dims, "period").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("double").alias("quantity"), F.count("*").cast("double").alias("lines"))
+    return m.withColumn("price", C("revenue") / F.nullif("quantity", F.lit(0.0)))
+
+
+@query("t17_metric_correlations", f"{TABLE.format('')} {PAIR_SQL.format('', '')}")
+def t17(spark, sf):
+    return st.correlations(metrics(spark, sf), METRICS).select("a", "b", D("r", k=6), "n")
+
+
+@query("t17_classified")
+def t17c(spark, sf):
+    """Metric pairs with p, class, and whether the contract leads one to expect the relation."""
+    expected = ((C("a") == "revenue") & C("b").isin("quantity", "price")) | ((C("a") == "quantity") & (C("b") == "price"))
+    kind = F.when(F.abs("r") >= 0.8, "strong").when((F.abs("r") >= 0.5) & (C("p_value") <= 0.10), "significant").otherwise("weak")
+    return st.with_p(st.correlations(metrics(spark, sf), METRICS)).withColumn("classification", kind).withColumn("expected", expected)
+
+
+@query("t18_correlations_by_entity", f"{TABLE.format('region, ')} {PAIR_SQL.format('region, ', 'GROUP BY region')}")
+def t18(spark, sf):
+    return st.correlations(metrics(spark, sf, "region"), METRICS, "region").select("region", "a", "b", D("r", k=6), "n")
+
+
+LAGS = " UNION ALL ".join(f"SELECT '{a}' AS leader, '{b}' AS follower, {k} AS lag, corr(x.{a}, y.{b}) AS r FROM i x JOIN i y ON y.k = x.k + {k}" for a in METRICS[:3] for b in METRICS[:3] if a != b for k in range(7))
+
+
+@query("t19_lead_lag", f"{TABLE.format('')}, i AS (SELECT *, row_number() OVER (ORDER BY period) AS k FROM m), l AS ({LAGS}), z AS (SELECT leader, follower, arg_max(lag, (abs(r), -lag)) AS optimal_lag, arg_max(r, (abs(r), -lag)) AS lag_r, max(CASE WHEN lag = 0 THEN r END) AS contemporaneous_r FROM l GROUP BY 1, 2) SELECT leader, follower, CAST(optimal_lag AS INTEGER) AS optimal_lag, round(lag_r, 6) AS lag_r, round(contemporaneous_r, 6) AS contemporaneous_r, round(abs(lag_r) - abs(contemporaneous_r), 6) AS improvement FROM z WHERE optimal_lag > 0 AND abs(lag_r) - abs(contemporaneous_r) >= 0.01")
+def t19(spark, sf):
+    wide = metrics(spark, sf).withColumn("period_idx", F.row_number().over(Window.orderBy("period")))
+    out = st.lead_lag(wide, METRICS[:3], least_r=0.0, gain=0.01)
+    return out.select("leader", "follower", "optimal_lag", D("lag_r", k=6), D("contemporaneous_r", k=6), D("improvement", k=6))
+
+
+@query("t20_granger")
+def t20(spark, sf):
+    """Whether a metric's past helps to predict another's, for each region."""
+    m = metrics(spark, sf, "region").withColumn("period_idx", F.row_number().over(Window.partitionBy("region").orderBy("period")))
+    pairs = F.array(F.struct(F.lit("quantity").alias("a"), C("quantity").alias("x"), F.lit("price").alias("b"), C("price").alias("y")), F.struct(F.lit("price").alias("a"), C("price").alias("x"), F.lit("revenue").alias("b"), C("revenue").alias("y")))
+    long = m.select("region", "period_idx", F.explode(pairs).alias("p")).select(F.concat_ws(" ", "region", "p.a").alias("leader"), F.concat_ws(" ", "region", "p.b").alias("follower"), "period_idx", "p.x", "p.y")
+    return grouped.granger(long)
+
+
+@query("t21_seasonal_trend", f"""{DENSE}, c AS (SELECT *, count(*) OVER (PARTITION BY item) AS n, (sum(value) OVER (PARTITION BY item ORDER BY period ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(value, 6) OVER (PARTITION BY item ORDER BY period) + lead(value, 6) OVER (PARTITION BY item ORDER BY period)) / 2) / 12 AS trend FROM s) SELECT item, period, round(trend, 4) AS trend FROM c WHERE period_idx > 6 AND period_idx <= n - 6""", dates="period")
+def t21(spark, sf):
+    parts = st.seasonal(series(spark, sf))
+    n = F.max("period_idx").over(Window.partitionBy("item"))
+    return parts.withColumn("n", n).filter((C("period_idx") > 6) & (C("period_idx") <= C("n") - 6)).select("item", "period", D("trend"))
+
+
+@query("t21_seasonal_summary")
+def t21s(spark, sf):
+    return st.seasonal_summary(st.seasonal(series(spark, sf)))
+
+
+@query("t22_change_points")
+def t22(spark, sf):
+    return grouped.change_points(series(spark, sf))
+
+
+@query("t23_forecast_holdout")
+def t23(spark, sf):
+    return grouped.holdout_forecasts(series(spark, sf))
+
+
+@query("t24_temporal_grain", f"{W}, p AS (SELECT DISTINCT period FROM sales), g AS (SELECT period - lag(period) OVER (ORDER BY period) AS gap FROM p) SELECT (SELECT count(*) FROM p) AS periods, round(avg(CASE WHEN gap BETWEEN 27 AND 32 THEN 1.0 ELSE 0 END), 9) AS monthly, 'monthly' AS grain FROM g WHERE gap IS NOT NULL")
+def t24(spark, sf):
+    g = per.grain(sales(spark, sf), "period")
+    return g.select("periods", D("monthly", k=9), "grain")

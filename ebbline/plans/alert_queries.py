@@ -1 +1,207 @@
-"""Queries to come."""
+"""Queries of alerts and insight ranking (L)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import alerts as al
+from ..operators import periods as per
+from ..operators import stats as st
+from .catalog import query
+from .facts import SALES_SQL, sales, table
+from .stats_queries import DENSE, series
+from .variance_queries import NOW, STATS_SQL, monthly, resolved, stats
+
+C = F.col
+W = f"WITH {SALES_SQL}"
+D = lambda c, n=None, k=6: F.round(C(c).cast("double"), k).alias(n or c)
+
+#: Anomalies of monthly brand revenue as alerts, with the item's share and how many months it was odd.
+ALERTS = f"""{DENSE}, z AS (SELECT *, avg(value) OVER (PARTITION BY item) AS m, stddev_pop(value) OVER (PARTITION BY item) AS sd FROM s), sh AS (SELECT item, abs(avg(value)) / sum(abs(avg(value))) OVER () AS share FROM s GROUP BY 1),
+    a0 AS (SELECT 'anomaly:' || item || ':' || CAST(period AS VARCHAR) AS id, item, period, value - m AS variance_amount, 100 * (value - m) / abs(m) AS variance_pct, share, count(*) OVER (PARTITION BY item) AS periods FROM z JOIN sh USING (item) WHERE abs((value - m) / sd) >= 2),
+    a AS (SELECT *, least(abs(variance_pct) / 50, 1) * (0.3 + 0.7 * least(0.1 + 3 * share, 1)) AS impact, 0.5 AS confidence, least(0.5 + 0.25 * (periods - 1), 1) AS persistence FROM a0), b AS (SELECT *, 0.6 * impact + 0.25 * confidence + 0.15 * persistence AS score FROM a),
+    c AS (SELECT *, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS priority FROM b)"""
+
+
+def found(spark, sf):
+    """Alerts of anomalies with all that scores need."""
+    s = series(spark, sf)
+    z = st.z_anomalies(s).drop("p_value").withColumn("pct", 100 * (C("value") - C("avg")) / F.abs("avg"))
+    out = al.alert(z, "anomaly", period=C("period"), item=C("item"), variance_amount=C("value") - C("avg"), variance_pct=C("pct"))
+    return out.join(al.item_shares(s, "item", "value"), "item").withColumn("periods", F.count("*").over(Window.partitionBy("item")))
+
+
+@query("l01_alert_extraction", f"""{DENSE}, t AS (SELECT item, avg(value) AS m, stddev_pop(value) AS sd FROM s GROUP BY 1), x AS (SELECT 'anomaly' AS category, item, CAST(period AS VARCHAR) AS period, 100 * (value - m) / abs(m) AS pct FROM s JOIN t USING (item) WHERE abs((value - m) / sd) >= 2), y AS (SELECT 'volatility' AS category, item, CAST(NULL AS VARCHAR) AS period, 100 * sd / abs(m) AS pct FROM t WHERE sd / abs(m) >= 0.1),
+    u AS (SELECT * FROM (SELECT * FROM x ORDER BY abs(pct) DESC, item, period LIMIT 15) UNION ALL SELECT * FROM (SELECT * FROM y ORDER BY abs(pct) DESC, item LIMIT 5)) SELECT category || ':' || item || ':' || coalesce(period, 'all') AS id, category, item, round(pct, 6) AS variance_pct FROM u""")
+def l01(spark, sf):
+    p = st.item_profiles(series(spark, sf)).filter("cv >= 0.1")
+    volatile = al.alert(p, "volatility", item=C("item"), variance_amount=C("std"), variance_pct=100 * C("cv"))
+    out = al.extracted([(found(spark, sf).select(*volatile.columns), 15), (volatile, 5)])
+    return out.select("id", "category", "item", D("variance_pct"))
+
+
+@query("l02_material_alerts", f"{ALERTS} SELECT id, round(variance_amount, 4) AS variance_amount FROM c WHERE item <> 'Brand#11' AND share >= 0.001 AND abs(variance_amount) >= 1000")
+def l02(spark, sf):
+    return al.material(found(spark, sf), ("brand#11",)).select("id", D("variance_amount", k=4))
+
+
+@query("l03_item_shares", f"{DENSE} SELECT item, round(abs(avg(value)) / sum(abs(avg(value))) OVER (), 9) AS share FROM s GROUP BY 1")
+def l03(spark, sf):
+    return al.item_shares(series(spark, sf), "item", "value").select("item", D("share", k=9))
+
+
+@query("l04_finite_values", "SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 5 NOT IN (0, 1)) AS finite FROM orders")
+def l04(spark, sf):
+    x = F.when(C("o_orderkey") % 5 == 0, F.lit(float("nan"))).when(C("o_orderkey") % 5 == 1, F.lit(float("inf"))).otherwise(C("o_totalprice"))
+    return table(spark, sf, "orders").select(al.finite(x).alias("x")).agg(F.count("*").alias("rows"), F.count("x").alias("finite"))
+
+
+@query("l05_impact", f"{ALERTS} SELECT id, round(impact, 6) AS impact FROM c")
+def l05(spark, sf):
+    return al.scored(found(spark, sf)).select("id", D("impact"))
+
+
+@query("l06_confidence", f"{ALERTS} SELECT id, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM c")
+def l06(spark, sf):
+    return al.scored(found(spark, sf)).select("id", D("confidence"))
+
+
+@query("l07_persistence", f"{ALERTS} SELECT id, round(CAST(persistence AS DOUBLE), 6) AS persistence FROM c")
+def l07(spark, sf):
+    return al.scored(found(spark, sf)).select("id", D("persistence"))
+
+
+@query("l08_scored_alerts", f"{ALERTS} SELECT id, item, round(score, 6) AS score, priority FROM c ORDER BY c.score DESC, id LIMIT 10")
+def l08(spark, sf):
+    return al.scored(found(spark, sf)).orderBy(F.desc("score"), "id").limit(10).select("id", "item", D("score"), "priority")
+
+
+@query("l09_severity", f"{ALERTS} SELECT round(CASE WHEN count(*) FILTER (priority = 'high') > 0 THEN 0.6 + 0.4 * max(score) WHEN count(*) FILTER (priority = 'medium') > 0 THEN 0.3 + 0.3 * max(score) ELSE coalesce(max(score), 0) END, 6) AS severity, count(*) FILTER (priority = 'high') AS high, count(*) FILTER (priority = 'medium') AS medium, count(*) AS alerts FROM c")
+def l09(spark, sf):
+    return al.severity(al.scored(found(spark, sf))).select(D("severity"), "high", "medium", "alerts")
+
+
+@query("l10_suppression", f"""{ALERTS}, w AS (SELECT id, CASE WHEN item LIKE 'Brand#1_' AND score < 0.5 THEN 'rule' WHEN item = 'Brand#2' OR (item = 'Brand#3' AND period = DATE '1996-01-31') THEN 'event' WHEN item = 'Brand#4' THEN 'feedback' END AS suppressed_by FROM c) SELECT coalesce(suppressed_by, 'none') AS suppressed_by, count(*) AS n FROM w GROUP BY 1""")
+def l10(spark, sf):
+    scored = al.scored(found(spark, sf))
+    rules = spark.createDataFrame([("Brand#1?", "anom*", 0.5)], "item_glob string, category_glob string, below double")
+    brands = table(spark, sf, "part").select("p_brand").distinct()
+    calendar = brands.filter(C("p_brand").isin("Brand#2", "Brand#3")).select(C("p_brand").alias("item"), F.when(C("p_brand") == "Brand#3", "1996-01-31").otherwise("").alias("period"))
+    feedback = scored.filter(C("item") == "Brand#4").select("id", F.lit("expected").alias("tag"))
+    return al.suppressed(scored, rules, calendar, feedback).groupBy(F.coalesce("suppressed_by", F.lit("none")).alias("suppressed_by")).agg(F.count("*").alias("n"))
+
+
+@query("l11_feedback_tags", "SELECT event_type AS tag, false AS valid, count(*) AS n FROM events GROUP BY 1")
+def l11(spark, sf):
+    df = table(spark, sf, "events").select(C("event_id").alias("id"), C("event_type").alias("tag"))
+    return al.valid_feedback(df).groupBy("tag", "valid").agg(F.count("*").alias("n"))
+
+
+@query("l12_priority_scores", f"{ALERTS}, k AS (SELECT id, (0.5 * least(abs(variance_amount / (SELECT sd FROM z WHERE z.item = c.item LIMIT 1)) / 5, 1) + 0.3 * least(abs(variance_pct) / 50, 1)) * (0.4 + 0.6 * least(share * 5, 1)) AS composite FROM c) SELECT id, round(composite, 6) AS composite, CASE WHEN composite >= 0.6 THEN 'critical' WHEN composite >= 0.4 THEN 'high' WHEN composite >= 0.2 THEN 'medium' ELSE 'low' END AS label FROM k")
+def l12(spark, sf):
+    s = series(spark, sf)
+    z = st.z_anomalies(s).drop("p_value").join(al.item_shares(s, "item", "value"), "item")
+    pct = 100 * (C("value") - C("avg")) / F.abs("avg")
+    score = al.composite(al.statistical_score(C("z_score"), F.lit(0.0)), al.magnitude_score(pct), al.materiality_weight(C("share")))
+    return z.select(F.concat(F.lit("anomaly:"), "item", F.lit(":"), C("period").cast("string")).alias("id"), score.alias("c")).select("id", D("c", "composite"), al.label(C("c")).alias("label"))
+
+
+CARDS = f"""{STATS_SQL}, cs AS (SELECT *, (0.3 * least(abs(coalesce(variance_pct, 0)) / 50, 1) + 0.3 * coalesce(abs(variance_dollar) / sum(abs(variance_dollar)) OVER (PARTITION BY level), 0)) * (0.3 + 0.7 * least(coalesce(share_current, 0) * 5, 1)) AS score, CASE WHEN abs(coalesce(variance_pct, 0)) >= 20 THEN 'critical' WHEN abs(coalesce(variance_pct, 0)) >= 10 THEN 'high' WHEN abs(coalesce(variance_pct, 0)) >= 5 THEN 'medium' ELSE 'low' END AS priority FROM st),
+    cd AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, item) AS card FROM cs)"""
+
+
+@query("l13_hierarchy_cards", f"{CARDS} SELECT level, item, card, round(score, 6) AS score, priority FROM cd WHERE card <= 5")
+def l13(spark, sf):
+    return al.hierarchy_cards(stats(spark, sf)).select("level", "item", "card", D("score"), "priority")
+
+
+@query("l14_statistical_cards")
+def l14(spark, sf):
+    """Cards of anomalies, volatile items and seasonal items, ranked together."""
+    s = series(spark, sf)
+    grave = lambda c: F.when(c >= 0.6, "critical").when(c >= 0.4, "high").when(c >= 0.2, "medium").otherwise("low")
+    odd = st.z_anomalies(s).select(F.concat(F.lit("Anomaly: "), "item").alias("title"), "period", F.least(F.abs("z_score") / 5, F.lit(1.0)).alias("score"))
+    volatile = st.item_profiles(s).select(F.concat(F.lit("Volatile: "), "item").alias("title"), F.lit(None).cast("date").alias("period"), F.least("cv", F.lit(1.0)).alias("score"))
+    season = st.seasonal_summary(st.seasonal(s)).select(F.concat(F.lit("Seasonal: "), "item").alias("title"), F.lit(None).cast("date").alias("period"), C("seasonal_strength").alias("score"))
+    return al.statistical_cards(*[d.withColumn("priority", grave(C("score"))) for d in (odd, volatile, season)])
+
+
+@query("l15_drill_levels", f"{CARDS}, pl AS (SELECT level, max(score) AS best, bool_or(priority IN ('critical', 'high')) AS grave FROM cd WHERE card <= 5 GROUP BY 1) SELECT level, round(best, 6) AS best, coalesce(min(CASE WHEN best >= 0.15 OR grave OR level = 0 THEN 1 ELSE 0 END) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) = 1 AS reached FROM pl")
+def l15(spark, sf):
+    return al.drilled(al.hierarchy_cards(stats(spark, sf))).select("level", D("best"), "reached")
+
+
+SIGNALS = f"{W}, g AS (SELECT nation AS title, CAST(sum(revenue) FILTER (period = DATE '2001-07-31') AS DOUBLE) AS r1, CAST(sum(revenue) FILTER (period = DATE '2000-07-31') AS DOUBLE) AS r0, CAST(sum(quantity) FILTER (period = DATE '2001-07-31') AS DOUBLE) AS q1, CAST(sum(quantity) FILTER (period = DATE '2000-07-31') AS DOUBLE) AS q0 FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1), sg AS (SELECT title, 'revenue' AS metric, 'level1' AS source, abs(r1 / r0 - 1) AS score FROM g WHERE r1 / r0 IS NOT NULL UNION ALL SELECT title, 'quantity', 'trend', abs(q1 / q0 - 1) FROM g WHERE q1 / q0 IS NOT NULL)"
+
+
+def signals(spark, sf):
+    then = per.months_back(NOW, 12)
+    g = monthly(spark, sf, "nation").filter(C("period").isin(NOW, then)).groupBy(C("nation").alias("title")).agg(*[F.sum(F.when(C("period") == p, C(m))).cast("double").alias(f"{m}{k}") for m in ("revenue", "quantity") for k, p in ((1, NOW), (0, then))])
+    one = lambda m, source: g.select("title", F.lit(m).alias("metric"), F.lit(source).alias("source"), F.abs(C(f"{m}1") / C(f"{m}0") - 1).alias("score")).filter("score IS NOT NULL")
+    return one("revenue", "level1").unionByName(one("quantity", "trend"))
+
+
+@query("l16_ranked_signals", f"{SIGNALS} SELECT title, metric, source, round(score * CASE source WHEN 'level1' THEN 1.1 ELSE 0.8 END, 6) AS score, row_number() OVER (ORDER BY score * CASE source WHEN 'level1' THEN 1.1 ELSE 0.8 END DESC, title, metric, source) AS rank FROM sg QUALIFY rank <= 30")
+def l16(spark, sf):
+    return al.ranked_signals(signals(spark, sf)).select("title", "metric", "source", D("score"), "rank")
+
+
+@query("l17_entity_clusters", f"{SIGNALS} SELECT title, count(DISTINCT metric) AS metrics, round(avg(score) + 0.1 * (count(DISTINCT metric) - 1), 6) AS score FROM sg GROUP BY 1 HAVING count(DISTINCT metric) > 1")
+def l17(spark, sf):
+    return al.entity_clusters(signals(spark, sf)).select("title", "metrics", D("score"))
+
+
+@query("l18_network_totals", f"{W} SELECT 'revenue' AS metric, CAST(sum(revenue) FILTER (period = DATE '2001-07-31') AS DOUBLE) AS \"current\", CAST(sum(revenue) FILTER (period = DATE '2000-07-31') AS DOUBLE) AS prior FROM sales UNION ALL SELECT 'quantity', CAST(sum(quantity) FILTER (period = DATE '2001-07-31') AS DOUBLE), CAST(sum(quantity) FILTER (period = DATE '2000-07-31') AS DOUBLE) FROM sales")
+def l18(spark, sf):
+    m = monthly(spark, sf)
+    now, then = resolved(m)
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), per.at(now, c).alias("current"), per.at(then, c).alias("prior")) for c in ("revenue", "quantity")])
+    return m.agg(each.alias("e")).select(F.explode("e").alias("e")).select("e.*")
+
+
+@query("l19_severity_guard", f"{CARDS} SELECT level, bool_or(priority IN ('critical', 'high')) AS has_critical_or_high FROM cd WHERE card <= 5 GROUP BY 1")
+def l19(spark, sf):
+    return al.hierarchy_cards(stats(spark, sf)).groupBy("level").agg(F.bool_or(C("priority").isin("critical", "high")).alias("has_critical_or_high"))
+
+
+@query("l20_scope_filter", f"{CARDS}, sc AS (SELECT 'ASIA' AS word UNION SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') SELECT level, item FROM cd WHERE card <= 5 AND EXISTS (SELECT 1 FROM sc WHERE contains(item, word))")
+def l20(spark, sf):
+    geo = table(spark, sf, "nation").join(table(spark, sf, "region"), C("n_regionkey") == C("r_regionkey")).filter(C("r_name") == "ASIA")
+    words = geo.select(C("n_name").alias("word")).unionByName(geo.select(C("r_name").alias("word"))).distinct()
+    return al.hierarchy_cards(stats(spark, sf)).join(words, C("item").contains(C("word")), "left_semi").select("level", "item")
+
+
+@query("l21_entity_totals", f"{W} SELECT period, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity FROM sales WHERE nation = 'FRANCE' GROUP BY 1", dates="period")
+def l21(spark, sf):
+    return sales(spark, sf, "nation").filter(C("nation") == "FRANCE").groupBy("period").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("double").alias("quantity"))
+
+
+@query("l22_invalid_alerts", f"{ALERTS} SELECT count(*) AS valid FROM c")
+def l22(spark, sf):
+    f = found(spark, sf).select("id", "item", "variance_amount", "variance_pct")
+    empty = f.limit(1).select(F.lit("anomaly:unknown:all").alias("id"), F.lit("unknown").alias("item"), F.lit(0.0).alias("variance_amount"), F.lit(0.0).alias("variance_pct"))
+    invalid = (C("item") == "unknown") & (F.coalesce("variance_amount", F.lit(0.0)) == 0) & (F.coalesce("variance_pct", F.lit(0.0)) == 0)
+    return f.unionByName(empty).filter(~invalid).agg(F.count("*").alias("valid"))
+
+
+@query("l23_report_anomalies", f"{ALERTS}, k AS (SELECT id, greatest(abs(variance_amount / (SELECT sd FROM z WHERE z.item = c.item LIMIT 1)), abs(variance_pct) / 5) AS size FROM c) SELECT id, round(size, 6) AS size FROM k ORDER BY k.size DESC, id LIMIT 5")
+def l23(spark, sf):
+    z = st.z_anomalies(series(spark, sf)).drop("p_value")
+    size = F.greatest(F.abs("z_score"), F.abs(100 * (C("value") - C("avg")) / F.abs("avg")) / 5)
+    k = z.select(F.concat(F.lit("anomaly:"), "item", F.lit(":"), C("period").cast("string")).alias("id"), size.alias("size"))
+    return k.orderBy(F.desc("size"), "id").limit(5).select("id", D("size"))
+
+
+@query("l24_material_findings", f"{STATS_SQL} SELECT level, count(*) FILTER (exceeds_threshold) > 0 AS has_material_findings FROM st GROUP BY 1")
+def l24(spark, sf):
+    return stats(spark, sf).groupBy("level").agg((F.count_if("exceeds_threshold") > 0).alias("has_material_findings"))
+
+
+@query("l27_regional_signals", f"{W}, {{}}".format("""v AS (SELECT region, nation, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN revenue ELSE 0 END) AS DOUBLE) - CAST(sum(CASE WHEN period = DATE '2000-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS d FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY abs(d) DESC, nation) AS k FROM v)
+    SELECT region, round(sum(d), 4) AS variance, string_agg(nation, ',' ORDER BY k) FILTER (k <= 3) AS movers FROM r GROUP BY 1"""))
+def l27(spark, sf):
+    rows = stats(spark, sf).filter("level = 2")
+    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.desc(F.abs("variance_dollar")), "item")))
+    return top.groupBy("region").agg(F.round(F.sum("variance_dollar"), 4).alias("variance"), F.sort_array(F.collect_list(F.when(C("k") <= 3, F.struct("k", "item")))).alias("m")).select("region", "variance", F.array_join(F.transform("m", lambda x: x["item"]), ",").alias("movers"))
+

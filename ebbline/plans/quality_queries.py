@@ -1 +1,112 @@
-"""Queries to come."""
+"""Queries of data quality and contract inference (Q, I)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as qa
+from .catalog import query
+from .facts import SALES_SQL, sales, table
+
+C = F.col
+W = f"WITH {SALES_SQL}"
+
+
+@query("q01_required_columns", "SELECT 'o_margin' AS missing, count(*) AS rows FROM orders")
+def q01(spark, sf):
+    df = table(spark, sf, "orders")
+    gone = qa.missing_columns(df, ("o_orderkey", "o_orderdate", "o_margin"))
+    return df.agg(F.lit(",".join(gone)).alias("missing"), F.count("*").alias("rows"))
+
+
+@query("q02_grain_uniqueness", "SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE))")
+def q02(spark, sf):
+    return qa.duplicate_rows(table(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate")), ("o_custkey", "day"))
+
+
+RAW = "SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d, CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' ELSE '$' || CAST(o_totalprice AS VARCHAR) END AS v FROM orders"
+
+
+def _raw(spark, sf):
+    return table(spark, sf, "orders").select(F.when(C("o_orderkey") % 13 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("d"), F.when(C("o_orderkey") % 17 == 0, "n/a").otherwise(F.concat(F.lit("$"), C("o_totalprice").cast("string"))).alias("v"), "o_totalprice")
+
+
+@query("q03_time_parseable", f"SELECT count(*) FILTER (try_strptime(d, '%Y-%m-%d') IS NULL) AS unreadable FROM ({RAW})")
+def q03(spark, sf):
+    return _raw(spark, sf).agg(F.count_if(F.try_to_timestamp("d", F.lit("yyyy-MM-dd")).isNull()).alias("unreadable"))
+
+
+@query("q04_metric_numeric", f"SELECT count(*) FILTER (TRY_CAST(replace(v, '$', '') AS DOUBLE) IS NULL) AS not_numeric FROM ({RAW})")
+def q04(spark, sf):
+    return _raw(spark, sf).agg(F.count_if(F.translate("v", "$,% ", "").try_cast("double").isNull()).alias("not_numeric"))
+
+
+@query("q05_rollup_integrity", f"{W} SELECT region, CAST(sum(revenue) AS DOUBLE) AS parent, true AS adds_up FROM sales GROUP BY 1")
+def q05(spark, sf):
+    df = sales(spark, sf, "region", "nation")
+    parent = df.groupBy("region").agg(F.sum("revenue").cast("double").alias("parent"))
+    children = df.groupBy("region", "nation").agg(F.sum("revenue").alias("v")).groupBy("region").agg(F.sum("v").cast("double").alias("children"))
+    return parent.join(children, "region").select("region", "parent", (F.abs(C("parent") - C("children")) <= 0.0001 * F.abs("parent")).alias("adds_up"))
+
+
+@query("q06_row_budget", "SELECT count(*) AS rows, count(*) <= 250000 AS within_budget FROM lineitem")
+def q06(spark, sf):
+    return table(spark, sf, "lineitem").agg(F.count("*").alias("rows"), (F.count("*") <= 250_000).alias("within_budget"))
+
+
+@query("i01_date_formats", f"SELECT 'yyyy-MM-dd' AS format, round(avg(CASE WHEN try_strptime(d, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0 END), 9) AS share, avg(CASE WHEN try_strptime(d, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0 END) > 0.8 AS is_time FROM ({RAW})")
+def i01(spark, sf):
+    shares = qa.date_share(C("d"))
+    rows = _raw(spark, sf).agg(F.array(*[F.struct(F.lit(f).alias("format"), c.alias("share")) for f, c in shares.items()]).alias("s"))
+    best = rows.select(F.explode("s").alias("s")).select("s.*").filter("share > 0").orderBy(F.desc("share"), "format").limit(1)
+    return best.select("format", F.round("share", 9).alias("share"), (C("share") > 0.8).alias("is_time"))
+
+
+@query("i02_numeric_columns", f"SELECT round(avg(CASE WHEN TRY_CAST(replace(v, '$', '') AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0 END), 9) AS share, min(TRY_CAST(replace(v, '$', '') AS DOUBLE)) AS lo, max(TRY_CAST(replace(v, '$', '') AS DOUBLE)) AS hi, count(*) FILTER (TRY_CAST(replace(v, '$', '') AS DOUBLE) < 0) AS negatives, count(DISTINCT TRY_CAST(replace(v, '$', '') AS DOUBLE)) AS \"distinct\" FROM ({RAW})")
+def i02(spark, sf):
+    x = F.translate("v", "$,% ", "").try_cast("double")
+    return _raw(spark, sf).withColumn("x", x).agg(F.round(qa.numeric_share(C("v")), 9).alias("share"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if(C("x") < 0).alias("negatives"), F.count_distinct("x").alias("distinct"))
+
+
+@query("i03_currency_hint", f"SELECT round(avg(CASE WHEN v LIKE '$%' THEN 1.0 ELSE 0 END), 9) AS share, avg(CASE WHEN v LIKE '$%' THEN 1.0 ELSE 0 END) > 0.3 AS is_currency, avg(CASE WHEN v LIKE '%\\%' ESCAPE '\\' THEN 1.0 ELSE 0 END) > 0.3 AS is_percentage FROM ({RAW})")
+def i03(spark, sf):
+    share = lambda c: F.avg(c.cast("double"))
+    money = share(C("v").startswith("$"))
+    return _raw(spark, sf).agg(F.round(money, 9).alias("share"), (money > 0.3).alias("is_currency"), (share(C("v").endswith("%")) > 0.3).alias("is_percentage"))
+
+
+@query("i04_ratio_hint", "SELECT 'l_discount' AS \"column\", min(l_discount) >= 0 AND max(l_discount) <= 1.01 OR (min(l_discount) >= 0 AND max(l_discount) <= 100 AND stddev_samp(l_discount) < 30) AS is_ratio FROM lineitem UNION ALL SELECT 'l_extendedprice', min(l_extendedprice) >= 0 AND max(l_extendedprice) <= 1.01 OR (min(l_extendedprice) >= 0 AND max(l_extendedprice) <= 100 AND stddev_samp(l_extendedprice) < 30) FROM lineitem")
+def i04(spark, sf):
+    rule = lambda c: ((F.min(c) >= 0) & (F.max(c) <= 1.01)) | ((F.min(c) >= 0) & (F.max(c) <= 100) & (F.stddev_samp(c) < 30))
+    one = [F.struct(F.lit(c).alias("column"), rule(c).alias("is_ratio")) for c in ("l_discount", "l_extendedprice")]
+    return table(spark, sf, "lineitem").agg(F.array(*one).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+@query("i05_identifier_hint", "SELECT 'o_orderkey' AS \"column\", count(DISTINCT o_orderkey) > 0.95 * count(*) AND min(o_orderkey) >= 0 AS is_identifier FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) > 0.95 * count(*) AND min(o_custkey) >= 0 FROM orders")
+def i05(spark, sf):
+    one = [F.struct(F.lit(c).alias("column"), ((F.count_distinct(C(c)) > 0.95 * F.count("*")) & (F.min(c) >= 0)).alias("is_identifier")) for c in ("o_orderkey", "o_custkey")]
+    return table(spark, sf, "orders").agg(F.array(*one).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+@query("i06_categories", "SELECT count(DISTINCT p_type) AS cardinality, array_to_string(list_sort(list(DISTINCT p_type))[1:10], ',') AS samples FROM part")
+def i06(spark, sf):
+    kinds = table(spark, sf, "part").groupBy("p_type").agg(F.count("*").alias("n"))
+    return kinds.agg(F.count("*").alias("cardinality"), F.array_join(F.slice(F.sort_array(F.collect_list("p_type")), 1, 10), ",").alias("samples"))
+
+
+@query("i07_frequency", f"{W}, d AS (SELECT DISTINCT period FROM sales), g AS (SELECT period - lag(period) OVER (ORDER BY period) AS gap FROM d) SELECT CAST(median(gap) AS DOUBLE) AS gap, 'monthly' AS frequency FROM g")
+def i07(spark, sf):
+    return qa.frequency(sales(spark, sf), "period")
+
+
+@query("i08_hierarchy_detection", "SELECT 'nation' AS child, 'region' AS parent, count(DISTINCT n_name) AS children, count(DISTINCT r_name) AS parents FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'customer', p, count(DISTINCT c_custkey), CASE p WHEN 'nation' THEN count(DISTINCT n_name) WHEN 'region' THEN count(DISTINCT r_name) ELSE count(DISTINCT c_mktsegment) END FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, (VALUES ('nation'), ('region'), ('segment')) AS x(p) GROUP BY p")
+def i08(spark, sf):
+    df = table(spark, sf, "customer").join(table(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")).join(table(spark, sf, "region"), C("n_regionkey") == C("r_regionkey"))
+    df = df.select(C("r_name").alias("region"), C("n_name").alias("nation"), C("c_custkey").alias("customer"), C("c_mktsegment").alias("segment"))
+    return qa.dependencies(df, ("region", "nation", "customer", "segment"))
+
+
+@query("i10_suggestions", "SELECT round(0.05 * avg(o_totalprice), 4) AS materiality, CAST(date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) / 30 AS INTEGER) AS months FROM orders")
+def i10(spark, sf):
+    day = F.to_date("o_orderdate")
+    return table(spark, sf, "orders").agg(F.round(0.05 * F.avg("o_totalprice"), 4).alias("materiality"), F.round(F.datediff(F.max(day), F.min(day)) / 30).cast("int").alias("months"))

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import correlation_p, normal_p
 
-ITEM = Window.partitionBy("item")
-ORDER = Window.partitionBy("item").orderBy("period")
+
+def by_item():
+    return Window.partitionBy("item")
+
+
+def in_order():
+    return Window.partitionBy("item").orderBy("period")
 
 
 def item_profiles(series: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def item_profiles(series: DataFrame) -> DataFrame:
 
 def z_anomalies(series: DataFrame, least: float = 2.0) -> DataFrame:
     """Periods whose value lies `least` population deviations off the item's mean, with the two-sided p."""
-    s = series.withColumn("avg", F.avg("value").over(ITEM)).withColumn("std", F.stddev_pop("value").over(ITEM))
+    s = series.withColumn("avg", F.avg("value").over(by_item())).withColumn("std", F.stddev_pop("value").over(by_item()))
     hits = s.withColumn("z_score", (F.col("value") - F.col("avg")) / F.nullif("std", F.lit(0.0))).filter(F.abs("z_score") >= least)
     return hits.withColumn("p_value", normal_p("z_score"))
 
@@ -80,8 +85,8 @@ def outlier_impact(series: DataFrame, method: str = "mean") -> DataFrame:
     s = s.join(s.groupBy("item").agg(F.percentile("dev", F.lit(0.5)).alias("mad")), "item")
     hit = (F.abs(F.col("value") - F.col("m")) >= 2 * F.col("sd")) & (F.col("sd") > 0) | ((F.col("dev") > 3 * F.col("mad")) & (F.col("mad") > 0))
     s = s.withColumn("outlier", hit)
-    clean_mean = F.avg(F.when(~F.col("outlier"), F.col("value"))).over(ITEM)
-    beside = F.coalesce((F.lag("value").over(ORDER) + F.lead("value").over(ORDER)) / 2, F.lag("value").over(ORDER), F.lead("value").over(ORDER))
+    clean_mean = F.avg(F.when(~F.col("outlier"), F.col("value"))).over(by_item())
+    beside = F.coalesce((F.lag("value").over(in_order()) + F.lead("value").over(in_order())) / 2, F.lag("value").over(in_order()), F.lead("value").over(in_order()))
     new = {"mean": clean_mean, "neighbours": beside, "zero": F.lit(0.0)}[method]
     s = s.withColumn("clean", F.when(F.col("outlier"), new).otherwise(F.col("value")))
     x = F.col("period_idx").cast("double")
@@ -148,8 +153,8 @@ def seasonal(series: DataFrame, period: int = 12) -> DataFrame:
     a place in the cycle is the mean of what the trend leaves there, less the mean of all effects.
     """
     half = period // 2
-    s = series.withColumn("n", F.count("*").over(ITEM)).filter(F.col("n") >= 2 * period)
-    inner = F.sum("value").over(ORDER.rowsBetween(-half + 1, half - 1)) + (F.lag("value", half).over(ORDER) + F.lead("value", half).over(ORDER)) / 2
+    s = series.withColumn("n", F.count("*").over(by_item())).filter(F.col("n") >= 2 * period)
+    inner = F.sum("value").over(in_order().rowsBetween(-half + 1, half - 1)) + (F.lag("value", half).over(in_order()) + F.lead("value", half).over(in_order())) / 2
     s = s.withColumn("mid", F.when((F.col("period_idx") > half) & (F.col("period_idx") <= F.col("n") - half), inner / period))
     x = F.col("period_idx").cast("double")
     at = lambda lo, hi: F.when((F.col("period_idx") > lo) & (F.col("period_idx") <= hi) & F.col("mid").isNotNull(), F.col("mid"))
@@ -159,15 +164,15 @@ def seasonal(series: DataFrame, period: int = 12) -> DataFrame:
     phase = F.pmod(F.col("period_idx") - 1, F.lit(period))
     s = s.withColumn("phase", phase).withColumn("left", F.when(F.col("mid").isNotNull(), F.col("value") - F.col("mid")))
     effects = s.groupBy("item", "phase").agg(F.avg("left").alias("e"))
-    effects = effects.withColumn("seasonal", F.col("e") - F.avg("e").over(ITEM)).drop("e")
+    effects = effects.withColumn("seasonal", F.col("e") - F.avg("e").over(by_item())).drop("e")
     s = s.join(effects, ["item", "phase"]).withColumn("residual", F.col("value") - F.col("trend") - F.col("seasonal"))
     return s.select("item", "period", "period_idx", "value", "trend", "seasonal", "residual")
 
 
 def seasonal_summary(parts: DataFrame) -> DataFrame:
     """Residual mean and deviation, anomalies over two deviations, and seasonal strength of each item."""
-    sd = F.stddev_samp("residual").over(ITEM)
-    p = parts.withColumn("m", F.avg("residual").over(ITEM)).withColumn("sd", sd)
+    sd = F.stddev_samp("residual").over(by_item())
+    p = parts.withColumn("m", F.avg("residual").over(by_item())).withColumn("sd", sd)
     out = p.groupBy("item").agg(F.avg("residual").alias("residual_mean"), F.stddev_samp("residual").alias("residual_std"), F.count_if(F.abs(F.col("residual") - F.col("m")) > 2 * F.col("sd")).alias("anomaly_count"), F.var_pop("residual").alias("vr"), F.var_pop(F.col("residual") + F.col("seasonal")).alias("vs"))
     return out.withColumn("seasonal_strength", F.greatest(F.lit(0.0), 1 - F.col("vr") / F.nullif("vs", F.lit(0.0)))).drop("vr", "vs")
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from .periods import at
 from .rollup import UNASSIGNED, all_levels
 
-EVERY = Window.partitionBy(F.lit(0))
+
+def every():
+    """All rows as one group: of levels and entities, after aggregation, never of facts."""
+    return Window.partitionBy(F.lit(0))
 
 
 def safe(a: Column, b: Column) -> Column:
@@ -62,7 +65,7 @@ def price_volume(df: DataFrame, item: str, total: str, volume: str, now: dt.date
 def mix_shift(df: DataFrame, segment: str, total: str, volume: str, now: dt.date, then: dt.date) -> DataFrame:
     """Weights, prices and mix effect of each segment, with the three effects of the whole on each row."""
     rows = price_volume(df, segment, total, volume, now, then).withColumnRenamed("item", "segment").withColumnsRenamed({"curr_price": "current_price", "curr_vol": "volume_current", "prior_vol": "volume_prior"})
-    over = lambda c: F.sum(c).over(EVERY)
+    over = lambda c: F.sum(c).over(every())
     rows = rows.withColumns({"v1": over("volume_current"), "v0": over("volume_prior"), "t1": over(F.col("current_price") * F.col("volume_current")), "t0": over(F.col("prior_price") * F.col("volume_prior"))})
     weight = lambda v, t: F.coalesce(safe(F.col(v), F.col(t)), F.lit(0.0))
     rows = rows.withColumn("prior_weight", weight("volume_prior", "v0")).withColumn("current_weight", weight("volume_current", "v1")).withColumn("weight_change", F.col("current_weight") - F.col("prior_weight"))
@@ -110,9 +113,9 @@ def cross_cutting(two: DataFrame, *, move: float = 1.0, consistency: float = 0.6
 def residual_cells(df: DataFrame, entity: str, auxiliary: str, value: str) -> DataFrame:
     """What rows and columns of a two-way table don't explain, with its z; cells that aren't there are left out."""
     two = df.groupBy(F.col(entity).alias("hierarchy_entity"), F.col(auxiliary).alias("auxiliary_value")).agg(F.sum(value).cast("double").alias("actual"))
-    expected = F.avg("actual").over(Window.partitionBy("hierarchy_entity")) + F.avg("actual").over(Window.partitionBy("auxiliary_value")) - F.avg("actual").over(EVERY)
+    expected = F.avg("actual").over(Window.partitionBy("hierarchy_entity")) + F.avg("actual").over(Window.partitionBy("auxiliary_value")) - F.avg("actual").over(every())
     two = two.withColumn("expected", expected).withColumn("residual", F.col("actual") - F.col("expected"))
-    return two.withColumn("residual_z", (F.col("residual") - F.avg("residual").over(EVERY)) / F.nullif(F.stddev_pop("residual").over(EVERY), F.lit(0.0)))
+    return two.withColumn("residual_z", (F.col("residual") - F.avg("residual").over(every())) / F.nullif(F.stddev_pop("residual").over(every()), F.lit(0.0)))
 
 
 def trends(series: DataFrame, least_r2: float = 0.3) -> DataFrame:

@@ -95,7 +95,7 @@ class Contract:
 
 def columns_in(expression: str) -> set[str]:
     """The column names of an expression."""
-    return {w for w in re.findall(r"[A-Za-z_][A-Za-z_0-9]*(?!\s*\()", re.sub(r"'[^']*'", "", expression)) if w.lower() not in FUNCTIONS}
+    return {w for w in re.findall(r"\b[A-Za-z_]\w*\b(?!\s*\()", re.sub(r"'[^']*'", "", expression)) if w.lower() not in FUNCTIONS}
 
 
 def checked(expression: str, columns: list[str]) -> Column:

@@ -17,7 +17,6 @@ C = F.col
 W = f"WITH {SALES_SQL}"
 NOW, THEN = dt.date(2001, 7, 31), dt.date(2000, 7, 31)
 D = lambda c, n=None, k=4: F.round(C(c).cast("double"), k).alias(n or c)
-EVERY = Window.partitionBy(F.lit(0))
 
 
 def monthly(spark, sf, *dims):
@@ -122,12 +121,12 @@ def _drivers(spark, sf):
 
 @query("v11_delta_attribution", f"{DRIVERS} SELECT item, round(c - p, 4) AS delta, round((c - p) / sum(c - p) OVER (), 6) AS share FROM d ORDER BY abs(c - p) DESC")
 def v11(spark, sf):
-    return _drivers(spark, sf).withColumn("share", C("delta") / F.nullif(F.sum("delta").over(EVERY), F.lit(0.0))).orderBy(F.desc(F.abs("delta"))).select("item", D("delta"), D("share", k=6))
+    return _drivers(spark, sf).withColumn("share", C("delta") / F.nullif(F.sum("delta").over(var.every()), F.lit(0.0))).orderBy(F.desc(F.abs("delta"))).select("item", D("delta"), D("share", k=6))
 
 
 @query("v12_contribution_share", f"{DRIVERS} SELECT item, round((c - p) / CASE WHEN sum(c) OVER () - sum(p) OVER () = 0 THEN 1e-9 ELSE sum(c) OVER () - sum(p) OVER () END, 6) AS contribution FROM d")
 def v12(spark, sf):
-    whole = F.sum("c").over(EVERY) - F.sum("p").over(EVERY)
+    whole = F.sum("c").over(var.every()) - F.sum("p").over(var.every())
     return _drivers(spark, sf).select("item", F.round(C("delta") / F.when(whole == 0, 1e-9).otherwise(whole), 6).alias("contribution"))
 
 
@@ -246,7 +245,7 @@ def v25(spark, sf):
 def v26(spark, sf):
     shown = stats(spark, sf).filter("level = 2 AND rank <= 10")
     running = F.sum(F.abs("variance_dollar")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return shown.select("item", F.round(100 * running / F.sum(F.abs("variance_dollar")).over(EVERY), 6).alias("shown_cumulative_pct"))
+    return shown.select("item", F.round(100 * running / F.sum(F.abs("variance_dollar")).over(var.every()), 6).alias("shown_cumulative_pct"))
 
 
 @query("v27_event_window", f"WITH {EVENTS_SQL}, d AS (SELECT metric, day, CAST(sum(value) AS DOUBLE) AS v FROM ev WHERE isodow(day) <= 5 GROUP BY 1, 2) SELECT metric, round(avg(v) FILTER (day BETWEEN DATE '2024-01-22' AND DATE '2024-01-26') / avg(v) FILTER (day BETWEEN DATE '2024-01-01' AND DATE '2024-01-19'), 6) AS ratio FROM d GROUP BY 1")

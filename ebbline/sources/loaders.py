@@ -34,8 +34,8 @@ class LoaderConfig:
 
 
 def read_text(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file with a header, all columns as text."""
-    return spark.read.option("header", True).option("sep", separator).option("encoding", encoding).csv(path)
+    """A delimited file with a header, all columns as text. Files in UTF-16 are read whole: their line ends aren't single bytes."""
+    return spark.read.option("multiLine", encoding.upper().startswith("UTF-16")).option("header", True).option("sep", separator).option("encoding", encoding).csv(path)
 
 
 def unpivot(df: DataFrame, ids: tuple[str, ...], period: str, value: str) -> DataFrame:

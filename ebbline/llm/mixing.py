@@ -137,8 +137,9 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float
 def take(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
     """The rows of the mix, with all columns of docs: each document as many times as mix() gives it copies."""
     due = written(copies_due(docs, weights, most, seed).select("id", "rows", "total"), "mix-copies")
-    rows = docs.withColumn("_item", identity())
+    # the rows go through as one column, whatever names their own columns have
+    rows = docs.select(identity().alias("_item"), F.struct(*docs.columns).alias("row"))
     if not due.filter("rows > 1").isEmpty():
         rows = rows.dropDuplicates(["_item"])
     taken = rows.join(due.filter("total > 0").select(F.col("id").alias("_item"), "total").hint("shuffle_hash"), "_item")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("total"))).alias("_copy")).drop("_copy")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total")))).select("row.*")

@@ -125,7 +125,7 @@ def verdicts(done: DataFrame, cutoffs: DataFrame, strata: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, strata: str = "lang", risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """Features and verdict of every row of docs (doc_id, text, and a column of strata); its other columns stay, text goes.
+    """doc_id, stratum, features and verdict of every row of docs (doc_id, text, and a column of strata). Other columns are ignored.
 
     Base rules reject texts of under 20 words or with over 30 percent of words in
     repeated windows. Others are kept unless a score reaches its stratum's certified cutoff; a
@@ -134,7 +134,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, strata: str = "lang", risk: flo
     a null stratum is a stratum of its own; repeated rows are judged once each; with no labels the
     base rules alone decide. The counts are made once, over whole texts, and written as a narrow table.
     """
-    done = written(features(docs), "quality")
+    done = written(features(docs.select("doc_id", "text", strata)), "quality")
     return verdicts(done, calibrated(done, labels, strata, risk, error), strata)
 
 

@@ -107,8 +107,11 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "
     paths, ledger = scan_new_blobs(docs, rules=rules)
     hits = ledger.filter(F.size("spans") > 0).select("blob").distinct()
     found = findings(hits, ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(found.hint("shuffle_hash"), "_blob", "left")
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"), mask)))
+    # the rows go through as one column, whatever names their own columns have
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_blob")).join(found.hint("shuffle_hash"), "_blob", "left")
+    clean = F.when(F.col("_spans").isNull(), F.col("row.text")).otherwise(masked(F.col("row.text"), F.col("_spans"), mask)).alias("text")
+    out = [clean if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        at = docs.columns.index("n_chars")
+        out[at] = F.when(F.col("_spans").isNull(), F.col("row.n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*out)

@@ -141,6 +141,25 @@ def rolled(metric: Metric) -> Column:
     return {"sum": F.sum, "max": F.max, "avg": F.avg}[aggregate_of(metric)](metric.column or metric.name).alias(metric.name)
 
 
+def ratio_config(metric: str, explicit: dict[str, dict[str, str]], contract: Contract) -> tuple[str, str] | None:
+    """(numerator, denominator) of a ratio metric: from an explicit table first, then from its own formula in the contract."""
+    if metric in explicit:
+        return explicit[metric]["numerator"], explicit[metric]["denominator"]
+    kpi = {k.name: k for k in contract.kpis}
+    if metric in kpi and (kpi[metric].denominator or kpi[metric].divide_by):
+        return kpi_parts(kpi[metric], kpi)
+    m = next((m for m in contract.metrics if m.name == metric and m.formula), None)
+    parts = re.fullmatch(r"\s*(?:100\s*\*\s*)?(\w+)\s*/\s*(\w+)\s*", m.formula) if m else None
+    return (parts[1], parts[2]) if parts else None
+
+
+def chosen_grain(*, aggregated: str | None = None, declared: str | None = None, override: str | None = None, environment: str | None = None, detected: str | None = None, median_gap: float | None = None) -> str:
+    """The grain of an analysis: of its aggregation, else declared, asked for, set outside, detected, or monthly. Daily data with gaps of five to eight days is weekly."""
+    names = (aggregated, declared, override, environment, detected if detected != "unknown" else None)
+    grain = next((g for g in names if g), "monthly")
+    return "weekly" if grain == "daily" and median_gap is not None and 5 <= median_gap <= 8 else grain
+
+
 #: The contract that queries over the supplied tables use.
 SALES = Contract(
     name="sales", time="period", frequency="monthly",

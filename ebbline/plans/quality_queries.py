@@ -110,3 +110,16 @@ def i08(spark, sf):
 def i10(spark, sf):
     day = F.to_date("o_orderdate")
     return table(spark, sf, "orders").agg(F.round(0.05 * F.avg("o_totalprice"), 4).alias("materiality"), F.round(F.datediff(F.max(day), F.min(day)) / 30).cast("int").alias("months"))
+
+
+@query("s14_contract_inference")
+def s14(spark, sf):
+    """The role that inference gives each column of a flat table of orders, and the levels that it finds."""
+    from ..operators.inference import propose
+
+    df = table(spark, sf, "orders").join(table(spark, sf, "customer"), C("o_custkey") == C("c_custkey")).join(table(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")).join(table(spark, sf, "region"), C("n_regionkey") == C("r_regionkey"))
+    df = df.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_totalprice", "o_orderpriority", C("n_name").alias("nation"), C("r_name").alias("region"))
+    found, roles = propose(df, "orders")
+    levels = found.hierarchies.get("detected", ())
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r).alias("role"), F.lit(levels.index(c) + 1 if c in levels else None).cast("int").alias("level")) for c, r in roles.items()])
+    return df.agg(F.count("*").alias("rows"), F.lit(found.frequency).alias("frequency")).select("rows", "frequency", F.explode(rows).alias("f")).select("rows", "frequency", "f.*")

@@ -103,3 +103,11 @@ def schema_of(df: DataFrame) -> list[tuple[str, str]]:
 
 def distinct_values(df: DataFrame, column: str, most: int = 500) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most)
+
+
+def open_source(spark: SparkSession, source: dict[str, str]) -> DataFrame:
+    """The table of a contract's data source: csv or text files, or any format that Spark reads."""
+    kind, path = source.get("type", "csv").lower(), source["path"]
+    if kind in ("csv", "text", "tsv"):
+        return read_text(spark, path, source.get("separator", "\t" if kind == "tsv" else ","), source.get("encoding", "UTF-8"))
+    return spark.read.format({"extract": "parquet"}.get(kind, kind)).load(path)

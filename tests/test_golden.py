@@ -182,3 +182,22 @@ def test_two_way_is_balanced(spark):
 def test_formats(spark):
     r = frame(spark, [(1234567.0,)], "x double").select(text.abbreviated(F.col("x")).alias("a"), text.currency(-F.col("x")).alias("c"), text.signed(F.col("x")).alias("s"), text.slug(F.lit(" Net Sales (US) ")).alias("g")).first()
     assert tuple(r) == ("1.2M", "-$1,234,567", "+1.2M", "net_sales_us")
+
+
+def test_inference(spark):
+    from ebbline.operators.inference import ordered_levels, propose
+
+    rows = [(str(k), f"2024-{k % 12 + 1:02d}-01", f"${k * 37 % 1000}.5", str(round(k % 7 / 10, 1)), ("N", "S")[k % 2], f"city{k % 10}") for k in range(300)]
+    found, roles = propose(frame(spark, rows, "id string, day string, sales string, rate string, region string, city string"), "x")
+    assert roles == {"id": "identifier", "day": "time", "sales": "metric", "rate": "ratio", "region": "dimension", "city": "dimension"}
+    assert found.hierarchies == {"detected": ("region", "city")} and found.frequency == "monthly" and found.time == "day"
+    assert ordered_levels(["b", "a"], {"a": 5, "b": 2}) == ["b", "a"]
+
+
+def test_support_rules(spark):
+    c = Contract("c", "t", "monthly", (Metric("m", type="ratio", formula="100 * a / b"),), kpis=(Kpi("k", "a", denominator="d"),))
+    assert contract.ratio_config("m", {}, c) == ("a", "b") and contract.ratio_config("k", {}, c) == ("a", "(d)") and contract.ratio_config("m", {"m": {"numerator": "x", "denominator": "y"}}, c) == ("x", "y") and contract.ratio_config("z", {}, c) is None
+    assert contract.chosen_grain(declared="daily", median_gap=7) == "weekly" and contract.chosen_grain(detected="unknown") == "monthly" and contract.chosen_grain(aggregated="yearly", declared="daily") == "yearly"
+    path = sinks.shared_path(spark, "source")
+    sinks.export_csv(frame(spark, [("a", 1)], "k string, v int"), path)
+    assert loaders.open_source(spark, {"type": "csv", "path": path}).first().v == "1"

@@ -14,6 +14,8 @@ from .common import written
 
 SHINGLE, HASHES, ROWS = 5, 64, 4
 U = np.uint64
+#: Texts in a bucket up to which single pairs are compared, and in a block of a larger one.
+SMALL, BLOCK = 64, 256
 #: Texts are handled in pieces of about so many bytes.
 CHUNK = 4 << 20
 
@@ -162,8 +164,8 @@ def overlap(a: pa.Array, b: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarra
     return common, sizes - common
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) reach the threshold."""
+def distances(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b, gap): the weighted Jaccard distance of each pair of nodes, counted on their texts (node, text)."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -172,10 +174,70 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int
             for start, end in chunks(batch.column("text_a"), CHUNK // 2):
                 part = batch.slice(start, end - start)
                 common, every = overlap(part.column("text_a"), part.column("text_b"), shingle)
-                keep = pa.array(common >= threshold * every - 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(1 - common / np.maximum(every, 1))], ["a", "b", "gap"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, gap double")
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The members, with their root, of buckets that hold more than one class."""
+    here = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    return written(here.join(mixed, "bucket"), name)
+
+
+def block_links(here: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(a, b): links that join the classes of texts within a bucket, found block by block.
+
+    A bucket's texts, ordered by class, are cut into blocks of bounded size, and each pair of blocks
+    that isn't of one class goes to one group of rows. No pair of texts becomes a row: a group's
+    products tell all its links, and one for each class that they join is returned.
+    """
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("root", "node"))
+    numbered = written(here.select("bucket", "node", "root", F.floor((place - 1) / BLOCK).alias("block")), "near-blocks")
+    heads = numbered.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    other = heads.select("bucket", F.col("block").alias("j"), F.col("lo").alias("j_lo"), F.col("hi").alias("j_hi"))
+    one_class = (F.col("lo") == F.col("hi")) & (F.col("j_lo") == F.col("j_hi")) & (F.col("lo") == F.col("j_lo"))
+    both = heads.join(other, "bucket").filter((F.col("j") >= F.col("block")) & ~one_class)
+    sides = both.select("bucket", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
+    rows = sides.join(numbered, ["bucket", "block"]).join(texts, "node").select("bucket", "i", "j", "node", "root", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        texts, nodes = table.column("text").combine_chunks(), table.column("node").to_pylist()
+        n = len(nodes)
+        doc, s = shingles(texts, shingle)
+        _, doc, s, count = counted(doc, s)
+        size = np.bincount(doc, weights=count, minlength=n)
+        # the k-th copy of a shingle is an element of its own, so that common counts add up as sets do
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        doc, element = np.repeat(doc, count), mix64(np.repeat(s, count) + nth.astype(U))
+        _, at, times = np.unique(element, return_inverse=True, return_counts=True)
+        shared = times[at] > 1
+        doc, at = doc[shared], np.unique(at[shared], return_inverse=True)[1]
+        order = np.argsort(at, kind="stable")
+        doc, at = doc[order], at[order]
+        common, width = np.zeros((n, n), "f4"), 4096
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+            a, b = np.searchsorted(at, [low, low + width])
+            m = np.zeros((n, width), "f4")
+            m[doc[a:b], at[a:b] - low] = 1
+            common += m @ m.T
+        linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
+        linked &= (size > 0)[:, None]
+        root, roots = np.arange(n), table.column("root").to_pylist()
+        first: dict[bytes, int] = {}
+        for k, r in enumerate(roots):
+            linked[k, first.setdefault(r, k)] = linked[first[r], k] = True
+        while True:
+            least = np.where(linked, root[None, :], n).min(axis=1)
+            least = np.minimum(least, root)
+            if (least == root).all():
+                break
+            root = least
+        out = [(nodes[k], nodes[int(r)]) for k, r in enumerate(root) if r != k and roots[k] != roots[int(r)]]
+        return pa.table([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
@@ -215,26 +277,28 @@ def node_classes(rows: DataFrame, signed: DataFrame, *, threshold: float = 0.8,
     if not signed.groupBy("place", "node").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])
     texts = written(texts, "near-texts")
-    edges, labels, pivots = None, None, 1
-    while True:
-        here = members.filter(F.col("size") > pivots).withColumn("root", F.col("node"))
-        if labels is not None:
-            here = here.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = written(here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket"), "near-mixed")
-            here = here.join(mixed, "bucket")
-        if here.isEmpty():
-            break
-        chosen = here.filter((F.col("rank") >= pivots) & (F.col("rank") < 2 * pivots)).select("bucket", F.col("node").alias("a"), F.col("rank").alias("a_rank"), F.col("root").alias("a_root"))
-        pairs = here.select("bucket", F.col("node").alias("b"), "rank", "root").join(chosen, "bucket").filter((F.col("rank") > F.col("a_rank")) & (F.col("root") != F.col("a_root")))
-        pairs = written(pairs.select("a", "b").distinct(), f"near-pairs-{pivots}")
-        if not pairs.isEmpty():
-            found = written(verified(pairs, texts, threshold, shingle), f"near-edges-{pivots}")
-            edges = found if edges is None else edges.unionByName(found)
-            if not found.isEmpty():
-                labels = components(spark, edges, "near")
-        pivots *= 2
+    reach = 1 - threshold + 1e-9
+    first = members.filter("rank = 1").select("bucket", F.col("node").alias("a"))
+    pairs = written(members.filter("rank > 1").join(first, "bucket").select("a", F.col("node").alias("b")).distinct(), "near-pairs-1")
+    tested = written(distances(pairs, texts, shingle), "near-tested-1")
+    edges = tested.filter(F.col("gap") <= reach).select("a", "b")
+    labels = components(spark, edges, "near")
+    # each text's distance from the first of its bucket
+    known = members.join(first, "bucket").join(tested.select("a", F.col("b").alias("node"), "gap"), ["a", "node"], "left")
+    members = written(known.select("bucket", "size", "node", "rank", F.coalesce("gap", F.lit(0.0)).alias("gap")), "near-measured")
+    here = mixed_buckets(members, labels, "near-mixed-small").filter(F.col("size") <= SMALL)
+    unlike = (F.col("rank") > F.col("a_rank")) & (F.col("root") != F.col("a_root")) & (F.abs(F.col("gap") - F.col("a_gap")) <= reach)
+    left = here.filter("rank > 1").select("bucket", F.col("node").alias("a"), F.col("rank").alias("a_rank"), F.col("root").alias("a_root"), F.col("gap").alias("a_gap"))
+    pairs = here.select(F.col("bucket").alias("b_bucket"), F.col("node").alias("b"), "rank", "root", "gap").join(left, (F.col("b_bucket") == F.col("bucket")) & unlike)
+    pairs = written(pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs-2")
+    edges = edges.unionByName(written(distances(pairs, texts, shingle).filter(F.col("gap") <= reach).select("a", "b"), "near-edges-2"))
+    labels = components(spark, edges, "near")
+    here = mixed_buckets(members.filter(F.col("size") > SMALL), labels, "near-mixed-large")
+    if not here.isEmpty():
+        edges = edges.unionByName(written(block_links(here, texts, threshold, shingle), "near-edges-3"))
+        labels = components(spark, edges, "near")
     roots = nodes.select("node", "place")
-    roots = roots.withColumn("root", F.col("node")) if labels is None else roots.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = roots.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = written(roots, "near-roots")
     classes = roots.groupBy("root").agg(F.min(F.struct("place", "node")).alias("least"))
     return roots.join(classes, "root").select("node", "place", F.col("least.place").alias("class_place"), F.col("least.node").alias("class_node"))
@@ -245,10 +309,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = S
 
     Classes are the connected components of pairs whose word-shingle multisets have a weighted Jaccard
     similarity of `threshold` or more; equal texts are one class to begin with. Texts that share a
-    band's hash form a bucket. In its first round a bucket compares all its texts with one, that which
-    shares most buckets with others; in later rounds with 2, 4, 8, ... more. Texts already in one class
-    aren't compared, so a large group of copies costs a few comparisons a text, and no pair of texts
-    of different classes in one bucket is left out: rounds end when none is left.
+    band's hash form a bucket. First a bucket compares all its texts with one, that which shares
+    most buckets with others: this joins a large group of copies with a few comparisons a text. In
+    buckets that still hold several classes, texts of different classes are compared: in small
+    buckets pair by pair, but for those whose distances from the bucket's first differ by more than
+    a link may span (distance obeys the triangle inequality); in large ones block by block, each
+    pair of blocks in one product of their shingle counts. No other pair in one bucket is left out.
 
     A text without words is in a class with its equals alone; null texts are empty. A null doc_id gets its class's
     smallest id, null if there is none. Repeated rows give a row each. No rows give no rows.
@@ -262,11 +328,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = S
 
 def one_of_each(docs: DataFrame, *, threshold: float = 0.8, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
     """The rows of docs, with all their columns, that stand for a class: that of the smallest doc_id (null last), once if it is repeated."""
-    addresses = addressed(docs)
+    # the rows go through as one column, whatever names their own columns have
+    addresses = addressed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     signed = written(sign(addresses, shingle=shingle, hashes=hashes, rows=rows), "near-signed")
     classes = node_classes(addresses, signed, threshold=threshold, shingle=shingle)
     stay = classes.filter("node = class_node").select("place", "node")
-    kept = addresses.join(stay.hint("shuffle_hash"), ["place", "node"], "left_semi")
+    kept = addresses.select("place", "node", "row").join(stay.hint("shuffle_hash"), ["place", "node"], "left_semi")
     if not signed.groupBy("place", "node").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["place", "node"])
-    return kept.select(*docs.columns)
+    return kept.select("row.*")

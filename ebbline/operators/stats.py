@@ -18,6 +18,14 @@ def in_order():
     return Window.partitionBy("item").orderBy("period")
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's r over rows that have both, null where either doesn't vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def item_profiles(series: DataFrame) -> DataFrame:
     """Mean, population deviation, variation, extremes and the slope of the last three periods of each item of a dense series.
 
@@ -30,7 +38,7 @@ def item_profiles(series: DataFrame) -> DataFrame:
     pick = lambda f, cond: f(F.when(cond, F.col("value")), F.when(cond, x))
     out = s.groupBy("item").agg(
         F.avg("value").alias("avg"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        pick(F.regr_slope, recent).alias("slope_3mo"), pick(F.corr, recent).alias("slope_3mo_r_value"), pick(F.regr_slope, before).alias("slope_before"))
+        pick(F.regr_slope, recent).alias("slope_3mo"), pick(correlation, recent).alias("slope_3mo_r_value"), pick(F.regr_slope, before).alias("slope_before"))
     r = F.col("slope_3mo_r_value")
     t = F.abs(r) / F.sqrt(F.greatest(1 - r * r, F.lit(1e-300)))
     return out.withColumns({
@@ -48,10 +56,10 @@ def z_anomalies(series: DataFrame, least: float = 2.0) -> DataFrame:
 
 
 def correlations(wide: DataFrame, names: tuple[str, ...], *groups: str) -> DataFrame:
-    """r and n of every pair of the named columns, all in one aggregation; names are few (metrics, or the leading items)."""
-    pairs = list(combinations(names, 2))
-    one = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n")) for a, b in pairs]
-    return wide.groupBy(*groups).agg(F.array(*one).alias("p")).select(*groups, F.explode("p").alias("p")).select(*groups, "p.*")
+    """r and n of every pair of the named columns, all in one aggregation. wide has a row a period; names are few (metrics, or the leading items)."""
+    one = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(names, 2)]
+    long = wide.select(*groups, F.explode(F.array(*one)).alias("p")).select(*groups, "p.*")
+    return long.groupBy(*groups, "a", "b").agg(correlation("x", "y").alias("r"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n"))
 
 
 def with_p(pairs: DataFrame) -> DataFrame:
@@ -135,11 +143,10 @@ def lead_lag(wide: DataFrame, names: tuple[str, ...], most: int = 6, least_r: fl
     windows of that short frame. lag_r keeps its own sign.
     """
     w = Window.orderBy("period_idx")
-    later = {(n, k): F.lead(n, k).over(w) for n in names for k in range(1, most + 1)}
-    frame = wide.select("period_idx", *names, *[c.alias(f"{n}__{k}") for (n, k), c in later.items()])
-    ordered = [(a, b) for a in names for b in names if a != b]
-    one = [F.struct(F.lit(a).alias("leader"), F.lit(b).alias("follower"), F.lit(k).alias("lag"), F.corr(a, b if k == 0 else f"{b}__{k}").alias("r")) for a, b in ordered for k in range(most + 1)]
-    r = frame.agg(F.array(*one).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    frame = wide.select(*names, *[F.lead(n, k).over(w).alias(f"{n}__{k}") for n in names for k in range(1, most + 1)])
+    one = [F.struct(F.lit(a).alias("leader"), F.lit(b).alias("follower"), F.lit(k).alias("lag"), F.col(a).alias("x"), F.col(b if k == 0 else f"{b}__{k}").alias("y")) for a in names for b in names if a != b for k in range(most + 1)]
+    long = frame.select(F.explode(F.array(*one)).alias("p")).select("p.*")
+    r = long.groupBy("leader", "follower", "lag").agg(correlation("x", "y").alias("r"))
     best = r.groupBy("leader", "follower").agg(F.max_by(F.struct("lag", "r"), F.struct(F.abs("r"), -F.col("lag"))).alias("m"), F.max(F.when(F.col("lag") == 0, F.col("r"))).alias("contemporaneous_r"))
     best = best.select("leader", "follower", F.col("m.lag").alias("optimal_lag"), F.col("m.r").alias("lag_r"), "contemporaneous_r").withColumn("improvement", F.abs("lag_r") - F.abs("contemporaneous_r"))
     return best.filter((F.col("optimal_lag") > 0) & (F.abs("lag_r") >= least_r) & (F.col("improvement") >= gain))

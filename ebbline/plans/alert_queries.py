@@ -138,7 +138,7 @@ SIGNALS = f"{W}, g AS (SELECT nation AS title, CAST(sum(revenue) FILTER (period
 def signals(spark, sf):
     then = per.months_back(NOW, 12)
     g = monthly(spark, sf, "nation").filter(C("period").isin(NOW, then)).groupBy(C("nation").alias("title")).agg(*[F.sum(F.when(C("period") == p, C(m))).cast("double").alias(f"{m}{k}") for m in ("revenue", "quantity") for k, p in ((1, NOW), (0, then))])
-    one = lambda m, source: g.select("title", F.lit(m).alias("metric"), F.lit(source).alias("source"), F.abs(C(f"{m}1") / C(f"{m}0") - 1).alias("score")).filter("score IS NOT NULL")
+    one = lambda m, source: g.select("title", F.lit(m).alias("metric"), F.lit(source).alias("source"), F.abs(C(f"{m}1") / F.nullif(f"{m}0", F.lit(0.0)) - 1).alias("score")).filter("score IS NOT NULL")
     return one("revenue", "level1").unionByName(one("quantity", "trend"))
 
 
@@ -172,9 +172,9 @@ def l20(spark, sf):
     return al.hierarchy_cards(stats(spark, sf)).join(words, C("item").contains(C("word")), "left_semi").select("level", "item")
 
 
-@query("l21_entity_totals", f"{W} SELECT period, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity FROM sales WHERE nation = 'FRANCE' GROUP BY 1", dates="period")
+@query("l21_entity_totals", f"{W} SELECT period, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity FROM sales WHERE nation = 'NATION_5' GROUP BY 1", dates="period")
 def l21(spark, sf):
-    return sales(spark, sf, "nation").filter(C("nation") == "FRANCE").groupBy("period").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("double").alias("quantity"))
+    return sales(spark, sf, "nation").filter(C("nation") == "NATION_5").groupBy("period").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("double").alias("quantity"))
 
 
 @query("l22_invalid_alerts", f"{ALERTS} SELECT count(*) AS valid FROM c")

@@ -91,13 +91,13 @@ def j10(spark, sf):
     return per.nearest(days, targets, 7)
 
 
-CALENDAR = "cal AS (SELECT * FROM (VALUES ('FRANCE', '2001-07-31'), ('BRAZIL', ''), ('CHINA', '1999-01-31')) AS cal(item, period))"
+CALENDAR = "cal AS (SELECT * FROM (VALUES ('NATION_5', '2001-07-31'), ('NATION_7', ''), ('NATION_9', '1999-01-31')) AS cal(item, period))"
 
 
 @query("j11_event_calendar", f"{W}, {CALENDAR} SELECT nation, period, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales WHERE EXISTS (SELECT 1 FROM cal WHERE nation = item AND (cal.period = '' OR CAST(cal.period AS VARCHAR) = CAST(sales.period AS VARCHAR))) GROUP BY 1, 2", dates="period")
 def j11(spark, sf):
-    n = table(spark, sf, "nation").filter(C("n_name").isin("FRANCE", "BRAZIL", "CHINA"))
-    when = F.when(C("n_name") == "FRANCE", NOW).when(C("n_name") == "CHINA", "1999-01-31").otherwise("")
+    n = table(spark, sf, "nation").filter(C("n_name").isin("NATION_5", "NATION_7", "NATION_9"))
+    when = F.when(C("n_name") == "NATION_5", NOW).when(C("n_name") == "NATION_9", "1999-01-31").otherwise("")
     calendar = n.select(C("n_name").alias("item"), when.alias("event_period"))
     cells = sales(spark, sf, "nation").groupBy("nation", "period").agg(F.sum("revenue").cast("double").alias("revenue"))
     hit = (C("nation") == C("item")) & ((F.coalesce(C("event_period"), F.lit("")) == "") | (C("event_period") == C("period").cast("string")))
@@ -275,10 +275,10 @@ def w18(spark, sf):
     return out.orderBy(F.desc("moved"), F.desc_nulls_last("most_pct"), "nation")
 
 
-@query("w19_rank_of_parent", f"{W}, t AS (SELECT nation, sum(revenue) AS v FROM sales WHERE order_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1) SELECT * FROM (SELECT nation, CAST(v AS DOUBLE) AS total, row_number() OVER (ORDER BY v DESC NULLS LAST, nation) AS rank FROM t) WHERE nation = 'FRANCE'")
+@query("w19_rank_of_parent", f"{W}, t AS (SELECT nation, sum(revenue) AS v FROM sales WHERE order_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1) SELECT * FROM (SELECT nation, CAST(v AS DOUBLE) AS total, row_number() OVER (ORDER BY v DESC NULLS LAST, nation) AS rank FROM t) WHERE nation = 'NATION_5'")
 def w19(spark, sf):
     t = sales(spark, sf, "nation").filter(C("order_date").between("2000-01-01", "2000-12-31")).groupBy("nation").agg(F.sum("revenue").alias("v"))
-    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("v"), "nation"))).filter(C("nation") == "FRANCE").select("nation", D("v", "total"), "rank")
+    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("v"), "nation"))).filter(C("nation") == "NATION_5").select("nation", D("v", "total"), "rank")
 
 
 @query("u01_union_metrics", f"{W} SELECT 'revenue' AS metric, period, CAST(sum(revenue) AS DOUBLE) AS value FROM sales GROUP BY 2 UNION ALL SELECT 'quantity', period, CAST(sum(quantity) AS DOUBLE) FROM sales GROUP BY 2", dates="period")

@@ -73,13 +73,13 @@ def a10(spark, sf):
 
 @query("a11_row_budget", f"{W} SELECT segment, region, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY 1, 2")
 def a11(spark, sf):
-    out, _ = rollup.within_rows(sales(spark, sf, "region", "segment", "customer"), ("region", "segment", "customer"), (contract.Metric("revenue"),), 200)
+    out, _ = rollup.within_rows(sales(spark, sf, "region", "segment", "customer"), ("region", "segment", "customer"), (contract.Metric("revenue"),), 30)
     return out.select("segment", "region", D("revenue"))
 
 
 @query("a12_auto_weekly", f"WITH {EVENTS_SQL} SELECT CAST(day + CAST(7 - isodow(day) AS INTEGER) AS DATE) AS day, CAST(sum(value) AS DOUBLE) AS value FROM ev GROUP BY 1", dates="day")
 def a12(spark, sf):
-    df, most = events(spark, sf), 1_000
+    df, most = events(spark, sf), 500
     out = rollup.to_grain(df, "day", "weekly", (), (contract.Metric("value"),)) if df.count() > most else df
     return out.select("day", C("value").cast("double"))
 

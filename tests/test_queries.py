@@ -24,7 +24,7 @@ def rows(df: pd.DataFrame):
     def cell(x):
         if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
             return "null"
-        return f"{x:.7g}" if isinstance(x, float) else str(x)
+        return f"{x + 0.0:.7g}".replace("-0", "0", 1) if isinstance(x, float) and x == 0 else f"{x:.7g}" if isinstance(x, float) else str(x)
 
     return sorted(tuple(cell(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 

@@ -14,8 +14,8 @@ from .common import written
 
 SHINGLE, HASHES, ROWS = 5, 64, 4
 U = np.uint64
-#: Texts in a bucket up to which single pairs are compared, and in a block of a larger one.
-SMALL, BLOCK = 64, 256
+#: Texts in a bucket up to which single pairs are compared, and in a block of a larger one, where a text counts once for each UNIT bytes.
+SMALL, BLOCK, UNIT = 64, 256, 8192
 #: Texts are handled in pieces of about so many bytes.
 CHUNK = 4 << 20
 
@@ -189,18 +189,20 @@ def mixed_buckets(members: DataFrame, labels: DataFrame, name: str) -> DataFrame
 def block_links(here: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """(a, b): links that join the classes of texts within a bucket, found block by block.
 
-    A bucket's texts, ordered by class, are cut into blocks of bounded size, and each pair of blocks
-    that isn't of one class goes to one group of rows. No pair of texts becomes a row: a group's
+    A bucket's texts, ordered by class, are cut into blocks of bounded count and bytes (but for a last
+    text, however long), and each pair of blocks that isn't of one class goes to one group of rows. No pair of texts becomes a row: a group's
     products tell all its links, and one for each class that they join is returned.
     """
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("root", "node"))
-    numbered = written(here.select("bucket", "node", "root", F.floor((place - 1) / BLOCK).alias("block")), "near-blocks")
+    units = F.floor(F.col("bytes") / UNIT) + 1
+    before = F.sum(units).over(Window.partitionBy("bucket").orderBy("root", "node").rowsBetween(Window.unboundedPreceding, 0)) - units
+    sized = here.join(texts.select("node", "bytes"), "node")
+    numbered = written(sized.select("bucket", "node", "root", F.floor(before / BLOCK).alias("block")), "near-blocks")
     heads = numbered.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     other = heads.select("bucket", F.col("block").alias("j"), F.col("lo").alias("j_lo"), F.col("hi").alias("j_hi"))
     one_class = (F.col("lo") == F.col("hi")) & (F.col("j_lo") == F.col("j_hi")) & (F.col("lo") == F.col("j_lo"))
     both = heads.join(other, "bucket").filter((F.col("j") >= F.col("block")) & ~one_class)
     sides = both.select("bucket", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
-    rows = sides.join(numbered, ["bucket", "block"]).join(texts, "node").select("bucket", "i", "j", "node", "root", "text")
+    rows = sides.join(numbered, ["bucket", "block"]).join(texts.drop("bytes"), "node").select("bucket", "i", "j", "node", "root", "text")
 
     def run(table: pa.Table) -> pa.Table:
         texts, nodes = table.column("text").combine_chunks(), table.column("node").to_pylist()
@@ -273,7 +275,7 @@ def node_classes(rows: DataFrame, signed: DataFrame, *, threshold: float = 0.8,
     order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
     members = written(shared.join(weight, "node").withColumn("rank", F.row_number().over(order)).select("bucket", "size", "node", "rank"), "near-members")
     wanted = nodes.join(weight.select("node"), "node", "left_semi").select("place", "node")
-    texts = rows.select("place", "node", "text").join(wanted.hint("shuffle_hash"), ["place", "node"], "left_semi").select("node", "text")
+    texts = rows.select("place", "node", "text").join(wanted.hint("shuffle_hash"), ["place", "node"], "left_semi").select("node", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
     if not signed.groupBy("place", "node").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])
     texts = written(texts, "near-texts")

@@ -178,7 +178,9 @@ def test_a_hub_joins_copies_that_are_unlike_each_other(spark):
     assert {r.class_id for r in minhash.near_duplicates(docs).collect()} == {0}
 
 
-def test_blocks_find_the_links_of_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("unit", [8192, 100])
+def test_blocks_find_the_links_of_large_buckets(spark, monkeypatch, unit):
+    monkeypatch.setattr(minhash, "UNIT", unit)
     monkeypatch.setattr(minhash, "SMALL", 1)
     monkeypatch.setattr(minhash, "BLOCK", 8)
     rng = np.random.default_rng(4)

@@ -47,7 +47,16 @@ def t03(spark, sf):
     return out.orderBy(F.desc("period"), F.desc(F.abs("z_score")), "item").limit(20).select("item", "period", D("value"), D("z_score", k=6))
 
 
-@query("t03_p_values")
+#: Two-sided p of a standard normal z: 1 - erf, as a series of positive terms.
+NORMAL_P = "1 - list_sum(list_transform(range(0, 200), lambda k: exp(-z * z / 2 + (2 * k + 1) * ln(abs(z) / sqrt(2)) - lgamma(k + 1.5))))"
+#: Two-sided p of a correlation r of n points: the finite sums of Student's t for even and for odd degrees of freedom.
+_REST = "ln(greatest(1 - r * r, 1e-300))"
+_EVEN = f"1 - abs(r) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2 + k * {_REST})))"
+_ODD = f"1 - 2 / pi() * (asin(abs(r)) + abs(r) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(ln(pi()) / 2 - ln(2) + lgamma(k + 1) - lgamma(k + 1.5) + (k + 0.5) * {_REST}))), 0))"
+CORRELATION_P = f"CASE WHEN n % 2 = 0 THEN {_EVEN} ELSE {_ODD} END"
+
+
+@query("t03_p_values", f"{DENSE}, z AS (SELECT *, (value - avg(value) OVER (PARTITION BY item)) / stddev_pop(value) OVER (PARTITION BY item) AS z FROM s) SELECT item, period, round(z, 6) AS z_score, round({NORMAL_P}, 9) AS p_value FROM z WHERE abs(z) >= 2", dates="period")
 def t03p(spark, sf):
     """All anomalies with their two-sided p."""
     return st.z_anomalies(series(spark, sf)).select("item", "period", D("z_score", k=6), D("p_value", k=9))
@@ -79,11 +88,11 @@ def t05(spark, sf):
     return st.correlations(wide, names).select("a", "b", D("r", k=6), "n")
 
 
-@query("t05_key_correlations")
+@query("t05_key_correlations", f"{PAIRS}, k AS (SELECT *, {CORRELATION_P} AS p FROM c) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value FROM k WHERE abs(r) > 0.1 AND p < 0.5 ORDER BY abs(r) DESC, a, b LIMIT 6")
 def t05p(spark, sf):
     """Pairs that are strong and significant, at most six."""
     wide, names = _wide(spark, sf)
-    return st.with_p(st.correlations(wide, names)).filter((F.abs("r") > 0.1) & (C("p_value") < 0.5)).orderBy(F.desc(F.abs("r")), "a", "b").limit(6)
+    return st.with_p(st.correlations(wide, names)).filter((F.abs("r") > 0.1) & (C("p_value") < 0.5)).orderBy(F.desc(F.abs("r")), "a", "b").limit(6).select("a", "b", D("r", k=6), "n", D("p_value", k=6))
 
 
 @query("t06_mad_outliers", f"""{DENSE}, c AS (SELECT item, median(value) AS med, avg(value) AS m, stddev_pop(value) AS sd, count(*) AS n FROM s GROUP BY 1), d AS (SELECT s.item, median(abs(value - med)) AS mad FROM s JOIN c USING (item) GROUP BY 1),
@@ -187,12 +196,16 @@ def t17(spark, sf):
     return st.correlations(metrics(spark, sf), METRICS).select("a", "b", D("r", k=6), "n")
 
 
-@query("t17_classified")
+PLAIN_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM m" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :])
+
+
+@query("t17_classified", f"""{TABLE.format('')}, c AS ({PLAIN_PAIRS}), k AS (SELECT *, {CORRELATION_P} AS p FROM c) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value,
+    CASE WHEN abs(r) >= 0.8 THEN 'strong' WHEN abs(r) >= 0.5 AND p <= 0.1 THEN 'significant' ELSE 'weak' END AS classification, a = 'revenue' AND b IN ('quantity', 'price') OR a = 'quantity' AND b = 'price' AS expected FROM k""")
 def t17c(spark, sf):
     """Metric pairs with p, class, and whether the contract leads one to expect the relation."""
     expected = ((C("a") == "revenue") & C("b").isin("quantity", "price")) | ((C("a") == "quantity") & (C("b") == "price"))
     kind = F.when(F.abs("r") >= 0.8, "strong").when((F.abs("r") >= 0.5) & (C("p_value") <= 0.10), "significant").otherwise("weak")
-    return st.with_p(st.correlations(metrics(spark, sf), METRICS)).withColumn("classification", kind).withColumn("expected", expected)
+    return st.with_p(st.correlations(metrics(spark, sf), METRICS)).select("a", "b", D("r", k=6), "n", D("p_value", k=6), kind.alias("classification"), expected.alias("expected"))
 
 
 @query("t18_correlations_by_entity", f"{TABLE.format('region, ')} {PAIR_SQL.format('region, ', 'GROUP BY region')}")
@@ -226,9 +239,16 @@ def t21(spark, sf):
     return parts.withColumn("n", n).filter((C("period_idx") > 6) & (C("period_idx") <= C("n") - 6)).select("item", "period", D("trend"))
 
 
-@query("t21_seasonal_summary")
+@query("t21_seasonal_summary", f"""{DENSE}, c AS (SELECT *, count(*) OVER (PARTITION BY item) AS n, (sum(value) OVER (PARTITION BY item ORDER BY period ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(value, 6) OVER w + lead(value, 6) OVER w) / 2) / 12 AS inner_mean FROM s WINDOW w AS (PARTITION BY item ORDER BY period)),
+    m AS (SELECT *, CASE WHEN period_idx > 6 AND period_idx <= n - 6 THEN inner_mean END AS mid FROM c WHERE n >= 24),
+    e AS (SELECT item, regr_slope(mid, period_idx) FILTER (period_idx <= 18) AS b0, regr_intercept(mid, period_idx) FILTER (period_idx <= 18) AS a0, regr_slope(mid, period_idx) FILTER (period_idx > n - 18) AS b1, regr_intercept(mid, period_idx) FILTER (period_idx > n - 18) AS a1 FROM m GROUP BY 1),
+    t AS (SELECT m.*, coalesce(mid, CASE WHEN period_idx <= 6 THEN a0 + b0 * period_idx ELSE a1 + b1 * period_idx END) AS trend, (period_idx - 1) % 12 AS phase FROM m JOIN e USING (item)),
+    f AS (SELECT item, phase, avg(value - mid) AS e FROM t GROUP BY 1, 2), g AS (SELECT item, phase, e - avg(e) OVER (PARTITION BY item) AS seasonal FROM f),
+    r AS (SELECT item, value - trend - seasonal AS residual, value - trend AS loose FROM t JOIN g USING (item, phase)),
+    q AS (SELECT *, avg(residual) OVER (PARTITION BY item) AS rm, stddev_samp(residual) OVER (PARTITION BY item) AS sd FROM r)
+    SELECT item, round(avg(residual), 4) AS residual_mean, round(stddev_samp(residual), 4) AS residual_std, count(*) FILTER (abs(residual - rm) > 2 * sd) AS anomaly_count, round(greatest(0, 1 - var_pop(residual) / nullif(var_pop(loose), 0)), 6) AS seasonal_strength FROM q GROUP BY 1""")
 def t21s(spark, sf):
-    return st.seasonal_summary(st.seasonal(series(spark, sf)))
+    return st.seasonal_summary(st.seasonal(series(spark, sf))).select("item", D("residual_mean"), D("residual_std"), "anomaly_count", D("seasonal_strength", k=6))
 
 
 @query("t22_change_points")

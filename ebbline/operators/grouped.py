@@ -53,39 +53,6 @@ def two_way(df: DataFrame, a: str, b: str, value: str, interaction: bool = True)
     return cells.groupBy().applyInPandas(solve, schema)
 
 
-def normality(series: DataFrame) -> DataFrame:
-    """n, the joint test of skew and kurtosis, its p, and a label for each item of eight values or more.
-
-    The statistic is the sum of the squared normal scores of both; it has two degrees of freedom, so p = exp(-K2 / 2).
-    """
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["value"].to_numpy("f8")
-        n = len(x)
-        d = x - x.mean()
-        m2 = (d**2).mean()
-        if n < 8 or m2 == 0:
-            return pd.DataFrame([(key[0], n, np.nan, np.nan, False, "insufficient")], columns=columns)
-        g1, b2 = (d**3).mean() / m2**1.5, (d**4).mean() / m2**2
-        y = g1 * np.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-        beta = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
-        w2 = -1 + np.sqrt(2 * (beta - 1))
-        z1 = np.arcsinh(y / np.sqrt(2.0 / (w2 - 1))) / np.sqrt(0.5 * np.log(w2))
-        mean, var = 3.0 * (n - 1) / (n + 1), 24.0 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
-        k = (b2 - mean) / np.sqrt(var)
-        root = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * np.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
-        a = 6.0 + 8.0 / root * (2.0 / root + np.sqrt(1 + 4.0 / root**2))
-        denominator = 1 + k * np.sqrt(2 / (a - 4.0))
-        z2 = ((1 - 2 / (9.0 * a)) - np.cbrt((1 - 2.0 / a) / denominator)) / np.sqrt(2 / (9.0 * a))
-        k2 = z1 * z1 + z2 * z2
-        p = float(np.exp(-k2 / 2))
-        label = "normal" if p > 0.05 else "right_skewed" if g1 > 0.5 else "left_skewed" if g1 < -0.5 else "heavy_tailed" if b2 > 4 else "non_normal"
-        return pd.DataFrame([(key[0], n, k2, p, p > 0.05, label)], columns=columns)
-
-    columns = ["item", "n_observations", "statistic", "normality_p_value", "is_normal", "classification"]
-    return series.select("item", "value").groupBy("item").applyInPandas(one, "item string, n_observations long, statistic double, normality_p_value double, is_normal boolean, classification string")
-
-
 def granger(series: DataFrame, lags: int = 2) -> DataFrame:
     """F and p of whether a leader's past helps to predict a follower beyond its own: series is (leader, follower, period_idx, x, y)."""
 

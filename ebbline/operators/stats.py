@@ -121,6 +121,30 @@ def moments(series: DataFrame) -> DataFrame:
     return out.withColumn("bimodality", F.when(F.col("n_observations") >= 10, b)).withColumn("is_bimodal", F.coalesce(F.col("bimodality") > 0.555, F.lit(False)))
 
 
+def normality(series: DataFrame) -> DataFrame:
+    """n, the joint test of skew and kurtosis, its p, and a label for each item; under eight values, or where they don't vary, there is no test.
+
+    All follows from the count and two moments of an item, so one aggregation is enough. The statistic is the
+    sum of the squared normal scores of both; it has two degrees of freedom, so p = exp(-K2 / 2).
+    """
+    m = series.groupBy("item").agg(F.count("value").alias("n_observations"), F.skewness("value").alias("skew"), (F.kurtosis("value") + 3).alias("kurt"))
+    n = F.greatest(F.col("n_observations"), F.lit(8)).cast("double")  # the formulas divide by n - 3
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    m = m.withColumn("w2", F.sqrt(2 * (beta - 1)) - 1).withColumn("y", F.col("skew") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))))
+    m = m.withColumn("z_skew", F.asinh(F.col("y") / F.sqrt(2 / (F.col("w2") - 1))) / F.sqrt(0.5 * F.log("w2")))
+    spread = F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    m = m.withColumn("k", (F.col("kurt") - 3 * (n - 1) / (n + 1)) / spread).withColumn("root", root)
+    m = m.withColumn("a", 6 + 8 / F.col("root") * (2 / F.col("root") + F.sqrt(1 + 4 / (F.col("root") * F.col("root")))))
+    m = m.withColumn("ninth", 2 / (9 * F.col("a"))).withColumn("ratio", (1 - 2 / F.col("a")) / (1 + F.col("k") * F.sqrt(2 / (F.col("a") - 4))))
+    m = m.withColumn("z_kurt", (1 - F.col("ninth") - F.cbrt("ratio")) / F.sqrt("ninth"))
+    tested = (F.col("n_observations") >= 8) & F.col("skew").isNotNull()
+    m = m.withColumn("statistic", F.when(tested, F.col("z_skew") * F.col("z_skew") + F.col("z_kurt") * F.col("z_kurt"))).withColumn("normality_p_value", F.exp(-F.col("statistic") / 2))
+    is_normal = F.coalesce(F.col("normality_p_value") > 0.05, F.lit(False))
+    label = F.when(F.col("statistic").isNull(), "insufficient").when(is_normal, "normal").when(F.col("skew") > 0.5, "right_skewed").when(F.col("skew") < -0.5, "left_skewed").when(F.col("kurt") > 4, "heavy_tailed").otherwise("non_normal")
+    return m.select("item", "n_observations", "statistic", "normality_p_value", is_normal.alias("is_normal"), label.alias("classification"))
+
+
 def concentration(df: DataFrame, *groups: str, value: str = "value", share: float = 0.8) -> DataFrame:
     """How much a few entities hold of each group: Pareto count and ratio, top shares, HHI and Gini of absolute values."""
     part = Window.partitionBy(*(groups or [F.lit(0)]))

@@ -136,10 +136,17 @@ def t11(spark, sf):
     return out.select("item", "n_observations", D("skewness", k=6), D("excess_kurtosis", k=6), *[D(f"p{k}") for k in (5, 25, 50, 75, 95)])
 
 
-@query("t11_normality")
+@query("t11_normality", f"""{MOMENTS}, b AS (SELECT item, n, CAST(n AS DOUBLE) AS d, g1, g2 + 3 AS b2, g1 * sqrt((n + 1.0) * (n + 3) / (6.0 * (n - 2))) AS y FROM k),
+    w AS (SELECT *, -1 + sqrt(2 * (3 * (d * d + 27 * d - 70) * (d + 1) * (d + 3) / ((d - 2) * (d + 5) * (d + 7) * (d + 9)) - 1)) AS w2, (b2 - 3 * (d - 1) / (d + 1)) / sqrt(24 * d * (d - 2) * (d - 3) / ((d + 1) ^ 2 * (d + 3) * (d + 5))) AS x,
+          6 * (d * d - 5 * d + 2) / ((d + 7) * (d + 9)) * sqrt(6 * (d + 3) * (d + 5) / (d * (d - 2) * (d - 3))) AS rt FROM b),
+    sk AS (SELECT *, 6 + 8 / rt * (2 / rt + sqrt(1 + 4 / rt ^ 2)) AS a FROM w),
+    z AS (SELECT *, ln(y / sqrt(2 / (w2 - 1)) + sqrt((y / sqrt(2 / (w2 - 1))) ^ 2 + 1)) / sqrt(ln(w2) / 2) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM sk),
+    t AS (SELECT *, CASE WHEN n >= 8 THEN z1 ^ 2 + z2 ^ 2 END AS k2 FROM z)
+    SELECT item, n AS n_observations, round(k2, 6) AS statistic, round(exp(-k2 / 2), 9) AS normality_p_value, coalesce(exp(-k2 / 2) > 0.05, false) AS is_normal,
+           CASE WHEN k2 IS NULL THEN 'insufficient' WHEN exp(-k2 / 2) > 0.05 THEN 'normal' WHEN g1 > 0.5 THEN 'right_skewed' WHEN g1 < -0.5 THEN 'left_skewed' WHEN b2 > 4 THEN 'heavy_tailed' ELSE 'non_normal' END AS classification FROM t""")
 def t11n(spark, sf):
     """The joint test of skew and kurtosis per item."""
-    return grouped.normality(series(spark, sf))
+    return st.normality(series(spark, sf)).select("item", "n_observations", D("statistic", k=6), D("normality_p_value", k=9), "is_normal", "classification")
 
 
 @query("t12_bimodality", f"{MOMENTS} SELECT item, round((g1 ^ 2 + 1) / (g2 + 3), 6) AS bimodality, (g1 ^ 2 + 1) / (g2 + 3) > 0.555 AS is_bimodal FROM k WHERE n >= 10")

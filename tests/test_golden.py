@@ -201,3 +201,12 @@ def test_support_rules(spark):
     path = sinks.shared_path(spark, "source")
     sinks.export_csv(frame(spark, [("a", 1)], "k string, v int"), path)
     assert loaders.open_source(spark, {"type": "csv", "path": path}).first().v == "1"
+
+
+def test_normality_of_short_flat_and_skewed_items(spark):
+    values = {"short": [1.0, 5.0], "three": [1.0, 2.0, 9.0], "flat": [3.0] * 12, "even": [float(k) for k in (1, 2, 3, 3, 4, 4, 4, 5, 5, 6, 7)], "skewed": [1.0] * 10 + [1.1, 1.2, 50.0], "nulls": [None] * 9}
+    items = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "item string, value double")
+    got = {r["item"]: r for r in stats.normality(items).collect()}
+    assert {k for k, r in got.items() if r.classification == "insufficient" and r.statistic is None and not r.is_normal} == {"short", "three", "flat", "nulls"}
+    assert got["even"].classification == "normal" and got["skewed"].classification == "right_skewed" and got["skewed"].normality_p_value < 0.001
+    assert got["nulls"].n_observations == 0 and stats.normality(items.filter("false")).count() == 0

@@ -10,7 +10,7 @@ from ..operators import periods as per
 from ..operators import stats as st
 from .catalog import query
 from .facts import SALES_SQL, sales, table
-from .stats_queries import DENSE, series
+from .stats_queries import DENSE, SEASONAL, series
 from .variance_queries import NOW, STATS_SQL, monthly, resolved, stats
 
 C = F.col
@@ -116,7 +116,13 @@ def l13(spark, sf):
     return al.hierarchy_cards(stats(spark, sf)).select("level", "item", "card", D("score"), "priority")
 
 
-@query("l14_statistical_cards")
+@query("l14_statistical_cards", f"""{SEASONAL}, zs AS (SELECT item, period, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM s WINDOW w AS (PARTITION BY item)),
+    built AS (SELECT 'Anomaly: ' || item AS title, period, least(abs(z) / 5, 1) AS score FROM zs WHERE abs(z) >= 2
+        UNION ALL SELECT 'Volatile: ' || item, NULL, least(CASE WHEN avg(value) <> 0 THEN stddev_pop(value) / abs(avg(value)) ELSE 0 END, 1) FROM s GROUP BY item
+        UNION ALL SELECT 'Seasonal: ' || item, NULL, greatest(0, 1 - var_pop(residual) / nullif(var_pop(loose), 0)) FROM q GROUP BY item),
+    graded AS (SELECT *, CASE WHEN score >= 0.6 THEN 'critical' WHEN score >= 0.4 THEN 'high' WHEN score >= 0.2 THEN 'medium' ELSE 'low' END AS priority FROM built),
+    placed AS (SELECT *, row_number() OVER (ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, period DESC NULLS LAST, score DESC, title) AS rank FROM graded)
+    SELECT title, period, round(score, 6) AS score, priority, CAST(rank AS INTEGER) AS rank FROM placed WHERE rank <= 12""", dates="period")
 def l14(spark, sf):
     """Cards of anomalies, volatile items and seasonal items, ranked together."""
     s = series(spark, sf)
@@ -124,7 +130,7 @@ def l14(spark, sf):
     odd = st.z_anomalies(s).select(F.concat(F.lit("Anomaly: "), "item").alias("title"), "period", F.least(F.abs("z_score") / 5, F.lit(1.0)).alias("score"))
     volatile = st.item_profiles(s).select(F.concat(F.lit("Volatile: "), "item").alias("title"), F.lit(None).cast("date").alias("period"), F.least("cv", F.lit(1.0)).alias("score"))
     season = st.seasonal_summary(st.seasonal(s)).select(F.concat(F.lit("Seasonal: "), "item").alias("title"), F.lit(None).cast("date").alias("period"), C("seasonal_strength").alias("score"))
-    return al.statistical_cards(*[d.withColumn("priority", grave(C("score"))) for d in (odd, volatile, season)])
+    return al.statistical_cards(*[d.withColumn("priority", grave(C("score"))) for d in (odd, volatile, season)]).select("title", "period", D("score"), "priority", "rank")
 
 
 @query("l15_drill_levels", f"{CARDS}, pl AS (SELECT level, max(score) AS best, bool_or(priority IN ('critical', 'high')) AS grave FROM cd WHERE card <= 5 GROUP BY 1) SELECT level, round(best, 6) AS best, coalesce(min(CASE WHEN best >= 0.15 OR grave OR level = 0 THEN 1 ELSE 0 END) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) = 1 AS reached FROM pl")

@@ -246,14 +246,16 @@ def t21(spark, sf):
     return parts.withColumn("n", n).filter((C("period_idx") > 6) & (C("period_idx") <= C("n") - 6)).select("item", "period", D("trend"))
 
 
-@query("t21_seasonal_summary", f"""{DENSE}, c AS (SELECT *, count(*) OVER (PARTITION BY item) AS n, (sum(value) OVER (PARTITION BY item ORDER BY period ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(value, 6) OVER w + lead(value, 6) OVER w) / 2) / 12 AS inner_mean FROM s WINDOW w AS (PARTITION BY item ORDER BY period)),
+SEASONAL = f"""{DENSE}, c AS (SELECT *, count(*) OVER (PARTITION BY item) AS n, (sum(value) OVER (PARTITION BY item ORDER BY period ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(value, 6) OVER w + lead(value, 6) OVER w) / 2) / 12 AS inner_mean FROM s WINDOW w AS (PARTITION BY item ORDER BY period)),
     m AS (SELECT *, CASE WHEN period_idx > 6 AND period_idx <= n - 6 THEN inner_mean END AS mid FROM c WHERE n >= 24),
     e AS (SELECT item, regr_slope(mid, period_idx) FILTER (period_idx <= 18) AS b0, regr_intercept(mid, period_idx) FILTER (period_idx <= 18) AS a0, regr_slope(mid, period_idx) FILTER (period_idx > n - 18) AS b1, regr_intercept(mid, period_idx) FILTER (period_idx > n - 18) AS a1 FROM m GROUP BY 1),
     t AS (SELECT m.*, coalesce(mid, CASE WHEN period_idx <= 6 THEN a0 + b0 * period_idx ELSE a1 + b1 * period_idx END) AS trend, (period_idx - 1) % 12 AS phase FROM m JOIN e USING (item)),
     f AS (SELECT item, phase, avg(value - mid) AS e FROM t GROUP BY 1, 2), g AS (SELECT item, phase, e - avg(e) OVER (PARTITION BY item) AS seasonal FROM f),
     r AS (SELECT item, value - trend - seasonal AS residual, value - trend AS loose FROM t JOIN g USING (item, phase)),
-    q AS (SELECT *, avg(residual) OVER (PARTITION BY item) AS rm, stddev_samp(residual) OVER (PARTITION BY item) AS sd FROM r)
-    SELECT item, round(avg(residual), 4) AS residual_mean, round(stddev_samp(residual), 4) AS residual_std, count(*) FILTER (abs(residual - rm) > 2 * sd) AS anomaly_count, round(greatest(0, 1 - var_pop(residual) / nullif(var_pop(loose), 0)), 6) AS seasonal_strength FROM q GROUP BY 1""")
+    q AS (SELECT *, avg(residual) OVER (PARTITION BY item) AS rm, stddev_samp(residual) OVER (PARTITION BY item) AS sd FROM r)"""
+
+
+@query("t21_seasonal_summary", f"""{SEASONAL} SELECT item, round(avg(residual), 4) AS residual_mean, round(stddev_samp(residual), 4) AS residual_std, count(*) FILTER (abs(residual - rm) > 2 * sd) AS anomaly_count, round(greatest(0, 1 - var_pop(residual) / nullif(var_pop(loose), 0)), 6) AS seasonal_strength FROM q GROUP BY 1""")
 def t21s(spark, sf):
     return st.seasonal_summary(st.seasonal(series(spark, sf))).select("item", D("residual_mean"), D("residual_std"), "anomaly_count", D("seasonal_strength", k=6))
 

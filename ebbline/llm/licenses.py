@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ TEMPLATES = (
     ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
+#: A notice may stand anywhere in a run of this many times its own words, wherever the lines end.
+ROOM = 2
 #: Characters between words, before A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,8 +63,20 @@ def phrase_places(s: Column, phrases: dict[str, str]) -> Column:
     return F.when(hit, F.array_sort(F.concat(*every))).otherwise(F.array().cast("array<struct<start:int,label:string>>"))
 
 
+def needed(words, threshold: float) -> int:
+    return math.ceil(len(set(words)) * threshold - 1e-9)
+
+
+def holds_one(tokens: Column, templates: tuple, threshold: float) -> Column:
+    """Whether the distinct words hold `threshold` of any template's."""
+    each = [sorted(set(text.split(" "))) for _, text in templates]
+    return functools.reduce(operator.or_, [F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in t]))) >= needed(t, threshold) for t in each])
+
+
 def template_matches(blocks: DataFrame, frequency: DataFrame, templates: tuple, threshold: float) -> DataFrame:
-    """(key, label, containment) of blocks (key, tokens: distinct words of the templates' vocabulary) that hold `threshold` of a template's words.
+    """(key, label, containment) of blocks (key, tokens: distinct words of the templates' vocabulary, run: null or words in order) that hold `threshold` of a template's words.
+
+    A block with a run must hold them within ROOM times as many words in a row as the template has; the run's tokens bound that from above.
 
     Words are ordered from the rarest in the corpus. A block that holds `need` of a template's n words
     has one of its first n - need + 1 in that order (prefix filter), has `need` words itself
@@ -71,16 +87,18 @@ def template_matches(blocks: DataFrame, frequency: DataFrame, templates: tuple,
     spark = blocks.sparkSession
     counts = {r["token"]: r["n"] for r in frequency.collect()}  # of the templates' words alone
     rank = {w: k for k, w in enumerate(sorted({w for _, text in templates for w in text.split(" ")}, key=lambda w: (counts.get(w, 0), w)))}
-    rows = [(k, label, sorted({rank[w] for w in text.split(" ")})) for k, (label, text) in enumerate(templates)]
-    index = spark.createDataFrame([(*r, math.ceil(len(r[2]) * threshold - 1e-9)) for r in rows], "template int, label string, words array<int>, need int")
+    rows = [(k, label, sorted({rank[w] for w in text.split(" ")}), sorted(set(text.split(" "))), ROOM * len(text.split(" "))) for k, (label, text) in enumerate(templates)]
+    index = spark.createDataFrame([(*r, needed(r[3], threshold)) for r in rows], "template int, label string, words array<int>, spelt array<string>, room int, need int")
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-    prefix = index.select("template", "label", "need", "words", F.posexplode(F.slice("words", 1, F.size("words") - F.col("need") + 1)).alias("tp", "token"))
-    probe = blocks.select("key", F.array_sort(F.transform("tokens", lambda t: ranks[t])).alias("own")).select("key", "own", F.posexplode("own").alias("bp", "token"))
+    prefix = index.select("template", "label", "need", "words", "spelt", "room", F.posexplode(F.slice("words", 1, F.size("words") - F.col("need") + 1)).alias("tp", "token"))
+    probe = blocks.select("key", "run", F.array_sort(F.transform("tokens", lambda t: ranks[t])).alias("own")).select("key", "run", "own", F.posexplode("own").alias("bp", "token"))
     own, words = F.size("own"), F.size("words")
     after = F.least(own - F.col("bp") - 1, words - F.col("tp") - 1)
     before = F.least("bp", "tp")
     pairs = probe.join(F.broadcast(prefix), "token").filter((own >= F.col("need")) & (after + before + 1 >= F.col("need")))
-    overlap = F.size(F.array_intersect("own", "words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("room") + 1, F.lit(1)))
+    within = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("run", k, F.col("room")), "spelt"))))
+    overlap = F.when(F.col("run").isNull(), F.size(F.array_intersect("own", "words"))).otherwise(within)
     kept = pairs.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
     return kept.select("key", "label", (F.col("overlap") / words).alias("containment"))
 
@@ -88,25 +106,35 @@ def template_matches(blocks: DataFrame, frequency: DataFrame, templates: tuple,
 def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: tuple = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, places (start, label) of phrases, and matches (label, containment) of templates, for each row of docs.
 
-    Blocks are the \\n-split lines of a text, as sets of words. One pass over the texts counts words,
-    finds phrases, and keeps of each line the templates' words, if there are as many as the
+    Blocks are the \\n-split lines of a text, as sets of words, and runs of words across its lines: a
+    template may stand in any ROOM * n words in a row, n being its own words, so that notices are found however they are wrapped.
+    Runs are cut twice as long as the largest template's room, each overlapping the next by half, so every such stretch lies in one;
+    only those with enough words of some template are kept. One pass over the texts counts words,
+    finds phrases, and keeps of each block the templates' words, if there are as many as the
     least demanding template needs; the frequencies that order words are counted over all documents in which they
     stand. Null texts are empty; repeated rows give a row each; other columns are ignored.
     """
     vocabulary = sorted({w for _, text in templates for w in text.split(" ")})
-    least = min(math.ceil(len(set(text.split(" "))) * threshold - 1e-9) for _, text in templates)
+    least = min(needed(text.split(" "), threshold) for _, text in templates)
+    room = ROOM * max(len(text.split(" ")) for _, text in templates)
     text = F.coalesce(F.col("text"), F.lit(""))
     known = F.array(*[F.lit(w) for w in vocabulary])
     lowered = lambda c: F.translate(c, UPPER, LOWER)
     tokens = lambda s: F.array_intersect(F.split(lowered(F.trim(s)), " "), known)
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("hash"))
     rows = rows.select("doc_id", "hash", let(spaced(F.col("text")), lambda s: F.struct(n_words(s).alias("n"), phrase_places(s, phrases).alias("places"), tokens(s).alias("known"))).alias("s"), "text")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: tokens(spaced(x))), lambda t: F.size(t) >= least)
-    rows = rows.select("doc_id", "hash", F.col("s.n").alias("n_words"), "s.places", "s.known", F.when(F.size("s.known") >= least, lines).otherwise(F.array().cast("array<array<string>>")).alias("blocks"))
+    whole = lambda t: F.struct(t.alias("tokens"), F.lit(None).cast("array<string>").alias("run"))
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: tokens(spaced(x))), lambda t: F.size(t) >= least), whole)
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - room, F.lit(1)), F.lit(room)), lambda k: F.slice(w, k, 2 * room))
+    runs = let(F.split(lowered(F.trim(spaced(F.col("text")))), " "), cut)
+    runs = F.transform(runs, lambda r: F.struct(F.array_intersect(r, known).alias("tokens"), r.alias("run")))
+    runs = F.filter(runs, lambda b: holds_one(b["tokens"], templates, threshold))
+    some = holds_one(F.col("s.known"), templates, threshold)
+    rows = rows.select("doc_id", "hash", F.col("s.n").alias("n_words"), "s.places", "s.known", F.when(some, F.concat(lines, runs)).otherwise(F.array().cast("array<struct<tokens:array<string>,run:array<string>>>")).alias("blocks"))
     rows = written(rows, "licenses")
     frequency = rows.select(F.explode("known").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     key = F.struct("doc_id", "hash").alias("key")
-    blocks = rows.filter(F.size("blocks") > 0).select(key, F.explode("blocks").alias("tokens"))
+    blocks = rows.filter(F.size("blocks") > 0).select(key, F.explode("blocks").alias("b")).select("key", "b.tokens", "b.run")
     found = template_matches(blocks, frequency, templates, threshold).groupBy("key", "label").agg(F.max("containment").alias("containment"))
     found = found.groupBy(F.col("key.doc_id").alias("_d"), F.col("key.hash").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("label", "containment"))).alias("matches"))
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["hash"] == found["_h"]), "left")

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -129,6 +130,28 @@ def test_licenses_by_brute_force(spark, sf, odd_docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    published = {
+        "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+        "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+    }
+    filler = [f"word{k} other{k * 7 % 31}" for k in range(400)]
+    rows, want = [], {}
+    for label, notice in published.items():
+        for width in (30, 70):
+            for n in (0, 21, 43, 44, 61, 87, 88, 131):  # where the notice lies against the runs
+                for mark in ("", " * ", "dnl "):
+                    lines = [*filler[:n], *(mark + x for x in textwrap.wrap(notice, width)), "", *filler[n : 2 * n]]
+                    want[len(rows)] = {label}
+                    rows.append((len(rows), "\n".join(lines)))
+        scattered = "\n".join(f"{w} {filler[k]} {filler[k + 1]} {filler[k + 2]}" for k, w in enumerate(notice.split()))
+        want[len(rows)] = set()
+        rows.append((len(rows), scattered))
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_mix_meets_targets(spark, sf):
     docs = table(spark, sf, "documents")
     rows = mixing.mix(docs).collect()

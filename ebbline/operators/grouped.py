@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,6 +55,79 @@ def two_way(df: DataFrame, a: str, b: str, value: str, interaction: bool = True)
     return cells.groupBy().applyInPandas(solve, schema)
 
 
+def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions: bool = True) -> DataFrame:
+    """Type II sums of squares of any number of factors and all their pairwise interactions, with shares, F and p; method says which analysis was made.
+
+    A term is fitted after all terms that don't contain it; shares are of the sum of all terms and the residual. Rows without
+    a factor are left out, a null value is 0. Spark reduces the table to cells of all factors; one task adds
+    their normal equations up in blocks and solves them. With too many parameters, only one-way shares are given.
+    """
+    y = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    rows = df.dropna(subset=list(factors)).select(*[F.col(c).cast("string").alias(f"f{k}") for k, c in enumerate(factors)], y.alias("y"))
+    keys = [f"f{k}" for k in range(len(factors))]
+    cells = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"))
+    levels = list(cells.agg(*[F.count_distinct(k) for k in keys]).first())
+    pairs = list(combinations(range(len(factors)), 2)) if interactions else []
+    terms = [(k,) for k in range(len(factors))] + pairs
+    if 1 + sum(int(np.prod([levels[k] - 1 for k in t])) for t in terms) > MOST_PARAMETERS:
+        from .stats import one_way_share
+
+        gone = [F.lit(None).cast("double").alias(c) for c in ("sum_sq", "df")]
+        shares = [one_way_share(rows, k, "y").select(F.lit(c).alias("term"), *gone, "eta_squared", *[F.lit(None).cast("double").alias(x) for x in ("f", "p_value")], F.lit("one_way_fallback").alias("method")) for k, c in zip(keys, factors)]
+        out = shares[0]
+        for x in shares[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s, total_n = pdf["n"].to_numpy("f8"), pdf["s"].to_numpy("f8"), pdf["n"].sum()
+        mean = s.sum() / total_n
+        total = float(pdf["ss"].sum() - total_n * mean * mean)
+        codes = [pd.factorize(pdf[k], sort=True)[0] for k in keys]
+        sizes = [int(c.max()) for c in codes]  # levels but the first
+        starts, width = {}, 1
+        for t in terms:
+            starts[t] = (width, width := width + int(np.prod([sizes[k] for k in t])))
+        gram, right = np.zeros((width, width)), np.zeros(width)
+        for at in range(0, len(pdf), 2000):
+            part = slice(at, at + 2000)
+            x = np.zeros((len(n[part]), width))
+            x[:, 0] = 1
+            for t in terms:
+                own = [codes[k][part] for k in t]
+                there = np.flatnonzero(np.all([c > 0 for c in own], axis=0))
+                place = own[0][there] - 1 if len(t) == 1 else (own[0][there] - 1) * sizes[t[1]] + own[1][there] - 1
+                x[there, starts[t][0] + place] = 1
+            gram += x.T @ (x * n[part, None])
+            right += x.T @ (s[part] - n[part] * mean)
+
+        def fit(kept: list) -> tuple[float, int]:
+            """What the terms explain about the mean, and the rank of their design."""
+            cols = np.concatenate([[0], *[np.arange(*starts[t]) for t in kept]]).astype(int)
+            cols = cols[np.diag(gram)[cols] > 0]  # combinations that never occur
+            scale = 1 / np.sqrt(np.diag(gram)[cols])
+            w, v = np.linalg.eigh(gram[np.ix_(cols, cols)] * scale[:, None] * scale)
+            ok = w > w.max() * len(w) * 1e-13
+            return float(((v[:, ok].T @ (right[cols] * scale)) ** 2 / w[ok]).sum()), int(ok.sum())
+
+        whole, rank = fit(terms)
+        left, rest = max(total - whole, 0.0), float(total_n - rank)
+        out = []
+        for t in terms:
+            others = [u for u in terms if not set(t) <= set(u)]
+            (r1, d1), (r0, d0) = fit([*others, t]), fit(others)
+            ss, d = max(r1 - r0, 0.0), d1 - d0
+            f = ss / d / (left / rest) if d > 0 and rest > 0 and left > 0 else np.nan
+            out.append((":".join(factors[k] for k in t), ss, float(d), f, float(f_upper(f, d, rest)) if f == f else np.nan))
+        out.append(("residual", left, rest, np.nan, np.nan))
+        result = pd.DataFrame(out, columns=["term", "sum_sq", "df", "f", "p_value"])
+        every = result["sum_sq"].sum()
+        result["eta_squared"], result["method"] = result["sum_sq"] / every if every else 0.0, "anova_type_2"
+        return result[["term", "sum_sq", "df", "eta_squared", "f", "p_value", "method"]]
+
+    return cells.groupBy().applyInPandas(solve, "term string, sum_sq double, df double, eta_squared double, f double, p_value double, method string")
+
+
 def granger(series: DataFrame, lags: int = 2) -> DataFrame:
     """F and p of whether a leader's past helps to predict a follower beyond its own: series is (leader, follower, period_idx, x, y)."""
 

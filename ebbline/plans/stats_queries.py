@@ -121,6 +121,12 @@ def t09(spark, sf):
     return st.one_way_share(df, "region", "revenue").unionByName(st.one_way_share(df, "brand", "revenue")).select("factor", D("eta_squared", k=9))
 
 
+@query("t09_multi_way_anova")
+def t09m(spark, sf):
+    """Region, brand and segment with all pairwise interactions, Type II; t09_variance_decomposition has the one-way shares of its fallback."""
+    return grouped.multi_way(sales(spark, sf, "region", "brand", "segment"), ("region", "brand", "segment"), "revenue")
+
+
 @query("t10_two_way_anova")
 def t10(spark, sf):
     """Region and segment with their interaction, Type II."""

@@ -171,6 +171,37 @@ def test_seasonal_and_changes(spark):
     assert len(misses) == 10 and not any(m.miss for m in misses)
 
 
+def test_multi_way_against_least_squares_of_rows(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 3, 600)
+    b = np.where(rng.random(600) < 0.7, a, rng.integers(0, 4, 600))  # goes along with a
+    c = rng.integers(0, 2, 600)
+    keep = ~((a == 2) & (c == 1))  # a combination that never occurs
+    a, b, c = a[keep], b[keep], c[keep]
+    y = 1000 + 5.0 * a + 4.0 * ((b == 1) & (c == 1)) + rng.normal(0, 1, len(a))
+    dummies = {k: np.eye(v.max() + 1)[v][:, 1:] for k, v in zip("abc", (a, b, c))}
+    for p, q in itertools.combinations("abc", 2):
+        dummies[f"{p}:{q}"] = np.column_stack([u * v for u in dummies[p].T for v in dummies[q].T])
+
+    def fit(terms):
+        x = np.column_stack([np.ones(len(y)), *[dummies[t] for t in terms]])
+        coef, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
+        return ((y - x @ coef) ** 2).sum(), rank
+
+    left, rank = fit(dummies)
+    got = {r.term: r for r in grouped.multi_way(frame(spark, [(*map(int, r[:3]), float(r[3])) for r in zip(a, b, c, y)], "a int, b int, c int, y double"), ("a", "b", "c"), "y").collect()}
+    assert set(got) == {*dummies, "residual"} and got["residual"].sum_sq == pytest.approx(left) and got["residual"].df == len(y) - rank
+    for t in dummies:
+        others = [u for u in dummies if not set(t.split(":")) <= set(u.split(":"))]
+        (r0, d0), (r1, d1) = fit(others), fit([*others, t])
+        assert got[t].sum_sq == pytest.approx(r0 - r1, abs=1e-6) and got[t].df == d1 - d0
+    assert sum(r.eta_squared for r in got.values()) == pytest.approx(1) and got["b:c"].p_value < 1e-6 and got["b"].eta_squared < 0.25 * got["a"].eta_squared
+
+
 def test_two_way_is_balanced(spark):
     rows = [(a, b, float(3 * a + b + (a * b) + e)) for a in range(3) for b in range(2) for e in (-0.5, 0.5)]
     out = {r.term: r for r in grouped.two_way(frame(spark, rows, "a int, b int, y double"), "a", "b", "y").collect()}

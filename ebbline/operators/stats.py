@@ -62,6 +62,25 @@ def correlations(wide: DataFrame, names: tuple[str, ...], *groups: str) -> DataF
     return long.groupBy(*groups, "a", "b").agg(correlation("x", "y").alias("r"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n"))
 
 
+def item_correlations(series: DataFrame) -> DataFrame:
+    """r and n of every pair of items, a before b, over the periods of a dense series: a join of the aggregated table with itself, quadratic in the items."""
+    one = lambda i, v: series.select("period", F.col("item").alias(i), F.col("value").alias(v))
+    pairs = one("a", "x").join(one("b", "y"), "period").filter("a < b")
+    return pairs.groupBy("a", "b").agg(correlation("x", "y").alias("r"), F.count("*").alias("n"))
+
+
+def uniform_growth(series: DataFrame, least: float = 0.95, share: float = 0.5) -> DataFrame:
+    """One row: of all pairs of items that vary, how many move alike, and whether these are over the share."""
+    strong = F.count_if(F.abs("r") >= least)
+    return item_correlations(series).filter("r IS NOT NULL").agg(F.count("*").alias("pairs"), strong.alias("strong"), (strong > share * F.count("*")).alias("uniform"))
+
+
+def leading_items(series: DataFrame, most: int) -> DataFrame:
+    """The rows of the items with the largest |avg|."""
+    top = series.groupBy("item").agg(F.abs(F.avg("value")).alias("size")).orderBy(F.desc("size"), "item").limit(most)
+    return series.join(top.select("item"), "item", "left_semi")
+
+
 def with_p(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("p_value", correlation_p("r", "n"))
 

@@ -95,6 +95,27 @@ def t05p(spark, sf):
     return st.with_p(st.correlations(wide, names)).filter((F.abs("r") > 0.1) & (C("p_value") < 0.5)).orderBy(F.desc(F.abs("r")), "a", "b").limit(6).select("a", "b", D("r", k=6), "n", D("p_value", k=6))
 
 
+EVERY_PAIR = f"{DENSE}, c AS (SELECT x.item AS a, y.item AS b, corr(x.value, y.value) AS r, count(*) AS n FROM s x JOIN s y ON x.period = y.period AND x.item < y.item GROUP BY 1, 2)"
+
+
+@query("t04_uniform_growth_all", f"{EVERY_PAIR} SELECT count(*) AS pairs, count(*) FILTER (abs(r) >= 0.95) AS strong, count(*) FILTER (abs(r) >= 0.95) > 0.5 * count(*) AS uniform FROM c WHERE isfinite(r)")
+def t04a(spark, sf):
+    """Over the pairs of all items."""
+    return st.uniform_growth(series(spark, sf))
+
+
+@query("t05_all_item_correlations", f"{EVERY_PAIR} SELECT a, b, round(r, 6) AS r, n FROM c")
+def t05a(spark, sf):
+    return st.item_correlations(series(spark, sf)).select("a", "b", D("r", k=6), "n")
+
+
+@query("t05_leading_correlations", f"{EVERY_PAIR}, lead AS (SELECT item FROM s GROUP BY 1 ORDER BY abs(avg(value)) DESC, item LIMIT 4), k AS (SELECT *, {CORRELATION_P} AS p FROM c WHERE a IN (SELECT item FROM lead) AND b IN (SELECT item FROM lead)) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value, abs(r) > 0.7 AND p < 0.05 AS kept FROM k")
+def t05l(spark, sf):
+    """The six pairs of the four items with the largest |avg|, and which are strong and significant."""
+    pairs = st.with_p(st.item_correlations(st.leading_items(series(spark, sf), 4)))
+    return pairs.select("a", "b", D("r", k=6), "n", D("p_value", k=6), ((F.abs("r") > 0.7) & (C("p_value") < 0.05)).alias("kept"))
+
+
 @query("t06_mad_outliers", f"""{DENSE}, c AS (SELECT item, median(value) AS med, avg(value) AS m, stddev_pop(value) AS sd, count(*) AS n FROM s GROUP BY 1), d AS (SELECT s.item, median(abs(value - med)) AS mad FROM s JOIN c USING (item) GROUP BY 1),
     z AS (SELECT s.item, period, value, med, 0.6745 * (value - med) / mad AS z, (value - m) / sd AS tz FROM s JOIN c USING (item) JOIN d USING (item) WHERE mad <> 0 AND n >= 6) SELECT item, period, round(value, 4) AS amount, round(med, 4) AS median, round(z, 6) AS modified_z_score, round(tz, 6) AS traditional_z_score, abs(tz) <= 2 AS mad_only, round(value - med, 4) AS deviation_from_median FROM z WHERE abs(z) > 2.5""", dates="period")
 def t06(spark, sf):

@@ -202,6 +202,19 @@ def test_multi_way_against_least_squares_of_rows(spark):
     assert sum(r.eta_squared for r in got.values()) == pytest.approx(1) and got["b:c"].p_value < 1e-6 and got["b"].eta_squared < 0.25 * got["a"].eta_squared
 
 
+def test_pairs_of_all_items(spark):
+    """Brands that no list names decide, and the largest lead whatever they are called."""
+    wave = [1.0, 5.0, 2.0, 8.0, 3.0, 9.0]
+    noise = {"Brand#11": [3.0, 1.0, 2.0, 1.0, 3.0, 2.0], "Brand#12": [1.0, 1.0, 4.0, 1.0, 2.0, 1.0]}
+    alike = {f"Brand#{40 + k}": [100.0 * k + k * v for v in wave] for k in range(1, 8)}
+    rows = [(item, D(2025, k + 1, 1), k + 1, v) for item, vs in {**noise, **alike, "Brand#50": [7.0] * 6}.items() for k, v in enumerate(vs)]
+    s = frame(spark, rows, "item string, period date, period_idx int, value double")
+    assert stats.item_correlations(s).count() == 45  # ten items
+    r = stats.uniform_growth(s).first()
+    assert (r.pairs, r.strong, r.uniform) == (36, 21, True)  # Brand#50 doesn't vary
+    assert {x.item for x in stats.leading_items(s, 4).collect()} == {"Brand#44", "Brand#45", "Brand#46", "Brand#47"}
+
+
 def test_two_way_is_balanced(spark):
     rows = [(a, b, float(3 * a + b + (a * b) + e)) for a in range(3) for b in range(2) for e in (-0.5, 0.5)]
     out = {r.term: r for r in grouped.two_way(frame(spark, rows, "a int, b int, y double"), "a", "b", "y").collect()}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,27 +13,57 @@ from pyspark.sql import functions as F
 #: A word of the documents: a longest run of characters other than these blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: Scratch paths of the innermost open `dropped_after`, if any.
+_open: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the driver and all executors share."""
+def shared_top(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; only a session on one machine may do without the setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return top.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str, *, outer: bool = False) -> str:
+    """A new path below the shared folder; with `outer`, it outlives the innermost dropped_after."""
+    path = f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_open) > outer:
+        _open[-1 - outer].append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a table in the shared folder and read again: cuts lineage."""
-    path = scratch(df.sparkSession, name)
+def written(df: DataFrame, name: str, *, outer: bool = False) -> DataFrame:
+    """df, written once as a table in the shared folder and read again: cuts lineage.
+
+    A join of such tables on a key that many rows share can also be split by adaptive execution, which a join on
+    an aggregation of the same stage can't.
+    """
+    path = scratch(df.sparkSession, name, outer=outer)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the scratch tables that the block made. What is read later must have been written with `outer`, or by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once even where body names it inside a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -141,9 +141,10 @@ def judge(docs: DataFrame, labels: DataFrame, *, strata: str = "lang", risk: flo
 def keep_good(docs: DataFrame, labels: DataFrame, *, strata: str = "lang", risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps.
 
-    Texts are read twice, to count for the cutoffs and to filter, and never shuffled.
+    The counts are made once and written beside the rows: texts are read twice, counted once, and never shuffled.
     """
-    done = written(features(docs.select("doc_id", "text", strata)), "quality")
-    cutoffs = written(calibrated(done, labels, strata, risk, error), "quality-cutoffs")
+    # the rows go through as one column, whatever names their own columns have
     whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.col(strata).alias("stratum_"))
-    return verdicts(features(whole), cutoffs, "stratum_").filter("kept").select("row.*")
+    done = written(features(whole), "quality-rows")
+    cutoffs = written(calibrated(done.drop("row"), labels, "stratum_", risk, error), "quality-cutoffs")
+    return verdicts(done, cutoffs, "stratum_").filter("kept").select("row.*")

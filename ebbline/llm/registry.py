@@ -43,7 +43,7 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, ledger = secrets.scan_new_blobs(table(spark, sf_dir, "documents"))
+    paths, ledger = secrets.scan_in_loads(table(spark, sf_dir, "documents"))
     found = secrets.findings(paths, ledger)
     line = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

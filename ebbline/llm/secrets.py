@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import written
 
 
 @dataclass(frozen=True)
@@ -50,35 +52,53 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(F.expr(rule.hint), F.aggregate(found, first, step, lambda s: s["spans"])).otherwise(none)
 
 
+def hinted(rules: tuple[Rule, ...]) -> Column:
+    """Whether any rule's hint holds in `text`: where none does, there is nothing to find."""
+    return reduce(or_, [F.coalesce(F.expr(r.hint), F.lit(False)) for r in rules])
+
+
 def scan_new_blobs(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(paths, ledger): every version with its content's address, and the ledger with what was not yet scanned added.
 
     history (doc_id, text): a row is a version of the path doc_id. A content's address is its SHA-256;
     the ledger (blob, kind, version, spans) has a row for each content and rule version scanned,
-    with or without findings. Only pairs that it lacks are scanned, each content where its
-    smallest doc_id has it. A null text is empty; a null doc_id is a path like any other; equal
+    with or without findings. Only pairs of content and rule version that it lacks are scanned, each content where its
+    smallest doc_id has it; of those, contents whose rule can't match by its hint are entered without a look at the whole text, and
+    without being shuffled. A null text is empty; a null doc_id is a path like any other; equal
     rows are scanned once; an empty history leaves the ledger as it is.
     """
-    spark = history.sparkSession
     rows = history.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place"), F.sha2("text", 256).alias("blob"), "text")
-    paths = written(rows.select("doc_id", "place", "blob"), "secret-paths")
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("pair")
-    unseen = paths.groupBy("blob").agg(F.min("place").alias("place")).select("blob", "place", pairs).select("blob", "place", "pair.*")
+    hints = F.array(*[F.coalesce(F.expr(r.hint), F.lit(False)) for r in rules]).alias("hints")
+    rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place"), F.sha2("text", 256).alias("blob"), hints, "text")
+    paths = written(rows.select("doc_id", "place", "blob", "hints"), "secret-paths")
+    pairs = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.get("hints", F.lit(k)).alias("hint")) for k, r in enumerate(rules)])
+    unseen = paths.groupBy("blob").agg(F.min("place").alias("place"), F.first("hints").alias("hints")).select("blob", "place", F.explode(pairs).alias("pair")).select("blob", "place", "pair.*")
     if ledger is not None:
         unseen = unseen.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-    unseen = unseen.groupBy("blob", "place").agg(F.collect_set("kind").alias("kinds"))
-    todo = rows.drop("doc_id").join(unseen.hint("shuffle_hash"), ["blob", "place"])
-    scanned = todo.select(
-        "blob",
-        F.filter(
-            F.array(*[F.when(F.array_contains("kinds", r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans"))) for r in rules]),
-            lambda x: x.isNotNull(),
-        ).alias("found"),
-    )
+    unseen = written(unseen, "secret-unseen")
+    silent = unseen.filter(~F.col("hint")).select("blob", "kind", "version", F.array().cast(SPANS).alias("spans"))
+    asked = unseen.filter("hint").groupBy("blob", "place").agg(F.collect_set(F.struct("kind", "version")).alias("asked"))
+    todo = rows.filter(F.array_contains("hints", True)).select("place", "blob", "text").join(asked, ["blob", "place"])
+    is_asked = lambda r: F.exists("asked", lambda x: (x["kind"] == r.kind) & (x["version"] == r.version))
+    each = F.array(*[F.when(is_asked(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans"))) for r in rules])
+    scanned = todo.select("blob", F.filter(each, lambda x: x.isNotNull()).alias("found"))
     fresh = scanned.dropDuplicates(["blob"]).select("blob", F.explode("found").alias("f")).select("blob", "f.*")
-    fresh = written(fresh, "secret-ledger")
-    return paths.drop("place"), fresh if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(fresh)
+    fresh = written(fresh.unionByName(silent), "secret-ledger")
+    return paths.select("doc_id", "blob"), fresh if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(fresh)
+
+
+def scan_in_loads(history: DataFrame, loads: int = 2, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger) of a history that arrives in loads: equal ranges of doc_id, those without an id first. Each load is scanned against the ledger of the ones before."""
+    least, most = history.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    load = F.lit(0)
+    if least is not None and most > least:
+        share = (F.col("doc_id").cast("double") - float(least)) / (float(most) - float(least))
+        load = F.coalesce(F.least(F.floor(share * loads), F.lit(loads - 1)), F.lit(0))
+    paths = ledger = None
+    for k in range(loads):
+        part, ledger = scan_new_blobs(history.filter(load == k), ledger, rules)
+        paths = part if paths is None else paths.unionByName(part)
+    return paths, ledger
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -86,7 +106,8 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
     rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(k))])
     spans = ledger.filter(F.size("spans") > 0).withColumn("rank", rank[F.concat_ws(":", "kind", "version")]).filter("rank IS NOT NULL")
     spans = spans.select("blob", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind")))).alias("span"))
-    by_blob = spans.groupBy("blob").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    # written, so that the join can split the paths of a content that very many have
+    by_blob = written(spans.groupBy("blob").agg(F.sort_array(F.collect_list("span")).alias("spans")), "secret-spans")
     return paths.join(by_blob, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))
 
 
@@ -103,15 +124,21 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
-    """All rows of docs, with their columns, and every span of the rules masked in text; n_chars, where there is one, follows."""
+    """All rows of docs, with their columns, and every span of the rules masked in text; n_chars, where there is one, follows.
+
+    Rows in which no rule's hint holds pass by as they are; the rest meet the spans of their contents.
+    """
     paths, ledger = scan_new_blobs(docs, rules=rules)
     hits = ledger.filter(F.size("spans") > 0).select("blob").distinct()
     found = findings(hits, ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     # the rows go through as one column, whatever names their own columns have
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_blob")).join(found.hint("shuffle_hash"), "_blob", "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    some = hinted(rules)
+    quiet = rows.filter(~some).select("row.*")
+    loud = rows.filter(some).select("row", F.sha2("text", 256).alias("_blob")).join(found, "_blob", "left")
     clean = F.when(F.col("_spans").isNull(), F.col("row.text")).otherwise(masked(F.col("row.text"), F.col("_spans"), mask)).alias("text")
     out = [clean if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
         at = docs.columns.index("n_chars")
         out[at] = F.when(F.col("_spans").isNull(), F.col("row.n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return rows.select(*out)
+    return quiet.unionByName(loud.select(*out))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, written
 
 #: Fixed values of the public formats: the seekable Zstandard footer and the WARC revisit profile.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -19,24 +19,29 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 INDEX = "page_id long, record_id string, record_type string, refers_to long, bundle string, frame int, offset long, length long"
-RECORDS = "bundle string, page_id long, url string, record_id string, record_type string, refers_to long, payload_digest string, payload binary"
+RECORDS = "bundle string, page_id long, url string, record_id string, record_type string, refers_to long, refers_to_record string, payload_digest string, payload binary"
 
 
-def record_id(page_id: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {url}')}>"
+def record_id(page_id: int | None, url: str | None, tie: int) -> str:
+    """Follows from the page and from where its row lies in the table (tie): repeated rows and null ids have ids of their own, and a rerun gives the same."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {tie} {url}')}>"
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, first, date: str) -> tuple[str, str, bytes]:
-    """The record's id, its type and its bytes. A revisit has no payload block; it names the response's page."""
+def record_bytes(page_id, url, tie, payload: bytes, digest: str, first: tuple | None, date: str) -> tuple[str, str, bytes]:
+    """The record's id, its type and its bytes. A revisit has no payload block; it names the response (first: its page_id, url and tie) and that one's page.
+
+    A url stands as it is; only one that holds line breaks, which no header can, is kept escaped in a header of our own.
+    """
     kind = "response" if first is None else "revisit"
-    rid = record_id(page_id, url)
+    rid = record_id(page_id, url, tie)
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        broken = "\r" in url or "\n" in url
+        lines.append("X-Target-URI-Escaped: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if broken else "WARC-Target-URI: " + url)
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if first is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {first}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(*first)}", f"X-Refers-To-Page: {first[0]}"]
         payload = b""
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return rid, kind, "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -97,9 +102,10 @@ def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 def row_of(fields: dict[str, str], block: bytes) -> tuple:
     number = lambda k: int(fields[k]) if k in fields else None
-    url = fields.get("WARC-Target-URI")
-    url = None if url is None else url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
-    return number("X-Page-ID"), url, fields["WARC-Record-ID"], fields["WARC-Type"], number("X-Refers-To-Page"), fields["WARC-Payload-Digest"].removeprefix("sha256:"), block
+    url, escaped = fields.get("WARC-Target-URI"), fields.get("X-Target-URI-Escaped")
+    if escaped is not None:
+        url = escaped.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+    return number("X-Page-ID"), url, fields["WARC-Record-ID"], fields["WARC-Type"], number("X-Refers-To-Page"), fields.get("WARC-Refers-To"), fields["WARC-Payload-Digest"].removeprefix("sha256:"), block
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -107,7 +113,7 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-RECORD_SCHEMA = pa.schema([("bundle", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+RECORD_SCHEMA = pa.schema([("bundle", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_to_record", pa.string()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 INDEX_SCHEMA = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
@@ -119,12 +125,20 @@ def write_archives(pages: DataFrame, folder: str, *, least_revisit: int = 100, f
     task that ran twice or failed leaves no doubt. A null html is an empty payload. Of equal
     payloads of `least_revisit` bytes or more, the smallest page_id has the response (each row, if
     it is repeated) and the rest are revisits; null ids come last, and with none but null ids all
-    are responses. No rows give an empty index. Other columns are ignored.
+    are responses. Payloads that can have no revisit (shorter ones, or found once) meet no other row. No rows give an empty index.
+    Other columns are ignored. pages is read twice and must give its rows in the same partitions and order, as a table does.
     """
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.filter(F.octet_length("payload") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
-    # payloads meet the first of their digest by a merge join at any size: it can split a digest that many pages share
-    rows = rows.join(first.hint("merge"), "digest", "left").select("page_id", "url", F.when(F.col("first").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first")).alias("first"), "digest", "payload")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("tie"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    long_enough = F.octet_length("payload") >= least_revisit
+    one = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "tie", "url"))
+    first = rows.filter(long_enough).groupBy("digest").agg(F.min(one).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written, so that the join can split the pages of a digest that very many share
+    first = written(first, "warc-first")
+    revisit = ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
+    met = rows.filter(long_enough).join(first, "digest", "left").withColumn("first", F.when(revisit, F.col("first")))
+    columns = ["page_id", "url", "tie", "digest", "payload", "first"]
+    rows = rows.filter(~long_enough).withColumn("first", F.lit(None).cast(first.schema["first"].dataType)).select(*columns).unionByName(met.select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -133,14 +147,15 @@ def write_archives(pages: DataFrame, folder: str, *, least_revisit: int = 100, f
         store.create_dir(top, recursive=True)
         task, made, bundle, out, name = TaskContext.get(), 0, None, [], ""
         for batch in batches:
-            for page_id, url, first, digest, payload in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for page_id, url, tie, digest, payload, first in zip(*(batch.column(k) for k in range(6)), strict=True):
                 page_id, url, first = page_id.as_py(), url.as_py(), first.as_py()
+                first = first and (first["page_id"], first["url"], first["tie"])
                 if bundle is None:
                     name = f"bundle-{task.partitionId():06d}-{made:05d}-{task.taskAttemptId()}.warc.zst"
                     bundle, made = Bundle(store.open_output_stream(f"{top}/{name}", compression=None), level), made + 1
-                rid, kind, record = record_bytes(page_id, url, payload.as_py(), digest.as_py(), first, date)
+                rid, kind, record = record_bytes(page_id, url, tie.as_py(), payload.as_py(), digest.as_py(), first, date)
                 frame, offset = bundle.add(record, frame_bytes)
-                out.append((page_id, rid, kind, first, name, frame, offset, len(record)))
+                out.append((page_id, rid, kind, first and first[0], name, frame, offset, len(record)))
                 if bundle.total + len(bundle.raw) >= bundle_bytes:
                     bundle.close()
                     bundle = None
@@ -207,12 +222,18 @@ def fetch_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFr
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the archives and reads them back: the records, with a revisit's payload taken from its response."""
+    """Writes the archives and reads them back: page_id, payload_bytes, payload_digest (of the payload as read, a revisit's from its response), record_type and refers_to of every row of pages.
+
+    Null and empty htmls are empty payloads, null urls have no header, null ids stay null; a very long html is a frame of its own; repeated
+    rows are records of their own; ties between equal payloads go to the smallest page_id; no rows give no rows. Other columns are ignored.
+    """
     spark, folder = pages.sparkSession, scratch(pages.sparkSession, "warc")
     index = write_archives(pages, folder)
     records = read_archives(spark, folder).select("bundle", "page_id", "record_type", "refers_to", F.col("payload_digest").alias("named"), F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest"))
     records = listed(records, index)
-    full = records.filter(F.col("record_type") == "response").groupBy(F.col("own_digest").alias("named")).agg(F.max("own_bytes").alias("full_bytes"))
-    same = records.join(full, "named", "left")
+    records = written(records, "warc-read")  # without payloads
     revisit = F.col("record_type") == "revisit"
+    full = records.filter(~revisit).groupBy(F.col("own_digest").alias("named")).agg(F.max("own_bytes").alias("full_bytes"))
+    full = written(full.join(records.filter(revisit).select("named").distinct(), "named"), "warc-full")
+    same = records.filter(~revisit).withColumn("full_bytes", F.lit(None).cast("long")).unionByName(records.filter(revisit).join(full, "named", "left"))
     return same.select("page_id", F.when(revisit, F.col("full_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), F.when(revisit, F.col("named")).otherwise(F.col("own_digest")).alias("payload_digest"), "record_type", "refers_to")

@@ -14,6 +14,8 @@ BLOCK = "block long, n int, most double, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score long"
 #: From this local cosine threshold a bucket is cut by coordinates, below it by length.
 COORDINATES_FROM = 0.4
+#: Bytes of vectors in a bucket; streams that a block of queries is dealt to, each over its part of the buckets.
+BUCKET, LANES = 1 << 20, 4
 
 
 def as_integers(vector: Column, scale: float = 64.0) -> Column:
@@ -23,17 +25,17 @@ def as_integers(vector: Column, scale: float = 64.0) -> Column:
     return F.when(good, F.transform(wide, lambda x: F.floor(x * scale).cast("long")))
 
 
-def norm_blocks(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
-    """vectors (vec_id, v), sorted by falling length over all tasks and cut into blocks of at most `rows`, padded with zeros to `dims`."""
+def norm_blocks(vectors: DataFrame, dims: int, rows: int, kind: str) -> DataFrame:
+    """vectors (vec_id, v), sorted by falling length over all tasks and cut into blocks of at most `rows`, padded with zeros to `dims`, as numbers of a numpy kind."""
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     ranged = vectors.select("vec_id", "v", F.sqrt(squares).alias("norm")).repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, made, base = [], [], 0, TaskContext.get().partitionId() << 24
+        ids, held, made, base = [], [], 0, TaskContext.get().partitionId() << 32
 
         def flush():
             nonlocal made
-            m = np.zeros((len(held), dims), dtype="<i8")
+            m = np.zeros((len(held), dims), dtype=kind)
             for k, v in enumerate(held):
                 m[k, : len(v)] = v
             most = float(np.sqrt((m.astype("f8") ** 2).sum(1).max()))
@@ -55,9 +57,9 @@ def norm_blocks(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
     return ranged.select("vec_id", "v").mapInArrow(run, BLOCK)
 
 
-def block_of(ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def block_of(ids: bytes, vectors: bytes, dims: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, "<i8")
-    return ids, np.frombuffer(vectors, "<i8").reshape(len(ids), dims)
+    return ids, np.frombuffer(vectors, kind).reshape(len(ids), dims).astype("i8")
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,32 +120,67 @@ def search_bucket(q_ids, q, theta, c_ids, c, k: int):
         yield q_ids[j], c_ids[ok[top]], scores[top]
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, bucket: int = 8192, query_block: int = 2048) -> DataFrame:
+class Running:
+    """The best k of each query of a block so far, and the score that a further candidate must reach."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.norm = np.sqrt((q.astype("f8") ** 2).sum(1))
+        self.row = {int(x): j for j, x in enumerate(ids)}
+        self.found = [np.zeros((0, 2), "i8") for _ in ids]
+        self.theta = np.full(len(ids), -np.inf)
+
+    def meet(self, most: float, c_ids: np.ndarray, c: np.ndarray) -> None:
+        """Takes a bucket into account; queries that its longest vector can't help pass it by."""
+        live = np.flatnonzero((self.theta <= 0) | (most * self.norm * (1 + 1e-9) >= self.theta))
+        if not len(live):
+            return
+        for query, ids, scores in search_bucket(self.ids[live], self.q[live], self.theta[live], c_ids, c, self.k):
+            j = self.row[int(query)]
+            both = np.concatenate([self.found[j], np.column_stack([ids, scores])])
+            self.found[j] = both[best(both[:, 0], both[:, 1], self.k)]
+            if len(self.found[j]) == self.k:
+                self.theta[j] = max(self.theta[j], float(self.found[j][-1, 1]))
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(f) for f in self.found]
+        every = np.concatenate(self.found) if n else np.zeros((0, 2), "i8")
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n), pa.int64()), pa.array(every[:, 0], pa.int64()), pa.array(every[:, 1], pa.int64())], ["query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, bucket: int | None = None, query_block: int | None = None, lanes: int = LANES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query among all vectors but its own.
 
     vectors and queries: (vec_id, v) with whole components; null vectors take no part, short
     ones count as padded with zeros, and rows with a query's own vec_id aren't its candidates. A
     query id that comes twice is asked once, with its smallest vector. Repeated candidates each
-    count. Vectors are sorted by length and cut into buckets of bounded size, queries likewise. The bucket of
-    the longest vectors, which is bounded and so is broadcast, gives each query a first threshold; a block of queries then
-    meets the other buckets that its thresholds don't rule out. Ties go to the smaller vec_id.
+    count. Ties go to the smaller vec_id; no vectors or no queries give no rows; other columns are ignored.
+
+    Vectors are sorted by length and cut into buckets of BUCKET bytes (`bucket` vectors), queries likewise into blocks of a quarter of that. The bucket of
+    the longest vectors, which is bounded in bytes and so is broadcast, gives each query a first threshold; a block of queries then
+    meets the other buckets that its thresholds don't rule out, as streams from the longest down: each of `lanes` streams has
+    every so-manieth bucket, keeps the best k of each query, and so raises thresholds as it goes on. What a stream gives is k rows a query, whatever
+    it met. Components are stored in the narrowest whole numbers that hold all of them.
     """
-    vectors = vectors.filter("v IS NOT NULL")
+    vectors = vectors.filter("v IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "v")
     queries = queries.filter("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
-    dims = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 1)
-    buckets, asked = norm_blocks(vectors.filter("vec_id IS NOT NULL"), dims, bucket), norm_blocks(queries, dims, query_block)
+    largest = lambda df: df.select(F.size("v").alias("n"), F.array_max(F.transform("v", lambda x: F.abs(x))).alias("x"))
+    dims, size = largest(vectors).unionByName(largest(queries)).agg(F.max("n"), F.max("x")).first()
+    dims, size = max(1, dims or 1), size or 0
+    kind = "<i2" if size < 1 << 15 else "<i4" if size < 1 << 31 else "<i8"
+    fit = max(1, BUCKET // (dims * int(kind[-1])))
     from .common import written
 
-    buckets = written(buckets, "topk-buckets")
+    buckets = written(norm_blocks(vectors, dims, bucket or fit, kind), "topk-buckets")
     heads = buckets.select("block", "most")
     first = heads.agg(F.min("block").alias("block"))
     longest = buckets.join(F.broadcast(first), "block").select(F.col("ids").alias("c_ids"), F.col("vectors").alias("c"))
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            theta = []
+            theta, floor = [], []
             for ids, vectors, c_ids, c in zip(*(batch.column(n) for n in ("ids", "vectors", "c_ids", "c")), strict=True):
-                (qi, q), (ci, cv) = block_of(ids.as_py(), vectors.as_py(), dims), block_of(c_ids.as_py(), c.as_py(), dims)
+                (qi, q), (ci, cv) = block_of(ids.as_py(), vectors.as_py(), dims, kind), block_of(c_ids.as_py(), c.as_py(), dims, kind)
                 t = np.full(len(qi), -np.inf)
                 for at in range(0, len(qi), 256):
                     s = products(q[at : at + 256], cv)
@@ -151,29 +188,37 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, bucket: int =
                         own = s[r][ci != qi[at + r]]
                         if len(own) >= k:
                             t[at + r] = np.partition(own, len(own) - k)[len(own) - k]
+                n = np.sqrt((q.astype("f8") ** 2).sum(1))
                 theta.append(t.astype("<f8").tobytes())
-            floor = []
-            for t, v in zip(theta, batch.column("vectors"), strict=True):
-                q = np.frombuffer(v.as_py(), "<i8").reshape(-1, dims)
-                t, n = np.frombuffer(t, "<f8"), np.sqrt((q.astype("f8") ** 2).sum(1))
                 floor.append(float(np.where(t > 0, t / np.maximum(n, 1e-300), -np.inf).min()))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ids"), batch.column("vectors"), pa.array(theta, pa.binary()), pa.array(floor, pa.float64())], ["block", "ids", "vectors", "theta", "floor"])
 
+    asked = norm_blocks(queries, dims, query_block or max(1, fit // 4), kind)
     seeded = asked.join(F.broadcast(longest)).mapInArrow(thresholds, "block long, ids binary, vectors binary, theta binary, floor double")
     seeded = written(seeded, "topk-queries")
-    every = heads.agg(F.collect_list(F.struct("block", "most")).alias("heads"))
-    pairs = seeded.select(F.col("block").alias("asked"), "floor").join(F.broadcast(every)).select("asked", F.explode(F.filter("heads", lambda h: h["most"] * (1 + 1e-9) >= F.col("floor"))).alias("h")).select("asked", F.col("h.block").alias("block"))
-    pairs = pairs.join(seeded.select(F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), "theta"), "asked").join(buckets.select("block", F.col("ids").alias("c_ids"), F.col("vectors").alias("c")), "block")
+    every = heads.agg(F.sort_array(F.collect_list(F.struct("block", "most"))).alias("heads"))
+    reached = F.filter(F.transform("heads", lambda h, i: F.struct(h["block"].alias("block"), h["most"].alias("most"), (i % lanes).alias("lane"))), lambda h: h["most"] * (1 + 1e-9) >= F.col("floor"))
+    pairs = seeded.select(F.col("block").alias("asked"), "floor").join(F.broadcast(every)).select("asked", F.explode(reached).alias("h")).select("asked", "h.*")
+    met = pairs.join(buckets.select("block", "ids", "vectors"), "block")
+    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    start = seeded.select(F.col("block").alias("asked"), lane, F.lit(-1).cast("long").alias("block"), F.lit(0.0).alias("most"), "ids", "vectors", "theta")
+    stream = start.unionByName(met, allowMissingColumns=True).repartition("asked", "lane").sortWithinPartitions("asked", "lane", "block")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = None
         for batch in batches:
-            for q_ids, q, theta, c_ids, c in zip(*(batch.column(n) for n in ("q_ids", "q", "theta", "c_ids", "c")), strict=True):
-                (qi, qv), (ci, cv) = block_of(q_ids.as_py(), q.as_py(), dims), block_of(c_ids.as_py(), c.as_py(), dims)
-                out = list(search_bucket(qi, qv, np.frombuffer(theta.as_py(), "<f8"), ci, cv, k))
-                if out:
-                    n = [len(x[1]) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], n), pa.int64()), pa.array(np.concatenate([x[1] for x in out]), pa.int64()), pa.array(np.concatenate([x[2] for x in out]), pa.int64())], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("q_ids", "q", "theta", "c_ids", "c").mapInArrow(verify, FOUND)
+            for block, most, ids, vectors, theta in zip(*(batch.column(n) for n in ("block", "most", "ids", "vectors", "theta")), strict=True):
+                ids, v = block_of(ids.as_py(), vectors.as_py(), dims, kind)
+                if block.as_py() < 0:
+                    if running is not None:
+                        yield running.rows()
+                    running = Running(ids, v, k)
+                    running.theta = np.frombuffer(theta.as_py(), "<f8").copy()
+                else:
+                    running.meet(most.as_py(), ids, v)
+        if running is not None:
+            yield running.rows()
+
+    found = stream.select("block", "most", "ids", "vectors", "theta").mapInArrow(verify, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped_after, written
 
 SHINGLE, HASHES, ROWS = 5, 64, 4
 U = np.uint64
@@ -124,7 +125,7 @@ def bag_signatures(doc: np.ndarray, s: np.ndarray, weight: np.ndarray, n_docs: i
 
 #: Stands for a null doc_id, so that it comes after all others.
 NO_ID = (1 << 63) - 1
-SIGNED = "place long, node binary, bands array<long>"
+SIGNED = "place long, node binary, n long, bands array<long>"
 
 
 def addressed(docs: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def addressed(docs: DataFrame) -> DataFrame:
 
 
 def sign(docs: DataFrame, *, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """place, node and the bands' hashes of addressed docs; a text without words has no bands."""
+    """place, node, count of shingles and the bands' hashes of addressed docs; a text without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +148,9 @@ def sign(docs: DataFrame, *, shingle: int = SHINGLE, hashes: int = HASHES, rows:
                 for r in range(rows):
                     bands = mix64(bands + bits[:, r::rows])
                 bands = mix64(bands + np.arange(hashes // rows, dtype=U)).view("i8")
-                has = np.bincount(doc, minlength=len(texts)) > 0
-                lists = [b if h else [] for b, h in zip(bands, has, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in (0, 1)), pa.array(lists, pa.list_(pa.int64()))], ["place", "node", "bands"])
+                n = np.bincount(doc, weights=count, minlength=len(texts)).astype("i8")
+                lists = [b if h else [] for b, h in zip(bands, n > 0, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in (0, 1)), pa.array(n), pa.array(lists, pa.list_(pa.int64()))], ["place", "node", "n", "bands"])
 
     return docs.select("place", "node", F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
@@ -181,28 +182,49 @@ def distances(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> Dat
 
 def mixed_buckets(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """The members, with their root, of buckets that hold more than one class."""
-    here = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    here = written(members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{name}-rooted")
+    mixed = written(here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket"), f"{name}-buckets")
     return written(here.join(mixed, "bucket"), name)
 
 
+def blocks_of(here: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """here (bucket, node, root, n, gap) with a block of bounded count and bytes (in the mean of a hash, and but for one very long text): bucket, size, far, part.
+
+    size and far are classes of the count of shingles and of the distance from the bucket's first text, as wide as
+    a link can span: linked texts are at most one class apart in both.
+    """
+    size = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / threshold) + 1e-9)
+    far = F.floor(F.col("gap") / (1 - threshold + 1e-9) + 1e-9)
+    units = (F.floor(F.col("bytes") / UNIT) + 1).alias("units")
+    sized = written(here.join(texts.select("node", "bytes"), "node").select("bucket", "node", "root", "n", "gap", size.alias("size"), far.alias("far"), units), "near-sized")
+    cell = ["bucket", "size", "far"]
+    parts = written(sized.groupBy(*cell).agg(F.ceil(2 * F.sum("units") / BLOCK).alias("parts")), "near-cells")
+    return sized.join(parts, cell).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts", "units")
+
+
 def block_links(here: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """(a, b): links that join the classes of texts within a bucket, found block by block.
 
-    A bucket's texts, ordered by class, are cut into blocks of bounded count and bytes (but for a last
-    text, however long), and each pair of blocks that isn't of one class goes to one group of rows. No pair of texts becomes a row: a group's
+    Each pair of blocks that isn't of one class, and whose ranges of shingle counts and of distances from the bucket's first
+    text allow a link, goes to one group of rows; before that, only these ranges are sent about. No pair of texts becomes a row: a group's
     products tell all its links, and one for each class that they join is returned.
     """
-    units = F.floor(F.col("bytes") / UNIT) + 1
-    before = F.sum(units).over(Window.partitionBy("bucket").orderBy("root", "node").rowsBetween(Window.unboundedPreceding, 0)) - units
-    sized = here.join(texts.select("node", "bytes"), "node")
-    numbered = written(sized.select("bucket", "node", "root", F.floor(before / BLOCK).alias("block")), "near-blocks")
-    heads = numbered.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    other = heads.select("bucket", F.col("block").alias("j"), F.col("lo").alias("j_lo"), F.col("hi").alias("j_hi"))
-    one_class = (F.col("lo") == F.col("hi")) & (F.col("j_lo") == F.col("j_hi")) & (F.col("lo") == F.col("j_lo"))
-    both = heads.join(other, "bucket").filter((F.col("j") >= F.col("block")) & ~one_class)
-    sides = both.select("bucket", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
-    rows = sides.join(numbered, ["bucket", "block"]).join(texts.drop("bytes"), "node").select("bucket", "i", "j", "node", "root", "text")
+    key = ["bucket", "size", "far", "part"]
+    numbered = written(blocks_of(here, texts, threshold), "near-blocks")
+    heads = written(numbered.groupBy(*key).agg(*[f(c).alias(f"{c}_{e}") for c in ("root", "n", "gap") for f, e in ((F.min, "lo"), (F.max, "hi"))]), "near-heads")
+    ranges = [f"{c}_{e}" for c in ("root", "n", "gap") for e in ("lo", "hi")]
+    # a block looks for others in its own cell and in half of the cells around it, which look for it no more
+    around = F.explode(F.array(*[F.struct((F.col("size") + i).alias("size"), (F.col("far") + j).alias("far")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    asks = heads.select("bucket", F.struct("size", "far", "part").alias("i"), *[F.col(c).alias(f"i_{c}") for c in ranges], around.alias("at"))
+    asks = asks.select("bucket", "i", *[f"i_{c}" for c in ranges], F.col("at.size").alias("size"), F.col("at.far").alias("far"))
+    one_class = (F.col("root_lo") == F.col("root_hi")) & (F.col("i_root_lo") == F.col("i_root_hi")) & (F.col("root_lo") == F.col("i_root_lo"))
+    counts = (F.col("n_hi") >= threshold * F.col("i_n_lo") - 1e-6) & (F.col("i_n_hi") >= threshold * F.col("n_lo") - 1e-6)
+    reach = 1 - threshold + 1e-9
+    near = (F.col("gap_lo") - F.col("i_gap_hi") <= reach) & (F.col("i_gap_lo") - F.col("gap_hi") <= reach)
+    met = asks.join(heads, ["bucket", "size", "far"]).select("bucket", "i", F.struct("size", "far", "part").alias("j"), (~one_class & counts & near).alias("may"))
+    met = met.filter((F.col("i.size") < F.col("j.size")) | (F.col("i.far") != F.col("j.far")) | (F.col("i.part") <= F.col("j.part"))).filter("may")
+    sides = met.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("side")).select("bucket", "i", "j", "side.*")
+    rows = written(sides, "near-sides").join(numbered, key).select("bucket", "i", "j", "node", "root").join(texts.drop("bytes"), "node").select("bucket", "i", "j", "node", "root", "text")
 
     def run(table: pa.Table) -> pa.Table:
         texts, nodes = table.column("text").combine_chunks(), table.column("node").to_pylist()
@@ -218,7 +240,7 @@ def block_links(here: DataFrame, texts: DataFrame, threshold: float, shingle: in
         doc, at = doc[shared], np.unique(at[shared], return_inverse=True)[1]
         order = np.argsort(at, kind="stable")
         doc, at = doc[order], at[order]
-        common, width = np.zeros((n, n), "f4"), 4096
+        common, width = np.zeros((n, n)), 4096
         for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
             a, b = np.searchsorted(at, [low, low + width])
             m = np.zeros((n, width), "f4")
@@ -242,17 +264,18 @@ def block_links(here: DataFrame, texts: DataFrame, threshold: float, shingle: in
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of all nodes of edges (a, b): the smallest node of each connected component.
 
     Every label hooks onto its smallest neighbour, chains are halved, and edges inside one label go: rounds
-    grow with the logarithm of the longest chain. Each round's tables are written.
+    grow with the logarithm of the longest chain. Each round's tables are written, and all joins are of such tables, so
+    that a label that very many nodes share is split.
     """
-    live = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    live = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-edges")
     labels = live.select(F.col("u").alias("node")).union(live.select("v")).distinct().withColumn("root", F.col("node"))
     while True:
         both = live.union(live.select("v", "u"))
-        parent = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
+        parent = written(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")), f"{name}-hooks")
         for _ in range(2):
             above = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
             parent = parent.join(above, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
@@ -265,45 +288,55 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
 
 
 def node_classes(rows: DataFrame, signed: DataFrame, *, threshold: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
-    """(node, place, class_place, class_node) of each node of addressed rows and their signatures: the smallest place of the node, and the smallest place and node of its class."""
-    spark = rows.sparkSession
-    nodes = signed.groupBy("node").agg(F.min("place").alias("place"), F.first("bands").alias("bands"))
-    banded = written(nodes.select("node", F.explode("bands").alias("bucket")), "near-bands")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    """(node, place, class_place, class_node) of each node of addressed rows and their signatures: the smallest place of the node, and the smallest place and node of its class.
+
+    The result is a written table; all that led to it is dropped.
+    """
+    with dropped_after(rows.sparkSession):
+        roots = written(_roots(rows, signed, threshold, shingle), "near-roots")
+        classes = written(roots.groupBy("root").agg(F.min(F.struct("place", "node")).alias("least")), "near-least")
+        out = roots.join(classes, "root").select("node", "place", F.col("least.place").alias("class_place"), F.col("least.node").alias("class_node"))
+        return written(out, "near-classes", outer=True)
+
+
+def _roots(rows: DataFrame, signed: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(node, place, root): the smallest node of each node's class."""
+    nodes = written(signed.groupBy("node").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"), F.count_distinct("place").alias("places")), "near-nodes")
+    banded = written(nodes.select("node", "n", F.explode("bands").alias("bucket")), "near-bands")
+    sizes = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "near-sizes")
     shared = written(banded.join(sizes, "bucket"), "near-shared")
     weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-    members = written(shared.join(weight, "node").withColumn("rank", F.row_number().over(order)).select("bucket", "size", "node", "rank"), "near-members")
+    # a bucket's first text is the one that shares most buckets with others
+    weighed = written(shared.join(weight, "node"), "near-weighed")
+    first = written(weighed.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("weight"), "node")).alias("a")), "near-first")
+    members = written(weighed.join(first, "bucket").select("bucket", "size", "node", "n", "a"), "near-members")
     wanted = nodes.join(weight.select("node"), "node", "left_semi").select("place", "node")
     texts = rows.select("place", "node", "text").join(wanted.hint("shuffle_hash"), ["place", "node"], "left_semi").select("node", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
-    if not signed.groupBy("place", "node").count().filter("count > 1").isEmpty():
+    if not nodes.filter("rows > places").isEmpty():
         texts = texts.dropDuplicates(["node"])
     texts = written(texts, "near-texts")
     reach = 1 - threshold + 1e-9
-    first = members.filter("rank = 1").select("bucket", F.col("node").alias("a"))
-    pairs = written(members.filter("rank > 1").join(first, "bucket").select("a", F.col("node").alias("b")).distinct(), "near-pairs-1")
+    pairs = written(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "near-pairs-1")
     tested = written(distances(pairs, texts, shingle), "near-tested-1")
     edges = tested.filter(F.col("gap") <= reach).select("a", "b")
-    labels = components(spark, edges, "near")
+    labels = components(edges, "near")
     # each text's distance from the first of its bucket
-    known = members.join(first, "bucket").join(tested.select("a", F.col("b").alias("node"), "gap"), ["a", "node"], "left")
-    members = written(known.select("bucket", "size", "node", "rank", F.coalesce("gap", F.lit(0.0)).alias("gap")), "near-measured")
+    known = members.join(tested.select("a", F.col("b").alias("node"), "gap"), ["a", "node"], "left")
+    members = written(known.select("bucket", "size", "node", "n", (F.col("node") == F.col("a")).alias("is_first"), F.coalesce("gap", F.lit(0.0)).alias("gap")), "near-measured")
     here = mixed_buckets(members, labels, "near-mixed-small").filter(F.col("size") <= SMALL)
-    unlike = (F.col("rank") > F.col("a_rank")) & (F.col("root") != F.col("a_root")) & (F.abs(F.col("gap") - F.col("a_gap")) <= reach)
-    left = here.filter("rank > 1").select("bucket", F.col("node").alias("a"), F.col("rank").alias("a_rank"), F.col("root").alias("a_root"), F.col("gap").alias("a_gap"))
-    pairs = here.select(F.col("bucket").alias("b_bucket"), F.col("node").alias("b"), "rank", "root", "gap").join(left, (F.col("b_bucket") == F.col("bucket")) & unlike)
-    pairs = written(pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs-2")
+    counts = F.least("n", "a_n") >= threshold * F.greatest("n", "a_n") - 1e-6
+    unlike = (F.col("node") > F.col("a")) & (F.col("root") != F.col("a_root")) & (F.abs(F.col("gap") - F.col("a_gap")) <= reach) & counts
+    rest = here.filter("NOT is_first")
+    left = rest.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("gap").alias("a_gap"), F.col("n").alias("a_n"))
+    pairs = rest.select(F.col("bucket").alias("b_bucket"), "node", "root", "gap", "n").join(left, (F.col("b_bucket") == F.col("bucket")) & unlike)
+    pairs = written(pairs.select("a", F.col("node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs-2")
     edges = edges.unionByName(written(distances(pairs, texts, shingle).filter(F.col("gap") <= reach).select("a", "b"), "near-edges-2"))
-    labels = components(spark, edges, "near")
+    labels = components(edges, "near")
     here = mixed_buckets(members.filter(F.col("size") > SMALL), labels, "near-mixed-large")
     if not here.isEmpty():
         edges = edges.unionByName(written(block_links(here, texts, threshold, shingle), "near-edges-3"))
-        labels = components(spark, edges, "near")
-    roots = nodes.select("node", "place")
-    roots = roots.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = written(roots, "near-roots")
-    classes = roots.groupBy("root").agg(F.min(F.struct("place", "node")).alias("least"))
-    return roots.join(classes, "root").select("node", "place", F.col("least.place").alias("class_place"), F.col("least.node").alias("class_node"))
+        labels = components(edges, "near")
+    return nodes.select("node", "place").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
@@ -315,8 +348,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = S
     most buckets with others: this joins a large group of copies with a few comparisons a text. In
     buckets that still hold several classes, texts of different classes are compared: in small
     buckets pair by pair, but for those whose distances from the bucket's first differ by more than
-    a link may span (distance obeys the triangle inequality); in large ones block by block, each
-    pair of blocks in one product of their shingle counts. No other pair in one bucket is left out.
+    a link may span (distance obeys the triangle inequality) or whose counts of shingles are too far apart; in large ones block by block, each
+    pair of blocks for which these two bounds allow a link in one product of their shingle counts. No other pair in one bucket is left out.
+
+    The processes of bag_signatures are a tree of dyadic weight intervals, thinned by a point's place where a text's weight ends inside one.
 
     A text without words is in a class with its equals alone; null texts are empty. A null doc_id gets its class's
     smallest id, null if there is none. Repeated rows give a row each. No rows give no rows.
@@ -334,8 +369,8 @@ def one_of_each(docs: DataFrame, *, threshold: float = 0.8, shingle: int = SHING
     addresses = addressed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     signed = written(sign(addresses, shingle=shingle, hashes=hashes, rows=rows), "near-signed")
     classes = node_classes(addresses, signed, threshold=threshold, shingle=shingle)
-    stay = classes.filter("node = class_node").select("place", "node")
+    stay = classes.filter("node = class_node").select("place", "node")  # one row a class
     kept = addresses.select("place", "node", "row").join(stay.hint("shuffle_hash"), ["place", "node"], "left_semi")
-    if not signed.groupBy("place", "node").count().filter("count > 1").isEmpty():
+    if signed.count() > signed.select("place", "node").distinct().count():
         kept = kept.dropDuplicates(["place", "node"])
     return kept.select("row.*")

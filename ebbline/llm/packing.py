@@ -70,27 +70,49 @@ class Levels:
         return None
 
     def drain(self) -> Iterator[list]:
-        """What is left: windows filled to a power of two as they are; the others' pieces cut anew into full windows and powers of two, so that nothing is padded."""
-        left = []
+        """Closes what is left without padding, moving as little as it can.
+
+        A window filled to a power of two stays as it is. Two windows whose levels add up to a full one are put together whole. Of the rest the
+        fullest keep their pieces, in place, and what they lack is cut from the emptiest ones; the last remainder is cut into powers of two.
+        """
+        w = self.window
+        for level in sorted(self.open):
+            if level & (level - 1) == 0:
+                yield from self.open.pop(level)
         for level in sorted(self.open, reverse=True):
-            for pieces in self.open[level]:
-                if level & (level - 1) == 0:
-                    yield pieces
-                else:
-                    left += [p[:-1] for p in pieces]
-        total = sum(len(p[2]) for p in left)
-        sizes = [self.window] * (total // self.window) + [1 << b for b in range(self.window.bit_length(), -1, -1) if (total % self.window) >> b & 1]
-        room = iter(sizes)
-        size, pieces, fill = next(room, 0), [], 0
-        for doc, start, ids, n in left:
-            at = 0
-            while at < len(ids):
-                part = ids[at : at + size - fill]
-                pieces.append((doc, start + at, part, n, fill))
-                at, fill = at + len(part), fill + len(part)
-                if fill == size:
-                    yield pieces
-                    size, pieces, fill = next(room, 0), [], 0
+            other = self.open.get(w - level)
+            while level > w - level and other and self.open[level]:
+                base, more = self.open[level].pop(), other.pop()
+                yield base + [(doc, start, ids, n, level + offset) for doc, start, ids, n, offset in more]
+        rest = [(level, pieces) for level in sorted(self.open, reverse=True) for pieces in self.open[level]]
+        first, last, spare = 0, len(rest), []
+
+        def cut(size: int, at: int) -> Iterator[tuple]:
+            """Pieces of `size` tokens in all, to lie from `at` on, from the emptiest windows that are left."""
+            nonlocal last
+            while size:
+                if not spare:
+                    last -= 1
+                    spare.extend(p[:-1] for p in reversed(rest[last][1]))
+                doc, start, ids, n = spare.pop()
+                if len(ids) > size:
+                    spare.append((doc, start + size, ids[size:], n))
+                    ids = ids[:size]
+                yield doc, start, ids, n, at
+                size, at = size - len(ids), at + len(ids)
+
+        held = sum(level for level, _ in rest)
+        while first < last:
+            level, pieces = rest[first]
+            # what stands between this window and the last one, the spare pieces included, must fill it
+            behind = held - level
+            if behind < w - level:
+                break
+            first, held = first + 1, behind - (w - level)
+            yield pieces + list(cut(w - level, level))
+        total = held
+        for size in [w] * (total // w) + [1 << b for b in range(w.bit_length(), -1, -1) if (total % w) >> b & 1]:
+            yield list(cut(size, 0))
 
 
 def pack(docs: DataFrame, ranks_path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
@@ -101,8 +123,9 @@ def pack(docs: DataFrame, ranks_path: str, window: int = 2048, end_id: int = 1)
     into full windows and a rest; the rests are placed one after another (sum-of-squares). Each task
     packs its own partition: there is no shuffle, state is one level array and the windows still
     open, and a task that runs again gives the same windows. Window ids carry the task's partition.
+    Windows still open at a task's end are closed as drain() says: nearly all tokens stay where sum-of-squares put them.
 
-    Null texts are empty: they hold the end id alone. A null doc_id stays null. Repeated rows are
+    A very long text is cut into full windows as it is encoded, whole. Null texts are empty: they hold the end id alone. A null doc_id stays null. Repeated rows are
     packed once each. No rows give no windows. Other columns are ignored.
     """
     window, end_id = int(window), int(end_id)

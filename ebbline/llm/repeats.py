@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped_after, written
 from .minhash import mix64
 
 U = np.uint64
 #: Bytes of the content key's grams; windows in one fragment; bytes of text handled at once; bytes in one index.
 GRAM, MOST_WINDOWS, PIECE, INDEX = 32, 256, 1 << 20, 2 << 20
+#: How many levels of finer keys there are below the first.
+LEVELS = 3
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -47,11 +51,26 @@ def close_keys(grams: np.ndarray, key: np.ndarray, reach: int) -> np.ndarray:
     return np.unique(value[1:][(value[1:] == value[:-1]) & (at[1:] - at[:-1] < reach)])
 
 
-def fragments(data: np.ndarray, ends: list[int], length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def finer_keys(grams: np.ndarray, place: np.ndarray, length: int, level: int) -> np.ndarray:
+    """Keys of the windows that start at `place`: of the least gram hashes of their halves (level 1), their quarters (2), or of all their bytes (3)."""
+    if level == LEVELS:
+        at = [*range(0, length - GRAM, GRAM), length - GRAM]
+        least = grams
+    else:
+        part = length // (1 << level)
+        at = [*range(0, length - part - part // 2, part), length - part]
+        least = sliding_min(grams, part - GRAM + 1)
+    key = np.full(len(place), level, U)
+    for k in at:
+        key = mix64(key * U(0xD6E8FEB86659FD93) + least[place + k])
+    return key
+
+
+def fragments(data: np.ndarray, ends: list[int], length: int, hot: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, start, windows, close) of runs of neighbouring windows of `length` bytes that share a key, in joined texts that end at `ends`.
 
-    A window's key is the least gram hash in it; if that is among `hot` (sorted), which very many
-    texts have, the least hashes of its two halves together. Both follow from the window's bytes alone, so equal windows have
+    A window's key is the least gram hash in it (or that of `level`); one among `hot` (sorted), which very many
+    texts have, gives way to a key of the next level, up to one of all the window's bytes. All follow from the window's bytes alone, so equal windows have
     equal keys, wherever they are. Each window inside one text is in one fragment: the bytes from `start` on, length + windows - 1 of them.
     """
     none = np.zeros(0, "i8")
@@ -60,12 +79,14 @@ def fragments(data: np.ndarray, ends: list[int], length: int, hot: np.ndarray) -
     grams = gram_hashes(data)
     key = sliding_min(grams, length - GRAM + 1)
     close = np.isin(key, near) if len(near := close_keys(grams, key, length + MOST_WINDOWS)) else np.zeros(len(key), bool)
-    if len(hot):
-        place = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key)
-        if len(place):
-            half = length // 2
-            least = sliding_min(grams, half - GRAM + 1)
-            key[place] = mix64(least[place] * U(0xD6E8FEB86659FD93) + least[place + length - half])
+    if level:
+        key = finer_keys(grams, np.arange(len(key)), length, level)
+    place = np.arange(len(key))
+    for finer in range(level + 1, LEVELS + 1) if len(hot) else ():
+        place = place[hot[np.minimum(np.searchsorted(hot, key[place]), len(hot) - 1)] == key[place]]
+        if not len(place):
+            break
+        key[place] = finer_keys(grams, place, length, finer)
     inside = np.ones(len(key), bool)
     for end in ends:
         inside[max(0, end - length + 1) : end] = False
@@ -97,14 +118,14 @@ def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tupl
         yield out
 
 
-FRAGMENTS = "place long, hash long, packed long, key long, content long"
+FRAGMENTS = "place long, hash long, at long, windows int, key long, close boolean, twice boolean"
 
 
-def cut(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """The fragments of docs (place, hash, text): packed holds the offset, the count of windows, and whether the fragment may repeat in itself and is known to repeat.
+def cut(docs: DataFrame, length: int, hot: np.ndarray, fold: bool = True) -> DataFrame:
+    """The fragments of docs (place, hash, text): offset, count of windows, key, whether one may repeat in itself, and whether it was found twice.
 
-    Of fragments that a task sees twice in one stretch, one stands for all where keys meet; the rest
-    are known to repeat and have no key. So a passage that very many texts share meets its key a few times from each task.
+    Of fragments with the same bytes that a task sees in one stretch, one stands for all where keys meet; the rest have no
+    key, and all are known to be found twice: their bytes are compared. So a passage that very many texts share meets its key a few times from each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,54 +145,85 @@ def cut(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
         raw = b"".join(x[3] for x in piece)
         ends = np.cumsum([len(x[3]) for x in piece])
         key, start, windows, close = fragments(np.frombuffer(raw, np.uint8), ends.tolist(), length, hot)
-        content = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True)], U)
+        content = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True)], U) if fold else np.zeros(len(key), U)
         row = np.searchsorted(ends, start, side="right")
         first, low = (ends - [len(x[3]) for x in piece]), np.array([x[2] for x in piece])
-        return np.array([x[0] for x in piece])[row], np.array([x[1] for x in piece])[row], start - first[row] + low[row], windows, key, content, close
+        return np.array([x[0] for x in piece])[row], np.array([x[1] for x in piece])[row], start - first[row] + low[row], windows, key, close, content, start, raw
 
     def told(held) -> pa.RecordBatch:
-        place, name, at, windows, key, content, close = (np.concatenate([h[k] for h in held]) for k in range(7))
-        order = np.lexsort((content, key))
-        k, c = key[order], content[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(k) else new
-        first, known = np.zeros(len(k), bool), np.zeros(len(k), bool)
-        first[order], known[order] = new, many
-        packed = (at.astype("i8") << 16) | (windows.astype("i8") << 2) | (close.astype("i8") << 1) | known
-        return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(name, pa.int64()), pa.array(packed), pa.array(key.view("i8"), mask=~first), pa.array(content.view("i8"))], ["place", "hash", "packed", "key", "content"])
+        place, name, at, windows, key, close, content = (np.concatenate([h[k] for h in held]) for k in range(7))
+        start = np.concatenate([h[7] + base for h, base in zip(held, np.cumsum([0, *[len(h[8]) for h in held[:-1]]]), strict=True)])
+        first, twice = np.ones(len(key), bool), np.zeros(len(key), bool)
+        if fold and len(key):
+            raw = memoryview(b"".join(h[8] for h in held))
+            order = np.lexsort((content, key))
+            k, c = key[order], content[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            again = np.flatnonzero(~new)
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[again]]
+            size = windows + length - 1
+            for i, j in zip(order[again].tolist(), lead.tolist(), strict=True):
+                if size[i] == size[j] and raw[start[i] : start[i] + size[i]] == raw[start[j] : start[j] + size[j]]:
+                    first[i], twice[i], twice[j] = False, True, True
+        return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(name, pa.int64()), pa.array(at, pa.int64()), pa.array(windows, pa.int32()), pa.array(key.view("i8"), mask=~first), pa.array(close), pa.array(twice)], ["place", "hash", "at", "windows", "key", "close", "twice"])
 
     return docs.select("place", "hash", "text").mapInArrow(run, FRAGMENTS)
 
 
-def hot_keys(docs: DataFrame, length: int, sampled: int = 64, share: float = 0.002, most: int = 4096) -> np.ndarray:
-    """Keys in over `share` of the fragments' texts in a sample: only how work is dealt depends on them, never what is found."""
+def hot_keys(docs: DataFrame, length: int, sampled: int = 64, share: float = 0.002) -> np.ndarray:
+    """Keys, of all levels, that over `share` of the texts of a sample have: only how work is dealt depends on them, never what is found.
+
+    There are at most as many as a text has keys, in the mean, over `share`: a number that doesn't grow with the table.
+    """
     some = docs.filter(F.pmod(F.xxhash64("place"), F.lit(sampled)) == 0)
-    seen = cut(some, length, np.zeros(0, U)).filter("key IS NOT NULL").groupBy("key").agg(F.count_distinct("place").alias("n"))
-    least = max(50, int(some.count() * share))
-    return np.sort(np.array([r["key"] for r in seen.filter(F.col("n") >= least).orderBy(F.desc("n")).limit(most).select("key").collect()], "i8").view(U))
+    least, hot = max(50, int(some.count() * share)), np.zeros(0, U)
+    for _ in range(LEVELS):
+        seen = cut(some, length, hot).filter("key IS NOT NULL").groupBy("key").agg(F.count_distinct("place").alias("n"))
+        more = np.array([r["key"] for r in seen.filter(F.col("n") >= least).select("key").collect()], "i8").view(U)
+        more = np.setdiff1d(more, hot)
+        if not len(more):
+            break
+        hot = np.union1d(hot, more)
+    return hot
+
 
+def sorted_suffixes(text: np.ndarray, deep: int = 1024) -> np.ndarray:
+    """The suffix array, sorted to a depth of `deep` bytes or more: the sorted depth doubles, and only suffixes not yet told apart are sorted again.
 
-def sorted_suffixes(text: np.ndarray) -> np.ndarray:
-    """The suffix array, by doubling the sorted depth from 8 bytes on."""
+    Keys carry the place in their low bits, so that plain numbers are sorted, which is much faster than sorting places by keys.
+    """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
-    rank = np.zeros(n, U)
-    for k in range(8):
-        rank = (rank << U(8)) | padded[k : k + n]
-    order = np.argsort(rank, kind="stable")
-    depth = 8
+    if not n:
+        return np.zeros(0, "i8")
+    bits = n.bit_length()
+    depth = (64 - bits) // 8
+    padded = np.concatenate([text, np.zeros(depth, np.uint8)]).astype(U)
+    key = np.zeros(n, U)
+    for k in range(depth):
+        key = (key << U(8)) | padded[k : k + n]
+    key = np.sort((key << U(bits)) | np.arange(n, dtype=U))
+    order = (key & U((1 << bits) - 1)).astype("i8")
+    key >>= U(bits)
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, "i8")
     while True:
-        ordered = rank[order]
-        group = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, U)
-        rank[order] = group.astype(U)
-        if group[-1] == n - 1 or depth > 1024:
+        first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        rank[order] = first
+        open_ = np.flatnonzero(~head | ~np.append(head[1:], True))
+        if not len(open_) or depth >= deep:
             return order
-        after = np.zeros(n, U)
-        after[: n - depth] = rank[depth:] + U(1)
-        rank = rank * U(n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        at, group = order[open_], np.cumsum(head[open_]) - 1
+        beyond = at + depth
+        after = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        small = max(1, len(open_).bit_length())
+        if 2 * small + bits + 1 <= 64:
+            key = np.sort((group.astype(U) << U(small + bits + 1)) | (after.astype(U) << U(small)) | np.arange(len(open_), dtype=U))
+            moved = (key & U((1 << small) - 1)).astype("i8")
+        else:
+            moved = np.lexsort((after, group))
+        order[open_] = at[moved]
+        group, after = group[moved], after[moved]
+        head[open_] = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
         depth *= 2
 
 
@@ -190,42 +242,67 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
     return np.minimum(out, most)
 
 
-def matching_statistics(parts: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of the joined parts (a separator after each), how far it matches some other place, up to the part's end.
+@dataclass(frozen=True)
+class RunLengthIndex:
+    """The Burrows-Wheeler transform of joined parts (a separator after each) in runs of one letter, with the text sampled at the ends of runs alone.
 
-    The text's Burrows-Wheeler transform is cut into runs of one letter, and the suffix array is
-    kept at the ends of runs alone. Inside a run, a suffix and its neighbour are preceded by the same
-    letter, so the match one place to the left is longer by one; only at a run's head (for the smaller neighbour) and
-    tail (for the larger) are bytes compared. From there statistics stream along
-    the text: each place not sampled matches one byte less than the place before it.
+    letters, lengths: the runs. head, tail: where in the text the first and the last suffix of each run start; head_match,
+    tail_match: how far these agree with the suffix before the run, and with the one after it. ends: where parts end. repeated: whether a part stands for
+    two or more equal ones, whose suffixes would lie beside its own in the same runs.
     """
-    text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)  # which no byte of UTF-8 is
-    n = len(text)
-    suffix = sorted_suffixes(text)
-    letter = text[suffix - 1].astype("i2")
-    letter[suffix == 0] = -1  # what precedes the whole text is like no letter
-    change = letter[1:] != letter[:-1]
-    best = np.zeros(n, "i8")
-    for sampled, neighbour in ((suffix[np.concatenate([[True], change])], np.concatenate([[-1], suffix[:-1]])[np.concatenate([[True], change])]), (suffix[np.concatenate([change, [True]])], np.concatenate([suffix[1:], [-1]])[np.concatenate([change, [True]])])):
-        match = np.zeros(len(sampled), "i8")
-        has = neighbour >= 0
-        match[has] = common_prefix(text, sampled[has], neighbour[has], most)
-        reach = np.full(n, -1, "i8")
-        reach[sampled] = sampled + match  # where the match ends; it only moves to the right
-        reach = np.maximum.accumulate(reach)
-        best = np.maximum(best, reach - np.arange(n))
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    return np.minimum(best, np.repeat(ends, [len(p) + 1 for p in parts]) - np.arange(n)), ends
-
-
-def marks(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """Of each part, the starts of its windows of `length` bytes that are found again among all parts."""
-    best, ends = matching_statistics(parts, 2 * (length + MOST_WINDOWS) + 16)
-    out, start = [], 0
-    for end in ends:
-        out.append(np.flatnonzero(best[start:end] >= length))
-        start = end + 1
-    return out
+
+    letters: np.ndarray
+    lengths: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    head_match: np.ndarray
+    tail_match: np.ndarray
+    ends: np.ndarray
+    repeated: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[bytes], most: int, repeated: list[bool] | None = None) -> RunLengthIndex:
+        """The index of distinct parts; matches are told apart up to `most` bytes. The suffixes' order is needed here alone."""
+        text = np.frombuffer(b"".join(p + b"\xff" for p in parts), np.uint8)  # which no byte of UTF-8 is
+        n = len(text)
+        suffix = sorted_suffixes(text, most)
+        letter = text[suffix - 1].astype("i2")
+        letter[suffix == 0] = -1  # what precedes the whole text is like no letter
+        change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        first, last = np.concatenate([[0], change]), np.concatenate([change, [n]]) - 1
+        first, last = (first, last) if n else (first[:0], last[:0])
+        above, below = np.concatenate([[-1], suffix])[first], np.concatenate([suffix, [-1]])[last + 1]
+        match = [np.zeros(len(first), "i8") for _ in range(2)]
+        for out, own, other in ((match[0], suffix[first], above), (match[1], suffix[last], below)):
+            has = other >= 0
+            out[has] = common_prefix(text, own[has], other[has], most)
+        ends = np.cumsum([len(p) + 1 for p in parts], dtype="i8") - 1
+        return cls(letter[first], last - first + 1, suffix[first], suffix[last], *match, ends, np.array(repeated if repeated is not None else [False] * len(parts), bool))
+
+    def matching_statistics(self) -> np.ndarray:
+        """For each place of the joined parts, how far it matches some other place, up to the part's end.
+
+        Inside a run, a suffix and its neighbour are preceded by the same letter, so the match one place to the left
+        is longer by one; only at a run's head (for the smaller neighbour) and tail (for the larger) can matches begin anew. So statistics
+        stream along the text from the samples: each place not sampled matches one byte less than the place before it.
+        """
+        n = int(self.lengths.sum())
+        best = np.zeros(n, "i8")
+        for sampled, match in ((self.head, self.head_match), (self.tail, self.tail_match)):
+            reach = np.full(n, -1, "i8")
+            reach[sampled] = sampled + match  # where the match ends; it only moves to the right
+            best = np.maximum(best, np.maximum.accumulate(reach) - np.arange(n))
+        size = np.diff(np.concatenate([[-1], self.ends]))
+        left = np.repeat(self.ends, size) - np.arange(n)
+        return np.where(np.repeat(self.repeated, size), left, np.minimum(best, left))
+
+    def marks(self, length: int) -> list[np.ndarray]:
+        """Of each part, the starts of its windows of `length` bytes that are found again."""
+        best, out, start = self.matching_statistics(), [], 0
+        for end in self.ends:
+            out.append(np.flatnonzero(best[start:end] >= length))
+            start = end + 1
+        return out
 
 
 def runs_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -239,68 +316,124 @@ def runs_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 MARKED = "place long, hash long, spans array<struct<begin:long,end:long>>"
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
+def deep_fragments(rows: DataFrame, told: DataFrame, length: int, most: int) -> DataFrame:
+    """told, with fragments of slots that hold over `most` bytes cut again by finer keys, level by level, until none holds more.
+
+    Fragments that are alone in a finer slot go. The finest key is of all bytes of a window, so that such a slot holds one content.
+    """
+    out = None
+    for level in range(1, LEVELS + 1):
+        large = told.groupBy("slot").agg(F.sum(F.col("windows") + length - 1).alias("bytes")).filter(F.col("bytes") > most).select("slot")
+        large = written(large, "repeat-large")
+        if large.isEmpty():
+            break
+        kept = told.join(large, "slot", "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        fetched = _fetched(rows, told.join(large, "slot", "left_semi"), length)
+        finer = fetched.mapInArrow(lambda batches, level=level: _finer(batches, length, level), "place long, hash long, at long, windows int, slot long, close boolean, twice boolean")
+        told = written(_met(finer), f"repeat-level-{level}")
+    return told if out is None else out.unionByName(told)
+
+
+def _met(cuts: DataFrame) -> DataFrame:
+    """The fragments that share their slot, or may repeat in themselves."""
+    n = F.count("*").over(Window.partitionBy("slot"))
+    return cuts.withColumn("n", n).filter("n > 1 OR (close AND NOT twice)").drop("n")
+
+
+def _fetched(rows: DataFrame, told: DataFrame, length: int) -> DataFrame:
+    """told with the bytes of each fragment; of equal rows' fragments one, found twice."""
+    by_text = told.groupBy("place", "hash").agg(F.collect_list(F.struct("at", "windows", "slot", "close", "twice")).alias("wanted"))
+    met = rows.select("place", "hash", "text").join(written(by_text, "repeat-wanted"), ["place", "hash"])
+    return met.mapInArrow(lambda batches: _fetch(batches, length), FETCHED)
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 200, index_bytes: int = INDEX, fold: bool = True) -> DataFrame:
     """doc_id, n_bytes, spans (removed, [begin, end) in bytes of UTF-8) and kept (the other bytes) of every row of docs (doc_id, text).
 
     A byte goes if a string of `length` bytes over it starts at another place too, in the same
     text or another row's. Texts are cut into fragments of windows under a content key, so that equal
-    windows meet. Where a key has one content, found twice, its windows repeat; where it has several, or one that may repeat in itself,
-    these are brought together in an index of bounded size (see matching_statistics), which tells
-    the windows that they share. Null texts are empty; texts shorter than `length` stay whole; equal rows are copies of
-    one another, and lose all if they are long enough. A null doc_id stays null. Other columns are ignored.
+    windows meet. Keys only deal fragments out: one that is alone under its key, and can't repeat in itself, is
+    dropped; fragments whose bytes a task has seen twice in one stretch are repeats (`fold`; without it, all are left to the indexes). All others are
+    brought together, with their bytes, in run-length indexes of bounded size, which tell the windows that they
+    share. Slots of over `index_bytes` are dealt again by finer keys.
+
+    Null texts are empty; texts shorter than `length` stay whole; equal rows are copies of
+    one another, and lose all if they are long enough. A null doc_id stays null. No rows give no rows. Other columns are ignored.
     """
     if length < 4 * GRAM:
         raise ValueError(f"length must be {4 * GRAM} or more")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"), F.xxhash64("text").alias("hash"), "text")
-    by_key = Window.partitionBy("slot")
-    in_key = by_key.orderBy("content")
-    cuts = cut(rows, length, hot_keys(rows, length)).withColumn("slot", F.coalesce("key", F.xxhash64("place", "packed")))
-    same = lambda c: F.coalesce(c == F.col("content"), F.lit(False))
-    told = cuts.withColumns({"before": same(F.lag("content").over(in_key)), "after": same(F.lead("content").over(in_key)), "many": F.min("content").over(by_key) != F.max("content").over(by_key)})
-    again = (F.col("packed").bitwiseAND(F.lit(1)) == 1) | F.col("before") | F.col("after")
-    close = F.col("packed").bitwiseAND(F.lit(2)) == 2
-    # a fragment without a key has a slot of its own or, if hashes clash, shares one; its content then only adds to what is compared
-    told = told.select("place", "hash", F.shiftright("packed", 16).alias("at"), F.shiftright(F.col("packed"), 2).bitwiseAND(F.lit(0x3FFF)).alias("windows"), "slot", again.alias("again"), ((F.col("many") & ~F.col("before")) | (close & ~again)).alias("unlike"))
-    told = written(told.filter("again OR unlike"), "repeat-fragments")
-    unlike = told.filter("unlike")
-    total = unlike.agg(F.sum(F.col("windows") + length - 1)).first()[0] or 0
-    by_text = unlike.groupBy("place", "hash").agg(F.collect_list(F.struct("at", "windows", "slot", "again")).alias("wanted"))
-    fetched = rows.select("place", "hash", "text").join(by_text, ["place", "hash"]).mapInArrow(lambda batches: _fetch(batches, length), "place long, hash long, at long, slot long, again boolean, part binary")
-    fetched = fetched.withColumn("bucket", F.pmod(F.xxhash64("slot"), F.lit(max(8, total // INDEX + 1))))
-    found = fetched.groupBy("bucket").applyInArrow(lambda t: _index(t, length), MARKED)
-    whole = told.filter("again").select("place", "hash", F.struct(F.col("at").alias("begin"), (F.col("at") + F.col("windows") + length - 1).alias("end")).alias("span"))
-    spans = whole.unionByName(found.select("place", "hash", F.explode("spans").alias("span"))).groupBy("place", "hash").agg(F.collect_list("span").alias("spans"))
+    with dropped_after(docs.sparkSession):
+        # a fragment without a key has a slot of its own or, if hashes clash, shares one, and then only adds to what is compared
+        cuts = cut(rows, length, hot_keys(rows, length), fold).withColumn("slot", F.coalesce("key", F.xxhash64("place", "at"))).drop("key")
+        n = F.count("*").over(Window.partitionBy("slot"))
+        told = written(cuts.withColumn("meets", (n > 1) | (F.col("close") & ~F.col("twice"))).filter("meets OR twice"), "repeat-fragments")
+        deep = deep_fragments(rows, told.filter("meets").drop("meets"), length, index_bytes)
+        total = deep.agg(F.sum(F.col("windows") + length - 1)).first()[0] or 0
+        fetched = _fetched(rows, deep, length).withColumn("bucket", F.pmod(F.xxhash64("slot"), F.lit(max(8, total // index_bytes + 1))))
+        found = fetched.groupBy("bucket").applyInArrow(lambda t: _index(t, length), MARKED)
+        whole = told.filter("twice").select("place", "hash", F.struct(F.col("at").alias("begin"), (F.col("at") + F.col("windows") + length - 1).alias("end")).alias("span"))
+        spans = whole.unionByName(found.select("place", "hash", F.explode("spans").alias("span"))).groupBy("place", "hash").agg(F.collect_set("span").alias("spans"))
+        spans = written(spans, "repeat-spans", outer=True)
     return rows.join(spans, ["place", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
+FETCHED = "place long, hash long, at long, slot long, close boolean, twice boolean, part binary"
+
+
 def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    names = ["place", "hash", "at", "slot", "again", "part"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    names = [x.split(" ")[0] for x in FETCHED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
         rows, held = [], 0
         for place, name, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             raw = text.as_py().encode("utf-8", "surrogatepass")
+            own: dict[tuple, list] = {}
             for w in wanted.as_py():
-                part = raw[w["at"] : w["at"] + w["windows"] + length - 1]
-                rows.append((place, name, w["at"], w["slot"], w["again"], part))
+                seen = own.setdefault((w["at"], w["windows"], w["slot"]), [w["close"], w["twice"], 0])
+                seen[1], seen[2] = seen[1] or w["twice"], seen[2] + 1
+            for (at, windows, slot), (close, twice, n) in own.items():
+                part = raw[at : at + windows + length - 1]
+                rows.append((place, name, at, slot, close, twice or n > 1, part))
                 held += len(part)
             if held >= 4 * PIECE:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield made(rows)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield made(rows)
+
+
+def _finer(batches: Iterator[pa.RecordBatch], length: int, level: int) -> Iterator[pa.RecordBatch]:
+    """The fragments of fetched parts under the keys of a level; one found twice is so in all its windows."""
+    for batch in batches:
+        parts = batch.column("part").to_pylist()
+        ends = np.cumsum([len(p) for p in parts])
+        key, start, windows, _ = fragments(np.frombuffer(b"".join(parts), np.uint8), ends.tolist(), length, np.zeros(0, U), level)
+        row = np.searchsorted(ends, start, side="right")
+        own = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False))[row] for c in ("place", "hash", "at", "close", "twice")]
+        at = own[2] + start - (ends - [len(p) for p in parts])[row]
+        yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(at, pa.int64()), pa.array(windows, pa.int32()), pa.array(key.view("i8")), pa.array(own[3], pa.bool_()), pa.array(own[4], pa.bool_())], ["place", "hash", "at", "windows", "slot", "close", "twice"])
 
 
 def _index(table: pa.Table, length: int) -> pa.Table:
-    """The repeated spans of a bucket's fragments; each content is indexed once."""
-    parts = table.column("part").to_pylist()
-    place, name, at, again = (table.column(c).to_pylist() for c in ("place", "hash", "at", "again"))
-    first: dict[bytes, int] = {}
+    """The repeated spans of a bucket's fragments. Each content is in its index once; one alone in its slot matches its equals at most, and needs no sorting."""
+    place, name, at, slot, close, twice, parts = (table.column(c).to_pylist() for c in ("place", "hash", "at", "slot", "close", "twice", "part"))
+    own: dict[bytes, list] = {}  # by content: its slot, how often it is found, whether it may repeat in itself
+    for k, part in enumerate(parts):
+        seen = own.setdefault(part, [slot[k], 0, False])
+        seen[1], seen[2] = seen[1] + 1 + twice[k], seen[2] or close[k]
+    held = Counter(s for s, _, _ in own.values())
+    mixed = [p for p, (s, _, c) in own.items() if held[s] > 1 or c]
+    index = RunLengthIndex.of(mixed, 2 * (length + MOST_WINDOWS) + 16, [own[p][1] > 1 for p in mixed])
+    spans = {p: runs_of(starts, length) for p, starts in zip(mixed, index.marks(length), strict=True)}
+    out = []
     for k, part in enumerate(parts):
-        first.setdefault(part, k)
-    own = list(first.values())
-    out = [(place[k], name[k], [{"begin": at[k] + a, "end": at[k] + b} for a, b in runs_of(starts, length)]) for k, starts in zip(own, marks([parts[k] for k in own], length), strict=True) if not again[k] and len(starts)]
+        runs = spans[part] if part in spans else [(0, len(part))] if own[part][1] > 1 else []
+        if runs:
+            out.append((place[k], name[k], [{"begin": at[k] + a, "end": at[k] + b} for a, b in runs]))
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], span)], names=["place", "hash", "spans"])
 

@@ -24,14 +24,14 @@ def _covered(raws, length=200):
     return out
 
 
-def _check_repeats(docs):
+def _check_repeats(docs, **options):
     rows = docs.select("doc_id", "text").collect()
     raws = [(r.text or "").encode() for r in rows]
     want = Counter()
     for r, raw, cov in zip(rows, raws, _covered(raws), strict=True):
         runs = int((np.diff(np.concatenate([[0], cov.astype(int)])) == 1).sum())
         want[(r.doc_id, len(raw), runs, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~cov])).hexdigest())] += 1
-    got = Counter((r.doc_id, r.n_bytes, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in repeats.remove_repeats(docs).collect())
+    got = Counter((r.doc_id, r.n_bytes, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in repeats.remove_repeats(docs, **options).collect())
     assert got == want
 
 
@@ -54,9 +54,52 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     rows = [(k, "".join(map(chr, rng.integers(97, 123, 300))) + line + "".join(map(chr, rng.integers(97, 123, 300)))) for k in range(30)] + [(99, "")]
     rows += [(200, rows[3][1]), (201, rows[4][1][100:450])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    grams = repeats.gram_hashes(np.frombuffer(line.encode(), np.uint8))
-    monkeypatch.setattr(repeats, "hot_keys", lambda docs, length: np.sort(grams))
+    grams = np.sort(repeats.gram_hashes(np.frombuffer(line.encode(), np.uint8)))
+    monkeypatch.setattr(repeats, "hot_keys", lambda docs, length: grams)
     _check_repeats(docs)
+    # keys of finer levels can be hot too
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    key, *_ = repeats.fragments(data, [len(data)], 200, grams)
+    monkeypatch.setattr(repeats, "hot_keys", lambda docs, length: np.union1d(grams, key))
+    _check_repeats(docs)
+
+
+@pytest.mark.parametrize("index_bytes", [300, 3000])
+def test_large_slots_are_dealt_again(spark, index_bytes):
+    """A passage of under 200 bytes that all texts share puts them under one key."""
+    rng = np.random.default_rng(6)
+    random = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    line = random(150)
+    rows = [(k, random(260) + line + random(260)) for k in range(40)]
+    rows += [(100, rows[3][1][120:]), (101, rows[4][1][150:400] + random(20)), (102, rows[5][1]), (103, "ab" * 400), (104, "ab" * 130 + line)]
+    _check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), index_bytes=index_bytes)
+
+
+def test_indexes_alone_find_everything(spark, sf):
+    _check_repeats(table(spark, sf, "documents").select("doc_id", "text"), fold=False)
+
+
+def test_suffixes_are_sorted():
+    rng = np.random.default_rng(8)
+    for text in (rng.integers(97, 99, 500), np.full(300, 97), rng.integers(0, 255, 2000), np.tile(rng.integers(97, 123, 70), 9), np.zeros(1, int), np.zeros(0, int)):
+        raw = bytes(text.astype(np.uint8))
+        assert repeats.sorted_suffixes(np.frombuffer(raw, np.uint8)).tolist() == sorted(range(len(raw)), key=lambda k: raw[k:])
+
+
+def test_runs_give_the_text_back():
+    """The runs are the whole transform: a walk through them spells the text."""
+    rng = np.random.default_rng(9)
+    part = bytes(rng.integers(97, 101, 90).astype(np.uint8))
+    index = repeats.RunLengthIndex.of([part, part[20:70] + b"zz", b"q"], 1000)
+    text = part + b"\xff" + part[20:70] + b"zz\xff" + b"q\xff"
+    letters = np.concatenate([[text[-1]], np.repeat(index.letters, index.lengths)])  # the empty suffix is preceded by the last letter
+    assert len(letters) == len(text) + 1 > len(index.letters)
+    after, first = np.argsort(letters, kind="stable"), np.sort(letters)
+    row, out = after[0], []
+    for _ in text:
+        out.append(int(first[row]))
+        row = after[row]
+    assert bytes(out) == text
 
 
 def test_matching_statistics():
@@ -64,7 +107,8 @@ def test_matching_statistics():
     for letters in (2, 4):
         parts = [bytes(rng.integers(97, 97 + letters, n).astype(np.uint8)) for n in (5, 60, 30, 1, 80)]
         parts[2] = parts[1][10:40]
-        best, ends = repeats.matching_statistics(parts, 1000)
+        index = repeats.RunLengthIndex.of(parts, 1000)
+        best, ends = index.matching_statistics(), index.ends
         text = b"\xff".join(parts) + b"\xff"
         for i in range(len(text)):
             end = min(e for e in ends if e >= i)
@@ -97,6 +141,22 @@ def test_warc_round_trip_and_seeks(spark, sf):
     assert fetched == {r.record_id: everything[r.record_id] for r in some.collect()} and fetched
 
 
+def test_warc_ids_urls_and_references(spark):
+    urls = ["http://a/%41%0A", "http://b/x y", "http://c/\r\nX: 1", "", None, "http://d/\u00e9"]
+    rows = [(k, u, "p" * 150) for k, u in enumerate(urls)] + [(None, None, "q" * 150)] * 3 + [(7, "http://r", "z" * 150)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = scratch(spark, "warc-test")
+    index = warc.write_archives(pages, folder).collect()
+    records = warc.read_archives(spark, folder).collect()
+    assert len({r.record_id for r in index}) == len(rows) == len({(r.bundle, r.frame, r.offset) for r in index})
+    assert Counter((r.page_id, r.url) for r in records) == Counter((p, u) for p, u, _ in rows)
+    assert {r.record_id for r in records} == {r.record_id for r in index}
+    first = next(r.record_id for r in records if r.page_id == 0)
+    assert {r.refers_to_record for r in records if r.record_type == "revisit"} == {first}
+    again = warc.write_archives(pages, scratch(spark, "warc-test")).collect()
+    assert {r.record_id for r in again} == {r.record_id for r in index}  # a rerun gives the same
+
+
 def test_warc_edges(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(none).count() == 0
@@ -166,6 +226,13 @@ def test_near_duplicates_by_brute_force(spark, sf, odd_docs, no_docs):
     assert ids[1] == 1 and ids[2] == 0 and ids[6] == 1 and minhash.one_of_each(no_docs).count() == 0
 
 
+def test_a_text_of_one_word_repeated(spark):
+    """Counts of a shingle beyond 2^16, and texts that differ in nothing but such a count."""
+    rows = [(1, "a " * 70_000), (2, "a " * 69_000), (3, "a " * 40_000), (4, "b " * 70_000), (5, "a")]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_a_hub_joins_copies_that_are_unlike_each_other(spark):
     base = [f"b{k}" for k in range(200)]
     rows = [(0, " ".join(base))]
@@ -213,6 +280,17 @@ def test_search_by_brute_force(spark, sf):
         assert got == want
 
 
+def test_search_does_not_shuffle_more_for_large_groups(spark):
+    """Many equal vectors: each stream gives k rows a query, however many tie."""
+    rows = [(k, [3, 4] if k % 3 else [k % 7, 1]) for k in range(600)]
+    v = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, v array<long>, block string, n int")
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(v, v.filter("vec_id % 20 = 0"), bucket=16, query_block=8, lanes=3).collect())
+    assert got == _top(rows, {i: x for i, x in rows if i % 20 == 0}, 20)
+    wide = spark.createDataFrame([(k, [(1 << 40) + k, -k]) for k in range(50)], "vec_id long, v array<long>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(wide.withColumn("v", F.transform("v", lambda x: x % (1 << 30))), wide.withColumn("v", F.transform("v", lambda x: x % (1 << 30))).filter("vec_id % 20 = 0")).collect())
+    assert sum(got.values()) == 3 * 20
+
+
 def test_search_edges(spark):
     rng = np.random.default_rng(0)
     scale = rng.lognormal(0, 2, 300)
@@ -258,6 +336,56 @@ def test_packing_round_trip(spark, sf, odd_docs, no_docs):
     assert packing.pack(no_docs, path).count() == 0 and packing.pack(odd_docs, path).filter("doc_id IS NULL AND start = 0").count() == 2
 
 
+def test_most_tokens_stay_where_sum_of_squares_put_them(spark):
+    """Also in small tasks: 32 of some 300 documents each."""
+    import public_tokenizers
+
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", F.substring("text", 1, 12_000).alias("text"))
+    parts = [[r.n for r in docs.repartition(32).withColumn("p", F.spark_partition_id()).filter(F.col("p") == k).select((F.length("text") % 2048).alias("n")).collect()] for k in (0, 17)]
+    for sizes in parts:
+        levels, stay, total = packing.Levels(2048), 0, 0
+        for k, size in enumerate(x for x in sizes if x):
+            full = levels.place((k, 0, np.zeros(size, "<u4"), size), size)
+            stay, total = stay + (2048 if full else 0), total + size
+        at = {p[0]: (p[4], len(p[2])) for ws in levels.open.values() for w in ws for p in w}
+        for window in levels.drain():
+            assert (sum(len(p[2]) for p in window) & (sum(len(p[2]) for p in window) - 1)) == 0
+            stay += sum(len(p[2]) for p in window if at[p[0]] == (p[4], len(p[2])))
+        assert stay >= 0.93 * total
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert packing.pack(docs.repartition(32).limit(0), path).count() == 0
+
+
+def test_drain_of_hard_levels():
+    for sizes in ([9] * 37, [5], [], [8, 8, 4], [15, 1, 1], [7, 9, 3, 3], list(range(1, 16)) * 3):
+        levels, out = packing.Levels(16), []
+        for k, size in enumerate(sizes):
+            if full := levels.place((k, 0, np.arange(size, dtype="<u4"), size), size):
+                out.append(full)
+        out += list(levels.drain())
+        pieces = defaultdict(list)
+        for window in out:
+            at = 0
+            for doc, start, ids, _, offset in window:
+                assert offset == at and len(ids) and ids.tolist() == list(range(start, start + len(ids)))
+                at += len(ids)
+                pieces[doc].append((start, len(ids)))
+            assert at & (at - 1) == 0
+        assert {d: sum(n for _, n in p) for d, p in pieces.items()} == dict(enumerate(sizes))
+
+
+def test_encoders_agree_on_odd_strings():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    enc, slow = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(11)
+    ranges = [(32, 127), (0, 32), (160, 1000), (0x4E00, 0x4F00), (0x1F300, 0x1F600), (0x0600, 0x0700), (0x2000, 0x2070)]
+    for _ in range(400):
+        text = "".join(chr(int(rng.integers(*ranges[rng.integers(len(ranges))]))) for _ in range(int(rng.integers(0, 60))))
+        assert packing.encode(enc, text, 1).tolist() == slow.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_sum_of_squares_takes_the_cheapest_level():
     levels = packing.Levels(16)
     for k in range(200):

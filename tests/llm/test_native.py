@@ -103,6 +103,31 @@ def test_ledger_scans_only_what_is_new(spark, no_docs):
     assert secrets.scan_new_blobs(no_docs)[1].count() == 0 and secrets.scan_new_blobs(no_docs, ledger)[1].count() == ledger.count()
 
 
+def test_ledger_knows_versions_of_a_kind_apart(spark):
+    docs = spark.createDataFrame([(1, "0123456789abcdef0123"), (2, "token = abcdefghijklmnop"), (3, None)], "doc_id long, text string")
+    _, ledger = secrets.scan_new_blobs(docs)
+    both = (*secrets.RULES, secrets.Rule("hex", 2, r"[0-9a-f]{20,}", "true"))
+    paths, grown = secrets.scan_new_blobs(docs, ledger, both)
+    keys = [(r.blob, r.kind, r.version) for r in grown.collect()]
+    assert len(keys) == len(set(keys)) == 3 * 4
+    found = {r.doc_id: [(s.kind, s["rank"], s.start, s.end) for s in r.spans] for r in secrets.findings(paths, grown, both).collect()}
+    assert found == {1: [("hex", 2, 0, 20), ("hex", 3, 0, 20)], 2: [("assign", 0, 0, 24)], 3: []}
+
+
+def test_loads_meet_the_ledger_of_earlier_ones(spark, sf, odd_docs):
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    got = [Counter((r.doc_id, str(r.spans)) for r in secrets.findings(*parts).collect()) for parts in (secrets.scan_new_blobs(docs), secrets.scan_in_loads(docs, 3))]
+    assert got[0] == got[1]
+    keys = secrets.scan_in_loads(docs, 3)[1].groupBy("blob", "kind", "version").count()
+    assert keys.filter("count > 1").isEmpty() and keys.count() == 3 * docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
+def test_very_long_text_of_secrets(spark):
+    text = " ".join(f"token = secretsecret{k:06d}" for k in range(2_000))
+    out = secrets.mask_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.text == " ".join(["[secret]"] * 2_000)
+
+
 def test_masks_keep_the_rest(odd_docs, no_docs):
     out = {r.doc_id: r.text for r in secrets.mask_secrets(odd_docs).filter("doc_id IS NOT NULL").collect()}
     assert out[9] == "[secret] é token: short [secret] [secret]" and out[3] is None and out[4] == ""

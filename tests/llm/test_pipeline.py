@@ -34,6 +34,29 @@ def test_run_agrees_with_its_stages(spark, sf):
     assert np.all(np.array(list(copies.values())) <= 3)
 
 
+def _run_over(spark, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_run_over_odd_rows(spark, odd_docs, tmp_path):
+    """Null ids and texts, repeated rows, a very long text and clashing names go through all stages."""
+    rows = _run_over(spark, odd_docs, tmp_path / "odd")
+    ids = {r.doc_id for r in rows}
+    assert ids and ids <= {1, 2, 6, 7, 8, 9, 10, None} and not {3, 4, 5} & ids
+    own = [r for r in rows if r.doc_id == 1]
+    assert sum(r.length for r in own) % own[0].doc_tokens == 0
+    stages = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stages = corpus_pipeline.written(stage(spark, stages, str(tmp_path / "odd")), f"odd-{name}")
+        assert stages.columns == odd_docs.columns
+
+
+def test_run_over_no_rows(spark, no_docs, tmp_path):
+    assert _run_over(spark, no_docs, tmp_path / "none") == []
+
+
 def test_registered(spark):
     import __spark_entry__
 

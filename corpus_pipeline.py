@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbline.llm import minhash, mixing, packing, quality, secrets
-from ebbline.llm.common import table, written
+from ebbline.llm.common import dropped_after, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with dropped_after(spark):  # a stage's own scratch tables go when its rows are written
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", outer=True)
     return STAGES[-1][1](spark, docs, sf_dir)

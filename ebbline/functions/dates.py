@@ -33,19 +33,34 @@ def month_end_of(year: Column, month: Column) -> Column:
 
 BUCKETS = {"daily": lambda d: d, "weekly": week_end_sunday, "weekly_saturday": week_end_saturday, "monthly": month_end, "quarterly": quarter_end, "yearly": year_end}
 
-#: Other names of the grains, and the words for one period and for its comparison.
+#: Fixed values, those that contracts may use: other names of the grains; the words for one period, for its comparison, and for its end.
 GRAINS = {
-    "d": "daily", "day": "daily", "days": "daily", "daily": "daily",
-    "w": "weekly", "wk": "weekly", "week": "weekly", "weeks": "weekly", "weekly": "weekly", "week_end": "weekly", "week_ending": "weekly",
-    "m": "monthly", "mo": "monthly", "month": "monthly", "months": "monthly", "monthly": "monthly", "month_end": "monthly",
-    "q": "quarterly", "quarter": "quarterly", "quarterly": "quarterly", "y": "yearly", "year": "yearly", "yearly": "yearly",
+    "d": "daily", "day": "daily", "daily": "daily",
+    "w": "weekly", "wk": "weekly", "week": "weekly", "weekly": "weekly",
+    "m": "monthly", "mo": "monthly", "mon": "monthly", "month": "monthly", "monthly": "monthly",
+    "q": "quarterly", "qr": "quarterly", "quarter": "quarterly", "quarterly": "quarterly",
+    "y": "yearly", "yr": "yearly", "year": "yearly", "annual": "yearly", "annually": "yearly", "yearly": "yearly",
 }
 UNITS = {"daily": ("day", "DoD"), "weekly": ("week", "WoW"), "monthly": ("month", "MoM"), "quarterly": ("quarter", "QoQ"), "yearly": ("year", "YoY")}
 
 
-def grain_of(name: str) -> str:
-    """The grain that a label means; monthly if none."""
-    return GRAINS.get(name.strip().lower().replace("-", "_").replace(" ", "_"), "monthly")
+def grain_of(name: str | None) -> str:
+    """The grain that a label means, or `unknown`."""
+    return GRAINS.get((name or "").strip().lower(), "unknown")
+
+
+def unit_of(name: str | None) -> str:
+    return UNITS.get(grain_of(name), ("period", "PoP"))[0]
+
+
+def comparison_of(name: str | None) -> str:
+    return UNITS.get(grain_of(name), ("period", "PoP"))[1]
+
+
+def period_phrase(end: Column, name: str | None = None) -> Column:
+    """"the month ending 2024-01-31", or what is said without a date. A time of day is left out."""
+    day = F.substring_index(end.cast("string"), " ", 1)
+    return F.when(F.coalesce(day, F.lit("")) == "", "the most recent period").otherwise(F.concat(F.lit(f"the {unit_of(name)} ending "), day))
 
 
 def distinct_periods(df: DataFrame, period: str = "period") -> DataFrame:

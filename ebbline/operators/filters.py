@@ -57,6 +57,20 @@ def between_months(year: Column, month: Column, start: tuple[int, int], end: tup
 WINDOWS = {None: 730, "recent": 90, "weekly": 8 * 7, "monthly": 6 * 30, "yearly": 3 * 365}
 
 
+#: Periods that an analysis looks at by grain, and what a focus changes.
+FOCUS_PERIODS = {"daily": 14, "weekly": 8, "monthly": 4, "quarterly": 4, "yearly": 3}
+FOCUS = {"recent_weekly_trends": {"focus_periods": 8}, "recent_monthly_trends": {"focus_periods": 6}, "anomaly_detection": {"z_threshold": 1.5}, "outlier_investigation": {"z_threshold": 1.5}, "yoy_comparison": {"emphasize_yoy": True}, "forecasting": {"emphasize_forecast": True}, "revenue_gap_analysis": {"highlight_revenue_gaps": True}}
+
+
+def focus_settings(modes: tuple[str, ...] = (), grain: str = "unknown") -> dict[str, object]:
+    """The thresholds and windows of an analysis: the defaults of its grain, changed by each focus in turn."""
+    out: dict[str, object] = {"z_threshold": 2.0, "focus_periods": FOCUS_PERIODS.get(grain, 4)}
+    for name, change in FOCUS.items():
+        if name in modes:
+            out |= change
+    return out
+
+
 def window_start(end: Column, focus: str | None = None, override: int | None = None) -> Column:
     """The first day of a query's window: an override wins over the focus, and that over two years."""
     return F.date_sub(end, override if override is not None else WINDOWS.get(focus, WINDOWS[None]))

@@ -11,40 +11,58 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import f_upper
 
-#: Model parameters beyond which a two-way analysis falls back to one-way shares.
-MOST_PARAMETERS = 5000
+def _additive(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[float, int]:
+    """What two factors explain together about cells' sums (about a mean of 0), and the rank of their model.
 
-
-def _fit(y_sum: np.ndarray, n: np.ndarray, design: np.ndarray) -> float:
-    """The sum of squares that a design explains, from cells' counts and sums."""
-    w = np.sqrt(n)
-    coef, *_ = np.linalg.lstsq(design * w[:, None], y_sum / n * w, rcond=None)
-    return float(np.sum(n * (design @ coef) ** 2))
+    The factor with more levels is solved for in closed form, the other by conjugate gradients; nothing is larger than the cells.
+    """
+    if b.max() > a.max():
+        a, b = b, a
+    na, nb = np.bincount(a, n), np.bincount(b, n)
+    sa, sb = np.bincount(a, s), np.bincount(b, s)
+    times = lambda v: nb * v - np.bincount(b, n * (np.bincount(a, n * v[b]) / na)[a], len(nb))
+    left = sb - np.bincount(b, n * (sa / na)[a], len(nb))
+    x, z = np.zeros(len(nb)), left / nb
+    p, size = z.copy(), float(left @ (left / nb))
+    start = size
+    for _ in range(20 * len(nb) + 50):
+        if size <= start * 1e-30 or size == 0:
+            break
+        q = times(p)
+        step = size / float(p @ q) if float(p @ q) > 0 else 0.0
+        x, left = x + step * p, left - step * q
+        z = left / nb
+        size, old = float(left @ z), size
+        p = z + size / old * p
+    y = (sa - np.bincount(a, n * x[b], len(na))) / na
+    mark_a, mark_b = np.arange(len(na)), np.full(len(nb), len(na))
+    while True:  # parts of the table that no cell joins
+        np.minimum.at(mark_b, b, mark_a[a])
+        new = mark_a.copy()
+        np.minimum.at(new, a, mark_b[b])
+        if (new == mark_a).all():
+            return float(sa @ y + sb @ x), len(na) + len(nb) - len(np.unique(mark_a))
+        mark_a = new
 
 
 def two_way(df: DataFrame, a: str, b: str, value: str, interaction: bool = True) -> DataFrame:
     """Type II sums of squares of two factors and their interaction, with shares of the total, F and p.
 
-    Spark reduces the table to its cells' counts, sums and squares; the small least squares of the
-    cells are solved in one task. With too many parameters, only one-way shares are given.
+    Spark reduces the table to its cells' counts, sums and squares. Each factor alone and the cells have closed forms; only the
+    additive model is solved, in one task, over the list of cells. Rows without a factor count as a level of their own.
     """
-    cells = df.groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"), F.sum(value).cast("double").alias("s"), F.sum(F.col(value).cast("double") * F.col(value).cast("double")).alias("ss"))
-    sizes = cells.agg(F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b"), F.count("*").alias("cells")).first()
-    if sizes["a"] * sizes["b"] > MOST_PARAMETERS:
-        from .stats import one_way_share
-
-        return one_way_share(df, a, value).unionByName(one_way_share(df, b, value)).select(F.col("factor").alias("term"), F.lit(None).cast("double").alias("sum_sq"), F.lit(None).cast("double").alias("df"), "eta_squared", F.lit(None).cast("double").alias("f"), F.lit(None).cast("double").alias("p_value"))
+    cells = df.groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count(value).alias("n"), F.sum(value).cast("double").alias("s"), F.sum(F.col(value).cast("double") * F.col(value).cast("double")).alias("ss")).filter("n > 0")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         n, s = pdf["n"].to_numpy("f8"), pdf["s"].to_numpy("f8")
-        one = np.ones((len(pdf), 1))
-        da, db = (pd.get_dummies(pdf[c]).to_numpy("f8")[:, 1:] for c in "ab")
-        both, cell = np.hstack([one, da, db]), np.eye(len(pdf))
-        e0, ea, eb, eab, ecell = (_fit(s, n, x) for x in (one, np.hstack([one, da]), np.hstack([one, db]), both, cell))
-        total, k = pdf["ss"].sum() - e0, len(pdf)
-        left = pdf["ss"].sum() - (ecell if interaction else eab)
-        rest = n.sum() - (k if interaction else both.shape[1])
-        terms = [(a, eab - eb, da.shape[1]), (b, eab - ea, db.shape[1])] + ([(f"{a}:{b}", ecell - eab, k - both.shape[1])] if interaction else [])
+        ca, cb = (pd.factorize(pdf[c], sort=True, use_na_sentinel=False)[0] for c in "ab")
+        mean = s.sum() / n.sum()
+        total, s = float(pdf["ss"].sum() - n.sum() * mean * mean), s - n * mean
+        alone = lambda c: float((np.bincount(c, s) ** 2 / np.bincount(c, n)).sum())
+        both, rank = _additive(ca, cb, n, s)
+        cell = float((s * s / n).sum())
+        left, rest = total - (cell if interaction else both), n.sum() - (len(n) if interaction else rank)
+        terms = [(a, both - alone(cb), rank - cb.max() - 1), (b, both - alone(ca), rank - ca.max() - 1)] + ([(f"{a}:{b}", cell - both, len(n) - rank)] if interaction else [])
         out = []
         for name, ss, d in terms:
             f = ss / d / (left / rest) if d > 0 and rest > 0 and left > 0 else np.nan
@@ -55,12 +73,13 @@ def two_way(df: DataFrame, a: str, b: str, value: str, interaction: bool = True)
     return cells.groupBy().applyInPandas(solve, schema)
 
 
-def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions: bool = True) -> DataFrame:
+def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions: bool = True, most_parameters: int = 5000) -> DataFrame:
     """Type II sums of squares of any number of factors and all their pairwise interactions, with shares, F and p; method says which analysis was made.
 
     A term is fitted after all terms that don't contain it; shares are of the sum of all terms and the residual. Rows without
     a factor are left out, a null value is 0. Spark reduces the table to cells of all factors; one task adds
-    their normal equations up in blocks and solves them. With too many parameters, only one-way shares are given.
+    their normal equations up in blocks and solves them. With over `most_parameters`, whose equations one task can't hold, only one-way shares are
+    given (method one_way_fallback); two_way has no such limit.
     """
     y = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     rows = df.dropna(subset=list(factors)).select(*[F.col(c).cast("string").alias(f"f{k}") for k, c in enumerate(factors)], y.alias("y"))
@@ -69,7 +88,7 @@ def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions:
     levels = list(cells.agg(*[F.count_distinct(k) for k in keys]).first())
     pairs = list(combinations(range(len(factors)), 2)) if interactions else []
     terms = [(k,) for k in range(len(factors))] + pairs
-    if 1 + sum(int(np.prod([levels[k] - 1 for k in t])) for t in terms) > MOST_PARAMETERS:
+    if 1 + sum(int(np.prod([levels[k] - 1 for k in t])) for t in terms) > most_parameters:
         from .stats import one_way_share
 
         gone = [F.lit(None).cast("double").alias(c) for c in ("sum_sq", "df")]
@@ -150,8 +169,8 @@ def granger(series: DataFrame, lags: int = 2) -> DataFrame:
     return series.groupBy("leader", "follower").applyInPandas(one, "leader string, follower string, f double, p_value double")
 
 
-def change_points(series: DataFrame, least: int = 12, segment: int = 3, most: int = 5) -> DataFrame:
-    """Where an item's mean changes: the cheapest cut into segments, with a penalty of 3 * variance * log(n) a cut."""
+def change_points(series: DataFrame, least: int = 12, segment: int = 3, most: int | None = None) -> DataFrame:
+    """Where an item's mean changes: the cheapest cut into segments, with a penalty of 3 * variance * log(n) a cut. All changes of an item, or its `most` largest."""
     columns = ["item", "period", "change_point_index", "before_mean", "after_mean", "magnitude_dollar", "magnitude_pct", "confidence_score", "periods_before", "periods_after"]
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,6 +206,11 @@ def change_points(series: DataFrame, least: int = 12, segment: int = 3, most: in
     return series.select("item", "period", "value").groupBy("item").applyInPandas(one, "item string, period date, change_point_index int, before_mean double, after_mean double, magnitude_dollar double, magnitude_pct double, confidence_score double, periods_before int, periods_after int")
 
 
+def forecast_summary(forecasts: DataFrame) -> DataFrame:
+    """One row: items, forecasts, misses, items with misses, the percentage of misses and the mean absolute percentage error."""
+    return forecasts.agg(F.count_distinct("item").alias("items_analyzed"), F.count("*").alias("total_forecasts"), F.count_if("miss").alias("total_forecast_misses"), F.count_distinct(F.when(F.col("miss"), F.col("item"))).alias("items_with_misses"), F.coalesce(100 * F.avg(F.col("miss").cast("double")), F.lit(0.0)).alias("miss_rate_pct"), F.coalesce(F.avg("abs_variance_pct"), F.lit(0.0)).alias("mape"))
+
+
 def holdout_forecasts(series: DataFrame, season: int = 12, least: int = 18) -> DataFrame:
     """The last fifth of each series of 18 values or more, forecast from the rest.
 

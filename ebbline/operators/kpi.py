@@ -56,8 +56,23 @@ def sequential(totals: DataFrame, kpis: tuple[Kpi, ...], period_days: Column) ->
 
 def utilisation(series: DataFrame, value: str, last: int = 13) -> DataFrame:
     """The last periods against the series' mean: OK down to -5 %, WARNING down to -10 %, else DEGRADED."""
-    mean = F.avg(value).over(Window.partitionBy(F.lit(0)))
-    s = series.withColumn("mean", mean).withColumn("vs_mean_pct", (F.col(value) - F.col("mean")) / F.nullif(F.abs("mean"), F.lit(0.0)) * 100)
+    s = series.crossJoin(F.broadcast(series.agg(F.avg(value).alias("mean"))))
+    s = s.withColumn("vs_mean_pct", (F.col(value) - F.col("mean")) / F.nullif(F.abs("mean"), F.lit(0.0)) * 100)
     status = F.when(F.col("vs_mean_pct") >= -5, "OK").when(F.col("vs_mean_pct") >= -10, "WARNING").otherwise("DEGRADED")
     s = s.withColumn("status", status).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("period"))))
     return s.filter(F.col("_r") <= last).drop("_r")
+
+
+def degradations(series: DataFrame, value: str, goal: str = "maximize", back: int = 3, worse: float = 5.0) -> DataFrame:
+    """Periods in which a metric is worse by over `worse` percent than the mean of the `back` periods before: period, current, baseline, variance_pct."""
+    base = F.avg(value).over(Window.orderBy("period").rowsBetween(-back, -1))  # periods of one metric
+    s = series.select("period", F.col(value).cast("double").alias("current"), base.alias("baseline"), F.lag(value, back).over(Window.orderBy("period")).alias("_full"))
+    s = s.filter("_full IS NOT NULL").withColumn("variance_pct", (F.col("current") - F.col("baseline")) / F.nullif(F.abs("baseline"), F.lit(0.0)) * 100).drop("_full")
+    return s.filter({"maximize": F.col("variance_pct") < -worse, "minimize": F.col("variance_pct") > worse, "neutral": F.lit(False)}[goal])
+
+
+def value_outliers(series: DataFrame, value: str, least: float = 2.0) -> DataFrame:
+    """Periods whose value lies `least` deviations off the series' mean: period, value, mean, z_score."""
+    whole = series.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("_sd"))
+    s = series.crossJoin(F.broadcast(whole)).withColumn("z_score", (F.col(value) - F.col("mean")) / F.nullif("_sd", F.lit(0.0)))
+    return s.filter(F.abs("z_score") >= least).select("period", F.col(value).cast("double").alias("value"), "mean", "z_score")

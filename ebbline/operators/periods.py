@@ -15,7 +15,7 @@ BACK = {"yoy": (12, 0, 7), "qoq": (3, 0, 7), "mom": (1, 0, 7), "wow": (0, 7, 3)}
 
 def observed(df: DataFrame, period: str = "period") -> list[dt.date]:
     """All distinct periods in order. There are as many as the calendar has, whatever the size of the table."""
-    return [r["period"] for r in distinct_periods(df, period).orderBy("period").collect()]
+    return sorted(r["period"] for r in df.select(F.col(period).alias("period")).filter("period IS NOT NULL").distinct().collect())
 
 
 def current(periods: list[dt.date], lag: int = 0, asked: str | None = None) -> dt.date | None:
@@ -67,12 +67,12 @@ def at(period: dt.date | None, value: str | Column) -> Column:
     return F.coalesce(F.sum(F.when(F.col("period") == F.lit(period), v)), F.lit(0)).cast("double")
 
 
-def dense(df: DataFrame, item: str, value: str) -> DataFrame:
+def dense(df: DataFrame, item: str, value: str, periods: list[dt.date] | None = None) -> DataFrame:
     """(item, period, period_idx, value) with each period for each item, 0 where there was none.
 
-    Rows are summed first. Each item carries the list of periods, so no join makes the cells.
+    Rows are summed first. Each item carries the list of periods (those of df, if they aren't given), so no join makes the cells.
     """
-    periods = observed(df)
+    periods = observed(df) if periods is None else periods
     cells = df.groupBy(F.col(item).alias("item"), "period").agg(F.sum(value).cast("double").alias("value"))
     rows = cells.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("period", "value"))).alias("m"))
     calendar = F.array(*[F.lit(p) for p in periods])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import distinct_periods, gaps
+from ..sources.sinks import kept
 
 #: Formats that a date column may have.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy-MM", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MMM yyyy")
@@ -47,17 +48,50 @@ def frequency(df: DataFrame, day: str) -> DataFrame:
 
 
 def dependencies(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(child, parent) pairs where each child value has one parent and there are more children than parents.
+    """(child, parent) pairs where each child value has one parent and there are more children than parents; nulls tell nothing.
 
-    Each pair is counted on its distinct combinations, so the fact is reduced before values are compared.
+    One aggregation a child: the least and the largest value of every other column, which are equal where there is but one.
     """
-    pairs = [(c, p) for c in columns for p in columns if c != p]
-    every = df.select(*columns).distinct()
-    sizes = every.agg(*[F.count_distinct(c).alias(c) for c in columns])
     out = []
-    for c, p in pairs:
-        per = every.groupBy(c).agg(F.count_distinct(p).alias("n")).agg(F.max("n").alias("most"), F.count(F.col(c)).alias("children"))
-        out.append(per.select(F.lit(c).alias("child"), F.lit(p).alias("parent"), "most", "children"))
-    found = reduce(DataFrame.unionByName, out)
-    counts = sizes.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])).alias("parent", "parents"))
-    return found.join(counts, "parent").filter("most = 1 AND children > parents").select("child", "parent", "children", "parents")
+    for c in columns:
+        others = [p for p in columns if p != c]
+        per = df.groupBy(F.col(c).alias("child")).agg(*[(F.min(p).eqNullSafe(F.max(p))).alias(f"_{k}") for k, p in enumerate(others)]).filter("child IS NOT NULL")
+        one = per.agg(F.count("*").alias("children"), F.array(*[F.struct(F.lit(p).alias("parent"), F.bool_and(f"_{k}").alias("one")) for k, p in enumerate(others)]).alias("parents"))
+        out.append(one.select(F.lit(c).alias("child"), "children", "parents"))
+    found = kept(reduce(DataFrame.unionByName, out), "dependencies")  # a row a column
+    sizes = found.select(F.col("child").alias("parent"), F.col("children").alias("parents"))
+    pairs = found.select("child", "children", F.explode("parents").alias("p")).select("child", "children", "p.*").filter("one")
+    return pairs.join(sizes, "parent").filter("children > parents").select("child", "parent", "children", "parents")
+
+
+#: Words in names of columns that number things, and in names of money and of rates.
+IDENTIFIER_NAMES = ("id", "code", "key", "fips", "zip", "sku", "num")
+
+
+def numbers_in(c: Column) -> Column:
+    return F.translate(c.cast("string"), "$,% ", "").try_cast("double")
+
+
+def ratio_rule(x: Column) -> Column:
+    """Whether a column's numbers are rates: all within [0, 1.01], or within [0, 100] and close together."""
+    return (F.min(x) >= 0) & ((F.max(x) <= 1.01) | ((F.max(x) <= 100) & (F.stddev_samp(x) < 30)))
+
+
+def identifier_rule(c: Column, name: str) -> Column:
+    """Whether a column's numbers name rows: whole, hardly ever repeated, none negative, and either called so or within a narrow range."""
+    x = numbers_in(c)
+    named = F.lit(any(h in name.lower() for h in IDENTIFIER_NAMES))
+    return F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)) & (F.approx_count_distinct(x, 0.02) > 0.95 * F.count(x)) & (F.min(x) >= 0) & (named | (F.max(x) - F.min(x) <= 1000))
+
+
+def symbol_hints(c: Column) -> dict[str, Column]:
+    """The shares of values with a currency sign before them, and with a percent sign after them."""
+    share = lambda x: F.avg(x.cast("double"))
+    return {"currency": share(c.startswith("$")), "percentage": share(c.endswith("%"))}
+
+
+def categories(df: DataFrame, column: str, samples: int = 10) -> DataFrame:
+    """One row: how many values a column has, and the first of them."""
+    kinds = kept(df.groupBy(F.col(column).alias("kind")).agg(F.count("*").alias("n")).filter("kind IS NOT NULL"), "categories")
+    first = kinds.orderBy("kind").limit(samples).agg(F.sort_array(F.collect_list("kind")).alias("samples"))
+    return kinds.agg(F.count("*").alias("cardinality")).crossJoin(F.broadcast(first))

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import kept
+from .ordered import numbered, with_totals
+
 
 def ranked_slice(df: DataFrame, value: str, levels: tuple[str, ...], tops: tuple[int, ...]) -> DataFrame:
     """The keys of the top parents by sum, the top children of each, and so on; ties by name."""
@@ -54,11 +57,17 @@ def tier_keys(df: DataFrame, tier: Tier, value: str) -> DataFrame:
     """The entities that a tier keeps: the first n, or the fewest whose share reaches value percent (all, if the total is 0)."""
     groups = [tier.within] if tier.within else []
     totals = df.groupBy(*groups, tier.level).agg(F.sum(F.abs(value)).alias("_t"))
-    order = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.desc("_t"), F.col(tier.level))
+    order = (F.desc("_t"), F.col(tier.level))
+    if tier.mode == "top_n" and not groups:
+        return totals.orderBy(*order).limit(int(tier.value)).select(tier.level)
+    if not groups:
+        placed = with_totals(numbered(totals, *order, before="_t"), total=F.sum("_t"))
+        return placed.filter((F.col("before") < F.col("total") * tier.value / 100) | (F.col("total") == 0)).select(tier.level)
+    part = Window.partitionBy(*groups)
     if tier.mode == "top_n":
-        return totals.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= int(tier.value)).select(*groups, tier.level)
-    before = F.coalesce(F.sum("_t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_t").over(Window.partitionBy(*(groups or [F.lit(0)])))
+        return totals.withColumn("_r", F.row_number().over(part.orderBy(*order))).filter(F.col("_r") <= int(tier.value)).select(*groups, tier.level)
+    before = F.coalesce(F.sum("_t").over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_t").over(part)
     return totals.withColumn("_k", (before < total * tier.value / 100) | (total == 0)).filter("_k").select(*groups, tier.level)
 
 
@@ -69,11 +78,48 @@ def tier_filtered(df: DataFrame, tier: Tier, value: str) -> DataFrame:
 
 def with_rank(df: DataFrame, by: str, name: str, *groups: str) -> DataFrame:
     """rank by falling size of `by`, and the cumulative percentage of its absolute sum; ties by name."""
-    part = Window.partitionBy(*(groups or [F.lit(0)]))
-    order = part.orderBy(F.desc(F.abs(by)), F.col(name))
+    order = (F.desc(F.abs(by)), F.col(name))
+    if not groups:
+        placed = with_totals(numbered(df.withColumn("_x", F.abs(by)), *order, before="_x"), total=F.sum("_x"))
+        running, total = F.col("before") + F.col("_x"), F.col("total")
+        return placed.withColumn("rank", F.col("row").cast("int")).withColumn("cumulative_pct", F.when(total > 0, running / total * 100).otherwise(F.lit(0.0))).drop("row", "before", "total", "_x")
+    part = Window.partitionBy(*groups)
     total = F.sum(F.abs(by)).over(part)
-    running = F.sum(F.abs(by)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("rank", F.row_number().over(order)).withColumn("cumulative_pct", F.when(total > 0, running / total * 100).otherwise(F.lit(0.0)))
+    running = F.sum(F.abs(by)).over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("rank", F.row_number().over(part.orderBy(*order))).withColumn("cumulative_pct", F.when(total > 0, running / total * 100).otherwise(F.lit(0.0)))
+
+
+def major_shares(df: DataFrame, item: str, value: str, least: float = 0.05) -> DataFrame:
+    """Each item's share of the total, and whether it is a major one."""
+    totals = kept(df.groupBy(item).agg(F.sum(value).cast("double").alias("v")), "shares")
+    out = with_totals(totals, total=F.sum("v")).withColumn("share", F.col("v") / F.nullif("total", F.lit(0.0)))
+    return out.select(item, "share", (F.col("share") >= least).alias("is_major"))
+
+
+def persistent_movers(series: DataFrame, top: int = 5, share: float = 0.5) -> DataFrame:
+    """How often each item is among the `top` largest moves of a period, of how many periods, and whether that is over the share of them."""
+    moves = series.withColumn("move", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("item").orderBy("period")))).filter("move IS NOT NULL")
+    hits = moves.withColumn("r", F.row_number().over(Window.partitionBy("period").orderBy(F.desc("move"), "item"))).filter(F.col("r") <= top)
+    n = series.agg((F.count_distinct("period") - 1).alias("periods"))
+    out = hits.groupBy("item").agg(F.count("*").alias("times")).crossJoin(F.broadcast(n))
+    return out.withColumn("persistent", F.col("times") > share * F.col("periods"))
+
+
+def similar_history(moves: DataFrame, item: str, value: str, now, last: int = 3, top: int = 2, like: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
+    """Of each item's `last` periods before `now`, the latest `top` whose value is half to twice the present one."""
+    back = Window.partitionBy(item).orderBy(F.desc("period"))
+    present = moves.filter(F.col("period") == F.lit(now)).select(item, F.col(value).alias("_now"))
+    recent = moves.filter(F.col("period") < F.lit(now)).withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= last).drop("_r")
+    near = recent.join(present, item).filter((F.col(value) / F.nullif("_now", F.lit(0.0))).between(*like)).drop("_now")
+    return near.withColumn("_k", F.row_number().over(back)).filter(F.col("_k") <= top).drop("_k")
+
+
+def rank_of(df: DataFrame, item: str, value: str, named: str) -> DataFrame:
+    """One row: the named item's total and its rank among all by sum; ties by name. Larger totals are counted, not sorted."""
+    totals = kept(df.groupBy(item).agg(F.sum(value).alias("total")), "rank-of")
+    own = totals.filter(F.col(item) == named).select(F.col("total").alias("own"))
+    ahead = totals.crossJoin(F.broadcast(own)).agg((F.count_if((F.col("total") > F.col("own")) | ((F.col("total") == F.col("own")) & (F.col(item) < named)) | (F.col("own").isNull() & F.col("total").isNotNull())) + 1).alias("rank"))
+    return totals.filter(F.col(item) == named).crossJoin(F.broadcast(ahead))
 
 
 def first_of(df: DataFrame, keys: tuple[str, ...], *order) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import BUCKETS, distinct_periods, gaps
-from ..plans.contract import Metric, rolled
+from ..plans.contract import Metric, aggregate_of, rolled
+from ..sources.sinks import kept
 
 UNASSIGNED = "(Unassigned)"
 ORDER = {"daily": 0, "weekly": 1, "monthly": 2, "quarterly": 3, "yearly": 4}
@@ -41,15 +42,24 @@ def without_children(df: DataFrame, keys: tuple[str, ...], children: tuple[str,
     return df.groupBy(*keep).agg(*[rolled(m) for m in metrics])
 
 
+def auto_weekly(df: DataFrame, day: str, keys: tuple[str, ...], metrics: tuple[Metric, ...], most: int = 100_000) -> DataFrame:
+    """Daily tables of over `most` rows by weeks; others as they are."""
+    return to_grain(df, day, "weekly", keys, metrics) if df.limit(most + 1).count() > most else df
+
+
 def within_rows(df: DataFrame, keys: tuple[str, ...], metrics: tuple[Metric, ...], most: int) -> tuple[DataFrame, tuple[str, ...]]:
-    """df rolled up by dropping the keys with most values until at most `most` rows remain, and the keys kept."""
-    sizes = df.agg(*[F.approx_count_distinct(k).alias(k) for k in keys]).first().asDict()
+    """df rolled up by dropping the keys with most values until at most `most` rows remain, and the keys kept.
+
+    df is aggregated once, by all keys, with what sums, maxima and means need; all else runs on that.
+    """
+    parts = [c for m in metrics for v in (m.column or m.name,) for c in (F.sum(v).alias(f"{m.name}__sum"), F.max(v).alias(f"{m.name}__max"), F.count(v).alias(f"{m.name}__count"))]
+    base = kept(df.groupBy(*keys).agg(*parts), "row-budget")
+    again = {"sum": lambda n: F.sum(f"{n}__sum"), "max": lambda n: F.max(f"{n}__max"), "avg": lambda n: F.sum(f"{n}__sum") / F.nullif(F.sum(f"{n}__count"), F.lit(0))}
+    sizes = base.agg(*[F.count_distinct(k).alias(k) for k in keys]).first().asDict()
     keep = sorted(keys, key=lambda k: (sizes[k], k))
-    while True:
-        out = df.groupBy(*keep).agg(*[rolled(m) for m in metrics])
-        if len(keep) == 1 or out.count() <= most:
-            return out, tuple(keep)
+    while len(keep) > 1 and base.select(*keep).distinct().count() > most:
         keep.pop()
+    return base.groupBy(*keep).agg(*[again[aggregate_of(m)](m.name).alias(m.name) for m in metrics]), tuple(keep)
 
 
 def period_totals(df: DataFrame, value: str = "value") -> DataFrame:
@@ -67,7 +77,7 @@ def level_sums(df: DataFrame, level: str, value: str) -> DataFrame:
 
 
 def all_levels(df: DataFrame, levels: tuple[str, ...], *aggregates: Column) -> DataFrame:
-    """All levels of a hierarchy, the total being level 0, in one pass over df: each input row counts in each level's grouping set."""
+    """All levels of a hierarchy, the total being level 0, in one pass over df: each input row counts in each level's grouping set, so group a fact by its leaves first."""
     prefixes = [levels[:k] for k in range(len(levels) + 1)]
     named = df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit(UNASSIGNED)) for k in levels})
     out = named.groupingSets([[F.col(c) for c in p] for p in prefixes], *levels).agg(*aggregates, *[F.grouping(c).alias(f"_{c}") for c in levels])
@@ -95,3 +105,17 @@ def material(df: DataFrame, key: str, weight: str, least: float) -> DataFrame:
 def children_of(df: DataFrame, parent: str, child: str) -> DataFrame:
     """The sorted children of each parent."""
     return df.select(parent, child).distinct().groupBy(parent).agg(F.sort_array(F.collect_list(child)).alias("children"))
+
+
+def long_ratio(df: DataFrame, keys: tuple[str, ...], numerator: str, denominator: str, metric: str = "metric", value: str = "value", days: Column | None = None) -> DataFrame:
+    """numerator over denominator of a long table of metric names, by keys; with `days`, over the denominator's daily mean."""
+    pick = lambda m: F.sum(F.when(F.trim(metric) == m, F.col(value))).cast("double")
+    below = pick(denominator) / days if days is not None else pick(denominator)
+    return df.groupBy(*keys).agg((pick(numerator) / F.nullif(below, F.lit(0.0))).alias("ratio"))
+
+
+def flagged_against_rest(df: DataFrame, keys: tuple[str, ...], flag: str, value: str, marks: tuple[str, ...] = ("true", "1", "yes")) -> DataFrame:
+    """The mean of flagged rows and of the others, and how far the first is off in percent."""
+    hit = F.lower(F.col(flag).cast("string")).isin(*[m.lower() for m in marks])
+    out = df.groupBy(*keys).agg(F.avg(F.when(hit, F.col(value).cast("double"))).alias("flagged"), F.avg(F.when(~hit, F.col(value).cast("double"))).alias("baseline"))
+    return out.withColumn("deviation_pct", 100 * (F.col("flagged") / F.nullif("baseline", F.lit(0.0)) - 1))

@@ -7,7 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pvalues import correlation_p, normal_p
+from ..functions.pvalues import correlation_p, normal_p, shapiro_p
+from .ordered import numbered, with_totals
 
 
 def by_item():
@@ -105,8 +106,8 @@ def robust_z(totals: DataFrame, least: float = 3.0, severe: float = 5.0) -> Data
     return t.withColumn("severity", F.when(F.abs("z_score") >= severe, "high").otherwise("medium"))
 
 
-def outlier_impact(series: DataFrame, method: str = "mean") -> DataFrame:
-    """One row an item with outliers: mean, slope and latest value as they are and with outliers replaced."""
+def without_outliers(series: DataFrame, method: str = "mean") -> DataFrame:
+    """series with `outlier` (two deviations off the mean, or three median deviations off the median) and `clean`, the value that takes an outlier's place."""
     med = series.groupBy("item").agg(F.percentile("value", F.lit(0.5)).alias("med"), F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
     s = series.join(med, "item").withColumn("dev", F.abs(F.col("value") - F.col("med")))
     s = s.join(s.groupBy("item").agg(F.percentile("dev", F.lit(0.5)).alias("mad")), "item")
@@ -115,14 +116,29 @@ def outlier_impact(series: DataFrame, method: str = "mean") -> DataFrame:
     clean_mean = F.avg(F.when(~F.col("outlier"), F.col("value"))).over(by_item())
     beside = F.coalesce((F.lag("value").over(in_order()) + F.lead("value").over(in_order())) / 2, F.lag("value").over(in_order()), F.lead("value").over(in_order()))
     new = {"mean": clean_mean, "neighbours": beside, "zero": F.lit(0.0)}[method]
-    s = s.withColumn("clean", F.when(F.col("outlier"), new).otherwise(F.col("value")))
+    return s.withColumn("clean", F.when(F.col("outlier"), new).otherwise(F.col("value"))).drop("med", "m", "sd", "dev", "mad")
+
+
+def outlier_impact(series: DataFrame, method: str = "mean") -> DataFrame:
+    """One row an item with outliers: mean, slope and latest value as they are and with outliers replaced."""
     x = F.col("period_idx").cast("double")
-    out = s.groupBy("item").agg(
+    out = without_outliers(series, method).groupBy("item").agg(
         F.count_if("outlier").alias("outliers"), F.avg("value").alias("mean_with"), F.avg("clean").alias("mean_without"), F.regr_slope("value", x).alias("slope_with"), F.regr_slope("clean", x).alias("slope_without"),
         F.max_by("value", "period").alias("latest_with"), F.max_by("clean", "period").alias("latest_without"))
     return out.filter("outliers > 0")
 
 
+def leave_k_out(series: DataFrame, k: int = 5, method: str = "mean") -> DataFrame:
+    """The k items whose outliers add or take away most over all periods: what the latest total would be without each one's latest outlier."""
+    s = without_outliers(series, method).withColumn("impact", F.when(F.col("outlier"), F.col("value") - F.col("clean")).otherwise(0.0))
+    last = F.max_by("impact", "period").alias("marginal_impact")
+    per = s.groupBy("item").agg(F.sum(F.abs("impact")).alias("total_impact"), last, F.count_if("outlier").alias("outliers"), F.max_by("value", "period").alias("latest"))
+    total = per.agg(F.sum("latest").alias("total"))
+    top = per.filter("outliers > 0").orderBy(F.desc("total_impact"), "item").limit(k).crossJoin(F.broadcast(total))
+    pct = F.coalesce(F.col("marginal_impact") / F.nullif("total", F.lit(0.0)) * 100, F.lit(0.0))
+    return top.select("item", "total_impact", "marginal_impact", (F.col("total") - F.col("marginal_impact")).alias("adjusted_total"), pct.alias("marginal_impact_pct"))
+
+
 def one_way_share(df: DataFrame, factor: str, value: str) -> DataFrame:
     """The part of the variation that a factor explains, from its cells' counts and sums."""
     g = df.groupBy(factor).agg(F.count("*").alias("n"), F.sum(value).cast("double").alias("s"), F.sum(F.col(value).cast("double") * F.col(value).cast("double")).alias("ss"))
@@ -131,6 +147,16 @@ def one_way_share(df: DataFrame, factor: str, value: str) -> DataFrame:
     return total.select(F.lit(factor).alias("factor"), ((F.col("between") - mean) / F.nullif(F.col("ss") - mean, F.lit(0.0))).alias("eta_squared"))
 
 
+def one_way_shares(df: DataFrame, factors: tuple[str, ...], value: str) -> DataFrame:
+    """The same for several factors, from one pass over df: each row counts once for each factor."""
+    v = F.col(value).cast("double")
+    long = df.select(v.alias("v"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors])).alias("f")).select("v", "f.*")
+    g = long.groupBy("factor", "level").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+    t = g.groupBy("factor").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"))
+    mean = F.col("s") * F.col("s") / F.col("n")
+    return t.select("factor", ((F.col("between") - mean) / F.nullif(F.col("ss") - mean, F.lit(0.0))).alias("eta_squared"))
+
+
 def moments(series: DataFrame) -> DataFrame:
     """Shape of each item: population skew and excess kurtosis, seven quantiles, and the coefficient of bimodality."""
     q = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
@@ -164,21 +190,67 @@ def normality(series: DataFrame) -> DataFrame:
     return m.select("item", "n_observations", "statistic", "normality_p_value", is_normal.alias("is_normal"), label.alias("classification"))
 
 
+def distribution(series: DataFrame, top: int = 15, short: int = 50) -> DataFrame:
+    """Shape of the `top` items by |avg| with eight values or more: moments, a test of normality, labels, and how far z-scores can be trusted.
+
+    Up to `short` values are tested by Shapiro and Wilk, longer series by the joint test of skew and kurtosis.
+    """
+    s = leading_items(series, top)
+    tests = normality(s).select("item", F.col("normality_p_value").alias("joint_p"))
+    lists = s.groupBy("item").agg(F.collect_list("value").alias("values"), F.count("value").alias("n"))
+    small = lists.select("item", shapiro_p(F.when(F.col("n") <= short, F.col("values"))).alias("small_p"))
+    d = moments(s).filter("n_observations >= 8").join(tests, "item").join(small, "item")
+    d = d.withColumn("normality_p_value", F.when(F.col("n_observations") <= short, F.col("small_p")).otherwise(F.col("joint_p")))
+    skew, kurt = F.col("skewness"), F.col("excess_kurtosis")
+    normal = F.coalesce((F.col("normality_p_value") > 0.05) & (F.abs(skew) < 0.5) & (F.abs(kurt) < 1), F.lit(False))
+    labels = F.concat_ws(", ", F.when(skew > 0.5, "skewed_right").when(skew < -0.5, "skewed_left"), F.when(kurt > 1, "heavy_tailed").when(kurt < -1, "light_tailed"))
+    label = F.when(labels != "", labels).when(normal, "normal").otherwise("near_normal")
+    trust = F.when(normal, "high").when((F.abs(skew) > 1) | (F.abs(kurt) > 2), "low").otherwise("medium")
+    return d.withColumns({"is_normal": normal, "classification": label, "z_score_reliability": trust}).drop("joint_p", "small_p")
+
+
 def concentration(df: DataFrame, *groups: str, value: str = "value", share: float = 0.8) -> DataFrame:
-    """How much a few entities hold of each group: Pareto count and ratio, top shares, HHI and Gini of absolute values."""
-    part = Window.partitionBy(*(groups or [F.lit(0)]))
-    down, up = part.orderBy(F.desc("x"), F.col("item")), part.orderBy(F.col("x"), F.desc("item"))
-    r = df.withColumn("x", F.abs(F.col(value).cast("double"))).withColumn("t", F.sum("x").over(part))
-    r = r.withColumn("k", F.row_number().over(down)).withColumn("before", F.coalesce(F.sum("x").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("i", F.row_number().over(up))
+    """How much a few entities hold of each group: Pareto count and ratio, top shares, HHI and Gini of absolute values.
+
+    Without groups, entities are ordered by ranges, so that their number is no limit.
+    """
+    order = (F.desc("x"), F.col("item"))
+    r = df.withColumn("x", F.abs(F.col(value).cast("double")))
+    if groups:
+        part = Window.partitionBy(*groups)
+        down = part.orderBy(*order)
+        r = r.withColumn("t", F.sum("x").over(part)).withColumn("n", F.count("*").over(part)).withColumn("row", F.row_number().over(down)).withColumn("before", F.coalesce(F.sum("x").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    else:
+        r = with_totals(numbered(r, *order, before="x"), t=F.sum("x"), n=F.count("*"))
     out = r.groupBy(*groups).agg(
-        F.count("*").alias("total_entities"), F.count_if(F.col("before") < share * F.col("t")).alias("pareto_count"), F.max("t").alias("t"), F.sum(F.when(F.col("k") <= 5, F.col("x"))).alias("a"), F.sum(F.when(F.col("k") <= 10, F.col("x"))).alias("b"),
-        F.sum((100 * F.col("x") / F.nullif("t", F.lit(0.0))) ** 2).alias("hhi"), F.sum(F.col("i") * F.col("x")).alias("ix"))
+        F.count("*").alias("total_entities"), F.count_if(F.col("before") < share * F.col("t")).alias("pareto_count"), F.max("t").alias("t"), F.sum(F.when(F.col("row") <= 5, F.col("x"))).alias("a"), F.sum(F.when(F.col("row") <= 10, F.col("x"))).alias("b"),
+        F.sum((100 * F.col("x") / F.nullif("t", F.lit(0.0))) ** 2).alias("hhi"), F.sum((F.col("n") - F.col("row") + 1) * F.col("x")).alias("ix"))
     n = F.col("total_entities")
     out = out.withColumn("pareto_ratio", F.col("pareto_count") / n).withColumn("top_5_share", F.col("a") / F.nullif("t", F.lit(0.0))).withColumn("top_10_share", F.col("b") / F.nullif("t", F.lit(0.0)))
     label = F.when(F.col("hhi") < 1500, "competitive").when(F.col("hhi") < 2500, "moderate").otherwise("concentrated")
     return out.withColumn("hhi_label", label).withColumn("gini", 2 * F.col("ix") / F.nullif(n * F.col("t"), F.lit(0.0)) - (n + 1) / n).drop("t", "a", "b", "ix")
 
 
+def concentration_trend(series: DataFrame, least: int = 6) -> DataFrame:
+    """One row: the slopes of HHI and Gini over the periods, with their p; null under `least` periods."""
+    x = F.col("period_idx").cast("double")
+    per = concentration(series, "period", "period_idx")
+    t = per.agg(F.count("*").alias("periods"), *[f.alias(n) for c in ("hhi", "gini") for n, f in ((f"{c}_slope", F.regr_slope(c, x)), (f"{c}_r", correlation(c, x)))])
+    enough = F.col("periods") >= least
+    t = t.select("periods", *[F.when(enough, F.col(f"{c}_{e}")).alias(f"{c}_{e}") for c in ("hhi", "gini") for e in ("slope", "r")])
+    return t.withColumns({f"{c}_p_value": correlation_p(f"{c}_r", "periods") for c in ("hhi", "gini")}).drop("hhi_r", "gini_r")
+
+
+def compared_correlations(population: DataFrame, entities: DataFrame, strong: float = 0.8, weak: float = 0.3, least: int = 6) -> DataFrame:
+    """Pairs (a, b) of each entity that correlate strongly in the whole, and whether the entity breaks that: weak there, or of the other sign.
+
+    population: (a, b, r, n) of the totals; entities: the same by entity, with its columns. Pairs of metrics are few.
+    """
+    whole = population.filter(F.abs("r") >= strong).select("a", "b", F.col("r").alias("population_r"))
+    own = entities.filter((F.col("n") >= least) & F.col("r").isNotNull()).join(F.broadcast(whole), ["a", "b"])
+    return own.withColumn("broken", (F.abs("r") < weak) | (F.signum("r") != F.signum("population_r")))
+
+
 def lead_lag(wide: DataFrame, names: tuple[str, ...], most: int = 6, least_r: float = 0.5, gain: float = 0.1) -> DataFrame:
     """Ordered pairs whose correlation is best at a lag: the follower's value that many periods after the leader's.
 
@@ -227,5 +299,10 @@ def seasonal_summary(parts: DataFrame) -> DataFrame:
     return out.withColumn("seasonal_strength", F.greatest(F.lit(0.0), 1 - F.col("vr") / F.nullif("vs", F.lit(0.0)))).drop("vr", "vs")
 
 
-def p_of_slope(r: Column, n: Column) -> Column:
-    return correlation_p(r, n)
+def adjusted_yoy(parts: DataFrame, period: int = 12) -> DataFrame:
+    """Each item's change of the last period against the one a cycle before, as it is and without the seasonal effects."""
+    last = F.max("period_idx").over(by_item())
+    ends = parts.withColumn("last", last).filter((F.col("period_idx") == F.col("last")) | (F.col("period_idx") == F.col("last") - period))
+    at = lambda c, k: F.max(F.when(F.col("period_idx") == F.col("last") - k, c))
+    clean = F.col("value") - F.col("seasonal")
+    return ends.groupBy("item").agg((at(F.col("value"), 0) - at(F.col("value"), period)).alias("yoy_variance_raw"), (at(clean, 0) - at(clean, period)).alias("yoy_variance_seasonal_adjusted"))

@@ -7,15 +7,13 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import kept
+from . import series as ser
+from .ordered import with_totals
 from .periods import at
 from .rollup import UNASSIGNED, all_levels
 
 
-def every():
-    """All rows as one group: of levels and entities, after aggregation, never of facts."""
-    return Window.partitionBy(F.lit(0))
-
-
 def safe(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
@@ -65,12 +63,12 @@ def price_volume(df: DataFrame, item: str, total: str, volume: str, now: dt.date
 def mix_shift(df: DataFrame, segment: str, total: str, volume: str, now: dt.date, then: dt.date) -> DataFrame:
     """Weights, prices and mix effect of each segment, with the three effects of the whole on each row."""
     rows = price_volume(df, segment, total, volume, now, then).withColumnRenamed("item", "segment").withColumnsRenamed({"curr_price": "current_price", "curr_vol": "volume_current", "prior_vol": "volume_prior"})
-    over = lambda c: F.sum(c).over(every())
-    rows = rows.withColumns({"v1": over("volume_current"), "v0": over("volume_prior"), "t1": over(F.col("current_price") * F.col("volume_current")), "t0": over(F.col("prior_price") * F.col("volume_prior"))})
+    rows = kept(rows, "mix-segments")
+    rows = with_totals(rows, v1=F.sum("volume_current"), v0=F.sum("volume_prior"), t1=F.sum(F.col("current_price") * F.col("volume_current")), t0=F.sum(F.col("prior_price") * F.col("volume_prior")), wp=F.sum(F.col("volume_prior") * F.col("current_price")))
     weight = lambda v, t: F.coalesce(safe(F.col(v), F.col(t)), F.lit(0.0))
     rows = rows.withColumn("prior_weight", weight("volume_prior", "v0")).withColumn("current_weight", weight("volume_current", "v1")).withColumn("weight_change", F.col("current_weight") - F.col("prior_weight"))
     blended0, blended1 = weight("t0", "v0"), weight("t1", "v1")
-    at_old_mix = over(F.col("prior_weight") * F.col("current_price"))
+    at_old_mix = weight("wp", "v0")  # current prices at the prior weights
     rows = rows.withColumns({
         "contribution_to_mix_effect": F.col("weight_change") * F.col("current_price") * F.col("v1"),
         "volume_effect": (F.col("v1") - F.col("v0")) * blended0,
@@ -78,7 +76,7 @@ def mix_shift(df: DataFrame, segment: str, total: str, volume: str, now: dt.date
         "mix_effect": (blended1 - at_old_mix) * F.col("v1"),
         "variance": F.col("t1") - F.col("t0"),
     })
-    return rows.drop("v1", "v0", "t1", "t0", "total_variance", "volume_impact", "price_impact", "residual").withColumnRenamed("variance", "total_variance")
+    return rows.drop("v1", "v0", "t1", "t0", "wp", "total_variance", "volume_impact", "price_impact", "residual").withColumnRenamed("variance", "total_variance")
 
 
 def bridge(df: DataFrame, entity: str, value: str, now: dt.date, then: dt.date) -> DataFrame:
@@ -112,10 +110,11 @@ def cross_cutting(two: DataFrame, *, move: float = 1.0, consistency: float = 0.6
 
 def residual_cells(df: DataFrame, entity: str, auxiliary: str, value: str) -> DataFrame:
     """What rows and columns of a two-way table don't explain, with its z; cells that aren't there are left out."""
-    two = df.groupBy(F.col(entity).alias("hierarchy_entity"), F.col(auxiliary).alias("auxiliary_value")).agg(F.sum(value).cast("double").alias("actual"))
-    expected = F.avg("actual").over(Window.partitionBy("hierarchy_entity")) + F.avg("actual").over(Window.partitionBy("auxiliary_value")) - F.avg("actual").over(every())
-    two = two.withColumn("expected", expected).withColumn("residual", F.col("actual") - F.col("expected"))
-    return two.withColumn("residual_z", (F.col("residual") - F.avg("residual").over(every())) / F.nullif(F.stddev_pop("residual").over(every()), F.lit(0.0)))
+    two = kept(df.groupBy(F.col(entity).alias("hierarchy_entity"), F.col(auxiliary).alias("auxiliary_value")).agg(F.sum(value).cast("double").alias("actual")), "cells")
+    expected = F.avg("actual").over(Window.partitionBy("hierarchy_entity")) + F.avg("actual").over(Window.partitionBy("auxiliary_value")) - F.col("grand")
+    two = with_totals(two, grand=F.avg("actual")).withColumn("expected", expected).withColumn("residual", F.col("actual") - F.col("expected"))
+    two = with_totals(kept(two, "residuals"), m=F.avg("residual"), sd=F.stddev_pop("residual"))
+    return two.withColumn("residual_z", (F.col("residual") - F.col("m")) / F.nullif("sd", F.lit(0.0))).drop("grand", "m", "sd")
 
 
 def trends(series: DataFrame, least_r2: float = 0.3) -> DataFrame:
@@ -124,6 +123,114 @@ def trends(series: DataFrame, least_r2: float = 0.3) -> DataFrame:
     return out.filter((F.col("n") >= 3) & (F.col("r2") >= least_r2)).drop("n")
 
 
+def trend_divergence(series: DataFrame, least_r2: float = 0.3, like: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
+    """Slope and fit of each item of a dense series, the whole's slope, and whether the item diverges.
+
+    An item counts with three values or more other than 0 and a fit of `least_r2`; it goes along with the whole if its slope has the same sign and
+    between half and twice the size.
+    """
+    x = F.col("period_idx").cast("double")
+    whole = series.groupBy("period", "period_idx").agg(F.sum("value").alias("v")).agg(F.coalesce(F.regr_slope("v", x), F.lit(0.0)).alias("overall_slope"))
+    out = trends(series, 0.0).crossJoin(F.broadcast(whole))
+    ratio = F.abs("slope") / F.nullif(F.abs("overall_slope"), F.lit(0.0))
+    aligned = F.when(F.col("overall_slope") == 0, F.col("slope") == 0).otherwise((F.signum("slope") == F.signum("overall_slope")) & (ratio > like[0]) & (ratio < like[1]))
+    direction = F.when(F.col("slope") < 0, "declining").otherwise("increasing")
+    return out.withColumn("direction", direction).withColumn("diverging", (F.col("r2") >= least_r2) & ~aligned)
+
+
+def period_over_period(df: DataFrame, item: str = "item", last: int | None = None) -> DataFrame:
+    """Each item's value and its change from the period before; series that only accumulate are taken apart into steps first.
+
+    last: the periods that a focus keeps, from the last one back. The first has no change; a change from 0 is 0 %.
+    """
+    told = kept(ser.cumulative_items(df, item), "cumulative")
+    steps = ser.decumulated(df.join(told.filter("is_cumulative"), item)).select(item, "period", "value", "is_cumulative")
+    plain = df.join(told.filter("NOT is_cumulative"), item).select(item, "period", "value", "is_cumulative")
+    order = Window.partitionBy(item).orderBy("period")
+    out = steps.unionByName(plain)
+    if last is not None:
+        out = out.withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("period")))).filter(F.col("_r") <= last).drop("_r")
+    before = F.lag("value").over(order)
+    return out.withColumn("change", F.col("value") - before).withColumn("change_pct", F.when(before.isNotNull(), F.coalesce(safe(F.col("change"), before) * 100, F.lit(0.0))))
+
+
+def delta_attribution(df: DataFrame, item: str, value: str, now: dt.date, before: dt.date) -> DataFrame:
+    """Each item's two sums, its change, and that as a share of the whole change; contribution is the same with a whole of 0 counted as 1e-9."""
+    rows = df.groupBy(F.col(item).alias("item")).agg(at(now, value).alias("current"), at(before, value).alias("prior")).withColumn("delta", F.col("current") - F.col("prior"))
+    rows = with_totals(kept(rows, "deltas"), whole=F.sum("delta"), ends=F.sum("current") - F.sum("prior"))
+    share, contribution = safe(F.col("delta"), F.col("whole")), F.col("delta") / F.when(F.col("ends") == 0, 1e-9).otherwise(F.col("ends"))
+    return rows.withColumn("share", share).withColumn("contribution", contribution).drop("whole", "ends")
+
+
+def bridge_periods(periods: list[dt.date], comparison: str = "MoM") -> tuple[dt.date, dt.date, str] | None:
+    """(current, prior, comparison): the 13th-last period for YoY, if there are so many, else the one before the last."""
+    if len(periods) < 2:
+        return None
+    if comparison == "YoY" and len(periods) >= 13:
+        return periods[-1], periods[-13], "YoY"
+    return periods[-1], periods[-2], "MoM"
+
+
+def bridge_lists(df: DataFrame, entity: str, value: str, now: dt.date, then: dt.date, top: int = 5) -> DataFrame:
+    """The largest new and lost entities by value, and the largest movers of those in both periods: bucket, rank, entity, current, prior, delta, delta_pct."""
+    seen = df.filter(F.col("period").isin(F.lit(now), F.lit(then))).groupBy(F.col(entity).alias("entity")).agg(
+        at(now, value).alias("current"), at(then, value).alias("prior"), F.bool_or(F.col("period") == F.lit(now)).alias("c"), F.bool_or(F.col("period") == F.lit(then)).alias("p"))
+    seen = seen.withColumn("bucket", F.when(~F.col("p"), "new").when(~F.col("c"), "lost").otherwise("same_store")).withColumn("delta", F.col("current") - F.col("prior"))
+    size = F.when(F.col("bucket") == "new", F.col("current")).when(F.col("bucket") == "lost", F.col("prior")).otherwise(F.abs("delta"))
+    out = seen.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc(size), "entity"))).filter(F.col("rank") <= top)
+    return out.select("bucket", "rank", "entity", "current", "prior", "delta", F.coalesce(safe(F.col("delta"), F.col("prior")) * 100, F.lit(0.0)).alias("delta_pct"))
+
+
+def material_by(stats: DataFrame, category: Column, limits: dict[str, tuple[float, float]], default: tuple[float, float] = (5.0, 50_000.0)) -> DataFrame:
+    """Level statistics judged by limits (percent, amount) of each row's category, or the default ones."""
+    pick = lambda k: (lambda c: c.otherwise(F.lit(default[k])))(_cases(category, {n: v[k] for n, v in limits.items()})) if limits else F.lit(default[k])
+    out = stats.withColumn("limit_pct", pick(0)).withColumn("limit_amount", pick(1))
+    exceeds = (F.abs("variance_dollar") >= F.col("limit_amount")) | (F.coalesce(F.abs("variance_pct"), F.lit(0.0)) >= F.col("limit_pct"))
+    return out.withColumn("exceeds_threshold", exceeds).withColumn("materiality", F.when(exceeds, "HIGH").otherwise("LOW"))
+
+
+def _cases(c: Column, values: dict[str, float]) -> Column:
+    out = F
+    for name, v in values.items():
+        out = out.when(c == name, F.lit(float(v)))
+    return out
+
+
+def scenario_deviation(df: DataFrame, scenario: str, path: tuple[str, ...], value: str) -> DataFrame:
+    """Each labelled scenario's mean against the mean of rows without a label on the same path, in percent; null where there are none."""
+    v = F.col(value).cast("double")
+    hit = df.filter(F.col(scenario).isNotNull()).groupBy(scenario, *path).agg(F.avg(v).alias("scenario_avg"), F.count("*").alias("rows"))
+    base = df.filter(F.col(scenario).isNull()).groupBy(*path).agg(F.avg(v).alias("baseline_avg"))
+    out = hit.join(base, [*path], "left")
+    return out.withColumn("deviation_pct", safe(F.col("scenario_avg") - F.col("baseline_avg"), F.col("baseline_avg")) * 100)
+
+
+def cross_dimension(df: DataFrame, entity: str, auxiliary: str, value: str, now: dt.date, then: dt.date, periods: list[dt.date], *, top: int = 50, least_rows: int = 1, trend_periods: int = 12) -> dict[str, DataFrame]:
+    """What an auxiliary dimension adds to a hierarchy level, over its `top` values by |sum|: anova, cells, patterns, trends, and a row that sums them up.
+
+    df: rows of period, entity, auxiliary and value; a cell counts with `least_rows` rows or more.
+    """
+    from .grouped import two_way
+    from .periods import dense
+
+    leaders = df.groupBy(auxiliary).agg(F.abs(F.sum(value)).alias("_s")).orderBy(F.desc("_s"), auxiliary).limit(top).select(auxiliary)
+    work = kept(df.join(leaders, auxiliary, "left_semi"), "cross-dimension")
+    enough = work.groupBy(entity, auxiliary).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_rows)
+    parts = {
+        "anova": kept(two_way(work, entity, auxiliary, value), "cross-anova"),
+        "cells": residual_cells(work.join(enough, [entity, auxiliary], "left_semi"), entity, auxiliary, value).filter(F.abs("residual_z") >= 2),
+        "patterns": cross_cutting(cells(work, entity, auxiliary, value, now, then)),
+        "trends": trend_divergence(dense(work.filter(F.col("period").isin(periods[-trend_periods:])), auxiliary, value, periods[-trend_periods:])).filter("diverging"),
+    }
+    size = work.agg(F.count_distinct(auxiliary).alias("values_analyzed")).crossJoin(df.agg(F.count_distinct(auxiliary).alias("unique_values")))
+    anova = parts["anova"].agg(F.max(F.when(F.col("term") == auxiliary, F.col("eta_squared"))).alias("auxiliary_eta_squared"), F.max(F.when(F.col("term") == f"{entity}:{auxiliary}", F.col("p_value"))).alias("interaction_p"))
+    patterns = parts["patterns"].agg(F.count_if(F.col("effect_direction") == "boost").alias("boosts"), F.count_if(F.col("effect_direction") == "drag").alias("drags"))
+    counted = lambda k, n: parts[k].agg(F.count("*").alias(n))
+    row = size.crossJoin(anova).crossJoin(patterns).crossJoin(counted("cells", "anomalous_cells")).crossJoin(counted("trends", "diverging_trends"))
+    parts["summary"] = row.select("unique_values", "values_analyzed", F.coalesce(F.col("auxiliary_eta_squared") > 0.05, F.lit(False)).alias("auxiliary_explains_variance"), F.coalesce(F.col("interaction_p") < 0.05, F.lit(False)).alias("interaction_significant"), "boosts", "drags", "anomalous_cells", "diverging_trends")
+    return parts
+
+
 def pattern_labels(df: DataFrame) -> DataFrame:
     """spike where the last value is over two deviations off the mean of the last three, else run_rate_change."""
     last = df.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("period")))).filter("r <= 3")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sales(spark: SparkSession, sf_dir: str, *dims: str) -> DataFrame:
-    """One row a line item: dates, order and line keys, measures, and the dimensions named. Only the tables that they need are joined."""
+def calendar(spark: SparkSession, sf_dir: str) -> list[dt.date]:
+    """The month ends of all orders, in order: from their date column alone."""
+    months = table(spark, sf_dir, "orders").select(F.last_day(F.to_date("o_orderdate")).alias("p")).distinct()
+    return sorted(r["p"] for r in months.collect() if r["p"] is not None)
+
+
+def ordered_between(orders: DataFrame, spans: list[tuple[dt.date | None, dt.date | None]]) -> DataFrame:
+    """Orders of the given spans of days (first and last, either open): comparisons of the stored column with literals, which reach the scan."""
+    at = lambda d: F.lit(d.isoformat()).cast(orders.schema["o_orderdate"].dataType)
+    day = F.col("o_orderdate")
+    one = lambda lo, hi: (F.lit(True) if lo is None else day >= at(lo)) & (F.lit(True) if hi is None else day < at(hi + dt.timedelta(1)))
+    return orders.filter(reduce(or_, [one(lo, hi) for lo, hi in spans]))
+
+
+def sales(spark: SparkSession, sf_dir: str, *dims: str, months: list[dt.date | None] | tuple | None = None, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+    """One row a line item: dates, order and line keys, measures, and the dimensions named. Only the tables that they need are joined.
+
+    months (any days of them) or since and until (days included) keep the orders of these dates alone, at the scan.
+    """
+    orders = table(spark, sf_dir, "orders")
+    if months is not None:
+        orders = ordered_between(orders, sorted({(m.replace(day=1), (m.replace(day=1) + dt.timedelta(31)).replace(day=1) - dt.timedelta(1)) for m in months if m is not None}))
+    elif since is not None or until is not None:
+        orders = ordered_between(orders, [(since, until)])
     asked = set(dims)
-    df = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    df = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if asked & (GEO | CUSTOMER):
         df = df.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     if asked & GEO:

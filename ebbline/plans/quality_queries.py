@@ -70,28 +70,25 @@ def i02(spark, sf):
 
 @query("i03_currency_hint", f"SELECT round(avg(CASE WHEN v LIKE '$%' THEN 1.0 ELSE 0 END), 9) AS share, avg(CASE WHEN v LIKE '$%' THEN 1.0 ELSE 0 END) > 0.3 AS is_currency, avg(CASE WHEN v LIKE '%\\%' ESCAPE '\\' THEN 1.0 ELSE 0 END) > 0.3 AS is_percentage FROM ({RAW})")
 def i03(spark, sf):
-    share = lambda c: F.avg(c.cast("double"))
-    money = share(C("v").startswith("$"))
-    return _raw(spark, sf).agg(F.round(money, 9).alias("share"), (money > 0.3).alias("is_currency"), (share(C("v").endswith("%")) > 0.3).alias("is_percentage"))
+    hints = qa.symbol_hints(C("v"))
+    return _raw(spark, sf).agg(F.round(hints["currency"], 9).alias("share"), (hints["currency"] > 0.3).alias("is_currency"), (hints["percentage"] > 0.3).alias("is_percentage"))
 
 
 @query("i04_ratio_hint", "SELECT 'l_discount' AS \"column\", min(l_discount) >= 0 AND max(l_discount) <= 1.01 OR (min(l_discount) >= 0 AND max(l_discount) <= 100 AND stddev_samp(l_discount) < 30) AS is_ratio FROM lineitem UNION ALL SELECT 'l_extendedprice', min(l_extendedprice) >= 0 AND max(l_extendedprice) <= 1.01 OR (min(l_extendedprice) >= 0 AND max(l_extendedprice) <= 100 AND stddev_samp(l_extendedprice) < 30) FROM lineitem")
 def i04(spark, sf):
-    rule = lambda c: ((F.min(c) >= 0) & (F.max(c) <= 1.01)) | ((F.min(c) >= 0) & (F.max(c) <= 100) & (F.stddev_samp(c) < 30))
-    one = [F.struct(F.lit(c).alias("column"), rule(c).alias("is_ratio")) for c in ("l_discount", "l_extendedprice")]
+    one = [F.struct(F.lit(c).alias("column"), qa.ratio_rule(C(c)).alias("is_ratio")) for c in ("l_discount", "l_extendedprice")]
     return table(spark, sf, "lineitem").agg(F.array(*one).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-@query("i05_identifier_hint", "SELECT 'o_orderkey' AS \"column\", count(DISTINCT o_orderkey) > 0.95 * count(*) AND min(o_orderkey) >= 0 AS is_identifier FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) > 0.95 * count(*) AND min(o_custkey) >= 0 FROM orders")
+@query("i05_identifier_hint", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) > 0.95 * count(*) AND min({c}) >= 0 AND bool_and({c} = floor({c})) AND ({named} OR max({c}) - min({c}) <= 1000) AS is_identifier FROM orders" for c, named in (("o_orderkey", "true"), ("o_custkey", "true"), ("o_totalprice", "false"))))
 def i05(spark, sf):
-    one = [F.struct(F.lit(c).alias("column"), ((F.count_distinct(C(c)) > 0.95 * F.count("*")) & (F.min(c) >= 0)).alias("is_identifier")) for c in ("o_orderkey", "o_custkey")]
+    one = [F.struct(F.lit(c).alias("column"), qa.identifier_rule(C(c), c).alias("is_identifier")) for c in ("o_orderkey", "o_custkey", "o_totalprice")]
     return table(spark, sf, "orders").agg(F.array(*one).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 @query("i06_categories", "SELECT count(DISTINCT p_type) AS cardinality, array_to_string(list_sort(list(DISTINCT p_type))[1:10], ',') AS samples FROM part")
 def i06(spark, sf):
-    kinds = table(spark, sf, "part").groupBy("p_type").agg(F.count("*").alias("n"))
-    return kinds.agg(F.count("*").alias("cardinality"), F.array_join(F.slice(F.sort_array(F.collect_list("p_type")), 1, 10), ",").alias("samples"))
+    return qa.categories(table(spark, sf, "part"), "p_type").select("cardinality", F.array_join("samples", ",").alias("samples"))
 
 
 @query("i07_frequency", f"{W}, d AS (SELECT DISTINCT period FROM sales), g AS (SELECT period - lag(period) OVER (ORDER BY period) AS gap FROM d) SELECT CAST(median(gap) AS DOUBLE) AS gap, 'monthly' AS frequency FROM g")
@@ -112,14 +109,16 @@ def i10(spark, sf):
     return table(spark, sf, "orders").agg(F.round(0.05 * F.avg("o_totalprice"), 4).alias("materiality"), F.round(F.datediff(F.max(day), F.min(day)) / 30).cast("int").alias("months"))
 
 
-@query("s14_contract_inference")
+@query("s14_contract_inference", """SELECT rows, CASE WHEN gap <= 1 THEN 'daily' WHEN gap BETWEEN 5 AND 8 THEN 'weekly' ELSE 'other' END AS frequency, c AS "column", role, hierarchy, level FROM (SELECT count(*) AS rows FROM orders), (SELECT median(g) AS gap FROM (SELECT d - lag(d) OVER (ORDER BY d) AS g FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders))),
+    (VALUES ('o_orderkey', 'identifier', '', 0), ('o_orderdate', 'time', '', 0), ('o_totalprice', 'metric', '', 0), ('o_orderpriority', 'dimension', 'by_urgency', 2), ('urgency', 'dimension', 'by_urgency', 1), ('nation', 'dimension', 'by_region', 2), ('region', 'dimension', 'by_region', 1)) AS v(c, role, hierarchy, level)""")
 def s14(spark, sf):
     """The role that inference gives each column of a flat table of orders, and the levels that it finds."""
     from ..operators.inference import propose
 
     df = table(spark, sf, "orders").join(table(spark, sf, "customer"), C("o_custkey") == C("c_custkey")).join(table(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")).join(table(spark, sf, "region"), C("n_regionkey") == C("r_regionkey"))
-    df = df.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_totalprice", "o_orderpriority", C("n_name").alias("nation"), C("r_name").alias("region"))
+    half = F.when(C("o_orderpriority").substr(1, 1) <= "2", "urgent").otherwise("other")
+    df = df.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_totalprice", "o_orderpriority", half.alias("urgency"), C("n_name").alias("nation"), C("r_name").alias("region"))
     found, roles = propose(df, "orders")
-    levels = found.hierarchies.get("detected", ())
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r).alias("role"), F.lit(levels.index(c) + 1 if c in levels else None).cast("int").alias("level")) for c, r in roles.items()])
+    place = {c: (name, k) for name, levels in found.hierarchies.items() for k, c in enumerate(levels, 1)}
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r).alias("role"), F.lit(place.get(c, ("", 0))[0]).alias("hierarchy"), F.lit(place.get(c, ("", 0))[1]).cast("int").alias("level")) for c, r in roles.items()])
     return df.agg(F.count("*").alias("rows"), F.lit(found.frequency).alias("frequency")).select("rows", "frequency", F.explode(rows).alias("f")).select("rows", "frequency", "f.*")

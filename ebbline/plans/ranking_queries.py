@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_pattern
+from ..operators import alerts as al
 from ..operators import periods as per
 from ..operators import ranking, series
+from ..sources.sinks import kept
 from .catalog import query
 from .facts import EVENTS_SQL, SALES_SQL, events, sales, table
 
 C = F.col
 W = f"WITH {SALES_SQL}"
 NOW, THEN = "2001-07-31", "2000-07-31"
+BOTH = (dt.date(2001, 7, 31), dt.date(2000, 7, 31))
 D = lambda c, n=None, k=6: F.round(C(c).cast("double"), k).alias(n or c)
 
 
@@ -21,9 +25,9 @@ def day(text: str):
     return F.lit(text).cast("date")
 
 
-def _pair(df, key):
-    """Current and prior sums of a key in one pass: the outer join of the two periods, without joining."""
-    both = df.filter(C("period").isin(day(NOW), day(THEN)))
+def _pair(spark, sf, *key):
+    """Current and prior sums of a key in one pass over the two periods: their outer join, without joining."""
+    both = sales(spark, sf, *key, months=BOTH)
     at = lambda p: F.sum(F.when(C("period") == day(p), C("revenue")).otherwise(0)).cast("double")
     return both.groupBy(*key).agg(at(NOW).alias("current"), at(THEN).alias("prior"))
 
@@ -35,7 +39,7 @@ def _pair_sql(key: str) -> str:
 def _outer(name: str, *key: str):
     @query(name, _pair_sql(", ".join(key)))
     def run(spark, sf):
-        return _pair(sales(spark, sf, *key), key)
+        return _pair(spark, sf, *key)
 
 
 _outer("j01_current_prior", "nation")
@@ -78,7 +82,7 @@ MEMBERS = f"c AS (SELECT DISTINCT customer FROM sales WHERE period = DATE '{NOW}
 
 @query("j09_entity_sets", f"{W}, {MEMBERS} SELECT 'new' AS kind, customer FROM (SELECT * FROM c EXCEPT SELECT * FROM p) UNION ALL SELECT 'lost', customer FROM (SELECT * FROM p EXCEPT SELECT * FROM c) UNION ALL SELECT 'same', customer FROM (SELECT * FROM c INTERSECT SELECT * FROM p)")
 def j09(spark, sf):
-    df = sales(spark, sf, "customer").filter(C("period").isin(day(NOW), day(THEN)))
+    df = sales(spark, sf, "customer", months=BOTH)
     seen = df.groupBy("customer").agg(F.bool_or(C("period") == day(NOW)).alias("c"), F.bool_or(C("period") == day(THEN)).alias("p"))
     return seen.select(F.when(~C("p"), "new").when(~C("c"), "lost").otherwise("same").alias("kind"), "customer")
 
@@ -104,11 +108,13 @@ def j11(spark, sf):
     return cells.join(calendar, hit, "left_semi")
 
 
-@query("j12_wildcard_rules", "SELECT p_type, p_brand, count(*) AS n FROM part WHERE (p_type LIKE 'S%' AND p_brand LIKE 'Brand#1_') OR p_brand LIKE '%25' GROUP BY 1, 2")
+@query("j12_wildcard_rules", f"{W}, c AS (SELECT ptype, brand, period, count(*) AS n, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2, 3) SELECT ptype, brand, period, n FROM c WHERE ((ptype LIKE 'S%' OR ptype LIKE '%L') AND brand LIKE 'Brand#1_' AND period IN (DATE '1996-01-31', DATE '2001-07-31') AND least(v / 1e6, 1) < 0.5) OR (brand LIKE '%25' AND least(v / 1e6, 1) < 0.01)", dates="period")
 def j12(spark, sf):
-    rules = spark.createDataFrame([("s*", "brand#1?"), ("*", "*25")], "item_glob string, target_glob string")
-    items = table(spark, sf, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
-    return items.join(F.broadcast(rules), F.rlike("p_type", glob_pattern(C("item_glob"))) & F.rlike("p_brand", glob_pattern(C("target_glob"))), "left_semi")
+    """Cells that a rule fits: by any of its item patterns, its target patterns, its periods, and a severity below its limit."""
+    rules = spark.createDataFrame([(["s*", "*l"], ["brand#1?"], ["1996-01-31", "2001-07-31"], 0.5), (["*"], ["*25"], [], 0.01)], al.RULES)
+    cells = sales(spark, sf, "ptype", "brand").groupBy("ptype", "brand", "period").agg(F.count("*").alias("n"), F.sum("revenue").cast("double").alias("v"))
+    fits = al.fits_rule(C("ptype"), C("brand"), C("period"), F.least(C("v") / 1e6, F.lit(1.0)))
+    return cells.join(rules, fits, "left_semi").select("ptype", "brand", "period", "n")
 
 
 @query("j13_feedback_lookup", "SELECT o_orderstatus, count(*) AS n FROM orders LEFT JOIN (SELECT event_id, event_type FROM events) ON o_orderkey = event_id WHERE event_type IS NULL OR event_type NOT IN ('error', 'logout') GROUP BY 1")
@@ -126,21 +132,19 @@ def j14(spark, sf):
 
 @query("j15_detail_attach", f"{W} SELECT nation, CAST(sum(revenue) AS DOUBLE) AS revenue, round(CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE), 6) AS price FROM sales WHERE period = DATE '{NOW}' GROUP BY 1")
 def j15(spark, sf):
-    df = sales(spark, sf, "nation").filter(C("period") == day(NOW))
+    df = sales(spark, sf, "nation", months=BOTH[:1])
     drivers = df.groupBy("nation").agg(F.sum("revenue").cast("double").alias("revenue"))
     detail = df.groupBy("nation").agg(F.round(F.sum("revenue").cast("double") / F.sum("quantity").cast("double"), 6).alias("price"))
     return drivers.join(detail, "nation", "left")
 
 
 @query("j16_similar_history", f"""{W}, m AS (SELECT brand, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period <= DATE '{NOW}' GROUP BY 1, 2), d AS (SELECT *, v - lag(v) OVER (PARTITION BY brand ORDER BY period) AS delta FROM m),
-    n AS (SELECT brand, delta FROM d WHERE period = DATE '{NOW}'), h AS (SELECT d.brand, d.period, d.delta, row_number() OVER (PARTITION BY d.brand ORDER BY d.period DESC) AS r FROM d JOIN n USING (brand) WHERE d.period < DATE '{NOW}' AND d.delta / nullif(n.delta, 0) BETWEEN 0.5 AND 2.0)
-    SELECT brand, period, round(delta, 4) AS delta FROM h WHERE r <= 2""", dates="period")
+    n AS (SELECT brand, delta FROM d WHERE period = DATE '{NOW}'), h AS (SELECT d.brand, d.period, d.delta, n.delta AS now, row_number() OVER (PARTITION BY d.brand ORDER BY d.period DESC) AS r FROM d JOIN n USING (brand) WHERE d.period < DATE '{NOW}'),
+    f AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY period DESC) AS k FROM h WHERE r <= 3 AND delta / nullif(now, 0) BETWEEN 0.5 AND 2.0) SELECT brand, period, round(delta, 4) AS delta FROM f WHERE k <= 2""", dates="period")
 def j16(spark, sf):
-    m = sales(spark, sf, "brand").filter(C("period") <= day(NOW)).groupBy("brand", "period").agg(F.sum("revenue").cast("double").alias("v"))
+    m = sales(spark, sf, "brand", until=BOTH[0]).groupBy("brand", "period").agg(F.sum("revenue").cast("double").alias("v"))
     d = m.withColumn("delta", C("v") - F.lag("v").over(Window.partitionBy("brand").orderBy("period")))
-    now = d.filter(C("period") == day(NOW)).select("brand", C("delta").alias("now"))
-    like = d.filter(C("period") < day(NOW)).join(now, "brand").filter((C("delta") / F.nullif("now", F.lit(0.0))).between(0.5, 2.0))
-    return like.withColumn("r", F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("period")))).filter("r <= 2").select("brand", "period", D("delta", k=4))
+    return ranking.similar_history(d, "brand", "delta", BOTH[0]).select("brand", "period", D("delta", k=4))
 
 
 @query("w01_ranked_slice_2", f"{W}, {SLICE} SELECT * FROM b")
@@ -185,13 +189,13 @@ RANKED = f"{W}, d AS (SELECT nation AS item, CAST(sum(CASE WHEN period = DATE '{
 
 @query("w07_variance_rank", f"{RANKED} SELECT item, round(variance, 4) AS variance, row_number() OVER (ORDER BY abs(variance) DESC, item) AS rank, round(100 * sum(abs(variance)) OVER (ORDER BY abs(variance) DESC, item ROWS UNBOUNDED PRECEDING) / sum(abs(variance)) OVER (), 6) AS cumulative_pct FROM d")
 def w07(spark, sf):
-    d = _pair(sales(spark, sf, "nation"), ("nation",)).select(C("nation").alias("item"), (C("current") - C("prior")).alias("variance"))
+    d = _pair(spark, sf, "nation").select(C("nation").alias("item"), (C("current") - C("prior")).alias("variance"))
     return ranking.with_rank(d, "variance", "item").select("item", D("variance", k=4), C("rank"), D("cumulative_pct"))
 
 
 @query("w08_top_k", f"{RANKED} SELECT item, round(variance, 4) AS variance FROM d ORDER BY abs(variance) DESC, item LIMIT 10")
 def w08(spark, sf):
-    d = _pair(sales(spark, sf, "nation"), ("nation",)).select(C("nation").alias("item"), (C("current") - C("prior")).alias("variance"))
+    d = _pair(spark, sf, "nation").select(C("nation").alias("item"), (C("current") - C("prior")).alias("variance"))
     return d.orderBy(F.desc(F.abs("variance")), "item").limit(10).select("item", D("variance", k=4))
 
 
@@ -247,38 +251,35 @@ def w14(spark, sf):
     return top.join(every).select("customer", "total", "orders", F.round(C("total") / C("orders"), 4).alias("per_order"), F.round(100 * C("total") / C("all"), 9).alias("share_pct"))
 
 
-@query("w15_major_shares", f"{W}, t AS (SELECT nation, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1) SELECT nation, round(v / (SELECT sum(v) FROM t), 9) AS share FROM t WHERE v / (SELECT sum(v) FROM t) >= 0.04")
+@query("w15_major_shares", f"{W}, t AS (SELECT nation, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1) SELECT nation, round(v / (SELECT sum(v) FROM t), 9) AS share, v / (SELECT sum(v) FROM t) >= 0.05 AS is_major FROM t")
 def w15(spark, sf):
-    t = sales(spark, sf, "nation").groupBy("nation").agg(F.sum("revenue").cast("double").alias("v"))
-    return t.withColumn("share", C("v") / F.sum("v").over(Window.partitionBy(F.lit(0)))).filter("share >= 0.04").select("nation", D("share", k=9))
+    """Every nation's share, and which ones hold 5 % or more."""
+    return ranking.major_shares(sales(spark, sf, "nation"), "nation", "revenue").select("nation", D("share", k=9), "is_major")
 
 
 @query("w16_detail_rows", f"{W} SELECT order_id, line, CAST(revenue AS DOUBLE) AS revenue FROM sales WHERE period = DATE '{NOW}' AND region = 'ASIA' ORDER BY revenue DESC, order_id, line LIMIT 1000")
 def w16(spark, sf):
-    df = sales(spark, sf, "region", "order_id", "line").filter((C("period") == day(NOW)) & (C("region") == "ASIA"))
+    df = sales(spark, sf, "region", "order_id", "line", months=BOTH[:1]).filter(C("region") == "ASIA")
     return df.orderBy(F.desc("revenue"), "order_id", "line").limit(1000).select("order_id", "line", C("revenue").cast("double"))
 
 
-@query("w17_persistent_movers", f"{SERIES}, d AS (SELECT item, period, abs(value - lag(value) OVER (PARTITION BY item ORDER BY period)) AS s FROM m), r AS (SELECT item, row_number() OVER (PARTITION BY period ORDER BY s DESC, item) AS r FROM d WHERE s IS NOT NULL) SELECT item, count(*) AS times FROM r WHERE r <= 5 GROUP BY 1 HAVING count(*) >= 0.2 * (SELECT count(DISTINCT period) - 1 FROM m)")
+@query("w17_persistent_movers", f"{SERIES}, d AS (SELECT item, period, abs(value - lag(value) OVER (PARTITION BY item ORDER BY period)) AS s FROM m), r AS (SELECT item, row_number() OVER (PARTITION BY period ORDER BY s DESC, item) AS r FROM d WHERE s IS NOT NULL) SELECT item, count(*) AS times, (SELECT count(DISTINCT period) - 1 FROM m) AS periods, count(*) > 0.5 * (SELECT count(DISTINCT period) - 1 FROM m) AS persistent FROM r WHERE r <= 5 GROUP BY 1")
 def w17(spark, sf):
-    m = _monthly(spark, sf)
-    d = m.withColumn("s", F.abs(C("value") - per.lagged("value", ("item",)))).filter("s IS NOT NULL")
-    hits = d.withColumn("r", F.row_number().over(Window.partitionBy("period").orderBy(F.desc("s"), "item"))).filter("r <= 5").groupBy("item").agg(F.count("*").alias("times"))
-    n = m.agg((F.count_distinct("period") - 1).alias("n"))
-    return hits.join(n).filter(C("times") >= 0.2 * C("n")).select("item", "times")
+    """How often each brand is among the five largest moves, and whether in over half of the periods."""
+    return ranking.persistent_movers(kept(_monthly(spark, sf), "movers")).select("item", "times", "periods", "persistent")
 
 
 @query("w18_scope_entities", f"{W}, x AS (SELECT nation, segment, CAST(sum(CASE WHEN period = DATE '{NOW}' THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = DATE '{THEN}' THEN revenue ELSE 0 END) AS DOUBLE) AS p FROM sales WHERE period IN (DATE '{NOW}', DATE '{THEN}') GROUP BY 1, 2) SELECT nation, round(sum(abs(c - p)), 4) AS moved, round(max(abs((c - p) / nullif(p, 0))) * 100, 6) AS most_pct FROM x GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1")
 def w18(spark, sf):
-    x = _pair(sales(spark, sf, "nation", "segment"), ("nation", "segment")).withColumn("d", C("current") - C("prior"))
+    x = _pair(spark, sf, "nation", "segment").withColumn("d", C("current") - C("prior"))
     out = x.groupBy("nation").agg(F.round(F.sum(F.abs("d")), 4).alias("moved"), F.round(F.max(F.abs(C("d") / F.nullif("prior", F.lit(0.0)))) * 100, 6).alias("most_pct"))
     return out.orderBy(F.desc("moved"), F.desc_nulls_last("most_pct"), "nation")
 
 
 @query("w19_rank_of_parent", f"{W}, t AS (SELECT nation, sum(revenue) AS v FROM sales WHERE order_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1) SELECT * FROM (SELECT nation, CAST(v AS DOUBLE) AS total, row_number() OVER (ORDER BY v DESC NULLS LAST, nation) AS rank FROM t) WHERE nation = 'NATION_5'")
 def w19(spark, sf):
-    t = sales(spark, sf, "nation").filter(C("order_date").between("2000-01-01", "2000-12-31")).groupBy("nation").agg(F.sum("revenue").alias("v"))
-    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("v"), "nation"))).filter(C("nation") == "NATION_5").select("nation", D("v", "total"), "rank")
+    df = sales(spark, sf, "nation", since=dt.date(2000, 1, 1), until=dt.date(2000, 12, 31))
+    return ranking.rank_of(df, "nation", "revenue", "NATION_5").select("nation", D("total"), "rank")
 
 
 @query("u01_union_metrics", f"{W} SELECT 'revenue' AS metric, period, CAST(sum(revenue) AS DOUBLE) AS value FROM sales GROUP BY 2 UNION ALL SELECT 'quantity', period, CAST(sum(quantity) AS DOUBLE) FROM sales GROUP BY 2", dates="period")
@@ -290,15 +291,15 @@ def u01(spark, sf):
 
 @query("u02_net_new", f"{RANKED}, f AS (SELECT item FROM d ORDER BY abs(variance) DESC, item LIMIT 5) SELECT item, round(variance, 4) AS variance FROM d WHERE item NOT IN (SELECT item FROM f)")
 def u02(spark, sf):
-    d = _pair(sales(spark, sf, "nation"), ("nation",)).select(C("nation").alias("item"), (C("current") - C("prior")).alias("variance"))
+    d = _pair(spark, sf, "nation").select(C("nation").alias("item"), (C("current") - C("prior")).alias("variance"))
     found = d.orderBy(F.desc(F.abs("variance")), "item").limit(5).select("item")
     return d.join(found, "item", "left_anti").select("item", D("variance", k=4))
 
 
 @query("u03_entity_intersection", f"{W}, {MEMBERS} SELECT customer FROM c INTERSECT SELECT customer FROM p")
 def u03(spark, sf):
-    members = lambda p: sales(spark, sf, "customer").filter(C("period") == day(p)).select("customer")
-    return members(NOW).intersect(members(THEN))
+    members = lambda p: sales(spark, sf, "customer", months=(p,)).select("customer")
+    return members(BOTH[0]).intersect(members(BOTH[1]))
 
 
 @query("u04_best_signals", f"{W}, s AS (SELECT nation AS title, segment AS metric, priority AS source, brand, CAST(sum(revenue) AS DOUBLE) AS score FROM sales GROUP BY 1, 2, 3, 4) SELECT title, metric, source, max(score) AS score FROM s GROUP BY 1, 2, 3")

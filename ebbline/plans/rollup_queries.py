@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..operators import rollup
+from ..operators.ordered import with_totals
 from ..sources.loaders import period_aggregate
+from ..sources.sinks import kept
 from . import contract
 from .catalog import query
 from .facts import EVENTS_SQL, SALES_SQL, events, sales, table
@@ -79,8 +82,7 @@ def a11(spark, sf):
 
 @query("a12_auto_weekly", f"WITH {EVENTS_SQL} SELECT CAST(day + CAST(7 - isodow(day) AS INTEGER) AS DATE) AS day, CAST(sum(value) AS DOUBLE) AS value FROM ev GROUP BY 1", dates="day")
 def a12(spark, sf):
-    df, most = events(spark, sf), 500
-    out = rollup.to_grain(df, "day", "weekly", (), (contract.Metric("value"),)) if df.count() > most else df
+    out = rollup.auto_weekly(events(spark, sf), "day", (), (contract.Metric("value"),), 500)
     return out.select("day", C("value").cast("double"))
 
 
@@ -96,20 +98,20 @@ def a14(spark, sf):
 
 @query("a15_daily_average_ratio", f"WITH {EVENTS_SQL} SELECT last_day(day) AS period, round(CAST(sum(value) FILTER (metric = 'purchase') AS DOUBLE) / (CAST(sum(value) FILTER (metric = 'view') AS DOUBLE) / max(day(day))), 6) AS ratio FROM ev GROUP BY 1", dates="period")
 def a15(spark, sf):
-    pick = lambda m: F.sum(F.when(C("metric") == m, C("value"))).cast("double")
-    below = pick("view") / F.max(F.dayofmonth("day"))
-    return events(spark, sf).groupBy(F.last_day("day").alias("period")).agg(F.round(pick("purchase") / F.nullif(below, F.lit(0.0)), 6).alias("ratio"))
+    df = events(spark, sf).withColumn("period", F.last_day("day"))
+    return rollup.long_ratio(df, ("period",), "purchase", "view", days=F.max(F.dayofmonth("day"))).select("period", D("ratio"))
 
 
 @query("a16_level_sums", f"{W} SELECT coalesce(nullif(brand, 'Brand#11'), '(Unassigned)') AS item, CAST(sum(revenue) AS DOUBLE) AS total FROM sales WHERE period = DATE '2001-07-31' GROUP BY 1")
 def a16(spark, sf):
-    df = sales(spark, sf, "brand").filter(C("period") == F.lit("2001-07-31").cast("date")).withColumn("brand", F.nullif("brand", F.lit("Brand#11")))
+    df = sales(spark, sf, "brand", months=(datetime.date(2001, 7, 31),)).withColumn("brand", F.nullif("brand", F.lit("Brand#11")))
     return rollup.level_sums(df, "brand", "revenue").select("item", D("total"))
 
 
 @query("a17_level_ratio", f"{W} SELECT coalesce(region, 'Total') AS item, round(CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE), 6) AS ratio FROM sales GROUP BY GROUPING SETS ((region), ())")
 def a17(spark, sf):
-    return rollup.all_levels(sales(spark, sf, "region"), ("region",), rollup.ratio("sum(revenue)", "sum(quantity)").alias("ratio")).select("item", D("ratio"))
+    leaves = sales(spark, sf, "region").groupBy("region").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"))
+    return rollup.all_levels(leaves, ("region",), rollup.ratio("sum(revenue)", "sum(quantity)").alias("ratio")).select("item", D("ratio"))
 
 
 @query("a18_deduplicated_denominator", """WITH o AS (SELECT o_orderpriority AS p, o_orderkey AS k, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS n, max(CAST(o_totalprice AS DECIMAL(18,2))) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
@@ -121,8 +123,7 @@ def a18(spark, sf):
 
 @query("a19_long_form_ratio", f"WITH {EVENTS_SQL} SELECT day, round(CAST(sum(value) FILTER (metric = 'purchase') AS DOUBLE) / CAST(sum(value) FILTER (metric = 'click') AS DOUBLE), 6) AS ratio FROM ev GROUP BY 1", dates="day")
 def a19(spark, sf):
-    pick = lambda m: F.sum(F.when(C("metric") == m, C("value"))).cast("double")
-    return events(spark, sf).groupBy("day").agg(F.round(pick("purchase") / F.nullif(pick("click"), F.lit(0.0)), 6).alias("ratio"))
+    return rollup.long_ratio(events(spark, sf), ("day",), "purchase", "click").select("day", D("ratio"))
 
 
 @query("a20_material_shares", f"{W}, s AS (SELECT period, nation, sum(quantity) AS q FROM sales GROUP BY 1, 2), k AS (SELECT period, nation FROM (SELECT *, CAST(q AS DOUBLE) / CAST(sum(q) OVER (PARTITION BY period) AS DOUBLE) AS sh FROM s) WHERE sh >= 0.05) SELECT period, nation, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales JOIN k USING (period, nation) GROUP BY 1, 2", dates="period")
@@ -133,14 +134,18 @@ def a20(spark, sf):
 
 @query("a21_all_levels", f"{W} SELECT CASE WHEN grouping(region) = 1 THEN 0 WHEN grouping(nation) = 1 THEN 1 ELSE 2 END AS level, region, nation, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY ROLLUP (region, nation)")
 def a21(spark, sf):
-    return rollup.all_levels(sales(spark, sf, "region", "nation"), ("region", "nation"), F.sum("revenue").alias("revenue")).select("level", "region", "nation", D("revenue"))
+    leaves = sales(spark, sf, "region", "nation").groupBy("region", "nation").agg(F.sum("revenue").alias("revenue"))
+    return rollup.all_levels(leaves, ("region", "nation"), F.sum("revenue").alias("revenue")).select("level", "region", "nation", D("revenue"))
 
 
 @query("a22_order_aggregates", f"""{W} SELECT strftime(order_date, '%Y-%m') AS month, region, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity, count(*) AS lines, count(DISTINCT order_id) AS orders,
     round(CAST(sum(revenue) AS DOUBLE) / count(DISTINCT order_id), 6) AS revenue_per_order FROM sales GROUP BY GROUPING SETS ((1, 2), (1), ())""")
 def a22(spark, sf):
     df = sales(spark, sf, "region", "order_id").withColumn("month", F.date_format("order_date", "yyyy-MM"))
-    out = df.groupingSets([[C("month"), C("region")], [C("month")], []], "month", "region").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.count("*").alias("lines"), F.count_distinct("order_id").alias("orders"))
+    # an order is of one month and region, so that orders are counted once and then added up
+    orders = df.groupBy("month", "region", "order_id").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.count("*").alias("lines"))
+    leaves = orders.groupBy("month", "region").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.sum("lines").alias("lines"), F.count("*").alias("orders"))
+    out = leaves.groupingSets([[C("month"), C("region")], [C("month")], []], "month", "region").agg(*[F.sum(c).alias(c) for c in ("revenue", "quantity", "lines", "orders")])
     return out.select("month", "region", D("revenue"), D("quantity"), "lines", "orders", F.round(C("revenue").cast("double") / C("orders"), 6).alias("revenue_per_order"))
 
 
@@ -148,7 +153,7 @@ def a22(spark, sf):
 def a23(spark, sf):
     year = F.year("order_date")
     pick = lambda y: F.sum(F.when(year == y, C("revenue"))).cast("double")
-    return sales(spark, sf, "brand").filter(year.isin(1999, 2000)).groupBy("brand").agg(pick(2000).alias("current"), pick(1999).alias("prior"))
+    return sales(spark, sf, "brand", since=datetime.date(1999, 1, 1), until=datetime.date(2000, 12, 31)).groupBy("brand").agg(pick(2000).alias("current"), pick(1999).alias("prior"))
 
 
 @query("a24_children", "SELECT r_name AS region, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS children FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -160,8 +165,8 @@ def a24(spark, sf):
 @query("a25_summary_stats", f"""{W}, t AS (SELECT period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1), i AS (SELECT nation, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2), c AS (SELECT nation, stddev_pop(v) / avg(v) AS cv FROM i GROUP BY 1)
     SELECT (SELECT count(DISTINCT nation) FROM sales) AS items, count(*) AS periods, min(period) AS first_period, max(period) AS last_period, arg_max(period, v) AS highest_period, arg_min(period, v) AS lowest_period, (SELECT count(*) FROM c WHERE cv >= 0.2) AS high_cv FROM t""", dates="first_period last_period highest_period lowest_period")
 def a25(spark, sf):
-    cells = sales(spark, sf, "nation").groupBy("nation", "period").agg(F.sum("revenue").cast("double").alias("v"))
-    totals = sales(spark, sf).groupBy("period").agg(F.sum("revenue").cast("double").alias("v"))
+    cells = kept(sales(spark, sf, "nation").groupBy("nation", "period").agg(F.sum("revenue").alias("r"), F.sum("revenue").cast("double").alias("v")), "cells")
+    totals = cells.groupBy("period").agg(F.sum("r").cast("double").alias("v"))
     items = cells.groupBy("nation").agg((F.stddev_pop("v") / F.avg("v")).alias("cv")).agg(F.count("*").alias("items"), F.count_if(C("cv") >= 0.2).alias("high_cv"))
     spans = totals.agg(F.count("*").alias("periods"), F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.max_by("period", "v").alias("highest_period"), F.min_by("period", "v").alias("lowest_period"))
     return spans.join(items)
@@ -179,17 +184,14 @@ def a26(spark, sf):
     SELECT metric, rows, total, round(mean, 6) AS mean, round(100 * total / sum(total) OVER (), 6) AS share_pct, first_day, last_day, round(100 * (mean / (SELECT mean FROM t WHERE metric = 'view') - 1), 6) AS deviation_pct FROM t""", dates="first_day last_day")
 def a27(spark, sf):
     t = events(spark, sf).groupBy("metric").agg(F.count("*").alias("rows"), F.sum("value").cast("double").alias("total"), F.avg(C("value").cast("double")).alias("mean"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    every = Window.partitionBy(F.lit(0))
-    base = F.max(F.when(C("metric") == "view", C("mean"))).over(every)
-    return t.select("metric", "rows", "total", D("mean"), F.round(100 * C("total") / F.sum("total").over(every), 6).alias("share_pct"), "first_day", "last_day", F.round(100 * (C("mean") / base - 1), 6).alias("deviation_pct"))
+    t = with_totals(kept(t, "scenarios"), whole=F.sum("total"), base=F.max(F.when(C("metric") == "view", C("mean"))))
+    return t.select("metric", "rows", "total", D("mean"), F.round(100 * C("total") / C("whole"), 6).alias("share_pct"), "first_day", "last_day", F.round(100 * (C("mean") / C("base") - 1), 6).alias("deviation_pct"))
 
 
 @query("a28_flagged_baseline", f"{W} SELECT region, round(avg(CAST(revenue AS DOUBLE)) FILTER (flag = 'R'), 4) AS flagged, round(avg(CAST(revenue AS DOUBLE)) FILTER (flag <> 'R'), 4) AS baseline, round(100 * (avg(CAST(revenue AS DOUBLE)) FILTER (flag = 'R') / avg(CAST(revenue AS DOUBLE)) FILTER (flag <> 'R') - 1), 4) AS deviation_pct FROM sales GROUP BY 1")
 def a28(spark, sf):
-    hit = C("flag").isin("R", "true", "1", "yes")
-    v = C("revenue").cast("double")
-    out = sales(spark, sf, "region", "flag").groupBy("region").agg(F.avg(F.when(hit, v)).alias("f"), F.avg(F.when(~hit, v)).alias("b"))
-    return out.select("region", F.round("f", 4).alias("flagged"), F.round("b", 4).alias("baseline"), F.round(100 * (C("f") / C("b") - 1), 4).alias("deviation_pct"))
+    out = rollup.flagged_against_rest(sales(spark, sf, "region", "flag"), ("region",), "flag", "revenue", ("R",))
+    return out.select("region", F.round("flagged", 4).alias("flagged"), F.round("baseline", 4).alias("baseline"), F.round("deviation_pct", 4).alias("deviation_pct"))
 
 
 @query("a29_run_metadata", f"{W} SELECT count(*) AS rows, count(DISTINCT nation) AS entities, count(DISTINCT period) AS periods FROM sales")
@@ -201,6 +203,6 @@ def a29(spark, sf):
 @query("a30_calendar_seasonality", f"""{W}, t AS (SELECT period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period < DATE '2001-08-01' GROUP BY 1), m AS (SELECT month(period) AS m, avg(v) AS v FROM t GROUP BY 1)
     SELECT CAST(arg_max(m, v) AS INTEGER) AS peak, CAST(arg_min(m, v) AS INTEGER) AS trough, round(100 * (max(v) - min(v)) / avg(v), 6) AS amplitude_pct FROM m""")
 def a30(spark, sf):
-    t = sales(spark, sf).filter(C("period") < F.lit("2001-08-01").cast("date")).groupBy("period").agg(F.sum("revenue").cast("double").alias("v"))
+    t = sales(spark, sf, until=datetime.date(2001, 7, 31)).groupBy("period").agg(F.sum("revenue").cast("double").alias("v"))
     m = t.groupBy(F.month("period").alias("m")).agg(F.avg("v").alias("v"))
     return m.agg(F.max_by("m", "v").alias("peak"), F.min_by("m", "v").alias("trough"), F.round(100 * (F.max("v") - F.min("v")) / F.avg("v"), 6).alias("amplitude_pct"))

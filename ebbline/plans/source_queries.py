@@ -73,7 +73,18 @@ def s08(spark, sf):
     return loaders.period_aggregate(df, "day", "monthly", ("l_returnflag",), ("quantity",), ("discount",), ("supplier",)).withColumn("quantity", C("quantity").cast("double"))
 
 
-@query("s09_schema_probe")
+#: The types that the fact tables are stored with.
+STORED = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+@query("s09_schema_probe", " UNION ALL ".join(f"SELECT '{name}' AS \"table\", (SELECT count(*) FROM {name}) AS rows, c AS \"column\", t AS type FROM (VALUES {', '.join(str(tuple(x.split(' '))) for x in cols.split(', '))}) AS v(c, t)" for name, cols in STORED.items()))
 def s09(spark, sf):
     """Columns and types of the fact tables, with the rows that each holds."""
     out = None

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import grouped
 from ..operators import periods as per
 from ..operators import stats as st
+from ..sources.sinks import kept
 from .catalog import query
-from .facts import EVENTS_SQL, SALES_SQL, events, sales
+from .facts import EVENTS_SQL, SALES_SQL, calendar, events, sales
 from .variance_queries import NOW, monthly
 
 C = F.col
@@ -17,9 +18,10 @@ W = f"WITH {SALES_SQL}"
 D = lambda c, n=None, k=4: F.round(C(c).cast("double"), k).alias(n or c)
 
 
-def series(spark, sf, dim="brand", value="revenue"):
-    """Complete months of each item, 0 where it has none."""
-    return per.dense(monthly(spark, sf, dim).filter(C("period") <= NOW), dim, value)
+def series(spark, sf, dim="brand", value="revenue", keep=False):
+    """Complete months of each item, 0 where it has none. keep: written once, for queries that use it several times."""
+    out = per.dense(monthly(spark, sf, dim, until=NOW), dim, value, [p for p in calendar(spark, sf) if p <= NOW])
+    return kept(out, "series") if keep else out
 
 
 DENSE = f"""{W}, p AS (SELECT period, CAST(row_number() OVER (ORDER BY period) AS INTEGER) AS period_idx FROM (SELECT DISTINCT period FROM sales WHERE period <= DATE '2001-07-31')), m0 AS (SELECT brand AS item, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2),
@@ -36,7 +38,7 @@ def t01(spark, sf):
 
 @query("t02_top_items", f"{PROFILE}, a AS (SELECT 'driver' AS kind, item, round(abs(a), 4) AS size FROM t ORDER BY abs(a) DESC, item LIMIT 10), b AS (SELECT 'volatile' AS kind, item, round(sd / abs(a), 4) AS size FROM t ORDER BY sd / abs(a) DESC, item LIMIT 10) SELECT * FROM a UNION ALL SELECT * FROM b")
 def t02(spark, sf):
-    out = st.item_profiles(series(spark, sf))
+    out = kept(st.item_profiles(series(spark, sf)), "profiles")
     top = lambda kind, by: out.orderBy(F.desc(by), "item").limit(10).select(F.lit(kind).alias("kind"), "item", F.round(by, 4).alias("size"))
     return top("driver", F.abs("avg")).unionByName(top("volatile", C("cv")))
 
@@ -101,45 +103,53 @@ EVERY_PAIR = f"{DENSE}, c AS (SELECT x.item AS a, y.item AS b, corr(x.value, y.v
 @query("t04_uniform_growth_all", f"{EVERY_PAIR} SELECT count(*) AS pairs, count(*) FILTER (abs(r) >= 0.95) AS strong, count(*) FILTER (abs(r) >= 0.95) > 0.5 * count(*) AS uniform FROM c WHERE isfinite(r)")
 def t04a(spark, sf):
     """Over the pairs of all items."""
-    return st.uniform_growth(series(spark, sf))
+    return st.uniform_growth(series(spark, sf, keep=True))
 
 
 @query("t05_all_item_correlations", f"{EVERY_PAIR} SELECT a, b, round(r, 6) AS r, n FROM c")
 def t05a(spark, sf):
-    return st.item_correlations(series(spark, sf)).select("a", "b", D("r", k=6), "n")
+    return st.item_correlations(series(spark, sf, keep=True)).select("a", "b", D("r", k=6), "n")
 
 
 @query("t05_leading_correlations", f"{EVERY_PAIR}, lead AS (SELECT item FROM s GROUP BY 1 ORDER BY abs(avg(value)) DESC, item LIMIT 4), k AS (SELECT *, {CORRELATION_P} AS p FROM c WHERE a IN (SELECT item FROM lead) AND b IN (SELECT item FROM lead)) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value, abs(r) > 0.7 AND p < 0.05 AS kept FROM k")
 def t05l(spark, sf):
     """The six pairs of the four items with the largest |avg|, and which are strong and significant."""
-    pairs = st.with_p(st.item_correlations(st.leading_items(series(spark, sf), 4)))
+    pairs = st.with_p(st.item_correlations(st.leading_items(series(spark, sf, keep=True), 4)))
     return pairs.select("a", "b", D("r", k=6), "n", D("p_value", k=6), ((F.abs("r") > 0.7) & (C("p_value") < 0.05)).alias("kept"))
 
 
 @query("t06_mad_outliers", f"""{DENSE}, c AS (SELECT item, median(value) AS med, avg(value) AS m, stddev_pop(value) AS sd, count(*) AS n FROM s GROUP BY 1), d AS (SELECT s.item, median(abs(value - med)) AS mad FROM s JOIN c USING (item) GROUP BY 1),
-    z AS (SELECT s.item, period, value, med, 0.6745 * (value - med) / mad AS z, (value - m) / sd AS tz FROM s JOIN c USING (item) JOIN d USING (item) WHERE mad <> 0 AND n >= 6) SELECT item, period, round(value, 4) AS amount, round(med, 4) AS median, round(z, 6) AS modified_z_score, round(tz, 6) AS traditional_z_score, abs(tz) <= 2 AS mad_only, round(value - med, 4) AS deviation_from_median FROM z WHERE abs(z) > 2.5""", dates="period")
+    z AS (SELECT s.item, period, value, med, 0.6745 * (value - med) / mad AS z, (value - m) / sd AS tz FROM s JOIN c USING (item) JOIN d USING (item) WHERE mad <> 0 AND n >= 6) SELECT item, period, round(value, 4) AS amount, round(med, 4) AS median, round(z, 6) AS modified_z_score, round(tz, 6) AS traditional_z_score, abs(tz) <= 2 AS mad_only, round(value - med, 4) AS deviation_from_median, abs(z) > 3.5 AS is_outlier FROM z WHERE abs(z) > 2.5""", dates="period")
 def t06(spark, sf):
-    out = st.mad_outliers(series(spark, sf), 2.5)
-    return out.select("item", "period", D("value", "amount"), D("median"), D("modified_z_score", k=6), D("traditional_z_score", k=6), "mad_only", D("deviation_from_median"))
+    """Values over 2.5 scaled deviations off, and which are outliers by the rule's 3.5."""
+    out = st.mad_outliers(series(spark, sf, keep=True), 2.5)
+    return out.select("item", "period", D("value", "amount"), D("median"), D("modified_z_score", k=6), D("traditional_z_score", k=6), "mad_only", D("deviation_from_median"), (F.abs("modified_z_score") > 3.5).alias("is_outlier"))
 
 
-@query("t07_robust_z", f"WITH {EVENTS_SQL}, t AS (SELECT day AS period, CAST(sum(value) AS DOUBLE) AS v FROM ev GROUP BY 1), m AS (SELECT median(v) AS med FROM t), d AS (SELECT median(abs(v - med)) AS mad FROM t, m), z AS (SELECT period, v, (v - med) / (1.4826 * mad) AS z FROM t, m, d) SELECT period, round(v, 4) AS value, round(z, 6) AS z_score, CASE WHEN abs(z) >= 5 THEN 'high' ELSE 'medium' END AS severity FROM z WHERE abs(z) >= 1", dates="period")
+@query("t07_robust_z", f"WITH {EVENTS_SQL}, t AS (SELECT day AS period, CAST(sum(value) AS DOUBLE) AS v FROM ev GROUP BY 1), m AS (SELECT median(v) AS med FROM t), d AS (SELECT median(abs(v - med)) AS mad FROM t, m), z AS (SELECT period, v, (v - med) / (1.4826 * mad) AS z FROM t, m, d) SELECT period, round(v, 4) AS value, round(z, 6) AS z_score, CASE WHEN abs(z) >= 5 THEN 'high' ELSE 'medium' END AS severity, abs(z) >= 3 AS is_anomaly FROM z WHERE abs(z) >= 1", dates="period")
 def t07(spark, sf):
     t = events(spark, sf).groupBy(C("day").alias("period")).agg(F.sum("value").cast("double").alias("value"))
-    return st.robust_z(t, 1.0).select("period", D("value"), D("z_score", k=6), "severity")
+    return st.robust_z(t, 1.0).select("period", D("value"), D("z_score", k=6), "severity", (F.abs("z_score") >= 3).alias("is_anomaly"))
 
 
 @query("t08_outlier_impact", f"""{DENSE}, c AS (SELECT *, median(value) OVER (PARTITION BY item) AS med, avg(value) OVER (PARTITION BY item) AS m, stddev_pop(value) OVER (PARTITION BY item) AS sd FROM s), d AS (SELECT *, median(abs(value - med)) OVER (PARTITION BY item) AS mad FROM c), o AS (SELECT *, (abs(value - m) >= 2 * sd AND sd > 0) OR (abs(value - med) > 3 * mad AND mad > 0) AS hit FROM d),
     k AS (SELECT *, CASE WHEN hit THEN avg(CASE WHEN NOT hit THEN value END) OVER (PARTITION BY item) ELSE value END AS clean FROM o) SELECT item, count(*) FILTER (hit) AS outliers, round(avg(value), 4) AS mean_with, round(avg(clean), 4) AS mean_without, round(regr_slope(value, period_idx), 3) AS slope_with, round(regr_slope(clean, period_idx), 3) AS slope_without FROM k GROUP BY 1 HAVING count(*) FILTER (hit) > 0""")
 def t08(spark, sf):
-    out = st.outlier_impact(series(spark, sf))
+    out = st.outlier_impact(series(spark, sf, keep=True))
     return out.select("item", "outliers", D("mean_with"), D("mean_without"), D("slope_with", k=3), D("slope_without", k=3))
 
 
+@query("t08_leave_k_out", f"""{DENSE}, c AS (SELECT *, median(value) OVER (PARTITION BY item) AS med, avg(value) OVER (PARTITION BY item) AS m, stddev_pop(value) OVER (PARTITION BY item) AS sd FROM s), d AS (SELECT *, median(abs(value - med)) OVER (PARTITION BY item) AS mad FROM c), o AS (SELECT *, (abs(value - m) >= 2 * sd AND sd > 0) OR (abs(value - med) > 3 * mad AND mad > 0) AS hit FROM d),
+    k AS (SELECT *, CASE WHEN hit THEN value - avg(CASE WHEN NOT hit THEN value END) OVER (PARTITION BY item) ELSE 0 END AS impact FROM o), i AS (SELECT item, sum(abs(impact)) AS total_impact, arg_max(impact, period) AS marginal, count(*) FILTER (hit) AS outliers FROM k GROUP BY 1), t AS (SELECT sum(value) AS total FROM s WHERE period = DATE '2001-07-31')
+    SELECT item, round(total_impact, 3) AS total_impact, round(marginal, 3) AS marginal_impact, round(total - marginal, 3) AS adjusted_total, round(100 * marginal / total, 6) AS marginal_impact_pct FROM i, t WHERE outliers > 0 ORDER BY i.total_impact DESC, item LIMIT 5""")
+def t08k(spark, sf):
+    """The five brands whose outliers matter most, each left out in turn."""
+    return st.leave_k_out(series(spark, sf, keep=True)).select("item", *[D(c, k=3) for c in ("total_impact", "marginal_impact", "adjusted_total")], D("marginal_impact_pct", k=6))
+
+
 @query("t09_variance_decomposition", f"{W}, g AS (SELECT avg(CAST(revenue AS DOUBLE)) AS m, sum((CAST(revenue AS DOUBLE)) ^ 2) AS ss, count(*) AS n FROM sales), f AS (SELECT 'region' AS factor, sum(c * (a - m) ^ 2) AS b FROM (SELECT region, avg(CAST(revenue AS DOUBLE)) AS a, count(*) AS c FROM sales GROUP BY 1), g UNION ALL SELECT 'brand', sum(c * (a - m) ^ 2) FROM (SELECT brand, avg(CAST(revenue AS DOUBLE)) AS a, count(*) AS c FROM sales GROUP BY 1), g) SELECT factor, round(b / (ss - n * m * m), 9) AS eta_squared FROM f, g")
 def t09(spark, sf):
-    df = sales(spark, sf, "region", "brand")
-    return st.one_way_share(df, "region", "revenue").unionByName(st.one_way_share(df, "brand", "revenue")).select("factor", D("eta_squared", k=9))
+    return st.one_way_shares(sales(spark, sf, "region", "brand"), ("region", "brand"), "revenue").select("factor", D("eta_squared", k=9))
 
 
 @query("t09_multi_way_anova")
@@ -148,10 +158,23 @@ def t09m(spark, sf):
     return grouped.multi_way(sales(spark, sf, "region", "brand", "segment"), ("region", "brand", "segment"), "revenue")
 
 
-@query("t10_two_way_anova")
+#: The additive model by turns: each factor's effects from the other's, until they stand still. An F with an even first number of degrees of freedom has a finite tail.
+TWO_WAY = f"""WITH RECURSIVE {SALES_SQL}, x AS (SELECT region AS a, segment AS b, count(*) AS n, sum(CAST(revenue AS DOUBLE)) AS s, sum(CAST(revenue AS DOUBLE) ^ 2) AS ss FROM sales GROUP BY 1, 2), g AS (SELECT sum(n) AS n, sum(s) / sum(n) AS m, sum(ss) - sum(s) ^ 2 / sum(n) AS total FROM x),
+    c AS (SELECT a, b, CAST(x.n AS DOUBLE) AS n, x.s - x.n * m AS s FROM x, g), full_ AS (SELECT p.a, q.b, coalesce(n, 0.0) AS n, coalesce(s, 0.0) AS s FROM (SELECT DISTINCT a FROM c) p CROSS JOIN (SELECT DISTINCT b FROM c) q LEFT JOIN c ON c.a = p.a AND c.b = q.b),
+    ra AS (SELECT a, list(n ORDER BY b) AS nr, sum(n) AS ni, sum(s) AS si FROM full_ GROUP BY 1), rb AS (SELECT b, list(n ORDER BY a) AS nr, sum(n) AS ni, sum(s) AS si FROM full_ GROUP BY 1),
+    k AS (SELECT (SELECT list(nr ORDER BY a) FROM ra) AS nab, (SELECT list(ni ORDER BY a) FROM ra) AS na, (SELECT list(si ORDER BY a) FROM ra) AS sa, (SELECT list(nr ORDER BY b) FROM rb) AS nba, (SELECT list(ni ORDER BY b) FROM rb) AS nb, (SELECT list(si ORDER BY b) FROM rb) AS sb),
+    it AS (SELECT 0 AS t, list_transform(nb, lambda v: CAST(0 AS DOUBLE)) AS vb FROM k UNION ALL SELECT t + 1, list_transform(range(1, len(nb) + 1), lambda j: (sb[j] - list_dot_product(nba[j], va)) / nb[j]) FROM (SELECT t, k.*, list_transform(range(1, len(na) + 1), lambda i: (sa[i] - list_dot_product(nab[i], vb)) / na[i]) AS va FROM it, k WHERE t < 60)),
+    z AS (SELECT list_transform(range(1, len(na) + 1), lambda i: (sa[i] - list_dot_product(nab[i], vb)) / na[i]) AS va, vb, k.* FROM it, k WHERE t = 60),
+    f AS (SELECT list_dot_product(sa, va) + list_dot_product(sb, vb) AS ab, (SELECT sum(s ^ 2 / n) FROM c) AS cell, (SELECT sum(si ^ 2 / ni) FROM ra) AS sa1, (SELECT sum(si ^ 2 / ni) FROM rb) AS sb1, len(na) AS la, len(nb) AS lb, (SELECT count(*) FROM c) AS cells FROM z),
+    t AS (SELECT 'region' AS term, ab - sb1 AS ss, la - 1 AS d FROM f UNION ALL SELECT 'segment', ab - sa1, lb - 1 FROM f UNION ALL SELECT 'region:segment', cell - ab, cells - la - lb + 1 FROM f UNION ALL SELECT 'residual', total - cell, CAST(n AS BIGINT) - cells FROM f, g),
+    r AS (SELECT ss AS left_, d AS rest FROM t WHERE term = 'residual'), u AS (SELECT t.*, total, rest, CASE WHEN term <> 'residual' THEN ss / d / (left_ / rest) END AS f FROM t, r, g), y AS (SELECT *, rest / (rest + d * f) AS q FROM u)"""
+
+
+@query("t10_two_way_anova", f"{TWO_WAY} SELECT term, round(ss / 1e6, 2) AS sum_sq_m, CAST(d AS DOUBLE) AS df, round(ss / total, 10) AS eta_squared, round(f, 5) AS f, round(list_sum(list_transform(range(0, d // 2), lambda k: exp(rest / 2 * ln(q) + lgamma(rest / 2 + k) - lgamma(rest / 2) - lgamma(k + 1) + k * ln(1 - q)))), 6) AS p_value FROM y")
 def t10(spark, sf):
-    """Region and segment with their interaction, Type II."""
-    return grouped.two_way(sales(spark, sf, "region", "segment"), "region", "segment", "revenue")
+    """Region and segment with their interaction, Type II; sums of squares in millions."""
+    out = grouped.two_way(sales(spark, sf, "region", "segment"), "region", "segment", "revenue")
+    return out.select("term", F.round(C("sum_sq") / 1e6, 2).alias("sum_sq_m"), "df", D("eta_squared", k=10), D("f", k=5), D("p_value", k=6))
 
 
 MOMENTS = f"""{DENSE}, a AS (SELECT *, avg(value) OVER (PARTITION BY item) AS m FROM s), q AS (SELECT item, count(*) AS n, avg((value - m) ^ 2) AS m2, avg((value - m) ^ 3) AS m3, avg((value - m) ^ 4) AS m4, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM a GROUP BY 1), k AS (SELECT *, m3 / m2 ^ 1.5 AS g1, m4 / m2 ^ 2 - 3 AS g2 FROM q)"""
@@ -176,6 +199,22 @@ def t11n(spark, sf):
     return st.normality(series(spark, sf)).select("item", "n_observations", D("statistic", k=6), D("normality_p_value", k=9), "is_normal", "classification")
 
 
+K2 = f"""{MOMENTS}, b AS (SELECT item, n, CAST(n AS DOUBLE) AS d, g1, g2, g2 + 3 AS b2, g1 * sqrt((n + 1.0) * (n + 3) / (6.0 * (n - 2))) AS y FROM k),
+    w AS (SELECT *, -1 + sqrt(2 * (3 * (d * d + 27 * d - 70) * (d + 1) * (d + 3) / ((d - 2) * (d + 5) * (d + 7) * (d + 9)) - 1)) AS w2, (b2 - 3 * (d - 1) / (d + 1)) / sqrt(24 * d * (d - 2) * (d - 3) / ((d + 1) ^ 2 * (d + 3) * (d + 5))) AS x,
+          6 * (d * d - 5 * d + 2) / ((d + 7) * (d + 9)) * sqrt(6 * (d + 3) * (d + 5) / (d * (d - 2) * (d - 3))) AS rt FROM b),
+    sk AS (SELECT *, 6 + 8 / rt * (2 / rt + sqrt(1 + 4 / rt ^ 2)) AS a FROM w),
+    z AS (SELECT *, ln(y / sqrt(2 / (w2 - 1)) + sqrt((y / sqrt(2 / (w2 - 1))) ^ 2 + 1)) / sqrt(ln(w2) / 2) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM sk),
+    t AS (SELECT *, exp(-(z1 ^ 2 + z2 ^ 2) / 2) AS p FROM z)"""
+
+
+@query("t11_distribution_analysis", f"""{K2}, l AS (SELECT item FROM s GROUP BY 1 ORDER BY abs(avg(value)) DESC, item LIMIT 15), j AS (SELECT *, p > 0.05 AND abs(g1) < 0.5 AND abs(g2) < 1 AS ok, concat_ws(', ', CASE WHEN g1 > 0.5 THEN 'skewed_right' WHEN g1 < -0.5 THEN 'skewed_left' END, CASE WHEN g2 > 1 THEN 'heavy_tailed' WHEN g2 < -1 THEN 'light_tailed' END) AS c FROM t WHERE item IN (SELECT item FROM l))
+    SELECT item, n AS n_observations, round(g1, 6) AS skewness, round(g2, 6) AS excess_kurtosis, round(p, 9) AS normality_p_value, ok AS is_normal, CASE WHEN c <> '' THEN c WHEN ok THEN 'normal' ELSE 'near_normal' END AS classification, CASE WHEN ok THEN 'high' WHEN abs(g1) > 1 OR abs(g2) > 2 THEN 'low' ELSE 'medium' END AS z_score_reliability FROM j""")
+def t11d(spark, sf):
+    """The fifteen leading brands: shape, normality, labels, and how far z-scores can be trusted."""
+    out = st.distribution(series(spark, sf, keep=True))
+    return out.select("item", "n_observations", D("skewness", k=6), D("excess_kurtosis", k=6), D("normality_p_value", k=9), "is_normal", "classification", "z_score_reliability")
+
+
 @query("t12_bimodality", f"{MOMENTS} SELECT item, round((g1 ^ 2 + 1) / (g2 + 3), 6) AS bimodality, (g1 ^ 2 + 1) / (g2 + 3) > 0.555 AS is_bimodal FROM k WHERE n >= 10")
 def t12(spark, sf):
     return st.moments(series(spark, sf)).select("item", D("bimodality", k=6), "is_bimodal")
@@ -184,7 +223,7 @@ def t12(spark, sf):
 def _conc(source: str, groups: str, where: str = "true") -> str:
     g, p = (f"{groups}, ", f"PARTITION BY {groups}") if groups else ("", "")
     return f"""r AS (SELECT *, abs(value) AS x, sum(abs(value)) OVER ({p}) AS t FROM {source} WHERE {where}), k AS (SELECT *, row_number() OVER ({p} ORDER BY x DESC, item) AS k, coalesce(sum(x) OVER ({p} ORDER BY x DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER ({p} ORDER BY x, item DESC) AS i FROM r),
-    h AS (SELECT {g}count(*) AS total_entities, count(*) FILTER (b < 0.8 * t) AS pareto_count, round(sum(x) FILTER (k <= 5) / max(t), 9) AS top_5_share, round(sum(x) FILTER (k <= 10) / max(t), 9) AS top_10_share, round(sum((100 * x / t) ^ 2), 6) AS hhi, round(2 * sum(i * x) / (count(*) * max(t)) - (count(*) + 1) / count(*), 9) AS gini FROM k {'GROUP BY ' + groups if groups else ''})"""
+    h AS (SELECT {g}count(*) AS total_entities, count(*) FILTER (b < 0.8 * t) AS pareto_count, round(sum(x) FILTER (k <= 5) / max(t), 9) AS top_5_share, round(sum(x) FILTER (k <= 10) / max(t), 9) AS top_10_share, round(sum((100 * x / t) ^ 2), 6) AS hhi, round(2 * sum(i * x) / (count(*) * max(t)) - (count(*) + 1) / count(*), 9) AS gini, sum((100 * x / t) ^ 2) AS hhi_raw, 2 * sum(i * x) / (count(*) * max(t)) - (count(*) + 1) / count(*) AS gini_raw FROM k {'GROUP BY ' + groups if groups else ''})"""
 
 
 COLS = ("total_entities", "pareto_count", "top_5_share", "top_10_share", "hhi", "gini")
@@ -196,11 +235,10 @@ def t13(spark, sf):
     return shown(st.concentration(series(spark, sf).filter(C("period") == NOW)))
 
 
-@query("t14_concentration_trend", f"{DENSE}, {_conc('s', 'period')}, j AS (SELECT h.*, p.period_idx FROM h JOIN p USING (period)) SELECT round(regr_slope(hhi, period_idx), 6) AS hhi_slope, round(regr_slope(gini, period_idx), 9) AS gini_slope, count(*) AS periods FROM j")
+@query("t14_concentration_trend", f"{DENSE}, {_conc('s', 'period')}, j AS (SELECT h.*, p.period_idx FROM h JOIN p USING (period)) SELECT round(regr_slope(hhi_raw, period_idx), 6) AS hhi_slope, round(regr_slope(gini_raw, period_idx), 9) AS gini_slope, count(*) AS periods, (SELECT round({CORRELATION_P}, 6) FROM (SELECT corr(hhi_raw, period_idx) AS r, count(*) AS n FROM j)) AS hhi_p_value, (SELECT round({CORRELATION_P}, 6) FROM (SELECT corr(gini_raw, period_idx) AS r, count(*) AS n FROM j)) AS gini_p_value FROM j")
 def t14(spark, sf):
-    per_period = st.concentration(series(spark, sf), "period", "period_idx")
-    x = C("period_idx").cast("double")
-    return per_period.agg(F.round(F.regr_slope(F.round("hhi", 6), x), 6).alias("hhi_slope"), F.round(F.regr_slope(F.round("gini", 9), x), 9).alias("gini_slope"), F.count("*").alias("periods"))
+    out = st.concentration_trend(series(spark, sf))
+    return out.select(D("hhi_slope", k=6), D("gini_slope", k=9), "periods", D("hhi_p_value", k=6), D("gini_p_value", k=6))
 
 
 @query("t15_variance_concentration", f"{DENSE}, d AS (SELECT item, abs(value - lag(value) OVER (PARTITION BY item ORDER BY period)) AS v FROM s), a AS (SELECT item, sum(v) AS value FROM d GROUP BY 1), {_conc('a', '')} SELECT {', '.join(COLS)} FROM h")
@@ -211,17 +249,18 @@ def t15(spark, sf):
 
 @query("t16_segmented_concentration", f"{W}, a AS (SELECT region, nation AS item, CAST(sum(revenue) AS DOUBLE) AS value FROM sales WHERE period = DATE '2001-07-31' GROUP BY 1, 2), {_conc('a', 'region')} SELECT region, {', '.join(COLS)} FROM h")
 def t16(spark, sf):
-    a = sales(spark, sf, "region", "nation").filter(C("period") == NOW).groupBy("region", C("nation").alias("item")).agg(F.sum("revenue").cast("double").alias("value"))
+    a = sales(spark, sf, "region", "nation", months=(NOW,)).groupBy("region", C("nation").alias("item")).agg(F.sum("revenue").cast("double").alias("value"))
     return shown(st.concentration(a, "region"), "region")
 
 
 METRICS = ("revenue", "quantity", "price", "lines")
 TABLE = f"{W}, m AS (SELECT {{}}period, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS price, CAST(count(*) AS DOUBLE) AS lines FROM sales WHERE period <= DATE '2001-07-31' GROUP BY ALL)"
+PAIR_RAW = " UNION ALL ".join(f"SELECT {{0}}'{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {{1}}" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :])
 PAIR_SQL = " UNION ALL ".join(f"SELECT {{0}}'{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) AS n FROM m {{1}}" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :])
 
 
 def metrics(spark, sf, *dims):
-    m = sales(spark, sf, *dims).filter(C("period") <= NOW).groupBy(*dims, "period").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("double").alias("quantity"), F.count("*").cast("double").alias("lines"))
+    m = sales(spark, sf, *dims, until=NOW).groupBy(*dims, "period").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("double").alias("quantity"), F.count("*").cast("double").alias("lines"))
     return m.withColumn("price", C("revenue") / F.nullif("quantity", F.lit(0.0)))
 
 
@@ -247,14 +286,25 @@ def t18(spark, sf):
     return st.correlations(metrics(spark, sf, "region"), METRICS, "region").select("region", "a", "b", D("r", k=6), "n")
 
 
+@query("t18_correlation_breakdown", f"{TABLE.format('region, ')}, e AS ({PAIR_RAW.format('region, ', 'm GROUP BY region')}), w AS (SELECT period, sum(revenue) AS revenue, sum(quantity) AS quantity, sum(lines) AS lines, sum(revenue) / sum(quantity) AS price FROM m GROUP BY 1), p AS ({PAIR_RAW.format('', 'w')}) SELECT region, a, b, round(e.r, 6) AS r, round(p.r, 6) AS population_r, abs(e.r) < 0.3 OR sign(e.r) <> sign(p.r) AS broken FROM e JOIN p USING (a, b) WHERE abs(p.r) >= 0.8")
+def t18b(spark, sf):
+    """Pairs that go strongly together in the whole, in each region, and where they don't."""
+    cells = kept(metrics(spark, sf, "region"), "metrics")
+    whole = cells.groupBy("period").agg(*[F.sum(c).alias(c) for c in ("revenue", "quantity", "lines")]).withColumn("price", C("revenue") / F.nullif("quantity", F.lit(0.0)))
+    out = st.compared_correlations(st.correlations(whole, METRICS), st.correlations(cells, METRICS, "region"))
+    return out.select("region", "a", "b", D("r", k=6), D("population_r", k=6), "broken")
+
+
 LAGS = " UNION ALL ".join(f"SELECT '{a}' AS leader, '{b}' AS follower, {k} AS lag, corr(x.{a}, y.{b}) AS r FROM i x JOIN i y ON y.k = x.k + {k}" for a in METRICS[:3] for b in METRICS[:3] if a != b for k in range(7))
 
 
-@query("t19_lead_lag", f"{TABLE.format('')}, i AS (SELECT *, row_number() OVER (ORDER BY period) AS k FROM m), l AS ({LAGS}), z AS (SELECT leader, follower, arg_max(lag, (abs(r), -lag)) AS optimal_lag, arg_max(r, (abs(r), -lag)) AS lag_r, max(CASE WHEN lag = 0 THEN r END) AS contemporaneous_r FROM l GROUP BY 1, 2) SELECT leader, follower, CAST(optimal_lag AS INTEGER) AS optimal_lag, round(lag_r, 6) AS lag_r, round(contemporaneous_r, 6) AS contemporaneous_r, round(abs(lag_r) - abs(contemporaneous_r), 6) AS improvement FROM z WHERE optimal_lag > 0 AND abs(lag_r) - abs(contemporaneous_r) >= 0.01")
+@query("t19_lead_lag", f"{TABLE.format('')}, i AS (SELECT *, row_number() OVER (ORDER BY period) AS k FROM m), l AS ({LAGS}), z AS (SELECT leader, follower, arg_max(lag, (abs(r), -lag)) AS optimal_lag, arg_max(r, (abs(r), -lag)) AS lag_r, max(CASE WHEN lag = 0 THEN r END) AS contemporaneous_r FROM l GROUP BY 1, 2) SELECT leader, follower, CAST(optimal_lag AS INTEGER) AS optimal_lag, round(lag_r, 6) AS lag_r, round(contemporaneous_r, 6) AS contemporaneous_r, round(abs(lag_r) - abs(contemporaneous_r), 6) AS improvement, abs(lag_r) >= 0.5 AND abs(lag_r) - abs(contemporaneous_r) >= 0.1 AS leads FROM z WHERE optimal_lag > 0 AND abs(lag_r) - abs(contemporaneous_r) >= 0.01")
 def t19(spark, sf):
+    """Pairs that are better at a lag by any 0.01, and which ones lead by the rule's 0.5 and 0.1."""
     wide = metrics(spark, sf).withColumn("period_idx", F.row_number().over(Window.orderBy("period")))
     out = st.lead_lag(wide, METRICS[:3], least_r=0.0, gain=0.01)
-    return out.select("leader", "follower", "optimal_lag", D("lag_r", k=6), D("contemporaneous_r", k=6), D("improvement", k=6))
+    leads = (F.abs("lag_r") >= 0.5) & (C("improvement") >= 0.1)
+    return out.select("leader", "follower", "optimal_lag", D("lag_r", k=6), D("contemporaneous_r", k=6), D("improvement", k=6), leads.alias("leads"))
 
 
 @query("t20_granger")
@@ -268,7 +318,7 @@ def t20(spark, sf):
 
 @query("t21_seasonal_trend", f"""{DENSE}, c AS (SELECT *, count(*) OVER (PARTITION BY item) AS n, (sum(value) OVER (PARTITION BY item ORDER BY period ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(value, 6) OVER (PARTITION BY item ORDER BY period) + lead(value, 6) OVER (PARTITION BY item ORDER BY period)) / 2) / 12 AS trend FROM s) SELECT item, period, round(trend, 4) AS trend FROM c WHERE period_idx > 6 AND period_idx <= n - 6""", dates="period")
 def t21(spark, sf):
-    parts = st.seasonal(series(spark, sf))
+    parts = st.seasonal(series(spark, sf, keep=True))
     n = F.max("period_idx").over(Window.partitionBy("item"))
     return parts.withColumn("n", n).filter((C("period_idx") > 6) & (C("period_idx") <= C("n") - 6)).select("item", "period", D("trend"))
 
@@ -284,17 +334,46 @@ SEASONAL = f"""{DENSE}, c AS (SELECT *, count(*) OVER (PARTITION BY item) AS n,
 
 @query("t21_seasonal_summary", f"""{SEASONAL} SELECT item, round(avg(residual), 4) AS residual_mean, round(stddev_samp(residual), 4) AS residual_std, count(*) FILTER (abs(residual - rm) > 2 * sd) AS anomaly_count, round(greatest(0, 1 - var_pop(residual) / nullif(var_pop(loose), 0)), 6) AS seasonal_strength FROM q GROUP BY 1""")
 def t21s(spark, sf):
-    return st.seasonal_summary(st.seasonal(series(spark, sf))).select("item", D("residual_mean"), D("residual_std"), "anomaly_count", D("seasonal_strength", k=6))
+    return st.seasonal_summary(kept(st.seasonal(series(spark, sf, keep=True)), "seasonal")).select("item", D("residual_mean"), D("residual_std"), "anomaly_count", D("seasonal_strength", k=6))
+
+
+@query("t21_adjusted_yoy", f"""{SEASONAL}, h AS (SELECT t.item, t.period_idx, t.n, t.value, t.value - g.seasonal AS clean FROM t JOIN g USING (item, phase)) SELECT item, round(max(value) FILTER (period_idx = n) - max(value) FILTER (period_idx = n - 12), 4) AS yoy_variance_raw, round(max(clean) FILTER (period_idx = n) - max(clean) FILTER (period_idx = n - 12), 4) AS yoy_variance_seasonal_adjusted FROM h GROUP BY 1""")
+def t21y(spark, sf):
+    parts = kept(st.seasonal(series(spark, sf, keep=True)), "seasonal")
+    return st.adjusted_yoy(parts).select("item", D("yoy_variance_raw"), D("yoy_variance_seasonal_adjusted"))
+
 
+#: Lists of each item's values; the cheapest cut of the first e of them, for one e after the other, and the way back from the last.
+LISTS = DENSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, v AS (SELECT item, list(value ORDER BY period) AS v, list(period ORDER BY period) AS d, count(*) AS n, var_pop(value) AS vp FROM s GROUP BY 1)"""
+CHANGES = LISTS + """, w AS (SELECT item, v, d, n, 3 * greatest(vp, 1e-12) * ln(n) AS pen, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(v[1:k]), 0)) AS c1, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(list_transform(v[1:k], lambda y: y * y)), 0)) AS c2 FROM v WHERE n >= 12),
+    r AS (SELECT item, CAST(0 AS BIGINT) AS e, [-pen] AS b, [CAST(0 AS BIGINT)] AS k FROM w UNION ALL SELECT item, e + 1, list_append(b, CASE WHEN e + 1 < 3 THEN 1e300 ELSE list_min(x) END), list_append(k, CASE WHEN e + 1 < 3 THEN 0 ELSE CAST(list_position(x, list_min(x)) - 1 AS BIGINT) END)
+        FROM (SELECT r.item, e, b, k, list_transform(range(0, e - 1), lambda s: b[s + 1] + (c2[e + 2] - c2[s + 1]) - (c1[e + 2] - c1[s + 1]) ^ 2 / (e + 1 - s) + pen) AS x FROM r JOIN w USING (item) WHERE e < n)),
+    fin AS (SELECT item, k FROM r JOIN w USING (item) WHERE e = n), bt AS (SELECT item, k[len(k)] AS pos FROM fin UNION ALL SELECT bt.item, fin.k[pos + 1] FROM bt JOIN fin USING (item) WHERE pos > 0),
+    cuts AS (SELECT bt.item, pos, coalesce(lag(pos) OVER (PARTITION BY bt.item ORDER BY pos), 0) AS lo, coalesce(lead(pos) OVER (PARTITION BY bt.item ORDER BY pos), n) AS hi FROM bt JOIN w ON w.item = bt.item WHERE pos > 0),
+    cp AS (SELECT cuts.item, d[pos + 1] AS period, pos, list_avg(v[lo + 1:pos]) AS bm, list_avg(v[pos + 1:hi]) AS am, list_stddev_pop(v[lo + 1:pos]) AS sd, pos - lo AS nb, hi - pos AS na FROM cuts JOIN w ON w.item = cuts.item)"""
 
-@query("t22_change_points")
+
+@query("t22_change_points", f"{CHANGES} SELECT item, period, CAST(pos AS INTEGER) AS change_point_index, round(bm, 4) AS before_mean, round(am, 4) AS after_mean, round(am - bm, 4) AS magnitude_dollar, round(100 * (am - bm) / abs(bm), 5) AS magnitude_pct, round(CASE WHEN sd > 0 THEN least(abs(am - bm) / sd, 10) ELSE 10 END, 6) AS confidence_score, CAST(nb AS INTEGER) AS periods_before, CAST(na AS INTEGER) AS periods_after FROM cp", dates="period")
 def t22(spark, sf):
-    return grouped.change_points(series(spark, sf))
+    out = grouped.change_points(series(spark, sf))
+    return out.select("item", "period", "change_point_index", D("before_mean"), D("after_mean"), D("magnitude_dollar"), D("magnitude_pct", k=5), D("confidence_score", k=6), "periods_before", "periods_after")
+
+
+FORECASTS = LISTS + """, i AS (SELECT *, unnest(range(train, n)) AS i FROM (SELECT *, CAST(floor(n * 0.8) AS BIGINT) AS train FROM v) WHERE n >= 18 AND train >= 12),
+    f0 AS (SELECT item, d[i + 1] AS period, v[i + 1] AS actual, CASE WHEN train >= 24 THEN v[train - 12 + (i - train) % 12 + 1] + (list_avg(v[train - 11:train]) - list_avg(v[train - 23:train - 12])) * ((i - train) // 12 + 1) ELSE list_avg(v[1:train]) END AS forecast FROM i),
+    fc AS (SELECT *, CASE WHEN forecast <> 0 THEN 100 * (actual - forecast) / abs(forecast) ELSE 0 END AS pct FROM f0)"""
 
 
-@query("t23_forecast_holdout")
+@query("t23_forecast_holdout", f"{FORECASTS} SELECT item, period, round(actual, 4) AS actual, round(forecast, 4) AS forecast, round(actual - forecast, 4) AS variance_dollar, round(pct, 5) AS variance_pct, round(abs(pct), 5) AS abs_variance_pct, abs(pct) > 10 AS miss FROM fc", dates="period")
 def t23(spark, sf):
-    return grouped.holdout_forecasts(series(spark, sf))
+    out = grouped.holdout_forecasts(series(spark, sf))
+    return out.select("item", "period", *[D(c) for c in ("actual", "forecast", "variance_dollar")], D("variance_pct", k=5), D("abs_variance_pct", k=5), "miss")
+
+
+@query("t23_forecast_summary", f"{FORECASTS} SELECT count(DISTINCT item) AS items_analyzed, count(*) AS total_forecasts, count(*) FILTER (abs(pct) > 10) AS total_forecast_misses, count(DISTINCT item) FILTER (abs(pct) > 10) AS items_with_misses, round(100 * avg(CASE WHEN abs(pct) > 10 THEN 1.0 ELSE 0 END), 6) AS miss_rate_pct, round(avg(abs(pct)), 5) AS mape FROM fc")
+def t23s(spark, sf):
+    out = grouped.forecast_summary(grouped.holdout_forecasts(series(spark, sf)))
+    return out.select("items_analyzed", "total_forecasts", "total_forecast_misses", "items_with_misses", D("miss_rate_pct", k=6), D("mape", k=5))
 
 
 @query("t24_temporal_grain", f"{W}, p AS (SELECT DISTINCT period FROM sales), g AS (SELECT period - lag(period) OVER (ORDER BY period) AS gap FROM p) SELECT (SELECT count(*) FROM p) AS periods, round(avg(CASE WHEN gap BETWEEN 27 AND 32 THEN 1.0 ELSE 0 END), 9) AS monthly, 'monthly' AS grain FROM g WHERE gap IS NOT NULL")

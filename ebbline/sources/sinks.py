@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the session shares with its executors; one is made where none is set."""
+    """A new path below the folder that the session shares with its executors; only a session on one machine may do without the setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once below the shared folder and read again: for aggregated rows that several steps use."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """All rows as delimited text with a header."""
     df.write.option("header", True).csv(path)

@@ -78,7 +78,7 @@ def test_periods():
     assert periods.current(months, 1) == D(2024, 12, 31) and periods.current(months, 99) == months[-1] and periods.current(months, 0, "2024-05") == D(2024, 5, 31)
     assert periods.prior(months, NOW, "yoy") == THEN and periods.prior(months, NOW, "mom") == D(2024, 12, 31) and periods.prior(months[-3:], NOW, "yoy") is None
     assert periods.pvm_prior(months, NOW) == THEN and periods.pvm_prior(months[-2:], NOW) == D(2024, 12, 31)
-    assert dates.grain_of("Week-Ending") == "weekly" and dates.grain_of("?") == "monthly"
+    assert len(dates.GRAINS) == 22 and dates.grain_of(" Annually ") == "yearly" and dates.grain_of("yr") == "yearly" and dates.grain_of("qr") == "quarterly" and dates.grain_of("mon") == "monthly" and dates.grain_of("?") == dates.grain_of(None) == "unknown" and dates.comparison_of("odd") == "PoP"
 
 
 def test_buckets(spark):

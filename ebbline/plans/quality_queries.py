@@ -109,7 +109,7 @@ def i10(spark, sf):
     return table(spark, sf, "orders").agg(F.round(0.05 * F.avg("o_totalprice"), 4).alias("materiality"), F.round(F.datediff(F.max(day), F.min(day)) / 30).cast("int").alias("months"))
 
 
-@query("s14_contract_inference", """SELECT rows, CASE WHEN gap <= 1 THEN 'daily' WHEN gap BETWEEN 5 AND 8 THEN 'weekly' ELSE 'other' END AS frequency, c AS "column", role, hierarchy, level FROM (SELECT count(*) AS rows FROM orders), (SELECT median(g) AS gap FROM (SELECT d - lag(d) OVER (ORDER BY d) AS g FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders))),
+@query("s14_contract_inference", """SELECT rows, CASE WHEN gap <= 1 THEN 'daily' WHEN gap BETWEEN 5 AND 8 THEN 'weekly' WHEN gap BETWEEN 25 AND 35 THEN 'monthly' WHEN gap BETWEEN 85 AND 100 THEN 'quarterly' WHEN gap BETWEEN 350 AND 380 THEN 'yearly' ELSE 'irregular' END AS frequency, c AS "column", role, hierarchy, level FROM (SELECT count(*) AS rows FROM orders), (SELECT median(g) AS gap FROM (SELECT d - lag(d) OVER (ORDER BY d) AS g FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders))),
     (VALUES ('o_orderkey', 'identifier', '', 0), ('o_orderdate', 'time', '', 0), ('o_totalprice', 'metric', '', 0), ('o_orderpriority', 'dimension', 'by_urgency', 2), ('urgency', 'dimension', 'by_urgency', 1), ('nation', 'dimension', 'by_region', 2), ('region', 'dimension', 'by_region', 1)) AS v(c, role, hierarchy, level)""")
 def s14(spark, sf):
     """The role that inference gives each column of a flat table of orders, and the levels that it finds."""

@@ -229,13 +229,19 @@ def test_formats(spark):
 
 
 def test_inference(spark):
-    from ebbline.operators.inference import ordered_levels, propose
+    from ebbline.operators.inference import chains, propose
 
     rows = [(str(k), f"2024-{k % 12 + 1:02d}-01", f"${k * 37 % 1000}.5", str(round(k % 7 / 10, 1)), ("N", "S")[k % 2], f"city{k % 10}") for k in range(300)]
     found, roles = propose(frame(spark, rows, "id string, day string, sales string, rate string, region string, city string"), "x")
     assert roles == {"id": "identifier", "day": "time", "sales": "metric", "rate": "ratio", "region": "dimension", "city": "dimension"}
-    assert found.hierarchies == {"detected": ("region", "city")} and found.frequency == "monthly" and found.time == "day"
-    assert ordered_levels(["b", "a"], {"a": 5, "b": 2}) == ["b", "a"]
+    assert found.hierarchies == {"by_region": ("region", "city")} and found.frequency == "monthly" and found.time == "day"
+    sizes = {"brand": 3, "region": 4, "ptype": 9, "nation": 12, "town": 30}
+    links = {("nation", "region"), ("town", "region"), ("town", "nation"), ("ptype", "brand")}
+    assert chains(list(sizes), sizes, links) == {"by_brand": ("brand", "ptype"), "by_region": ("region", "nation", "town")}  # independent chains stay apart
+    assert chains(list(sizes), sizes, links, levels=2)["by_region"] == ("region", "nation")
+    assert chains(["city", "x", "state"], {"city": 2, "x": 3, "state": 5}, set()) == {"by_state": ("state", "city")} and chains(["b", "a"], {"a": 5, "b": 2}, set()) == {"by_b": ("b", "a")} and chains(["a"], {"a": 5}, set()) == {}
+    many = frame(spark, [(f"p{k}", f"c{k % 7}") for k in range(1200)], "product string, kind string")
+    assert propose(many, "y")[1] == {"product": "dimension", "kind": "dimension"} and propose(many, "y")[0].hierarchies != propose(many, "y", most_values=2000)[0].hierarchies == {"by_kind": ("kind", "product")}
 
 
 def test_support_rules(spark):
@@ -254,3 +260,142 @@ def test_normality_of_short_flat_and_skewed_items(spark):
     assert {k for k, r in got.items() if r.classification == "insufficient" and r.statistic is None and not r.is_normal} == {"short", "three", "flat", "nulls"}
     assert got["even"].classification == "normal" and got["skewed"].classification == "right_skewed" and got["skewed"].normality_p_value < 0.001
     assert got["nulls"].n_observations == 0 and stats.normality(items.filter("false")).count() == 0
+
+
+def test_small_sample_tests():
+    from ebbline.functions.pvalues import chi2_upper, shapiro_wilk
+
+    w, p = shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])  # the published example
+    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.0003)
+    assert shapiro_wilk([1, 1, 1])[1] != shapiro_wilk([1, 1, 1])[1] and shapiro_wilk([1.0, 2.0, 3.0])[0] == pytest.approx(1)
+    assert chi2_upper([3.841458820694124, 18.307038053275146], [1, 10]).tolist() == pytest.approx([0.05, 0.05])
+
+
+def test_cheapest_cut_of_all(spark):
+    """Change points against every possible cut of a short series."""
+    import itertools
+
+    import numpy as np
+
+    v = [3.0, 4, 3, 4, 9, 8, 9, 10, 9, 2, 1, 2, 1, 2]
+    n, best = len(v), None
+    penalty = 3 * np.var(v) * np.log(n)
+    for k in range(4):
+        for cut in itertools.combinations(range(3, n - 2), k):
+            ends = [0, *cut, n]
+            if min(np.diff(ends)) >= 3:
+                cost = sum(((np.array(v[a:b]) - np.mean(v[a:b])) ** 2).sum() for a, b in itertools.pairwise(ends)) + penalty * k
+                best = min(best or (np.inf,), (cost, cut))
+    rows = [("x", D(2024, 1, 1) + dt.timedelta(k), float(x)) for k, x in enumerate(v)]
+    got = grouped.change_points(frame(spark, rows, "item string, period date, value double")).orderBy("period").collect()
+    assert tuple(r.change_point_index for r in got) == best[1]
+
+
+def test_granger_against_normal_equations(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=60), np.zeros(60)
+    for k in range(2, 60):
+        y[k] = 0.5 * y[k - 1] + 0.8 * x[k - 1] + 0.1 * rng.normal()
+    rows = [("x", "y", k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))]
+    got = grouped.granger(frame(spark, rows, "leader string, follower string, period_idx int, x double, y double")).first()
+
+    def left(columns):
+        m = np.column_stack(columns)
+        b = np.linalg.solve(m.T @ m, m.T @ y[2:])
+        return ((y[2:] - m @ b) ** 2).sum()
+
+    own = [np.ones(58), y[1:-1], y[:-2]]
+    r0, r1 = left(own), left([*own, x[1:-1], x[:-2]])
+    assert got.f == pytest.approx((r0 - r1) / 2 / (r1 / 53)) and got.p_value < 1e-6
+
+
+def test_two_way_of_unbalanced_cells(spark):
+    """Against dummy regressions, with an empty cell and no limit on levels."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 12, 500), rng.integers(0, 5, 500)
+    keep = ~((a == 1) & (b == 2))
+    a, b = a[keep], b[keep]
+    y = 100 + a + 3.0 * b + rng.normal(0, 1, len(a))
+    one = np.ones((len(y), 1))
+    da, db = np.eye(12)[a][:, 1:], np.eye(5)[b][:, 1:]
+    sse = lambda *m: float(((y - np.hstack(m) @ np.linalg.lstsq(np.hstack(m), y, rcond=None)[0]) ** 2).sum())
+    got = {r.term: r for r in grouped.two_way(frame(spark, [(int(i), int(j), float(v)) for i, j, v in zip(a, b, y)], "a int, b int, y double"), "a", "b", "y").collect()}
+    assert got["a"].sum_sq == pytest.approx(sse(one, db) - sse(one, da, db)) and got["b"].sum_sq == pytest.approx(sse(one, da) - sse(one, da, db)) and (got["a"].df, got["b"].df) == (11, 4)
+
+
+def test_defaults_on_planted_series(spark):
+    months = [periods.months_back(D(2024, 12, 31), 23 - k) for k in range(24)]
+    up = [("up", d, k + 1, 100.0 + 10 * k) for k, d in enumerate(months)]
+    down = [("down", d, k + 1, 400.0 - 12 * k) for k, d in enumerate(months)]
+    flat = [("flat", d, k + 1, 50.0 + (k % 2)) for k, d in enumerate(months)]
+    spike = [("spike", d, k + 1, 900.0 if k == 23 else 10.0 + k % 3) for k, d in enumerate(months)]
+    s = frame(spark, up + down + flat + spike, "item string, period date, period_idx int, value double")
+    told = {r["item"]: r.diverging for r in variance.trend_divergence(s.filter("item <> 'spike'")).collect()}
+    assert told == {"up": True, "down": True, "flat": False}  # the whole falls by 2 a month, five times slower than either
+    out = stats.leave_k_out(s).collect()
+    assert [r["item"] for r in out] == ["spike"] and out[0].marginal_impact == pytest.approx(900 - (sum(10 + k % 3 for k in range(23)) / 23))
+    moves = {r["item"]: r.persistent for r in ranking.persistent_movers(s, top=2).collect()}
+    assert moves["down"] and moves["up"] and not moves.get("flat", False)
+    assert {r.k: r.is_major for r in ranking.major_shares(frame(spark, [("a", 95.0), ("b", 5.0), ("c", 0.1)], "k string, v double"), "k", "v").collect()} == {"a": True, "b": False, "c": False}
+    shape = {r["item"]: r for r in stats.distribution(s).collect()}
+    assert shape["spike"].z_score_reliability == "low" and "heavy_tailed" in shape["spike"].classification and shape["up"].normality_p_value > 0.05
+    run = frame(spark, [("t", d, float(sum(range(k + 2)))) for k, d in enumerate(months)] + [("p", d, 10.0 if k % 2 else 20.0) for k, d in enumerate(months)], "item string, period date, value double")
+    pop = {(r["item"], r.period): r for r in variance.period_over_period(run, last=3).collect()}
+    assert len(pop) == 6 and pop[("t", months[-1])].value == 24 and pop[("t", months[-1])].change == 1 and pop[("p", months[-1])].change_pct == -50
+    assert variance.bridge_periods(months, "YoY") == (months[-1], months[-13], "YoY") and variance.bridge_periods(months[:5], "YoY")[2] == "MoM" and variance.bridge_periods(months[:1]) is None
+    like = ranking.similar_history(frame(spark, [("a", months[k], v) for k, v in enumerate([9.0, 9.0, 1.0, 8.0, 10.0])], "item string, period date, d double"), "item", "d", months[4])
+    assert [r.d for r in like.orderBy("period").collect()] == [9.0, 8.0]  # of the last three
+    assert filters.focus_settings(("anomaly_detection", "recent_monthly_trends"), "daily") == {"z_threshold": 1.5, "focus_periods": 6} and filters.focus_settings((), "daily")["focus_periods"] == 14
+
+
+def test_alerts_share_signals(spark):
+    from ebbline.operators import alerts as al
+
+    day = D(2024, 1, 31)
+    z = frame(spark, [("a", day, 30.0, 10.0, 3.5), ("b", day, 12.0, 10.0, 2.1)], "item string, period date, value double, avg double, z_score double")
+    cps = frame(spark, [("b", day, 5.0, 50.0)], "item string, period date, magnitude_dollar double, magnitude_pct double")
+    quiet = frame(spark, [("a", 0.7), ("c", 0.4)], "item string, cv double")
+    out = {r.id: r for r in al.extracted([al.anomaly_alerts(z), al.change_alerts(cps), al.volatility_alerts(quiet)]).withColumn("confidence", al.confidence(F.col("signals"))).collect()}
+    assert set(out) == {"anomaly:a:2024-01-31", "anomaly:b:2024-01-31", "structural_break:b:2024-01-31", "volatility:a:all"}
+    assert [out[k].confidence for k in sorted(out)] == pytest.approx([0.8, 0.95, 0.95, 0.0])  # b has four signals from both
+    assert al.extracted([al.anomaly_alerts(z)], {"anomaly": 1}).first().item == "a"
+    r = frame(spark, [(40.0, 0.1, 50.0, 100.0), (40.0, 0.1, 1.0, None)], "pct double, share double, amount double, revenue double").select(al.impact(F.col("pct"), F.col("share"), F.col("amount"), F.col("revenue")).alias("i")).collect()
+    assert r[0].i == 1.0 and r[1].i == pytest.approx(0.8 * (0.3 + 0.7 * 0.4))
+    rules = frame(spark, [(["a*", "x"], None, ["2024-01-31"], 0.9), (["b"], ["volatility"], [], 1.0)], al.RULES)
+    scored = frame(spark, [("1", "a1", "anomaly", day, 0.5), ("2", "a1", "anomaly", D(2024, 2, 29), 0.5), ("3", "b", "anomaly", day, 0.5), ("4", "b", "volatility", day, 0.5), ("5", "a1", "anomaly", day, 0.95)], "id string, item string, category string, period date, score double")
+    none = frame(spark, [], "item string, period string"), frame(spark, [], "id string, tag string")
+    assert {r.id for r in al.suppressed(scored, rules, *none).filter("suppressed_by = 'rule'").collect()} == {"1", "4"}
+
+
+def test_cards_of_planted_findings(spark):
+    from ebbline.operators import cards
+
+    day = D(2024, 1, 31)
+    one = lambda df: {r.title: (r.priority, r.score) for r in df.collect()}
+    z = frame(spark, [("a", day, 30.0, 10.0, 4.2, 0.5), ("b", day, 10.5, 10.0, 1.0, 0.5)], "item string, period date, value double, avg double, z_score double, share double")
+    assert one(cards.anomalies(z, [day])) == {"Anomaly: a in 2024-01-31": ("critical", pytest.approx(0.72))} and cards.anomalies(z, [day]).first().recent
+    pairs = frame(spark, [("a", "b", -0.9, 0.01), ("a", "c", 0.9, 0.2)], "a string, b string, r double, p_value double")
+    assert one(cards.correlations(pairs)) == {"Correlation: a vs b": ("high", 0.45)}
+    bridge = frame(spark, [(100.0, 90.0, 10.0, 40.0, 20.0, -10.0, 3, 2, 5, 400.0, -200.0, -100.0)], "total_current double, total_prior double, total_delta double, new_total double, lost_total double, same_store_delta double, new_count long, lost_count long, same_store_count long, new_pct_of_delta double, lost_pct_of_delta double, same_store_pct_of_delta double")
+    assert one(cards.bridges(bridge)) == {"Portfolio Churn: 3 new, 2 lost entities": ("critical", 0.6), "New Entities: 3": ("high", 0.5), "Lost Entities: 2": ("high", 0.5), "Same-Store Organic Change: 5 entities": ("low", 0.04)}
+    anova = frame(spark, [("r", 0.3), ("s", 0.1), ("r:s", 0.2), ("residual", 0.4)], "term string, eta_squared double")
+    assert one(cards.variance_drivers(anova)) == {"Primary Variance Driver: r": ("medium", 0.24), "Interaction Effect: r x s": ("medium", 0.3), "High Unexplained Variance": ("medium", 0.4)}
+    leads = frame(spark, [("x", "y", 2, -0.8, 0.3)], "leader string, follower string, optimal_lag int, lag_r double, improvement double")
+    assert one(cards.leading_indicators(leads)) == {"Leading Indicator: x predicts y": ("critical", 0.64)}
+    whole = frame(spark, [(110.0, 100.0, 2.0, 1.0)], "latest_with double, latest_without double, slope_with double, slope_without double")
+    assert one(cards.outlier_impacts(whole)) == {"Outlier-Adjusted Run Rate": ("high", pytest.approx(0.4545)), "Outlier-Adjusted Trend": ("high", 0.5)}
+
+
+def test_rollups_keep_rules_when_rolled_again(spark):
+    df = frame(spark, [("r", f"n{k}", f"c{k}", float(k), k / 10) for k in range(8)], "r string, n string, c string, v double, rate double")
+    out, keys = rollup.within_rows(df, ("r", "n", "c"), (Metric("v"), Metric("rate", type="ratio")), 3)
+    row = out.first()
+    assert keys == ("r",) and row.v == 28 and row.rate == pytest.approx(0.35)
+    days = frame(spark, [(D(2024, 1, 1) + dt.timedelta(k), 1.0) for k in range(14)], "d date, v double")
+    assert rollup.auto_weekly(days, "d", (), (Metric("v"),)).count() == 14 and rollup.auto_weekly(days, "d", (), (Metric("v"),), 13).count() == 2
+    placed = __import__("ebbline.operators.ordered", fromlist=["numbered"]).numbered(frame(spark, [(k,) for k in range(50)], "x int"), F.desc("x"), before="x").collect()
+    assert {r.x: (r.row, r.before) for r in placed} == {x: (50 - x, sum(range(x + 1, 50))) for x in range(50)}

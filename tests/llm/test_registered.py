@@ -38,10 +38,13 @@ def test_op9(spark, sf, documents):
         size[d] += len((t or "").split())
     assert Counter(r.doc_id for r in rows) == Counter(d for d, _ in documents)
     assert all(r.taken % r.size == 0 and r.taken <= 3 * r.size if r.size else r.taken == 0 for r in rows)
-    assert sum(r.size for r in rows) == sum(size.values()) == pytest.approx(sum({r.target for r in rows}), rel=1e-9)
-    for target in {r.target for r in rows}:
-        own = [r for r in rows if r.target == target]
-        assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own)
+    source = {r.doc_id: r.source for r in table(spark, sf, "documents").select("doc_id", "source").collect()}
+    target = {source[r.doc_id]: r.target for r in rows}
+    assert sum(r.size for r in rows) == sum(size.values()) == pytest.approx(sum(target.values()), rel=1e-9)
+    for name, aim in target.items():
+        own = [r for r in rows if source[r.doc_id] == name]
+        assert {(r.target, r.source_size) for r in own} == {(aim, sum(r.size for r in own))}
+        assert abs(sum(r.taken for r in own) - aim) <= max(r.size for r in own)
     assert sorted(rows) == sorted(registry.op9_mixing(spark, sf).collect())
 
 

@@ -9,7 +9,7 @@ from ..operators import alerts as al
 from ..operators import periods as per
 from ..operators import stats as st
 from ..operators import variance as var
-from ..sources.sinks import write_results
+from ..sources.sinks import kept, write_results
 from .contract import Contract
 
 
@@ -21,7 +21,7 @@ def analyse(fact: DataFrame, contract: Contract, metric: str, hierarchy: str, co
     levels' cards, not a loop.
     """
     m, levels = contract.metric(metric), contract.hierarchies[hierarchy]
-    rolled = fact.groupBy("period", *levels).agg(F.sum(m.column or m.name).alias("value")).cache()
+    rolled = kept(fact.groupBy("period", *levels).agg(F.sum(m.column or m.name).alias("value")), "rolled")
     days = per.observed(rolled)
     now = per.current(days, contract.effective_lag(metric))
     then = per.prior(days, now, per.comparison_kind(rolled, comparison))
@@ -30,7 +30,7 @@ def analyse(fact: DataFrame, contract: Contract, metric: str, hierarchy: str, co
     reached = al.drilled(cards).filter("reached").select("level")
     series = per.dense(rolled.filter(F.col("period") <= F.lit(now)), levels[-1], "value")
     odd = st.z_anomalies(series)
-    found = al.alert(odd, "anomaly", period=F.col("period"), item=F.col("item"), variance_amount=F.col("value") - F.col("avg"), variance_pct=100 * (F.col("value") - F.col("avg")) / F.abs("avg"))
+    found = al.anomaly_alerts(odd)
     found = found.join(al.item_shares(series, "item", "value"), "item").join(odd.groupBy("item").agg(F.count("*").alias("periods")), "item")
     return {"level_statistics": levelled, "cards": cards.join(reached, "level", "left_semi"), "profiles": st.item_profiles(series), "alerts": al.scored(found)}
 

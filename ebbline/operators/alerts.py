@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_pattern
 from .ordered import with_totals
+from .periods import at
 
 TAGS = ("expected", "false_positive", "confirmed", "investigating")
 #: The signals that an alert may carry.
@@ -299,3 +300,31 @@ def report_anomalies(entries: DataFrame, limit: int = 5) -> DataFrame:
     absent = lambda c: F.abs(F.coalesce(c, F.lit(0.0)))
     sized = entries.withColumn("size", F.greatest(absent("z_score"), absent("deviation_pct") / 5, absent("value"))).withColumn("is_scenario", F.rlike("item", F.lit("^[A-Za-z][0-9]{1,3}$")))
     return sized.orderBy(F.desc("is_scenario"), F.desc("size"), "id").limit(limit)
+
+
+def metric_totals(df: DataFrame, metrics: tuple[str, ...], now, then) -> DataFrame:
+    """(metric, current, prior) of the whole table, a row a metric, from one pass."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), at(now, m).alias("current"), at(then, m).alias("prior")) for m in metrics])
+    return df.agg(each.alias("e")).select(F.explode("e").alias("e")).select("e.*")
+
+
+def in_scope(findings: DataFrame, hierarchy: DataFrame, parent: str, child: str, named: str, text: str = "item") -> DataFrame:
+    """The findings whose text mentions an entity or one of its children in the hierarchy."""
+    below = hierarchy.filter(F.col(parent) == named)
+    words = below.select(F.col(child).alias("_word")).unionByName(below.select(F.col(parent).alias("_word"))).distinct()
+    return findings.join(words, F.contains(F.col(text), F.col("_word")), "left_semi")
+
+
+def valid_alerts(alerts: DataFrame) -> DataFrame:
+    """alerts without those of an unknown item that have no amount and no percent."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0)) == 0
+    known = F.coalesce(F.lower("item") != "unknown", F.lit(False))
+    return alerts.filter(known | ~(zero("variance_amount") & zero("variance_pct")))
+
+
+def regional_signals(stats: DataFrame, parent: str, level: int, top: int = 3) -> DataFrame:
+    """By parent: the variance of its items at a level of level_statistics, and the names of those that moved most, largest first."""
+    rank = Window.partitionBy(parent).orderBy(F.desc(F.abs("variance_dollar")), "item")
+    rows = stats.filter(F.col("level") == level).withColumn("_k", F.row_number().over(rank))
+    first = F.sort_array(F.collect_list(F.when(F.col("_k") <= top, F.struct("_k", "item"))))
+    return rows.groupBy(parent).agg(F.sum("variance_dollar").alias("variance"), F.transform(first, lambda x: x["item"]).alias("movers"))

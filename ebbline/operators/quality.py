@@ -36,8 +36,7 @@ def date_share(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> dict[str,
 
 
 def numeric_share(c: Column) -> Column:
-    text = F.translate(c.cast("string"), "$,% ", "")
-    return F.avg(F.when(c.isNotNull(), text.try_cast("double").isNotNull().cast("double")))
+    return F.avg(F.when(c.isNotNull(), number(c).isNotNull().cast("double")))
 
 
 def frequency(df: DataFrame, day: str) -> DataFrame:
@@ -95,3 +94,51 @@ def categories(df: DataFrame, column: str, samples: int = 10) -> DataFrame:
     kinds = kept(df.groupBy(F.col(column).alias("kind")).agg(F.count("*").alias("n")).filter("kind IS NOT NULL"), "categories")
     first = kinds.orderBy("kind").limit(samples).agg(F.sort_array(F.collect_list("kind")).alias("samples"))
     return kinds.agg(F.count("*").alias("cardinality")).crossJoin(F.broadcast(first))
+
+
+def number(c: Column) -> Column:
+    """A text as number, without currency signs, thousands' commas, percent signs and spaces; null if it isn't one."""
+    return F.translate(c.cast("string"), "$,% ", "").try_cast("double")
+
+
+def unreadable_dates(c: Column, date_format: str) -> Column:
+    """How many values a date format doesn't read, nulls among them."""
+    return F.count_if(F.try_to_timestamp(c, F.lit(date_format)).isNull())
+
+
+def not_numeric(c: Column) -> Column:
+    """How many values are no numbers, nulls among them."""
+    return F.count_if(number(c).isNull())
+
+
+def rollup_integrity(parents: DataFrame, children: DataFrame, key: str, value: str, tolerance: float = 0.0001) -> DataFrame:
+    """By key: the parents' sum, that of their children, and whether they agree within the tolerance; a key on one side alone doesn't."""
+    one = lambda df, name: df.groupBy(key).agg(F.sum(value).cast("double").alias(name))
+    both = one(parents, "parent").join(one(children, "children"), key, "full")
+    close = F.abs(F.col("parent") - F.col("children")) <= tolerance * F.abs("parent")
+    return both.withColumn("adds_up", F.coalesce(close, F.lit(False)))
+
+
+def row_budget(df: DataFrame, most: int = 250_000) -> DataFrame:
+    """One row: the rows of a table, and whether they are within the budget of an analysis."""
+    return df.agg(F.count("*").alias("rows"), (F.count("*") <= most).alias("within_budget"))
+
+
+def best_format(df: DataFrame, column: str, least: float = 0.8) -> DataFrame:
+    """The date format that reads most of a column, its share, and whether that makes it a time column; no row if none reads any."""
+    shares = date_share(F.col(column))
+    rows = df.agg(F.array(*[F.struct(F.lit(f).alias("format"), c.alias("share")) for f, c in shares.items()]).alias("s"))
+    best = rows.select(F.explode("s").alias("s")).select("s.*").filter("share > 0").orderBy(F.desc("share"), "format").limit(1)
+    return best.withColumn("is_time", F.col("share") > least)
+
+
+def number_profile(df: DataFrame, column: str) -> DataFrame:
+    """One row: the share of a column that reads as numbers, their least, largest, negative and distinct ones."""
+    x = df.select(F.col(column).alias("_c"), number(F.col(column)).alias("_x"))
+    return x.agg(numeric_share(F.col("_c")).alias("share"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count_if(F.col("_x") < 0).alias("negatives"), F.count_distinct("_x").alias("distinct"))
+
+
+def suggestions(df: DataFrame, value: str, day: str, share: float = 0.05) -> DataFrame:
+    """One row: the amount that a contract may take as material (a share of the mean), and the months that the table spans."""
+    d = F.to_date(day)
+    return df.agg((share * F.avg(value)).alias("materiality"), F.round(F.datediff(F.max(d), F.min(d)) / 30).cast("int").alias("months"))

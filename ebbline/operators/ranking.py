@@ -125,3 +125,26 @@ def rank_of(df: DataFrame, item: str, value: str, named: str) -> DataFrame:
 def first_of(df: DataFrame, keys: tuple[str, ...], *order) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def top_entities(df: DataFrame, entity: str, order: str, value: str, top: int = 20) -> DataFrame:
+    """The entities with the largest sums: orders, the amount an order, and the share of all entities' sum in percent."""
+    t = df.groupBy(entity, order).agg(F.sum(value).alias("_v")).groupBy(entity).agg(F.sum("_v").alias("_v"), F.count(order).alias("orders"))
+    t = kept(t, "entities")
+    every = t.agg(F.sum("_v").cast("double").alias("_all"))
+    first = t.withColumn("total", F.col("_v").cast("double")).orderBy(F.desc("total"), entity).limit(top).crossJoin(F.broadcast(every))
+    return first.select(entity, "total", "orders", (F.col("total") / F.nullif("orders", F.lit(0))).alias("per_order"), (100 * F.col("total") / F.nullif("_all", F.lit(0.0))).alias("share_pct"))
+
+
+def moved_entities(cells: DataFrame, entity: str) -> DataFrame:
+    """Of cells (entity, current, prior): how much moved in each entity, either way, and its largest percent change; most first."""
+    d = F.col("current") - F.col("prior")
+    out = cells.groupBy(entity).agg(F.sum(F.abs(d)).alias("moved"), (100 * F.max(F.abs(d / F.nullif("prior", F.lit(0.0))))).alias("most_pct"))
+    return out.orderBy(F.desc("moved"), F.desc_nulls_last("most_pct"), entity)
+
+
+def entity_sets(df: DataFrame, entity: str, now, then) -> DataFrame:
+    """Each entity of two periods as new (in the first alone), lost (in the second alone) or same, from one pass over both; null is none."""
+    at = lambda p: F.bool_or(F.col("period") == F.lit(p))
+    seen = df.filter(F.col("period").isin(F.lit(now), F.lit(then)) & F.col(entity).isNotNull()).groupBy(entity).agg(at(now).alias("_now"), at(then).alias("_then"))
+    return seen.select(F.when(~F.col("_then"), "new").when(~F.col("_now"), "lost").otherwise("same").alias("kind"), entity)

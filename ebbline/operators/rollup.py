@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import BUCKETS, distinct_periods, gaps
 from ..plans.contract import Metric, aggregate_of, rolled
 from ..sources.sinks import kept
+from .ordered import with_totals
 
 UNASSIGNED = "(Unassigned)"
 ORDER = {"daily": 0, "weekly": 1, "monthly": 2, "quarterly": 3, "yearly": 4}
@@ -119,3 +120,48 @@ def flagged_against_rest(df: DataFrame, keys: tuple[str, ...], flag: str, value:
     hit = F.lower(F.col(flag).cast("string")).isin(*[m.lower() for m in marks])
     out = df.groupBy(*keys).agg(F.avg(F.when(hit, F.col(value).cast("double"))).alias("flagged"), F.avg(F.when(~hit, F.col(value).cast("double"))).alias("baseline"))
     return out.withColumn("deviation_pct", 100 * (F.col("flagged") / F.nullif("baseline", F.lit(0.0)) - 1))
+
+
+def order_summary(df: DataFrame, outer: str, inner: str, order: str, *sums: str) -> DataFrame:
+    """Sums, rows (lines) and orders by outer and inner key, by outer key, and in all.
+
+    An order is of one outer and inner key; so it is counted once there, and counts are added up.
+    """
+    once = df.groupBy(outer, inner, order).agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("lines"))
+    leaves = once.groupBy(outer, inner).agg(*[F.sum(c).alias(c) for c in (*sums, "lines")], F.count(order).alias("orders"))
+    return leaves.groupingSets([[F.col(outer), F.col(inner)], [F.col(outer)], []], outer, inner).agg(*[F.sum(c).alias(c) for c in (*sums, "lines", "orders")])
+
+
+def year_pair(df: DataFrame, item: str, day: str, value: str, year: int) -> DataFrame:
+    """Each item's sum of a whole year and of the one before."""
+    pick = lambda y: F.sum(F.when(F.year(day) == y, F.col(value))).cast("double")
+    return df.filter(F.year(day).isin(year, year - 1)).groupBy(item).agg(pick(year).alias("current"), pick(year - 1).alias("prior"))
+
+
+def series_summary(df: DataFrame, item: str, value: str, volatile: float = 0.2) -> DataFrame:
+    """One row: periods, the first and last of them, those of the highest and lowest total, items, and how many of these vary much."""
+    cells = kept(df.groupBy(item, "period").agg(F.sum(value).alias("_r"), F.sum(value).cast("double").alias("_v")), "cells")
+    totals = cells.groupBy("period").agg(F.sum("_r").cast("double").alias("_v"))
+    items = cells.groupBy(item).agg((F.stddev_pop("_v") / F.nullif(F.avg("_v"), F.lit(0.0))).alias("_cv")).agg(F.count("*").alias("items"), F.count_if(F.col("_cv") >= volatile).alias("high_cv"))
+    spans = totals.agg(F.count("*").alias("periods"), F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.max_by("period", "_v").alias("highest_period"), F.min_by("period", "_v").alias("lowest_period"))
+    return spans.crossJoin(F.broadcast(items))
+
+
+def scenario_summaries(df: DataFrame, scenario: str, value: str, day: str, base: str) -> DataFrame:
+    """Rows, total, mean, share and days of each scenario, and how far its mean is off that of the scenario `base` in percent."""
+    t = df.groupBy(scenario).agg(F.count("*").alias("rows"), F.sum(value).cast("double").alias("total"), F.avg(F.col(value).cast("double")).alias("mean"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    t = with_totals(kept(t, "scenarios"), _all=F.sum("total"), _base=F.max(F.when(F.col(scenario) == base, F.col("mean"))))
+    off = 100 * (F.col("mean") / F.nullif("_base", F.lit(0.0)) - 1)
+    return t.withColumns({"share_pct": 100 * F.col("total") / F.nullif("_all", F.lit(0.0)), "deviation_pct": off}).drop("_all", "_base")
+
+
+def run_metadata(df: DataFrame, entity: str) -> DataFrame:
+    """One row: rows, distinct entities and distinct periods. Rows are first counted by entity and period."""
+    cells = df.groupBy(entity, "period").agg(F.count("*").alias("n"))
+    return cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_distinct(entity).alias("entities"), F.count_distinct("period").alias("periods"))
+
+
+def calendar_seasonality(totals: DataFrame, value: str) -> DataFrame:
+    """One row: the calendar months of the highest and lowest mean of the periods' totals, and the range of these means as percent of their mean."""
+    m = totals.groupBy(F.month("period").alias("m")).agg(F.avg(value).alias("v"))
+    return m.agg(F.max_by("m", "v").alias("peak"), F.min_by("m", "v").alias("trough"), (100 * (F.max("v") - F.min("v")) / F.nullif(F.avg("v"), F.lit(0.0))).alias("amplitude_pct"))

@@ -236,3 +236,61 @@ def pattern_labels(df: DataFrame) -> DataFrame:
     last = df.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("period")))).filter("r <= 3")
     per = last.groupBy("item").agg(F.max(F.when(F.col("r") == 1, F.col("value"))).alias("latest"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     return per.select("item", F.when(F.abs(F.col("latest") - F.col("m")) > 2 * F.col("s"), "spike").otherwise("run_rate_change").alias("pattern"))
+
+
+def growth(df: DataFrame, group: str, now: dt.date, then: dt.date, **measures: str) -> DataFrame:
+    """The percent change of each measure (name=column) of each group between two periods; null without a prior amount."""
+    sums = df.groupBy(group).agg(*[at(p, c).alias(f"_{n}{k}") for n, c in measures.items() for k, p in enumerate((then, now))])
+    return sums.select(group, *[(100 * (safe(F.col(f"_{n}1"), F.col(f"_{n}0")) - 1)).alias(n) for n in measures])
+
+
+def metric_divergence(changes: DataFrame, a: str, b: str, *, apart: float = 2.0, gap: float = 3.0, times: float = 2.0) -> DataFrame:
+    """changes, with diverges (two percent changes of unlike signs, both over `apart`) and rate_mismatch (both over `gap`, one over `times` the other)."""
+    x, y = F.abs(a), F.abs(b)
+    opposite = (F.col(a) * F.col(b) < 0) & (x > apart) & (y > apart)
+    uneven = (F.greatest(x, y) > times * F.least(x, y)) & (x > gap) & (y > gap)
+    return changes.withColumns({"diverges": opposite, "rate_mismatch": uneven})
+
+
+def price_yield(changes: DataFrame, total: str, volume: str) -> DataFrame:
+    """changes, with the part of the total's percent change that volume leaves to price, and which of the two rose."""
+    price = F.col(total) - F.col(volume)
+    up, dear = F.col(volume) >= 0, price >= 0
+    label = F.when(up & dear, "volume and price up").when(up, "volume up, price down").when(dear, "price up, volume down").otherwise("volume and price down")
+    return changes.withColumns({"price_pct": price, "label": label})
+
+
+def near_extremes(series: DataFrame, now: dt.date, *, high: float = 0.9, low: float = 1.5) -> DataFrame:
+    """Each item's value of the period `now`: whether it is near the item's highest value, and near its lowest."""
+    per = series.groupBy("item").agg(F.max("value").alias("hi"), F.min("value").alias("lo"), F.max(F.when(F.col("period") == F.lit(now), F.col("value"))).alias("value"))
+    return per.filter("value IS NOT NULL").select("item", (F.col("value") >= high * F.col("hi")).alias("near_high"), (F.col("value") <= low * F.col("lo")).alias("near_low"))
+
+
+def top_share_risk(df: DataFrame, group: str, item: str, value: str, *, top: int = 3, most: float = 0.6) -> DataFrame:
+    """The share of each group that its `top` items hold, and whether that is over `most`."""
+    t = df.groupBy(group, item).agg(F.sum(value).cast("double").alias("v"))
+    t = t.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("v"), item)))
+    share = safe(F.sum(F.when(F.col("r") <= top, F.col("v"))), F.sum("v"))
+    return t.groupBy(group).agg(share.alias("top_share"), (share > most).alias("at_risk"))
+
+
+def displayed_cumulative(stats: DataFrame, top: int = 10) -> DataFrame:
+    """The first `top` items of each level of level_statistics, with the running share of the movement that these items show."""
+    level = Window.partitionBy("level")
+    moved = F.abs("variance_dollar")
+    running = F.sum(moved).over(level.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return stats.filter(F.col("rank") <= top).withColumn("shown_cumulative_pct", 100 * safe(running, F.sum(moved).over(level)))
+
+
+def event_ratio(daily: DataFrame, by: str, value: str, during: tuple[str, str], before: tuple[str, str], day: str = "day") -> DataFrame:
+    """The mean value of the weekdays of an event's days over that of the days before it; both spans include their ends."""
+    mean = lambda span: F.avg(F.when(F.col(day).between(*[F.lit(d).cast("date") for d in span]), F.col(value)))
+    return daily.filter(F.weekday(day) <= 4).groupBy(by).agg(safe(mean(during), mean(before)).alias("ratio"))
+
+
+def yearly_truth(df: DataFrame, group: str, day: str, value: str, year: int) -> DataFrame:
+    """A year against the one before, in all and by group: the percent change, and the rank by growth among the groups."""
+    pick = lambda y: F.sum(F.when(F.year(day) == y, F.col(value))).cast("double")
+    g = df.filter(F.year(day).isin(year, year - 1)).rollup(group).agg(F.grouping(group).alias("_g"), pick(year).alias("c"), pick(year - 1).alias("p"))
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy(F.desc(F.col("c") - F.col("p")), group))
+    return g.select(F.when(F.col("_g") == 1, "Total").otherwise(F.col(group)).alias("item"), (100 * (safe(F.col("c"), F.col("p")) - 1)).alias("yoy_pct"), rank.alias("rank"))

@@ -250,9 +250,7 @@ def l17(spark, sf):
 @query("l18_network_totals", f"{W} SELECT 'revenue' AS metric, CAST(sum(revenue) FILTER (period = DATE '2001-07-31') AS DOUBLE) AS \"current\", CAST(sum(revenue) FILTER (period = DATE '2000-07-31') AS DOUBLE) AS prior FROM sales UNION ALL SELECT 'quantity', CAST(sum(quantity) FILTER (period = DATE '2001-07-31') AS DOUBLE), CAST(sum(quantity) FILTER (period = DATE '2000-07-31') AS DOUBLE) FROM sales")
 def l18(spark, sf):
     now, then = resolved(spark, sf)
-    m = monthly(spark, sf, months=(now, then))
-    each = F.array(*[F.struct(F.lit(c).alias("metric"), per.at(now, c).alias("current"), per.at(then, c).alias("prior")) for c in ("revenue", "quantity")])
-    return m.agg(each.alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    return al.metric_totals(monthly(spark, sf, months=(now, then)), ("revenue", "quantity"), now, then)
 
 
 GUARD = f"""{ALERTS}, {CARDS.removeprefix(W + ', ')}"""
@@ -268,9 +266,8 @@ def l19(spark, sf):
 
 @query("l20_scope_filter", f"{CARDS}, sc AS (SELECT 'ASIA' AS word UNION SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') SELECT level, item FROM cd WHERE card <= 5 AND EXISTS (SELECT 1 FROM sc WHERE contains(item, word))")
 def l20(spark, sf):
-    geo = table(spark, sf, "nation").join(table(spark, sf, "region"), C("n_regionkey") == C("r_regionkey")).filter(C("r_name") == "ASIA")
-    words = geo.select(C("n_name").alias("word")).unionByName(geo.select(C("r_name").alias("word"))).distinct()
-    return al.hierarchy_cards(stats(spark, sf)).join(words, C("item").contains(C("word")), "left_semi").select("level", "item")
+    geo = table(spark, sf, "nation").join(table(spark, sf, "region"), C("n_regionkey") == C("r_regionkey"))
+    return al.in_scope(al.hierarchy_cards(stats(spark, sf)), geo, "r_name", "n_name", "ASIA").select("level", "item")
 
 
 @query("l21_entity_totals", f"{W} SELECT period, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity FROM sales WHERE nation = 'NATION_5' GROUP BY 1", dates="period")
@@ -282,8 +279,7 @@ def l21(spark, sf):
 def l22(spark, sf):
     f = kept(found(spark, sf).select("id", "item", "variance_amount", "variance_pct"), "alerts")
     empty = f.limit(1).select(F.lit("anomaly:unknown:all").alias("id"), F.lit("unknown").alias("item"), F.lit(0.0).alias("variance_amount"), F.lit(0.0).alias("variance_pct"))
-    invalid = (C("item") == "unknown") & (F.coalesce("variance_amount", F.lit(0.0)) == 0) & (F.coalesce("variance_pct", F.lit(0.0)) == 0)
-    return f.unionByName(empty).filter(~invalid).agg(F.count("*").alias("valid"))
+    return al.valid_alerts(f.unionByName(empty)).agg(F.count("*").alias("valid"))
 
 
 @query("l23_report_anomalies", f"{ALERTS}, k AS (SELECT id, greatest(abs(z), abs(variance_pct) / 5, abs(variance_amount) / 1e6) AS size, regexp_matches(item, '^[A-Za-z][0-9]{{1,3}}$') AS is_scenario FROM (SELECT id, CASE item WHEN 'Brand#3' THEN 'A1' ELSE item END AS item, z, variance_pct, variance_amount FROM c)) SELECT id, is_scenario, round(size, 6) AS size FROM k ORDER BY is_scenario DESC, k.size DESC, id LIMIT 5")
@@ -305,7 +301,5 @@ def l24(spark, sf):
 @query("l27_regional_signals", f"{W}, {{}}".format("""v AS (SELECT region, nation, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN revenue ELSE 0 END) AS DOUBLE) - CAST(sum(CASE WHEN period = DATE '2000-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS d FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY abs(d) DESC, nation) AS k FROM v)
     SELECT region, round(sum(d), 4) AS variance, string_agg(nation, ',' ORDER BY k) FILTER (k <= 3) AS movers FROM r GROUP BY 1"""))
 def l27(spark, sf):
-    rows = stats(spark, sf).filter("level = 2")
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.desc(F.abs("variance_dollar")), "item")))
-    return top.groupBy("region").agg(F.round(F.sum("variance_dollar"), 4).alias("variance"), F.sort_array(F.collect_list(F.when(C("k") <= 3, F.struct("k", "item")))).alias("m")).select("region", "variance", F.array_join(F.transform("m", lambda x: x["item"]), ",").alias("movers"))
-
+    out = al.regional_signals(stats(spark, sf), "region", 2)
+    return out.select("region", D("variance"), F.array_join("movers", ",").alias("movers"))

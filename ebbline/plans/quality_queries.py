@@ -33,39 +33,34 @@ def _raw(spark, sf):
 
 @query("q03_time_parseable", f"SELECT count(*) FILTER (try_strptime(d, '%Y-%m-%d') IS NULL) AS unreadable FROM ({RAW})")
 def q03(spark, sf):
-    return _raw(spark, sf).agg(F.count_if(F.try_to_timestamp("d", F.lit("yyyy-MM-dd")).isNull()).alias("unreadable"))
+    return _raw(spark, sf).agg(qa.unreadable_dates(C("d"), "yyyy-MM-dd").alias("unreadable"))
 
 
 @query("q04_metric_numeric", f"SELECT count(*) FILTER (TRY_CAST(replace(v, '$', '') AS DOUBLE) IS NULL) AS not_numeric FROM ({RAW})")
 def q04(spark, sf):
-    return _raw(spark, sf).agg(F.count_if(F.translate("v", "$,% ", "").try_cast("double").isNull()).alias("not_numeric"))
+    return _raw(spark, sf).agg(qa.not_numeric(C("v")).alias("not_numeric"))
 
 
-@query("q05_rollup_integrity", f"{W} SELECT region, CAST(sum(revenue) AS DOUBLE) AS parent, true AS adds_up FROM sales GROUP BY 1")
+@query("q05_rollup_integrity", f"{W}, c AS (SELECT region, sum(v) AS children FROM (SELECT region, nation, sum(revenue) AS v FROM sales GROUP BY 1, 2) GROUP BY 1) SELECT region, CAST(sum(revenue) AS DOUBLE) AS parent, abs(CAST(sum(revenue) AS DOUBLE) - CAST(any_value(children) AS DOUBLE)) <= 0.0001 * abs(CAST(sum(revenue) AS DOUBLE)) AS adds_up FROM sales JOIN c USING (region) GROUP BY 1")
 def q05(spark, sf):
-    df = sales(spark, sf, "region", "nation")
-    parent = df.groupBy("region").agg(F.sum("revenue").cast("double").alias("parent"))
-    children = df.groupBy("region", "nation").agg(F.sum("revenue").alias("v")).groupBy("region").agg(F.sum("v").cast("double").alias("children"))
-    return parent.join(children, "region").select("region", "parent", (F.abs(C("parent") - C("children")) <= 0.0001 * F.abs("parent")).alias("adds_up"))
+    lines = sales(spark, sf, "region", "nation")
+    children = lines.groupBy("region", "nation").agg(F.sum("revenue").alias("revenue"))
+    return qa.rollup_integrity(lines, children, "region", "revenue").select("region", "parent", "adds_up")
 
 
 @query("q06_row_budget", "SELECT count(*) AS rows, count(*) <= 250000 AS within_budget FROM lineitem")
 def q06(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.count("*").alias("rows"), (F.count("*") <= 250_000).alias("within_budget"))
+    return qa.row_budget(table(spark, sf, "lineitem"))
 
 
 @query("i01_date_formats", f"SELECT 'yyyy-MM-dd' AS format, round(avg(CASE WHEN try_strptime(d, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0 END), 9) AS share, avg(CASE WHEN try_strptime(d, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0 END) > 0.8 AS is_time FROM ({RAW})")
 def i01(spark, sf):
-    shares = qa.date_share(C("d"))
-    rows = _raw(spark, sf).agg(F.array(*[F.struct(F.lit(f).alias("format"), c.alias("share")) for f, c in shares.items()]).alias("s"))
-    best = rows.select(F.explode("s").alias("s")).select("s.*").filter("share > 0").orderBy(F.desc("share"), "format").limit(1)
-    return best.select("format", F.round("share", 9).alias("share"), (C("share") > 0.8).alias("is_time"))
+    return qa.best_format(_raw(spark, sf), "d").select("format", F.round("share", 9).alias("share"), "is_time")
 
 
 @query("i02_numeric_columns", f"SELECT round(avg(CASE WHEN TRY_CAST(replace(v, '$', '') AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0 END), 9) AS share, min(TRY_CAST(replace(v, '$', '') AS DOUBLE)) AS lo, max(TRY_CAST(replace(v, '$', '') AS DOUBLE)) AS hi, count(*) FILTER (TRY_CAST(replace(v, '$', '') AS DOUBLE) < 0) AS negatives, count(DISTINCT TRY_CAST(replace(v, '$', '') AS DOUBLE)) AS \"distinct\" FROM ({RAW})")
 def i02(spark, sf):
-    x = F.translate("v", "$,% ", "").try_cast("double")
-    return _raw(spark, sf).withColumn("x", x).agg(F.round(qa.numeric_share(C("v")), 9).alias("share"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if(C("x") < 0).alias("negatives"), F.count_distinct("x").alias("distinct"))
+    return qa.number_profile(_raw(spark, sf), "v").withColumn("share", F.round("share", 9))
 
 
 @query("i03_currency_hint", f"SELECT round(avg(CASE WHEN v LIKE '$%' THEN 1.0 ELSE 0 END), 9) AS share, avg(CASE WHEN v LIKE '$%' THEN 1.0 ELSE 0 END) > 0.3 AS is_currency, avg(CASE WHEN v LIKE '%\\%' ESCAPE '\\' THEN 1.0 ELSE 0 END) > 0.3 AS is_percentage FROM ({RAW})")
@@ -105,8 +100,8 @@ def i08(spark, sf):
 
 @query("i10_suggestions", "SELECT round(0.05 * avg(o_totalprice), 4) AS materiality, CAST(date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) / 30 AS INTEGER) AS months FROM orders")
 def i10(spark, sf):
-    day = F.to_date("o_orderdate")
-    return table(spark, sf, "orders").agg(F.round(0.05 * F.avg("o_totalprice"), 4).alias("materiality"), F.round(F.datediff(F.max(day), F.min(day)) / 30).cast("int").alias("months"))
+    out = qa.suggestions(table(spark, sf, "orders"), "o_totalprice", "o_orderdate")
+    return out.select(F.round("materiality", 4).alias("materiality"), "months")
 
 
 @query("s14_contract_inference", """SELECT rows, CASE WHEN gap <= 1 THEN 'daily' WHEN gap BETWEEN 5 AND 8 THEN 'weekly' WHEN gap BETWEEN 25 AND 35 THEN 'monthly' WHEN gap BETWEEN 85 AND 100 THEN 'quarterly' WHEN gap BETWEEN 350 AND 380 THEN 'yearly' ELSE 'irregular' END AS frequency, c AS "column", role, hierarchy, level FROM (SELECT count(*) AS rows FROM orders), (SELECT median(g) AS gap FROM (SELECT d - lag(d) OVER (ORDER BY d) AS g FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders))),

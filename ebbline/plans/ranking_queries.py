@@ -82,9 +82,7 @@ MEMBERS = f"c AS (SELECT DISTINCT customer FROM sales WHERE period = DATE '{NOW}
 
 @query("j09_entity_sets", f"{W}, {MEMBERS} SELECT 'new' AS kind, customer FROM (SELECT * FROM c EXCEPT SELECT * FROM p) UNION ALL SELECT 'lost', customer FROM (SELECT * FROM p EXCEPT SELECT * FROM c) UNION ALL SELECT 'same', customer FROM (SELECT * FROM c INTERSECT SELECT * FROM p)")
 def j09(spark, sf):
-    df = sales(spark, sf, "customer", months=BOTH)
-    seen = df.groupBy("customer").agg(F.bool_or(C("period") == day(NOW)).alias("c"), F.bool_or(C("period") == day(THEN)).alias("p"))
-    return seen.select(F.when(~C("p"), "new").when(~C("c"), "lost").otherwise("same").alias("kind"), "customer")
+    return ranking.entity_sets(sales(spark, sf, "customer", months=BOTH), "customer", *BOTH)
 
 
 @query("j10_nearest_period", f"""{W}, p AS (SELECT DISTINCT order_date AS d FROM sales), t AS (SELECT DISTINCT CAST(make_date(y, m, 15) AS DATE) AS target FROM range(1994, 2003) AS r(y), range(1, 13) AS s(m))
@@ -245,10 +243,8 @@ def w13(spark, sf):
 
 @query("w14_top_entities", f"{W}, t AS (SELECT customer, CAST(sum(revenue) AS DOUBLE) AS total, count(DISTINCT order_id) AS orders FROM sales GROUP BY 1) SELECT customer, total, orders, round(total / orders, 4) AS per_order, round(100 * total / (SELECT sum(total) FROM t), 9) AS share_pct FROM t ORDER BY total DESC, customer LIMIT 20")
 def w14(spark, sf):
-    t = sales(spark, sf, "customer", "order_id").groupBy("customer", "order_id").agg(F.sum("revenue").alias("r")).groupBy("customer").agg(F.sum("r").alias("r"), F.count("*").alias("orders"))
-    every = t.agg(F.sum("r").cast("double").alias("all"))
-    top = t.withColumn("total", C("r").cast("double")).orderBy(F.desc("total"), "customer").limit(20)
-    return top.join(every).select("customer", "total", "orders", F.round(C("total") / C("orders"), 4).alias("per_order"), F.round(100 * C("total") / C("all"), 9).alias("share_pct"))
+    out = ranking.top_entities(sales(spark, sf, "customer", "order_id"), "customer", "order_id", "revenue")
+    return out.select("customer", "total", "orders", D("per_order", k=4), D("share_pct", k=9))
 
 
 @query("w15_major_shares", f"{W}, t AS (SELECT nation, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1) SELECT nation, round(v / (SELECT sum(v) FROM t), 9) AS share, v / (SELECT sum(v) FROM t) >= 0.05 AS is_major FROM t")
@@ -271,9 +267,7 @@ def w17(spark, sf):
 
 @query("w18_scope_entities", f"{W}, x AS (SELECT nation, segment, CAST(sum(CASE WHEN period = DATE '{NOW}' THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = DATE '{THEN}' THEN revenue ELSE 0 END) AS DOUBLE) AS p FROM sales WHERE period IN (DATE '{NOW}', DATE '{THEN}') GROUP BY 1, 2) SELECT nation, round(sum(abs(c - p)), 4) AS moved, round(max(abs((c - p) / nullif(p, 0))) * 100, 6) AS most_pct FROM x GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1")
 def w18(spark, sf):
-    x = _pair(spark, sf, "nation", "segment").withColumn("d", C("current") - C("prior"))
-    out = x.groupBy("nation").agg(F.round(F.sum(F.abs("d")), 4).alias("moved"), F.round(F.max(F.abs(C("d") / F.nullif("prior", F.lit(0.0)))) * 100, 6).alias("most_pct"))
-    return out.orderBy(F.desc("moved"), F.desc_nulls_last("most_pct"), "nation")
+    return ranking.moved_entities(_pair(spark, sf, "nation", "segment"), "nation").select("nation", D("moved", k=4), D("most_pct"))
 
 
 @query("w19_rank_of_parent", f"{W}, t AS (SELECT nation, sum(revenue) AS v FROM sales WHERE order_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1) SELECT * FROM (SELECT nation, CAST(v AS DOUBLE) AS total, row_number() OVER (ORDER BY v DESC NULLS LAST, nation) AS rank FROM t) WHERE nation = 'NATION_5'")

@@ -142,18 +142,14 @@ def a21(spark, sf):
     round(CAST(sum(revenue) AS DOUBLE) / count(DISTINCT order_id), 6) AS revenue_per_order FROM sales GROUP BY GROUPING SETS ((1, 2), (1), ())""")
 def a22(spark, sf):
     df = sales(spark, sf, "region", "order_id").withColumn("month", F.date_format("order_date", "yyyy-MM"))
-    # an order is of one month and region, so that orders are counted once and then added up
-    orders = df.groupBy("month", "region", "order_id").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.count("*").alias("lines"))
-    leaves = orders.groupBy("month", "region").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.sum("lines").alias("lines"), F.count("*").alias("orders"))
-    out = leaves.groupingSets([[C("month"), C("region")], [C("month")], []], "month", "region").agg(*[F.sum(c).alias(c) for c in ("revenue", "quantity", "lines", "orders")])
+    out = rollup.order_summary(df, "month", "region", "order_id", "revenue", "quantity")
     return out.select("month", "region", D("revenue"), D("quantity"), "lines", "orders", F.round(C("revenue").cast("double") / C("orders"), 6).alias("revenue_per_order"))
 
 
 @query("a23_full_year_yoy", f"{W} SELECT brand, CAST(sum(revenue) FILTER (year(order_date) = 2000) AS DOUBLE) AS current, CAST(sum(revenue) FILTER (year(order_date) = 1999) AS DOUBLE) AS prior FROM sales WHERE year(order_date) IN (1999, 2000) GROUP BY 1")
 def a23(spark, sf):
-    year = F.year("order_date")
-    pick = lambda y: F.sum(F.when(year == y, C("revenue"))).cast("double")
-    return sales(spark, sf, "brand", since=datetime.date(1999, 1, 1), until=datetime.date(2000, 12, 31)).groupBy("brand").agg(pick(2000).alias("current"), pick(1999).alias("prior"))
+    df = sales(spark, sf, "brand", since=datetime.date(1999, 1, 1), until=datetime.date(2000, 12, 31))
+    return rollup.year_pair(df, "brand", "order_date", "revenue", 2000)
 
 
 @query("a24_children", "SELECT r_name AS region, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS children FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -165,11 +161,7 @@ def a24(spark, sf):
 @query("a25_summary_stats", f"""{W}, t AS (SELECT period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1), i AS (SELECT nation, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2), c AS (SELECT nation, stddev_pop(v) / avg(v) AS cv FROM i GROUP BY 1)
     SELECT (SELECT count(DISTINCT nation) FROM sales) AS items, count(*) AS periods, min(period) AS first_period, max(period) AS last_period, arg_max(period, v) AS highest_period, arg_min(period, v) AS lowest_period, (SELECT count(*) FROM c WHERE cv >= 0.2) AS high_cv FROM t""", dates="first_period last_period highest_period lowest_period")
 def a25(spark, sf):
-    cells = kept(sales(spark, sf, "nation").groupBy("nation", "period").agg(F.sum("revenue").alias("r"), F.sum("revenue").cast("double").alias("v")), "cells")
-    totals = cells.groupBy("period").agg(F.sum("r").cast("double").alias("v"))
-    items = cells.groupBy("nation").agg((F.stddev_pop("v") / F.avg("v")).alias("cv")).agg(F.count("*").alias("items"), F.count_if(C("cv") >= 0.2).alias("high_cv"))
-    spans = totals.agg(F.count("*").alias("periods"), F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.max_by("period", "v").alias("highest_period"), F.min_by("period", "v").alias("lowest_period"))
-    return spans.join(items)
+    return rollup.series_summary(sales(spark, sf, "nation"), "nation", "revenue")
 
 
 @query("a26_profile", """SELECT 'o_totalprice' AS "column", count(*) AS rows, count(o_totalprice) AS filled, count(DISTINCT o_totalprice) AS "distinct", min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd FROM orders
@@ -183,9 +175,8 @@ def a26(spark, sf):
 @query("a27_scenario_summaries", f"""WITH {EVENTS_SQL}, t AS (SELECT metric, count(*) AS rows, CAST(sum(value) AS DOUBLE) AS total, avg(CAST(value AS DOUBLE)) AS mean, min(day) AS first_day, max(day) AS last_day FROM ev GROUP BY 1)
     SELECT metric, rows, total, round(mean, 6) AS mean, round(100 * total / sum(total) OVER (), 6) AS share_pct, first_day, last_day, round(100 * (mean / (SELECT mean FROM t WHERE metric = 'view') - 1), 6) AS deviation_pct FROM t""", dates="first_day last_day")
 def a27(spark, sf):
-    t = events(spark, sf).groupBy("metric").agg(F.count("*").alias("rows"), F.sum("value").cast("double").alias("total"), F.avg(C("value").cast("double")).alias("mean"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    t = with_totals(kept(t, "scenarios"), whole=F.sum("total"), base=F.max(F.when(C("metric") == "view", C("mean"))))
-    return t.select("metric", "rows", "total", D("mean"), F.round(100 * C("total") / C("whole"), 6).alias("share_pct"), "first_day", "last_day", F.round(100 * (C("mean") / C("base") - 1), 6).alias("deviation_pct"))
+    t = rollup.scenario_summaries(events(spark, sf), "metric", "value", "day", "view")
+    return t.select("metric", "rows", "total", D("mean"), F.round("share_pct", 6).alias("share_pct"), "first_day", "last_day", F.round("deviation_pct", 6).alias("deviation_pct"))
 
 
 @query("a28_flagged_baseline", f"{W} SELECT region, round(avg(CAST(revenue AS DOUBLE)) FILTER (flag = 'R'), 4) AS flagged, round(avg(CAST(revenue AS DOUBLE)) FILTER (flag <> 'R'), 4) AS baseline, round(100 * (avg(CAST(revenue AS DOUBLE)) FILTER (flag = 'R') / avg(CAST(revenue AS DOUBLE)) FILTER (flag <> 'R') - 1), 4) AS deviation_pct FROM sales GROUP BY 1")
@@ -196,13 +187,11 @@ def a28(spark, sf):
 
 @query("a29_run_metadata", f"{W} SELECT count(*) AS rows, count(DISTINCT nation) AS entities, count(DISTINCT period) AS periods FROM sales")
 def a29(spark, sf):
-    cells = sales(spark, sf, "nation").groupBy("nation", "period").agg(F.count("*").alias("n"))
-    return cells.agg(F.sum("n").alias("rows"), F.count_distinct("nation").alias("entities"), F.count_distinct("period").alias("periods"))
+    return rollup.run_metadata(sales(spark, sf, "nation"), "nation")
 
 
 @query("a30_calendar_seasonality", f"""{W}, t AS (SELECT period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period < DATE '2001-08-01' GROUP BY 1), m AS (SELECT month(period) AS m, avg(v) AS v FROM t GROUP BY 1)
     SELECT CAST(arg_max(m, v) AS INTEGER) AS peak, CAST(arg_min(m, v) AS INTEGER) AS trough, round(100 * (max(v) - min(v)) / avg(v), 6) AS amplitude_pct FROM m""")
 def a30(spark, sf):
     t = sales(spark, sf, until=datetime.date(2001, 7, 31)).groupBy("period").agg(F.sum("revenue").cast("double").alias("v"))
-    m = t.groupBy(F.month("period").alias("m")).agg(F.avg("v").alias("v"))
-    return m.agg(F.max_by("m", "v").alias("peak"), F.min_by("m", "v").alias("trough"), F.round(100 * (F.max("v") - F.min("v")) / F.avg("v"), 6).alias("amplitude_pct"))
+    return rollup.calendar_seasonality(t, "v").select("peak", "trough", F.round("amplitude_pct", 6).alias("amplitude_pct"))

@@ -64,37 +64,23 @@ def t03p(spark, sf):
     return st.z_anomalies(series(spark, sf)).select("item", "period", D("z_score", k=6), D("p_value", k=9))
 
 
-TOP = ("Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15", "Brand#16")
+def _leading(spark, sf):
+    """The six items with the largest |avg|."""
+    return st.leading_items(series(spark, sf, keep=True), 6)
 
 
-def _wide(spark, sf):
-    names = {b: f"b{b[-2:]}" for b in TOP}
-    s = series(spark, sf)
-    return s.groupBy("period", "period_idx").agg(*[F.sum(F.when(C("item") == b, C("value"))).alias(n) for b, n in names.items()]), tuple(names.values())
+PAIRS = f"{DENSE}, lead AS (SELECT item FROM s GROUP BY 1 ORDER BY abs(avg(value)) DESC, item LIMIT 6), q AS (SELECT * FROM s WHERE item IN (SELECT item FROM lead)), c AS (SELECT x.item AS a, y.item AS b, corr(x.value, y.value) AS r, count(*) AS n FROM q x JOIN q y ON x.period = y.period AND x.item < y.item GROUP BY 1, 2)"
 
 
-PAIRS = f"{DENSE}, q AS (SELECT 'b' || right(item, 2) AS item, period, value FROM s WHERE item IN {TOP}), c AS (SELECT x.item AS a, y.item AS b, corr(x.value, y.value) AS r, count(*) AS n FROM q x JOIN q y ON x.period = y.period AND x.item < y.item GROUP BY 1, 2)"
-
-
-@query("t04_uniform_growth", f"{PAIRS} SELECT count(*) AS pairs, count(*) FILTER (abs(r) >= 0.95) AS strong, count(*) FILTER (abs(r) >= 0.95) > 0.5 * count(*) AS uniform FROM c")
+@query("t04_uniform_growth", f"{PAIRS} SELECT count(*) AS pairs, count(*) FILTER (abs(r) >= 0.95) AS strong, count(*) FILTER (abs(r) >= 0.95) > 0.5 * count(*) AS uniform FROM c WHERE isfinite(r)")
 def t04(spark, sf):
-    wide, names = _wide(spark, sf)
-    c = st.correlations(wide, names)
-    strong = F.count_if(F.abs("r") >= 0.95)
-    return c.agg(F.count("*").alias("pairs"), strong.alias("strong"), (strong > 0.5 * F.count("*")).alias("uniform"))
+    """Over the pairs of the six leading items; t04_uniform_growth_all is over those of all items."""
+    return st.uniform_growth(_leading(spark, sf))
 
 
 @query("t05_item_correlations", f"{PAIRS} SELECT a, b, round(r, 6) AS r, n FROM c")
 def t05(spark, sf):
-    wide, names = _wide(spark, sf)
-    return st.correlations(wide, names).select("a", "b", D("r", k=6), "n")
-
-
-@query("t05_key_correlations", f"{PAIRS}, k AS (SELECT *, {CORRELATION_P} AS p FROM c) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value FROM k WHERE abs(r) > 0.1 AND p < 0.5 ORDER BY abs(r) DESC, a, b LIMIT 6")
-def t05p(spark, sf):
-    """Pairs that are strong and significant, at most six."""
-    wide, names = _wide(spark, sf)
-    return st.with_p(st.correlations(wide, names)).filter((F.abs("r") > 0.1) & (C("p_value") < 0.5)).orderBy(F.desc(F.abs("r")), "a", "b").limit(6).select("a", "b", D("r", k=6), "n", D("p_value", k=6))
+    return st.item_correlations(_leading(spark, sf)).select("a", "b", D("r", k=6), "n")
 
 
 EVERY_PAIR = f"{DENSE}, c AS (SELECT x.item AS a, y.item AS b, corr(x.value, y.value) AS r, count(*) AS n FROM s x JOIN s y ON x.period = y.period AND x.item < y.item GROUP BY 1, 2)"
@@ -111,6 +97,13 @@ def t05a(spark, sf):
     return st.item_correlations(series(spark, sf, keep=True)).select("a", "b", D("r", k=6), "n")
 
 
+@query("t05_key_correlations", f"{EVERY_PAIR}, k AS (SELECT *, {CORRELATION_P} AS p FROM c) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value, abs(r) > 0.7 AND p < 0.05 AS kept FROM k ORDER BY abs(r) DESC, a, b LIMIT 6")
+def t05p(spark, sf):
+    """The six strongest pairs of all items, and which are strong and significant."""
+    pairs = st.item_correlations(series(spark, sf, keep=True)).orderBy(F.desc(F.abs("r")), "a", "b").limit(6)
+    return st.with_p(pairs).select("a", "b", D("r", k=6), "n", D("p_value", k=6), ((F.abs("r") > 0.7) & (C("p_value") < 0.05)).alias("kept"))
+
+
 @query("t05_leading_correlations", f"{EVERY_PAIR}, lead AS (SELECT item FROM s GROUP BY 1 ORDER BY abs(avg(value)) DESC, item LIMIT 4), k AS (SELECT *, {CORRELATION_P} AS p FROM c WHERE a IN (SELECT item FROM lead) AND b IN (SELECT item FROM lead)) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value, abs(r) > 0.7 AND p < 0.05 AS kept FROM k")
 def t05l(spark, sf):
     """The six pairs of the four items with the largest |avg|, and which are strong and significant."""

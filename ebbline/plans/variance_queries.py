@@ -244,61 +244,47 @@ TOTALS = f"{W}, g AS (SELECT region, 100 * (CAST(sum(revenue) FILTER (period = D
 
 
 def _growth(spark, sf):
-    rows = _two(spark, sf, "region").groupBy("region").agg(*[per.at(p, m).alias(f"{m}{k}") for m in ("revenue", "quantity") for k, p in ((1, NOW), (0, THEN))])
-    g = lambda m: 100 * (C(f"{m}1") / F.nullif(f"{m}0", F.lit(0.0)) - 1)
-    return rows.select("region", g("revenue").alias("rev"), g("quantity").alias("vol"))
+    return var.growth(_two(spark, sf, "region"), "region", NOW, THEN, rev="revenue", vol="quantity")
 
 
 @query("v22_metric_divergence", f"{TOTALS} SELECT region, round(rev, 6) AS rev, round(vol, 6) AS vol, rev * vol < 0 AND abs(rev) > 2 AND abs(vol) > 2 AS diverges, greatest(abs(rev), abs(vol)) > 2 * least(abs(rev), abs(vol)) AND abs(rev) > 3 AND abs(vol) > 3 AS rate_mismatch FROM g")
 def v22(spark, sf):
-    big, small = F.greatest(F.abs("rev"), F.abs("vol")), F.least(F.abs("rev"), F.abs("vol"))
-    return _growth(spark, sf).select("region", D("rev", k=6), D("vol", k=6), ((C("rev") * C("vol") < 0) & (F.abs("rev") > 2) & (F.abs("vol") > 2)).alias("diverges"), ((big > 2 * small) & (F.abs("rev") > 3) & (F.abs("vol") > 3)).alias("rate_mismatch"))
+    out = var.metric_divergence(_growth(spark, sf), "rev", "vol")
+    return out.select("region", D("rev", k=6), D("vol", k=6), "diverges", "rate_mismatch")
 
 
 @query("v23_price_yield_split", f"{TOTALS} SELECT region, round(rev - vol, 6) AS price_pct, CASE WHEN vol >= 0 AND rev - vol >= 0 THEN 'volume and price up' WHEN vol >= 0 THEN 'volume up, price down' WHEN rev - vol >= 0 THEN 'price up, volume down' ELSE 'volume and price down' END AS label FROM g")
 def v23(spark, sf):
-    price = C("rev") - C("vol")
-    label = F.when((C("vol") >= 0) & (price >= 0), "volume and price up").when(C("vol") >= 0, "volume up, price down").when(price >= 0, "price up, volume down").otherwise("volume and price down")
-    return _growth(spark, sf).select("region", F.round(price, 6).alias("price_pct"), label.alias("label"))
+    return var.price_yield(_growth(spark, sf), "rev", "vol").select("region", D("price_pct", k=6), "label")
 
 
 @query("v24_high_low", f"{W}, m AS (SELECT brand, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period < DATE '2001-08-01' GROUP BY 1, 2), x AS (SELECT *, max(v) OVER (PARTITION BY brand) AS hi, min(v) OVER (PARTITION BY brand) AS lo FROM m) SELECT brand, v >= 0.9 * hi AS near_high, v <= 1.5 * lo AS near_low FROM x WHERE period = DATE '2001-07-31'")
 def v24(spark, sf):
-    m = monthly(spark, sf, "brand", until=NOW).withColumn("v", C("revenue").cast("double"))
-    part = Window.partitionBy("brand")
-    return m.withColumn("hi", F.max("v").over(part)).withColumn("lo", F.min("v").over(part)).filter(C("period") == NOW).select("brand", (C("v") >= 0.9 * C("hi")).alias("near_high"), (C("v") <= 1.5 * C("lo")).alias("near_low"))
+    m = monthly(spark, sf, "brand", until=NOW).select(C("brand").alias("item"), "period", C("revenue").cast("double").alias("value"))
+    return var.near_extremes(m, NOW).withColumnRenamed("item", "brand")
 
 
 @query("v25_top3_risk", f"{W}, t AS (SELECT region, nation, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY v DESC, nation) AS r FROM t) SELECT region, round(sum(v) FILTER (r <= 3) / sum(v), 9) AS top3, sum(v) FILTER (r <= 3) / sum(v) > 0.6 AS at_risk FROM r GROUP BY 1")
 def v25(spark, sf):
-    t = sales(spark, sf, "region", "nation").groupBy("region", "nation").agg(F.sum("revenue").cast("double").alias("v"))
-    t = t.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("v"), "nation")))
-    share = F.sum(F.when(C("r") <= 3, C("v"))) / F.sum("v")
-    return t.groupBy("region").agg(F.round(share, 9).alias("top3"), (share > 0.6).alias("at_risk"))
+    out = var.top_share_risk(sales(spark, sf, "region", "nation"), "region", "nation", "revenue")
+    return out.select("region", D("top_share", "top3", 9), "at_risk")
 
 
 @query("v26_displayed_cumulative", f"{STATS_SQL} SELECT item, round(100 * sum(abs(variance_dollar)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) / sum(abs(variance_dollar)) OVER (), 6) AS shown_cumulative_pct FROM st WHERE level = 2 AND rank <= 10")
 def v26(spark, sf):
-    shown = stats(spark, sf).filter("level = 2 AND rank <= 10")
-    running = F.sum(F.abs("variance_dollar")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))  # of the ten rows shown
-    total = F.sum(F.abs("variance_dollar")).over(Window.partitionBy("level"))
-    return shown.select("item", F.round(100 * running / total, 6).alias("shown_cumulative_pct"))
+    return var.displayed_cumulative(stats(spark, sf).filter("level = 2")).select("item", D("shown_cumulative_pct", k=6))
 
 
 @query("v27_event_window", f"WITH {EVENTS_SQL}, d AS (SELECT metric, day, CAST(sum(value) AS DOUBLE) AS v FROM ev WHERE isodow(day) <= 5 GROUP BY 1, 2) SELECT metric, round(avg(v) FILTER (day BETWEEN DATE '2024-01-22' AND DATE '2024-01-26') / avg(v) FILTER (day BETWEEN DATE '2024-01-01' AND DATE '2024-01-19'), 6) AS ratio FROM d GROUP BY 1")
 def v27(spark, sf):
-    d = events(spark, sf).filter(F.weekday("day") <= 4).groupBy("metric", "day").agg(F.sum("value").cast("double").alias("v"))
-    mean = lambda a, b: F.avg(F.when(C("day").between(a, b), C("v")))
-    return d.groupBy("metric").agg(F.round(mean("2024-01-22", "2024-01-26") / mean("2024-01-01", "2024-01-19"), 6).alias("ratio"))
+    d = events(spark, sf).groupBy("metric", "day").agg(F.sum("value").cast("double").alias("v"))
+    return var.event_ratio(d, "metric", "v", ("2024-01-22", "2024-01-26"), ("2024-01-01", "2024-01-19")).select("metric", D("ratio", k=6))
 
 
 @query("v28_yearly_truth", f"{W}, g AS (SELECT region, CAST(sum(revenue) FILTER (year(order_date) = 2000) AS DOUBLE) AS c, CAST(sum(revenue) FILTER (year(order_date) = 1999) AS DOUBLE) AS p FROM sales GROUP BY ROLLUP (region)) SELECT coalesce(region, 'Total') AS item, round(100 * (c / p - 1), 6) AS yoy_pct, row_number() OVER (PARTITION BY region IS NULL ORDER BY c - p DESC) AS rank FROM g")
 def v28(spark, sf):
     df = sales(spark, sf, "region", since=dt.date(1999, 1, 1), until=dt.date(2000, 12, 31))
-    pick = lambda y: F.sum(F.when(F.year("order_date") == y, C("revenue"))).cast("double")
-    g = df.rollup("region").agg(pick(2000).alias("c"), pick(1999).alias("p"))
-    rank = F.row_number().over(Window.partitionBy(C("region").isNull()).orderBy(F.desc(C("c") - C("p"))))
-    return g.select(F.coalesce("region", F.lit("Total")).alias("item"), F.round(100 * (C("c") / C("p") - 1), 6).alias("yoy_pct"), rank.alias("rank"))
+    return var.yearly_truth(df, "region", "order_date", "revenue", 2000).select("item", D("yoy_pct", k=6), "rank")
 
 
 @query("v28_scenario_deviation", f"{W}, r AS (SELECT region, segment, CASE flag WHEN 'R' THEN 'returned' END AS scenario, CAST(revenue AS DOUBLE) AS v FROM sales), b AS (SELECT region, segment, avg(v) AS b FROM r WHERE scenario IS NULL GROUP BY 1, 2), h AS (SELECT scenario, region, segment, avg(v) AS a, count(*) AS rows FROM r WHERE scenario IS NOT NULL GROUP BY 1, 2, 3) SELECT scenario, region, segment, rows, round(a, 4) AS scenario_avg, round(b, 4) AS baseline_avg, round(100 * (a - b) / b, 5) AS deviation_pct FROM h LEFT JOIN b USING (region, segment)")

@@ -399,3 +399,82 @@ def test_rollups_keep_rules_when_rolled_again(spark):
     assert rollup.auto_weekly(days, "d", (), (Metric("v"),)).count() == 14 and rollup.auto_weekly(days, "d", (), (Metric("v"),), 13).count() == 2
     placed = __import__("ebbline.operators.ordered", fromlist=["numbered"]).numbered(frame(spark, [(k,) for k in range(50)], "x int"), F.desc("x"), before="x").collect()
     assert {r.x: (r.row, r.before) for r in placed} == {x: (50 - x, sum(range(x + 1, 50))) for x in range(50)}
+
+
+def test_divergence_and_price(spark):
+    df = frame(spark, [("A", THEN, 100.0, 50.0), ("A", NOW, 90.0, 55.0), ("B", THEN, 100.0, 10.0), ("B", NOW, 120.0, 10.4), ("C", NOW, 5.0, 1.0)], "g string, period date, r double, q double")
+    c = variance.growth(df, "g", NOW, THEN, rev="r", vol="q")
+    told = {r.g: r for r in variance.price_yield(variance.metric_divergence(c, "rev", "vol"), "rev", "vol").collect()}
+    assert told["A"].diverges and told["A"].price_pct == pytest.approx(-20) and told["A"].label == "volume up, price down"
+    assert not told["B"].diverges and told["B"].rate_mismatch and told["B"].label == "volume and price up"
+    assert told["C"].rev is None and not told["C"].diverges
+
+
+def test_extremes_shares_and_display(spark):
+    s = frame(spark, [("A", THEN, 10.0), ("A", NOW, 9.5), ("B", THEN, 10.0), ("B", NOW, 4.0), ("C", THEN, 1.0)], "item string, period date, value double")
+    assert {r.item: (r.near_high, r.near_low) for r in variance.near_extremes(s, NOW).collect()} == {"A": (True, True), "B": (False, True)}
+    rows = frame(spark, [("g", "a", 4.0), ("g", "b", 3.0), ("g", "c", 2.0), ("g", "d", 1.0), ("h", "a", 0.0)], "g string, i string, v double")
+    found = {r.g: (r.top_share, r.at_risk) for r in variance.top_share_risk(rows, "g", "i", "v").collect()}
+    assert found["g"] == (pytest.approx(0.9), True) and found["h"] == (None, None)
+    st_ = frame(spark, [(1, 1, 6.0), (1, 2, -3.0), (1, 3, 1.0), (2, 1, 5.0)], "level int, rank int, variance_dollar double")
+    assert sorted((r.level, r.rank, round(r.shown_cumulative_pct, 4)) for r in variance.displayed_cumulative(st_, 2).collect()) == [(1, 1, 66.6667), (1, 2, 100.0), (2, 1, 100.0)]
+
+
+def test_events_and_years(spark):
+    d = frame(spark, [("m", D(2024, 1, 5), 2.0), ("m", D(2024, 1, 6), 99.0), ("m", D(2024, 1, 8), 3.0), ("z", D(2024, 1, 8), 1.0)], "k string, day date, v double")
+    assert {r.k: r.ratio for r in variance.event_ratio(d, "k", "v", ("2024-01-08", "2024-01-09"), ("2024-01-01", "2024-01-07")).collect()} == {"m": 1.5, "z": None}
+    y = frame(spark, [("a", D(2023, 5, 1), 10.0), ("a", D(2024, 5, 1), 15.0), ("b", D(2023, 5, 1), 10.0), ("b", D(2024, 5, 1), 40.0), ("b", D(2022, 5, 1), 7.0)], "g string, day date, v double")
+    assert {r["item"]: (round(r.yoy_pct, 6), r["rank"]) for r in variance.yearly_truth(y, "g", "day", "v", 2024).collect()} == {"Total": (175, 1), "b": (300, 1), "a": (50, 2)}
+    assert {r.g: (r.current, r.prior) for r in rollup.year_pair(y, "g", "day", "v", 2023).collect()} == {"a": (10, None), "b": (10, 7)}
+
+
+def test_entities(spark):
+    rows = frame(spark, [(1, 10, 5.0), (1, 11, 5.0), (2, 12, 30.0), (2, 12, 10.0), (3, 13, 0.0)], "c int, o int, v double")
+    assert [(r.c, r.total, r.orders, r.per_order, r.share_pct) for r in ranking.top_entities(rows, "c", "o", "v", 2).collect()] == [(2, 40, 1, 40, 80), (1, 10, 2, 5, 20)]
+    cells = frame(spark, [("a", 5.0, 10.0), ("a", 12.0, 10.0), ("b", 3.0, 0.0)], "e string, current double, prior double")
+    assert [(r.e, r.moved, r.most_pct) for r in ranking.moved_entities(cells, "e").collect()] == [("a", 7, 50), ("b", 3, None)]
+    seen = frame(spark, [("x", NOW), ("y", THEN), ("z", NOW), ("z", THEN), (None, NOW), ("w", D(2020, 1, 31))], "e string, period date")
+    assert {(r.kind, r.e) for r in ranking.entity_sets(seen, "e", NOW, THEN).collect()} == {("new", "x"), ("lost", "y"), ("same", "z")}
+
+
+def test_summaries(spark):
+    rows = frame(spark, [("2024-01", "r", 1, 5.0), ("2024-01", "r", 1, 5.0), ("2024-01", "s", 2, 1.0), ("2024-02", "r", 3, 2.0)], "m string, g string, o int, v double")
+    found = {(r.m, r.g): (r.v, r.lines, r.orders) for r in rollup.order_summary(rows, "m", "g", "o", "v").collect()}
+    assert found[(None, None)] == (13, 4, 3) and found[("2024-01", None)] == (11, 3, 2) and found[("2024-01", "r")] == (10, 2, 1)
+    s = frame(spark, [("a", THEN, 10.0), ("a", NOW, 30.0), ("b", THEN, 5.0), ("b", NOW, 5.0)], "i string, period date, v double")
+    r = rollup.series_summary(s, "i", "v").first()
+    assert (r.periods, r.first_period, r.highest_period, r.lowest_period, r["items"], r.high_cv) == (2, THEN, NOW, THEN, 2, 1)
+    assert tuple(rollup.run_metadata(s, "i").first()) == (4, 2, 2) and tuple(rollup.run_metadata(s.limit(0), "i").first()) == (0, 0, 0)
+    sc = {r.i: (r.total, round(r.share_pct, 6), round(r.deviation_pct, 6)) for r in rollup.scenario_summaries(s, "i", "v", "period", "b").collect()}
+    assert sc == {"a": (40, 80, 300), "b": (10, 20, 0)}
+    t = frame(spark, [(D(2023, 1, 31), 1.0), (D(2024, 1, 31), 3.0), (D(2023, 7, 31), 6.0)], "period date, v double")
+    assert tuple(rollup.calendar_seasonality(t, "v").first()) == (7, 1, 100)
+
+
+def test_checks_of_columns(spark):
+    df = frame(spark, [("2024-01-05", "$1,000"), ("soon", "-5%"), ("2024-02-01", None), (None, "x")], "d string, v string")
+    assert tuple(df.agg(quality.unreadable_dates(F.col("d"), "yyyy-MM-dd"), quality.not_numeric(F.col("v"))).first()) == (2, 2)
+    best = quality.best_format(df, "d").first()
+    assert best.format == "yyyy-MM-dd" and best.share == pytest.approx(2 / 3) and not best.is_time and quality.best_format(df, "v").count() == 0
+    n = quality.number_profile(df, "v").first()
+    assert (round(n.share, 6), n.lo, n.hi, n.negatives, n.distinct) == (0.666667, -5, 1000, 1, 2)
+    parent = frame(spark, [("a", 10.0), ("b", 5.0), ("c", 1.0)], "k string, v double")
+    child = frame(spark, [("a", 4.0), ("a", 6.0), ("b", 4.9), ("d", 1.0)], "k string, v double")
+    assert {r.k: r.adds_up for r in quality.rollup_integrity(parent, child, "k", "v").collect()} == {"a": True, "b": False, "c": False, "d": False}
+    assert quality.row_budget(parent, 3).first().within_budget and not quality.row_budget(parent, 2).first().within_budget
+    o = frame(spark, [("2024-01-01", 100.0), ("2024-03-01", 300.0)], "d string, v double")
+    assert tuple(quality.suggestions(o, "v", "d").first()) == (10, 2)
+
+
+def test_alert_scopes(spark):
+    from ebbline.operators import alerts
+
+    geo = frame(spark, [("ASIA", "Japan"), ("ASIA", None), ("EUROPE", "France")], "p string, c string")
+    f = frame(spark, [("Japan rose",), ("ASIA fell",), ("France",), (None,)], "item string")
+    assert {r["item"] for r in alerts.in_scope(f, geo, "p", "c", "ASIA").collect()} == {"Japan rose", "ASIA fell"}
+    a = frame(spark, [("unknown", 0.0, None), ("unknown", 1.0, 0.0), ("x", 0.0, 0.0), (None, None, None)], "item string, variance_amount double, variance_pct double")
+    assert alerts.valid_alerts(a).count() == 2
+    m = frame(spark, [(THEN, 1.0, 2.0), (NOW, 3.0, 4.0)], "period date, r double, q double")
+    assert {tuple(r) for r in alerts.metric_totals(m, ("r", "q"), NOW, THEN).collect()} == {("r", 3, 1), ("q", 4, 2)}
+    s = frame(spark, [(2, "p", "a", 1.0), (2, "p", "b", -5.0), (2, "p", "c", 2.0), (1, "p", "p", 9.0)], "level int, p string, item string, variance_dollar double")
+    assert [(r.p, r.variance, r.movers) for r in alerts.regional_signals(s, "p", 2, 2).collect()] == [("p", -2, ["b", "c"])]

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
 GEO, CUSTOMER, PRODUCT, MAKER = {"region", "nation"}, {"customer", "segment"}, {"brand", "ptype"}, {"maker", "maker_nation"}
 
 
@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact(x: Column, scale: int) -> Column:
+    """A double as decimal(18, scale), so that sums don't depend on their order; null if it is no number or too large.
+
+    Rounding to whole units of the last place keeps to primitive values; a cast from double would print and parse each one.
+    """
+    units = F.rint(x * 10.0**scale).try_cast("long").try_cast("decimal(18,0)")
+    return (units * F.lit(Decimal(1).scaleb(-scale))).try_cast(f"decimal(18,{scale})")
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> list[dt.date]:
     """The month ends of all orders, in order: from their date column alone."""
     months = table(spark, sf_dir, "orders").select(F.last_day(F.to_date("o_orderdate")).alias("p")).distinct()
@@ -60,8 +69,8 @@ def sales(spark: SparkSession, sf_dir: str, *dims: str, months: list[dt.date | N
         day.alias("order_date"),
         F.to_date("l_shipdate").alias("ship_date"),
         F.last_day(day).alias("period"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(MONEY).alias("revenue"),
-        F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
+        exact(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("revenue"),
+        exact(F.col("l_quantity"), 2).alias("quantity"),
         *[F.col(names[d]).alias(d) for d in dims],
     )
 
@@ -78,7 +87,7 @@ SALES_SQL = """sales AS (
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily events: the date, the type as metric, the user as entity, the value."""
-    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("metric"), "user_id", F.col("value").cast(MONEY).alias("value"))
+    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("metric"), "user_id", exact(F.col("value"), 4).alias("value"))
 
 
 EVENTS_SQL = """ev AS (SELECT CAST(ts AS DATE) AS day, event_type AS metric, user_id, CAST(value AS DECIMAL(18,4)) AS value FROM events)"""

@@ -25,9 +25,8 @@ TEMPLATES = (
     ("apache-header", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache-terms", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("mit-terms", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("as-is-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("unlicense-text", "this is free and unencumbered software released into the public domain"),
 )
 #: A notice may stand anywhere in a run of this many times its own words, wherever the lines end.

@@ -160,12 +160,15 @@ def test_wrapped_notices_are_found(spark):
         "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
         "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+        "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "apache-terms": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "as-is-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     }
     filler = [f"word{k} other{k * 7 % 31}" for k in range(400)]
     rows, want = [], {}
     for label, notice in published.items():
         for width in (30, 70):
-            for n in (0, 21, 43, 44, 61, 87, 88, 131):  # where the notice lies against the runs
+            for n in (0, 21, 44, 61, 69, 71, 73, 88, 131, 143, 145):  # where the notice lies against the runs
                 for mark in ("", " * ", "dnl "):
                     lines = [*filler[:n], *(mark + x for x in textwrap.wrap(notice, width)), "", *filler[n : 2 * n]]
                     want[len(rows)] = {label}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, quality, repeats, secrets, topk, url_filter, warc
+from . import licenses, minhash, mixing, negatives, packing, quality, repeats, secrets, topk, toxicity, url_filter, warc, whitening
 from .common import table
 from .oracles import SQL as SQL
 
@@ -75,4 +75,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_repeated_passages, op4_warc, op5_near_duplicates, op6_topk_search, op7_secret_scan, op8_license_scan, op9_mixing, op10_packing)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), topk.as_integers(F.col("embedding"), 256.0).alias("v"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.as_integers(F.col("embedding"), 256.0).alias("v"))
+    return whitening.whiten(vectors).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_quality_rules, op3_repeated_passages, op4_warc, op5_near_duplicates, op6_topk_search, op7_secret_scan, op8_license_scan, op9_mixing, op10_packing,
+        op11_hard_negatives, op12_embedding_whitening, op13_toxicity,
+    )
+}

@@ -73,7 +73,7 @@ def test_disguises_are_taken_off(model, token, word):
 def test_clean_words_stay(model):
     for token in ("ththe", "anntha", "réeuxre", "achlichkeit", "the", "and"):
         assert toxicity.words_of(token, model) == (token,)
-    assert toxicity.words_of("2001-07-31", model) == () and toxicity.words_of("one,two", model)[0] == "one" and toxicity.words_of("", model) == ()
+    assert toxicity.words_of("2001-07-31", model) == () and toxicity.words_of("the,and", model) == ("the", "and") and toxicity.words_of("", model) == ()
     assert toxicity.tokens_of("so a b c d, x y") == {"so": 1, "a b c": 1, "d,": 1, "x": 1, "y": 1}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_pattern
-from .ordered import with_totals
+from .ordered import first_of_each, with_totals
 from .periods import at
 
 TAGS = ("expected", "false_positive", "confirmed", "investigating")
@@ -72,10 +72,12 @@ def extracted(parts: list[DataFrame], most: dict[str, int] | None = None) -> Dat
     """The weightiest alerts of each kind, in one table. Alerts of one item and period share their signals, whichever kind they are of."""
     most = MOST if most is None else most
     every = reduce(DataFrame.unionByName, parts)
-    limit = F.create_map(*[F.lit(x) for kv in most.items() for x in kv]) if most else F.lit(None)
-    order = Window.partitionBy("category").orderBy(F.desc("weight"), "id")
-    taken = every.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.coalesce(limit[F.col("category")], F.lit(2**31 - 1))).drop("_r") if most else every
-    return merged(taken)
+    if not most:
+        return merged(every)
+    limit = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])
+    limited = first_of_each(every.filter(F.col("category").isin(*most)), ("category",), max(most.values()), F.desc("weight"), F.col("id"), name="_r")
+    others = every.filter(~F.coalesce(F.col("category").isin(*most), F.lit(False)))
+    return merged(limited.filter(F.col("_r") <= limit[F.col("category")]).drop("_r").unionByName(others))
 
 
 def merged(alerts: DataFrame) -> DataFrame:
@@ -189,12 +191,12 @@ def label(score: Column) -> Column:
 
 def hierarchy_cards(stats: DataFrame, top: int = 5) -> DataFrame:
     """The leading cards of each level of level statistics: numbers first, then the text they make."""
-    part = Window.partitionBy("level")
-    share = F.least(F.abs("variance_dollar") / F.nullif(F.abs(F.sum("variance_dollar").over(part)), F.lit(0.0)), F.lit(1.0))  # of the level's whole change
-    s = stats.withColumn("score", (0.3 * magnitude_score(F.col("variance_pct")) + 0.3 * F.coalesce(share, F.lit(0.0))) * (0.3 + 0.7 * materiality_weight(F.col("share_current"))))
+    whole = stats.groupBy("level").agg(F.sum("variance_dollar").alias("_whole"))  # a row a level
+    share = F.least(F.abs("variance_dollar") / F.nullif(F.abs("_whole"), F.lit(0.0)), F.lit(1.0))  # of the level's whole change
+    s = stats.join(F.broadcast(whole), "level").withColumn("score", (0.3 * magnitude_score(F.col("variance_pct")) + 0.3 * F.coalesce(share, F.lit(0.0))) * (0.3 + 0.7 * materiality_weight(F.col("share_current"))))
     pct = F.abs(F.coalesce("variance_pct", F.lit(0.0)))
     s = s.withColumn("priority", F.when(pct >= 20, "critical").when(pct >= 10, "high").when(pct >= 5, "medium").otherwise("low"))
-    s = s.withColumn("card", F.row_number().over(part.orderBy(F.desc("score"), "item"))).filter(F.col("card") <= top)
+    s = first_of_each(s.drop("_whole"), ("level",), top, F.desc("score"), F.col("item"), name="card")
     return s.withColumn("title", F.format_string("Level %d variance: %s", "level", "item")).withColumn("what_changed", F.format_string("%+.0f (%+.1f%%)", "variance_dollar", F.coalesce("variance_pct", F.lit(0.0))))
 
 
@@ -324,7 +326,8 @@ def valid_alerts(alerts: DataFrame) -> DataFrame:
 
 def regional_signals(stats: DataFrame, parent: str, level: int, top: int = 3) -> DataFrame:
     """By parent: the variance of its items at a level of level_statistics, and the names of those that moved most, largest first."""
-    rank = Window.partitionBy(parent).orderBy(F.desc(F.abs("variance_dollar")), "item")
-    rows = stats.filter(F.col("level") == level).withColumn("_k", F.row_number().over(rank))
-    first = F.sort_array(F.collect_list(F.when(F.col("_k") <= top, F.struct("_k", "item"))))
-    return rows.groupBy(parent).agg(F.sum("variance_dollar").alias("variance"), F.transform(first, lambda x: x["item"]).alias("movers"))
+    rows = stats.filter(F.col("level") == level)
+    first = first_of_each(rows, (parent,), top, F.desc(F.abs("variance_dollar")), F.col("item"), name="_k")
+    names = first.groupBy(F.col(parent).alias("_p")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "item"))), lambda x: x["item"]).alias("movers"))
+    per = rows.groupBy(parent).agg(F.sum("variance_dollar").alias("variance"))
+    return per.join(names, F.col(parent).eqNullSafe(F.col("_p")), "left").drop("_p")

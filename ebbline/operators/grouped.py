@@ -150,7 +150,7 @@ def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions:
 def granger(series: DataFrame, lags: int = 2) -> DataFrame:
     """F and p of whether a leader's past helps to predict a follower beyond its own: series is (leader, follower, period_idx, x, y)."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period_idx")
         x, y = pdf["x"].to_numpy("f8"), pdf["y"].to_numpy("f8")
         n = len(y) - lags
@@ -169,41 +169,75 @@ def granger(series: DataFrame, lags: int = 2) -> DataFrame:
     return series.groupBy("leader", "follower").applyInPandas(one, "leader string, follower string, f double, p_value double")
 
 
+def cheapest_cuts(v: np.ndarray, penalty: float, least: int) -> list[int]:
+    """Where the cheapest cut of a series into segments of `least` values or more starts new ones: squared distances from the segments' means, and a penalty a segment.
+
+    The cost of the values so far is kept as a function of the last segment's level: for each range of levels, the start that is cheapest there. A start that is
+    cheapest for no level can't come back, for all starts gain the same by a further value. What is left are a few ranges, so the work grows with the length, not with its square.
+    Of equal costs, the earlier start is taken.
+    """
+    n = len(v)
+    y = (v - v.mean()).tolist() if n else []
+    one, two = [0.0], [0.0]
+    for x in y:
+        one.append(one[-1] + x)
+        two.append(two[-1] + x * x)
+    best, back = [0.0] + [np.inf] * n, [0] * (n + 1)
+    ranges: list[tuple[float, float, int]] = []  # levels from, to, and the start that is cheapest there
+    low, high = (min(y), max(y)) if n else (0.0, 0.0)
+    for end in range(least, n + 1):
+        r = end - least
+        if best[r] < np.inf:  # the start r joins: it takes the levels where it is cheaper than what was there
+            kept, free, at = [], [], low
+            for lo, hi, s in ranges:
+                # cost of s over cost of r, without what both gain from r on, is a * x^2 + b * x + c
+                a, b, c = r - s, -2 * (one[r] - one[s]), two[r] - two[s] + best[s] - best[r]
+                disc = b * b - 4 * a * c
+                if disc >= 0:
+                    root = disc**0.5
+                    left, right = max(lo, (-b - root) / (2 * a)), min(hi, (-b + root) / (2 * a))
+                    if left <= right:
+                        if left > at:
+                            free.append((at, left, r))
+                        kept.append((left, right, s))
+                        at = right
+            if at < high or not kept:
+                free.append((at, high, r))
+            ranges = sorted(kept + free)
+        cheapest = None
+        for lo, hi, s in ranges:
+            size, total = end - s, one[end] - one[s]
+            level = min(max(total / size, lo), hi)
+            cost = best[s] + two[end] - two[s] + level * (size * level - 2 * total)
+            if cheapest is None or cost < cheapest[0] or (cost == cheapest[0] and s < cheapest[1]):
+                cheapest = (cost, s)
+        best[end], back[end] = cheapest[0] + penalty, cheapest[1]
+    cuts, end = [], n
+    while end > 0 and (end := back[end]) > 0:
+        cuts.append(end)
+    return cuts[::-1]
+
+
+CHANGE = "item string, period date, change_point_index int, before_mean double, after_mean double, magnitude_dollar double, magnitude_pct double, confidence_score double, periods_before int, periods_after int"
+
+
 def change_points(series: DataFrame, least: int = 12, segment: int = 3, most: int | None = None) -> DataFrame:
-    """Where an item's mean changes: the cheapest cut into segments, with a penalty of 3 * variance * log(n) a cut. All changes of an item, or its `most` largest."""
-    columns = ["item", "period", "change_point_index", "before_mean", "after_mean", "magnitude_dollar", "magnitude_pct", "confidence_score", "periods_before", "periods_after"]
+    """Where an item's mean changes: the cheapest cut into segments, with a penalty of 3 * variance * log(n) a cut. All changes of an item, or its `most` largest.
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    The means, periods and the deviation that confidence is measured by are those of all values before and of all values from the change on; without a deviation before, confidence is 0.
+    """
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period")
-        v = pdf["value"].to_numpy("f8")
+        v, out = pdf["value"].to_numpy("f8"), []
         n = len(v)
-        if n < least:
-            return pd.DataFrame(columns=columns)
-        c1, c2 = np.concatenate([[0], np.cumsum(v)]), np.concatenate([[0], np.cumsum(v * v)])
-        penalty = 3 * max(np.var(v), 1e-12) * np.log(n)
-        best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        best[0] = -penalty
-        for end in range(segment, n + 1):
-            start = np.arange(0, end - segment + 1)
-            cost = c2[end] - c2[start] - (c1[end] - c1[start]) ** 2 / (end - start)
-            total = best[start] + cost + penalty
-            back[end] = start[np.argmin(total)]
-            best[end] = total.min()
-        cuts, end = [], n
-        while end > 0:
-            end = back[end]
-            if end > 0:
-                cuts.append(end)
-        cuts = sorted(cuts)
-        out = []
-        for k, cut in enumerate(cuts):
-            lo, hi = cuts[k - 1] if k else 0, cuts[k + 1] if k + 1 < len(cuts) else n
-            before, after = v[lo:cut], v[cut:hi]
+        for cut in cheapest_cuts(v, 3 * max(np.var(v), 1e-12) * np.log(n), segment) if n >= least else []:
+            before, after = v[:cut], v[cut:]
             step, sd = after.mean() - before.mean(), before.std()
-            out.append((key[0], pdf["period"].iloc[cut], int(cut), before.mean(), after.mean(), step, step / abs(before.mean()) * 100 if before.mean() else 0.0, float(min(abs(step) / sd, 10.0)) if sd > 0 else 10.0, len(before), len(after)))
-        return pd.DataFrame(sorted(out, key=lambda r: -abs(r[5]))[:most], columns=columns)
+            out.append((key[0], pdf["period"].iloc[cut], int(cut), before.mean(), after.mean(), step, step / abs(before.mean()) * 100 if before.mean() else 0.0, float(min(abs(step) / sd, 10.0)) if sd > 0 else 0.0, len(before), len(after)))
+        return pd.DataFrame(sorted(out, key=lambda r: -abs(r[5]))[:most], columns=[c.split()[0] for c in CHANGE.split(", ")])
 
-    return series.select("item", "period", "value").groupBy("item").applyInPandas(one, "item string, period date, change_point_index int, before_mean double, after_mean double, magnitude_dollar double, magnitude_pct double, confidence_score double, periods_before int, periods_after int")
+    return series.select("item", "period", "value").groupBy("item").applyInPandas(one, CHANGE)
 
 
 def forecast_summary(forecasts: DataFrame) -> DataFrame:
@@ -219,7 +253,7 @@ def holdout_forecasts(series: DataFrame, season: int = 12, least: int = 18) -> D
     """
     columns = ["item", "period", "actual", "forecast", "variance_dollar", "variance_pct", "abs_variance_pct", "miss"]
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period")
         v = pdf["value"].to_numpy("f8")
         train = int(len(v) * 0.8)

@@ -1,7 +1,10 @@
-"""Totals, ranks and running sums over all rows, without a task that holds them all."""
+"""Totals, ranks and running sums over all rows or over the rows of a group, without a task that holds them all."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +16,36 @@ def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in totals.items()])))
 
 
-def numbered(df: DataFrame, *order: Column, **sums: str) -> DataFrame:
-    """df with `row`, its place in the order from 1 on, and for each name of `sums` the sum of that column over the rows before.
+def numbered(df: DataFrame, *order: Column, by: tuple[str, ...] = (), totals: dict[str, str] | None = None, size: str | None = None, **sums: str) -> DataFrame:
+    """df with `row`, its place in the order of its group (`by`; all rows, if there is none) from 1 on.
+
+    For each name of `sums`, the sum of that column over the rows before; for each name of `totals`, the sum over the whole group; `size`
+    names the group's number of rows. The order must tell all rows of a group apart. Nulls in `by` make a group of their own.
 
-    Rows are dealt by ranges of the order and written; each range counts and sums its own, and a row a range
-    tells what lies before it. No order of all rows is ever in one task.
+    Rows are dealt by ranges of group and order and written. Each range counts and sums what it has of each group, and these cells, of which a group has
+    one a range, tell what lies before. So a group of any size is split over as many tasks as it needs, and no order of all its rows is ever in one task.
     """
-    ranged = kept(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ordered")
-    per = ranged.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    offsets = per.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in ("_n", *[f"_{n}" for n in sums])])
-    here = Window.partitionBy("_range").orderBy(*order)
-    out = ranged.join(F.broadcast(offsets), "_range").withColumn("row", F.col("_n_0") + F.row_number().over(here))
-    for n, c in sums.items():
-        out = out.withColumn(n, F.col(f"_{n}_0") + F.coalesce(F.sum(c).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return out.drop("_range", "_n_0", *[f"_{n}_0" for n in sums])
+    totals = totals or {}
+    columns = df.columns
+    ranged = kept(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id()), "ordered")
+    cell = ranged.groupBy("_range", *by).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()], *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
+    every = Window.partitionBy(*by) if by else Window.partitionBy()  # a row a range of each group
+    before = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cell.select(
+        F.col("_range").alias("_at"), *[F.col(c).alias(f"_k_{c}") for c in by],
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in ("_n", *[f"_b_{n}" for n in sums])],
+        *[F.sum(f"_t_{n}").over(every).alias(n) for n in totals], *([F.sum("_n").over(every).alias(size)] if size else []),
+    )
+    same = reduce(and_, [F.col("_range") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]])
+    here = Window.partitionBy("_range", *by).orderBy(*order)
+    out = ranged.join(cells if by else F.broadcast(cells), same)
+    earlier = here.rowsBetween(Window.unboundedPreceding, -1)
+    return out.select(
+        *columns, *totals, *([size] if size else []), (F.col("_n_0") + F.row_number().over(here)).alias("row"),
+        *[(F.col(f"_b_{n}_0") + F.coalesce(F.sum(c).over(earlier), F.lit(0))).alias(n) for n, c in sums.items()],
+    )
+
+
+def first_of_each(df: DataFrame, by: tuple[str, ...], top: int, *order: Column, name: str = "rank") -> DataFrame:
+    """The first `top` rows of each group, numbered from 1. A task keeps no more of a group than that before anything is shuffled."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= top)

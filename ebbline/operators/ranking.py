@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sinks import kept
-from .ordered import numbered, with_totals
+from .ordered import first_of_each, numbered, with_totals
 
 
 def ranked_slice(df: DataFrame, value: str, levels: tuple[str, ...], tops: tuple[int, ...]) -> DataFrame:
@@ -19,7 +19,7 @@ def ranked_slice(df: DataFrame, value: str, levels: tuple[str, ...], tops: tuple
         totals = kept.groupBy(*keys, level).agg(F.sum(value).alias("_t"))
         order = (F.desc_nulls_last("_t"), F.col(level))
         if keys:
-            best = totals.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= top)
+            best = first_of_each(totals, (*keys,), top, *order)
         else:
             best = totals.orderBy(*order).limit(top)
         keys.append(level)
@@ -58,17 +58,11 @@ def tier_keys(df: DataFrame, tier: Tier, value: str) -> DataFrame:
     groups = [tier.within] if tier.within else []
     totals = df.groupBy(*groups, tier.level).agg(F.sum(F.abs(value)).alias("_t"))
     order = (F.desc("_t"), F.col(tier.level))
-    if tier.mode == "top_n" and not groups:
-        return totals.orderBy(*order).limit(int(tier.value)).select(tier.level)
-    if not groups:
-        placed = with_totals(numbered(totals, *order, before="_t"), total=F.sum("_t"))
-        return placed.filter((F.col("before") < F.col("total") * tier.value / 100) | (F.col("total") == 0)).select(tier.level)
-    part = Window.partitionBy(*groups)
     if tier.mode == "top_n":
-        return totals.withColumn("_r", F.row_number().over(part.orderBy(*order))).filter(F.col("_r") <= int(tier.value)).select(*groups, tier.level)
-    before = F.coalesce(F.sum("_t").over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_t").over(part)
-    return totals.withColumn("_k", (before < total * tier.value / 100) | (total == 0)).filter("_k").select(*groups, tier.level)
+        best = first_of_each(totals, (*groups,), int(tier.value), *order) if groups else totals.orderBy(*order).limit(int(tier.value))
+        return best.select(*groups, tier.level)
+    placed = numbered(totals, *order, by=(*groups,), totals={"total": "_t"}, before="_t")
+    return placed.filter((F.col("before") < F.col("total") * tier.value / 100) | (F.col("total") == 0)).select(*groups, tier.level)
 
 
 def tier_filtered(df: DataFrame, tier: Tier, value: str) -> DataFrame:
@@ -77,16 +71,10 @@ def tier_filtered(df: DataFrame, tier: Tier, value: str) -> DataFrame:
 
 
 def with_rank(df: DataFrame, by: str, name: str, *groups: str) -> DataFrame:
-    """rank by falling size of `by`, and the cumulative percentage of its absolute sum; ties by name."""
-    order = (F.desc(F.abs(by)), F.col(name))
-    if not groups:
-        placed = with_totals(numbered(df.withColumn("_x", F.abs(by)), *order, before="_x"), total=F.sum("_x"))
-        running, total = F.col("before") + F.col("_x"), F.col("total")
-        return placed.withColumn("rank", F.col("row").cast("int")).withColumn("cumulative_pct", F.when(total > 0, running / total * 100).otherwise(F.lit(0.0))).drop("row", "before", "total", "_x")
-    part = Window.partitionBy(*groups)
-    total = F.sum(F.abs(by)).over(part)
-    running = F.sum(F.abs(by)).over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("rank", F.row_number().over(part.orderBy(*order))).withColumn("cumulative_pct", F.when(total > 0, running / total * 100).otherwise(F.lit(0.0)))
+    """rank by falling size of `by` (in each group, if there are some), and the cumulative percentage of its absolute sum; ties by name."""
+    placed = numbered(df.withColumn("_x", F.abs(by)), F.desc("_x"), F.col(name), by=groups, totals={"_total": "_x"}, _before="_x")
+    cumulative = F.when(F.col("_total") > 0, (F.col("_before") + F.col("_x")) / F.col("_total") * 100).otherwise(F.lit(0.0))
+    return placed.withColumn("rank", F.col("row").cast("int")).withColumn("cumulative_pct", cumulative).drop("row", "_before", "_total", "_x")
 
 
 def major_shares(df: DataFrame, item: str, value: str, least: float = 0.05) -> DataFrame:
@@ -99,7 +87,7 @@ def major_shares(df: DataFrame, item: str, value: str, least: float = 0.05) -> D
 def persistent_movers(series: DataFrame, top: int = 5, share: float = 0.5) -> DataFrame:
     """How often each item is among the `top` largest moves of a period, of how many periods, and whether that is over the share of them."""
     moves = series.withColumn("move", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("item").orderBy("period")))).filter("move IS NOT NULL")
-    hits = moves.withColumn("r", F.row_number().over(Window.partitionBy("period").orderBy(F.desc("move"), "item"))).filter(F.col("r") <= top)
+    hits = first_of_each(moves, ("period",), top, F.desc("move"), F.col("item"))
     n = series.agg((F.count_distinct("period") - 1).alias("periods"))
     out = hits.groupBy("item").agg(F.count("*").alias("times")).crossJoin(F.broadcast(n))
     return out.withColumn("persistent", F.col("times") > share * F.col("periods"))
@@ -124,7 +112,7 @@ def rank_of(df: DataFrame, item: str, value: str, named: str) -> DataFrame:
 
 def first_of(df: DataFrame, keys: tuple[str, ...], *order) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+    return first_of_each(df, keys, 1, *order, name="_r").drop("_r")
 
 
 def top_entities(df: DataFrame, entity: str, order: str, value: str, top: int = 20) -> DataFrame:

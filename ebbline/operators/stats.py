@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import correlation_p, normal_p, shapiro_p
-from .ordered import numbered, with_totals
+from .ordered import numbered
 
 
 def by_item():
@@ -212,16 +212,10 @@ def distribution(series: DataFrame, top: int = 15, short: int = 50) -> DataFrame
 def concentration(df: DataFrame, *groups: str, value: str = "value", share: float = 0.8) -> DataFrame:
     """How much a few entities hold of each group: Pareto count and ratio, top shares, HHI and Gini of absolute values.
 
-    Without groups, entities are ordered by ranges, so that their number is no limit.
+    Entities are ordered by ranges, so that their number in a group is no limit.
     """
-    order = (F.desc("x"), F.col("item"))
     r = df.withColumn("x", F.abs(F.col(value).cast("double")))
-    if groups:
-        part = Window.partitionBy(*groups)
-        down = part.orderBy(*order)
-        r = r.withColumn("t", F.sum("x").over(part)).withColumn("n", F.count("*").over(part)).withColumn("row", F.row_number().over(down)).withColumn("before", F.coalesce(F.sum("x").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    else:
-        r = with_totals(numbered(r, *order, before="x"), t=F.sum("x"), n=F.count("*"))
+    r = numbered(r, F.desc("x"), F.col("item"), by=groups, totals={"t": "x"}, size="n", before="x")
     out = r.groupBy(*groups).agg(
         F.count("*").alias("total_entities"), F.count_if(F.col("before") < share * F.col("t")).alias("pareto_count"), F.max("t").alias("t"), F.sum(F.when(F.col("row") <= 5, F.col("x"))).alias("a"), F.sum(F.when(F.col("row") <= 10, F.col("x"))).alias("b"),
         F.sum((100 * F.col("x") / F.nullif("t", F.lit(0.0))) ** 2).alias("hhi"), F.sum((F.col("n") - F.col("row") + 1) * F.col("x")).alias("ix"))
@@ -251,18 +245,21 @@ def compared_correlations(population: DataFrame, entities: DataFrame, strong: fl
     return own.withColumn("broken", (F.abs("r") < weak) | (F.signum("r") != F.signum("population_r")))
 
 
-def lead_lag(wide: DataFrame, names: tuple[str, ...], most: int = 6, least_r: float = 0.5, gain: float = 0.1) -> DataFrame:
-    """Ordered pairs whose correlation is best at a lag: the follower's value that many periods after the leader's.
+def lead_lag(wide: DataFrame, names: tuple[str, ...], most: int = 6, least_r: float = 0.5, gain: float = 0.1, *, least: int = 12, points: int = 6) -> DataFrame:
+    """Ordered pairs whose correlation is best at a positive lag: the follower's value that many periods after the leader's.
 
-    wide has a row a period, with period_idx. All lags of all pairs come from one aggregation over
-    windows of that short frame. lag_r keeps its own sign.
+    wide has a row a period, with period_idx. The best lag of a pair is sought from -most to most, so that a pair leads one way at most; of equal ones (to
+    twelve digits), the smallest is taken. A lag with fewer than `points` pairs of values, or of values that don't vary, counts as r = 0, and under
+    `least` periods there is no answer. All lags of all pairs come from one aggregation over windows of that short frame. lag_r keeps its own sign.
     """
     w = Window.orderBy("period_idx")
-    frame = wide.select(*names, *[F.lead(n, k).over(w).alias(f"{n}__{k}") for n in names for k in range(1, most + 1)])
-    one = [F.struct(F.lit(a).alias("leader"), F.lit(b).alias("follower"), F.lit(k).alias("lag"), F.col(a).alias("x"), F.col(b if k == 0 else f"{b}__{k}").alias("y")) for a in names for b in names if a != b for k in range(most + 1)]
-    long = frame.select(F.explode(F.array(*one)).alias("p")).select("p.*")
-    r = long.groupBy("leader", "follower", "lag").agg(correlation("x", "y").alias("r"))
-    best = r.groupBy("leader", "follower").agg(F.max_by(F.struct("lag", "r"), F.struct(F.abs("r"), -F.col("lag"))).alias("m"), F.max(F.when(F.col("lag") == 0, F.col("r"))).alias("contemporaneous_r"))
+    frame = wide.select(*names, F.count("*").over(Window.partitionBy()).alias("_periods"), *[F.lead(n, k).over(w).alias(f"{n}__{k}") for n in names for k in range(1, most + 1)])
+    later = lambda n, k: F.col(n if k == 0 else f"{n}__{k}")
+    one = [F.struct(F.lit(a).alias("leader"), F.lit(b).alias("follower"), F.lit(k).alias("lag"), later(a, max(0, -k)).alias("x"), later(b, max(0, k)).alias("y")) for a in names for b in names if a != b for k in range(-most, most + 1)]
+    long = frame.filter(F.col("_periods") >= least).select(F.explode(F.array(*one)).alias("p")).select("p.*")
+    enough = F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()) >= points
+    r = long.groupBy("leader", "follower", "lag").agg(F.when(enough, F.coalesce(correlation("x", "y"), F.lit(0.0))).otherwise(0.0).alias("r"))
+    best = r.groupBy("leader", "follower").agg(F.max_by(F.struct("lag", "r"), F.struct(F.round(F.abs("r"), 12), -F.col("lag"))).alias("m"), F.max(F.when(F.col("lag") == 0, F.col("r"))).alias("contemporaneous_r"))
     best = best.select("leader", "follower", F.col("m.lag").alias("optimal_lag"), F.col("m.r").alias("lag_r"), "contemporaneous_r").withColumn("improvement", F.abs("lag_r") - F.abs("contemporaneous_r"))
     return best.filter((F.col("optimal_lag") > 0) & (F.abs("lag_r") >= least_r) & (F.col("improvement") >= gain))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import kept
 from . import series as ser
-from .ordered import with_totals
+from .ordered import first_of_each, numbered, with_totals
 from .periods import at
 from .rollup import UNASSIGNED, all_levels
 
@@ -23,27 +23,28 @@ def level_statistics(df: DataFrame, levels: tuple[str, ...], value: str, now: dt
 
     Shares are of the level's total. With a lag, items rank by the change of their share, else by
     their variance. Where a level has a current total but no prior one, all its variances are 0 (prior_missing).
+    A level is ranked by ranges of its order, so that it may have any number of entities.
     """
     # the two periods alone are read; both sums and all levels come from one aggregation
     both = df.filter(F.col("period").isin(*[F.lit(p) for p in (now, then) if p is not None]))
     rows = all_levels(both, levels, at(now, value).alias("current"), at(then, value).alias("prior"))
-    part = Window.partitionBy("level")
-    total = lambda c: F.sum(c).over(part)
-    phantom = (F.sum(F.abs("current")).over(part) > 0) & (F.sum(F.abs("prior")).over(part) == 0)
-    rows = rows.withColumn("prior_missing", phantom).withColumn("variance_dollar", F.when(F.col("prior_missing"), 0.0).otherwise(F.col("current") - F.col("prior")))
+    rows = kept(rows, "levels")
+    missing = (F.sum(F.abs("current")) > 0) & (F.sum(F.abs("prior")) == 0)
+    per = rows.groupBy("level").agg(F.sum("current").alias("_c"), F.sum("prior").alias("_p"), missing.alias("prior_missing"))  # a row a level
+    rows = rows.join(F.broadcast(per), "level").withColumn("variance_dollar", F.when(F.col("prior_missing"), 0.0).otherwise(F.col("current") - F.col("prior")))
     rows = rows.withColumns({
         "variance_pct": F.when(F.col("prior_missing"), F.lit(0.0)).otherwise(safe(F.col("variance_dollar"), F.abs("prior")) * 100),
         "is_new_from_zero": (F.col("prior") == 0) & (F.col("current") != 0),
-        "share_current": F.coalesce(safe(F.col("current"), total("current")), F.lit(0.0)),
-        "share_prior": F.coalesce(safe(F.col("prior"), total("prior")), F.lit(0.0)),
+        "share_current": F.coalesce(safe(F.col("current"), F.col("_c")), F.lit(0.0)),
+        "share_prior": F.coalesce(safe(F.col("prior"), F.col("_p")), F.lit(0.0)),
     })
     rows = rows.withColumn("share_change", F.col("share_current") - F.col("share_prior"))
     rows = rows.withColumn("exceeds_threshold", (F.abs("variance_dollar") >= absolute) | (F.coalesce(F.abs("variance_pct"), F.lit(0.0)) >= pct))
     rows = rows.withColumn("materiality", F.when(F.col("exceeds_threshold"), "HIGH").otherwise("LOW"))
-    by = F.abs("share_change" if lag else "variance_dollar")
-    order = part.orderBy(F.desc(by), F.col("item"), *[F.col(c) for c in levels])
-    running = F.sum(F.abs("variance_dollar")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("rank", F.row_number().over(order)).withColumn("cumulative_pct", F.coalesce(safe(running, F.sum(F.abs("variance_dollar")).over(part)) * 100, F.lit(0.0)))
+    rows = rows.withColumns({"_by": F.abs("share_change" if lag else "variance_dollar"), "_x": F.abs("variance_dollar")})
+    rows = numbered(rows, F.desc("_by"), F.col("item"), *[F.col(c) for c in levels], by=("level",), totals={"_total": "_x"}, _before="_x")
+    cumulative = F.coalesce(safe(F.col("_before") + F.col("_x"), F.col("_total")) * 100, F.lit(0.0))
+    return rows.withColumn("rank", F.col("row").cast("int")).withColumn("cumulative_pct", cumulative).drop("row", "_by", "_x", "_before", "_total", "_c", "_p")
 
 
 def quality_flags(stats: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def bridge_lists(df: DataFrame, entity: str, value: str, now: dt.date, then: dt.
         at(now, value).alias("current"), at(then, value).alias("prior"), F.bool_or(F.col("period") == F.lit(now)).alias("c"), F.bool_or(F.col("period") == F.lit(then)).alias("p"))
     seen = seen.withColumn("bucket", F.when(~F.col("p"), "new").when(~F.col("c"), "lost").otherwise("same_store")).withColumn("delta", F.col("current") - F.col("prior"))
     size = F.when(F.col("bucket") == "new", F.col("current")).when(F.col("bucket") == "lost", F.col("prior")).otherwise(F.abs("delta"))
-    out = seen.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc(size), "entity"))).filter(F.col("rank") <= top)
+    out = first_of_each(seen, ("bucket",), top, F.desc(size), F.col("entity"))
     return out.select("bucket", "rank", "entity", "current", "prior", "delta", F.coalesce(safe(F.col("delta"), F.col("prior")) * 100, F.lit(0.0)).alias("delta_pct"))
 
 
@@ -268,10 +269,11 @@ def near_extremes(series: DataFrame, now: dt.date, *, high: float = 0.9, low: fl
 
 def top_share_risk(df: DataFrame, group: str, item: str, value: str, *, top: int = 3, most: float = 0.6) -> DataFrame:
     """The share of each group that its `top` items hold, and whether that is over `most`."""
-    t = df.groupBy(group, item).agg(F.sum(value).cast("double").alias("v"))
-    t = t.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("v"), item)))
-    share = safe(F.sum(F.when(F.col("r") <= top, F.col("v"))), F.sum("v"))
-    return t.groupBy(group).agg(share.alias("top_share"), (share > most).alias("at_risk"))
+    t = kept(df.groupBy(group, item).agg(F.sum(value).cast("double").alias("v")), "top-shares")
+    whole = t.groupBy(group).agg(F.sum("v").alias("_whole"))
+    first = first_of_each(t, (group,), top, F.desc("v"), F.col(item)).groupBy(F.col(group).alias("_g")).agg(F.sum("v").alias("_first"))
+    share = safe(F.col("_first"), F.col("_whole"))
+    return whole.join(first, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, share.alias("top_share"), (share > most).alias("at_risk"))
 
 
 def displayed_cumulative(stats: DataFrame, top: int = 10) -> DataFrame:
@@ -292,5 +294,5 @@ def yearly_truth(df: DataFrame, group: str, day: str, value: str, year: int) ->
     """A year against the one before, in all and by group: the percent change, and the rank by growth among the groups."""
     pick = lambda y: F.sum(F.when(F.year(day) == y, F.col(value))).cast("double")
     g = df.filter(F.year(day).isin(year, year - 1)).rollup(group).agg(F.grouping(group).alias("_g"), pick(year).alias("c"), pick(year - 1).alias("p"))
-    rank = F.row_number().over(Window.partitionBy("_g").orderBy(F.desc(F.col("c") - F.col("p")), group))
-    return g.select(F.when(F.col("_g") == 1, "Total").otherwise(F.col(group)).alias("item"), (100 * (safe(F.col("c"), F.col("p")) - 1)).alias("yoy_pct"), rank.alias("rank"))
+    placed = numbered(g.withColumn("_d", F.col("c") - F.col("p")), F.desc("_d"), F.col(group), by=("_g",))
+    return placed.select(F.when(F.col("_g") == 1, "Total").otherwise(F.col(group)).alias("item"), (100 * (safe(F.col("c"), F.col("p")) - 1)).alias("yoy_pct"), F.col("row").cast("int").alias("rank"))

@@ -12,9 +12,9 @@ from ..operators import stats as st
 from ..operators import variance as var
 from ..sources.sinks import kept
 from .catalog import query
-from .facts import SALES_SQL, calendar, sales, table
+from .facts import SALES_SQL, complete, latest, sales, table
 from .stats_queries import CHANGES, DENSE, METRICS, SEASONAL, metrics, series
-from .variance_queries import NOW, STATS_SQL, THEN, monthly, resolved, stats
+from .variance_queries import STATS_SQL, monthly, resolved, stats
 
 C = F.col
 W = f"WITH {SALES_SQL}"
@@ -40,7 +40,7 @@ KINDS = f"""{CHANGES}, t AS (SELECT item, avg(value) AS m, stddev_pop(value) AS
     x1 AS (SELECT 'anomaly' AS category, item, period, 100 * (value - m) / abs(m) AS pct, abs((value - m) / sd) AS w, 1 + 32 + CASE WHEN abs((value - m) / sd) >= 3 THEN 2 ELSE 0 END AS bits FROM s JOIN t USING (item) WHERE abs((value - m) / sd) >= 2),
     x2 AS (SELECT 'volatility' AS category, item, CAST(NULL AS DATE) AS period, CAST(0 AS DOUBLE) AS pct, sd / abs(m) AS w, 0 AS bits FROM t WHERE sd / abs(m) >= 0.5),
     x3 AS (SELECT 'structural_break' AS category, item, period, 100 * (am - bm) / abs(bm) AS pct, abs(am - bm) AS w, 2 + 16 AS bits FROM cp),
-    pr AS (SELECT period, CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS v FROM sales WHERE period <= DATE '2001-07-31' GROUP BY 1), pb AS (SELECT *, avg(v) OVER (ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b, lag(v, 3) OVER (ORDER BY period) AS f FROM pr),
+    pr AS (SELECT period, CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS v FROM sales WHERE period <= (SELECT now FROM lately) GROUP BY 1), pb AS (SELECT *, avg(v) OVER (ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b, lag(v, 3) OVER (ORDER BY period) AS f FROM pr),
     x4 AS (SELECT 'degradation' AS category, 'price' AS item, period, abs(100 * (v - b) / abs(b)) AS pct, abs(100 * (v - b) / abs(b)) AS w, CASE WHEN abs(100 * (v - b) / abs(b)) > 5 THEN 4 ELSE 0 END + CASE WHEN abs(100 * (v - b) / abs(b)) > 10 THEN 16 ELSE 0 END AS bits FROM pb WHERE f IS NOT NULL AND 100 * (v - b) / abs(b) < -{{worse}}),
     x5 AS (SELECT 'outlier' AS category, 'price' AS item, period, 100 * abs(v - m) / abs(m) AS pct, abs((v - m) / sd) AS w, 1 + 32 + CASE WHEN abs((v - m) / sd) >= 3 THEN 2 ELSE 0 END AS bits FROM pr, (SELECT avg(v) AS m, stddev_pop(v) AS sd FROM pr) WHERE abs((v - m) / sd) >= 2),
     x AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3 UNION ALL SELECT * FROM x4 UNION ALL SELECT * FROM x5), y AS (SELECT *, category || ':' || item || ':' || coalesce(CAST(period AS VARCHAR), 'all') AS id FROM x),
@@ -53,7 +53,7 @@ WORSE = 0.5
 def l01(spark, sf):
     """Alerts of five kinds, the weightiest of each, with the signals of all alerts of one item and month."""
     s = series(spark, sf, keep=True)
-    price = kept(monthly(spark, sf, until=NOW).select("period", (C("revenue").cast("double") / C("quantity").cast("double")).alias("price")), "price")
+    price = kept(monthly(spark, sf, until=latest(spark, sf)[0]).select("period", (C("revenue").cast("double") / C("quantity").cast("double")).alias("price")), "price")
     parts = [
         al.anomaly_alerts(st.z_anomalies(s)), al.volatility_alerts(st.item_profiles(s)), al.change_alerts(grouped.change_points(s)),
         al.degradation_alerts(kpi.degradations(price, "price", worse=WORSE), "price"), al.outlier_alerts(kpi.value_outliers(price, "price"), "price"),
@@ -172,7 +172,8 @@ def every_card(spark, sf):
     s = series(spark, sf, keep=True)
     shares = kept(al.item_shares(s, "item", "value"), "shares")
     profiles = kept(st.item_profiles(s).join(shares, "item"), "profiles")
-    months = [p for p in calendar(spark, sf) if p <= NOW]
+    months = complete(spark, sf)
+    now, then = months[-1], per.prior(months, months[-1], "yoy")
     cells = kept(metrics(spark, sf, "region"), "metrics")
     whole = kept(cells.groupBy("period").agg(*[F.sum(c).alias(c) for c in ("revenue", "quantity", "lines")]).withColumn("price", C("revenue") / F.nullif("quantity", F.lit(0.0))).withColumn("period_idx", F.row_number().over(Window.orderBy("period"))), "whole")
     pairs = kept(st.with_p(st.correlations(whole, METRICS)), "pairs")
@@ -182,25 +183,25 @@ def every_card(spark, sf):
     parts = kept(st.seasonal(s), "seasonal")
     spread = Window.partitionBy("item")
     residuals = parts.withColumn("residual_z", (C("residual") - F.avg("residual").over(spread)) / F.nullif(F.stddev_samp("residual").over(spread), F.lit(0.0)))
-    two = kept(monthly(spark, sf, "nation", "segment", until=NOW).withColumn("revenue", C("revenue").cast("double")), "cells")
-    cross = var.cross_dimension(two, "nation", "segment", "revenue", NOW, THEN, months)
+    two = kept(monthly(spark, sf, "nation", "segment", until=now).withColumn("revenue", C("revenue").cast("double")), "cells")
+    cross = var.cross_dimension(two, "nation", "segment", "revenue", now, then, months)
     return {
         "anomalies": cards.anomalies(st.z_anomalies(s).join(shares, "item"), months[-4:]), "correlations": cards.correlations(st.with_p(st.item_correlations(st.leading_items(s, 4)))),
         "trends": cards.trends(profiles), "volatility": cards.volatility(profiles), "change_points": cards.change_points(grouped.change_points(s).join(shares, "item")),
         "forecasts": cards.forecasts(grouped.holdout_forecasts(s)), "seasonal_anomalies": cards.seasonal_anomalies(residuals),
-        "bridges": cards.bridges(kept(var.bridge(monthly(spark, sf, "customer", months=(NOW, THEN)), "customer", "revenue", NOW, THEN), "bridge")),
-        "concentrations": cards.concentrations(st.concentration(s.filter(C("period") == NOW)), st.concentration_trend(s), ranking.persistent_movers(s)),
+        "bridges": cards.bridges(kept(var.bridge(monthly(spark, sf, "customer", months=(now, then)), "customer", "revenue", now, then), "bridge")),
+        "concentrations": cards.concentrations(st.concentration(s.filter(C("period") == now)), st.concentration_trend(s), ranking.persistent_movers(s)),
         "cross_metrics": cards.cross_metrics(told, broken, "region"), "leading_indicators": cards.leading_indicators(st.lead_lag(whole, METRICS)),
         "variance_drivers": cards.variance_drivers(kept(grouped.two_way(two, "nation", "segment", "revenue"), "anova")), "outlier_impacts": cards.outlier_impacts(st.outlier_impact(s)),
-        "distributions": cards.distributions(kept(st.distribution(s), "shapes"), s.filter(C("period") == NOW)), "cross_dimensions": cards.cross_dimensions(cross, "nation", "segment"),
+        "distributions": cards.distributions(kept(st.distribution(s), "shapes"), s.filter(C("period") == now)), "cross_dimensions": cards.cross_dimensions(cross, "nation", "segment"),
     }
 
 
 _LEVELS = " UNION ALL ".join(
-    f"SELECT '{m}' AS metric, CASE WHEN grouping(region) = 1 THEN 0 WHEN grouping(nation) = 1 THEN 1 ELSE 2 END AS level, coalesce(nation, region, 'Total') AS item, CAST(coalesce(sum({m}) FILTER (period = DATE '2001-07-31'), 0) AS DOUBLE) AS c, CAST(coalesce(sum({m}) FILTER (period = DATE '2000-07-31'), 0) AS DOUBLE) AS p FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY ROLLUP (region, nation)"
+    f"SELECT '{m}' AS metric, CASE WHEN grouping(region) = 1 THEN 0 WHEN grouping(nation) = 1 THEN 1 ELSE 2 END AS level, coalesce(nation, region, 'Total') AS item, CAST(coalesce(sum({m}) FILTER (period = (SELECT now FROM lately)), 0) AS DOUBLE) AS c, CAST(coalesce(sum({m}) FILTER (period = (SELECT year_ago FROM lately)), 0) AS DOUBLE) AS p FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY ROLLUP (region, nation)"
     for m in ("revenue", "quantity")
 )
-_ITEMS = " UNION ALL ".join(f"SELECT '{m}' AS metric, nation AS item, period, CAST(sum({m}) AS DOUBLE) AS v FROM sales WHERE period <= DATE '2001-07-31' GROUP BY 2, 3" for m in ("revenue", "quantity"))
+_ITEMS = " UNION ALL ".join(f"SELECT '{m}' AS metric, nation AS item, period, CAST(sum({m}) AS DOUBLE) AS v FROM sales WHERE period <= (SELECT now FROM lately) GROUP BY 2, 3" for m in ("revenue", "quantity"))
 _SCORE = "least((0.5 * {} + 0.3 * least(abs({}) / 50, 1)) * (0.4 + 0.6 * {}), 1)"
 SIGNALS = f"""{W}, l AS ({_LEVELS}), lv AS (SELECT *, 100 * (c - p) / nullif(abs(p), 0) AS pct, c / sum(c) OVER (PARTITION BY metric, level) AS share FROM l),
     i0 AS ({_ITEMS}), ps AS (SELECT DISTINCT period FROM i0), ip AS (SELECT period, row_number() OVER (ORDER BY period) AS k FROM ps), i AS (SELECT m.metric, m.item, ip.period, ip.k, coalesce(v, 0) AS v FROM (SELECT DISTINCT metric, item FROM i0) m CROSS JOIN ip LEFT JOIN i0 ON i0.metric = m.metric AND i0.item = m.item AND i0.period = ip.period),
@@ -219,11 +220,12 @@ SIGNALS = f"""{W}, l AS ({_LEVELS}), lv AS (SELECT *, 100 * (c - p) / nullif(abs
 
 def signals(spark, sf):
     """Signals of revenue and quantity: the geography's levels, nations' trends and anomalies, the price as KPI, and the two against each other."""
-    both = kept(monthly(spark, sf, "region", "nation", until=NOW), "geography")
-    periods = [p for p in calendar(spark, sf) if p <= NOW]
+    periods = complete(spark, sf)
+    now, then = periods[-1], per.prior(periods, periods[-1], "yoy")
+    both = kept(monthly(spark, sf, "region", "nation", until=now), "geography")
     parts, totals = [], []
     for m in ("revenue", "quantity"):
-        levels = kept(var.level_statistics(both, ("region", "nation"), m, NOW, THEN), "levels")
+        levels = kept(var.level_statistics(both, ("region", "nation"), m, now, then), "levels")
         s = kept(per.dense(both, "nation", m, periods), "nations")
         parts += [al.hierarchy_signals(levels, m), al.trend_signals(st.item_profiles(s), m), al.anomaly_signals(st.z_anomalies(s), m, F.lit(periods[0]))]
         totals.append(levels.filter("level = 0").select(F.lit(m).alias("metric"), C("variance_pct").alias("pct"), "current"))
@@ -247,7 +249,7 @@ def l17(spark, sf):
     return al.entity_clusters(signals(spark, sf).withColumn("title", C("entity"))).select("title", "metrics", D("score"))
 
 
-@query("l18_network_totals", f"{W} SELECT 'revenue' AS metric, CAST(sum(revenue) FILTER (period = DATE '2001-07-31') AS DOUBLE) AS \"current\", CAST(sum(revenue) FILTER (period = DATE '2000-07-31') AS DOUBLE) AS prior FROM sales UNION ALL SELECT 'quantity', CAST(sum(quantity) FILTER (period = DATE '2001-07-31') AS DOUBLE), CAST(sum(quantity) FILTER (period = DATE '2000-07-31') AS DOUBLE) FROM sales")
+@query("l18_network_totals", f"{W} SELECT 'revenue' AS metric, CAST(sum(revenue) FILTER (period = (SELECT now FROM lately)) AS DOUBLE) AS \"current\", CAST(sum(revenue) FILTER (period = (SELECT year_ago FROM lately)) AS DOUBLE) AS prior FROM sales UNION ALL SELECT 'quantity', CAST(sum(quantity) FILTER (period = (SELECT now FROM lately)) AS DOUBLE), CAST(sum(quantity) FILTER (period = (SELECT year_ago FROM lately)) AS DOUBLE) FROM sales")
 def l18(spark, sf):
     now, then = resolved(spark, sf)
     return al.metric_totals(monthly(spark, sf, months=(now, then)), ("revenue", "quantity"), now, then)
@@ -298,7 +300,7 @@ def l24(spark, sf):
     return al.material_metrics(shown, al.scored(found(spark, sf)).select(F.lit("revenue anomalies").alias("metric"), "priority"))
 
 
-@query("l27_regional_signals", f"{W}, {{}}".format("""v AS (SELECT region, nation, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN revenue ELSE 0 END) AS DOUBLE) - CAST(sum(CASE WHEN period = DATE '2000-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS d FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY abs(d) DESC, nation) AS k FROM v)
+@query("l27_regional_signals", f"{W}, {{}}".format("""v AS (SELECT region, nation, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) - CAST(sum(CASE WHEN period = (SELECT year_ago FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS d FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY abs(d) DESC, nation) AS k FROM v)
     SELECT region, round(sum(d), 4) AS variance, string_agg(nation, ',' ORDER BY k) FILTER (k <= 3) AS movers FROM r GROUP BY 1"""))
 def l27(spark, sf):
     out = al.regional_signals(stats(spark, sf), "region", 2)

@@ -10,6 +10,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import periods as per
+
+#: Months at the end of the calendar that aren't complete yet.
+LAG = 1
 GEO, CUSTOMER, PRODUCT, MAKER = {"region", "nation"}, {"customer", "segment"}, {"brand", "ptype"}, {"maker", "maker_nation"}
 
 
@@ -32,12 +36,24 @@ def calendar(spark: SparkSession, sf_dir: str) -> list[dt.date]:
     return sorted(r["p"] for r in months.collect() if r["p"] is not None)
 
 
+def complete(spark: SparkSession, sf_dir: str) -> list[dt.date]:
+    """The month ends of the calendar but the last LAG, whose orders are still coming in."""
+    days = calendar(spark, sf_dir)
+    return days[: len(days) - LAG] if len(days) > LAG else days
+
+
+def latest(spark: SparkSession, sf_dir: str) -> tuple[dt.date | None, dt.date | None]:
+    """The last complete month of the orders, and the one nearest to a year before; None without orders."""
+    days = complete(spark, sf_dir)
+    return (days[-1], per.prior(days, days[-1], "yoy")) if days else (None, None)
+
+
 def ordered_between(orders: DataFrame, spans: list[tuple[dt.date | None, dt.date | None]]) -> DataFrame:
     """Orders of the given spans of days (first and last, either open): comparisons of the stored column with literals, which reach the scan."""
     at = lambda d: F.lit(d.isoformat()).cast(orders.schema["o_orderdate"].dataType)
     day = F.col("o_orderdate")
     one = lambda lo, hi: (F.lit(True) if lo is None else day >= at(lo)) & (F.lit(True) if hi is None else day < at(hi + dt.timedelta(1)))
-    return orders.filter(reduce(or_, [one(lo, hi) for lo, hi in spans]))
+    return orders.filter(reduce(or_, [one(lo, hi) for lo, hi in spans], F.lit(False)))
 
 
 def sales(spark: SparkSession, sf_dir: str, *dims: str, months: list[dt.date | None] | tuple | None = None, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
@@ -75,14 +91,15 @@ def sales(spark: SparkSession, sf_dir: str, *dims: str, months: list[dt.date | N
     )
 
 
-#: The same fact with every dimension, for DuckDB.
+#: The same fact with every dimension, for DuckDB; and its last complete month, with those a year and a month before.
 SALES_SQL = """sales AS (
     SELECT CAST(o_orderdate AS DATE) AS order_date, CAST(l_shipdate AS DATE) AS ship_date, last_day(CAST(o_orderdate AS DATE)) AS period,
            CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS revenue, CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
            r_name AS region, n_name AS nation, c_custkey AS customer, c_mktsegment AS segment, o_orderpriority AS priority, l_returnflag AS flag,
            p_brand AS brand, p_type AS ptype, l_partkey AS part, l_suppkey AS supplier, o_orderkey AS order_id, l_linenumber AS line, l_discount AS discount
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-         JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey)"""
+         JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey),
+    lately AS (SELECT now, last_day(CAST(now - INTERVAL 12 MONTH AS DATE)) AS year_ago, last_day(CAST(now - INTERVAL 1 MONTH AS DATE)) AS month_ago FROM (SELECT DISTINCT period AS now FROM sales ORDER BY 1 DESC LIMIT 1 OFFSET 1))"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import kpi
 from .catalog import query
 from .contract import Kpi
-from .facts import SALES_SQL, sales
-from .variance_queries import NOW, monthly
+from .facts import SALES_SQL, latest, sales
+from .variance_queries import monthly
 
 C = F.col
 W = f"WITH {SALES_SQL}"
@@ -56,7 +56,7 @@ def d08(spark, sf):
     return kpi.sequential(t, fixed, F.lit(1.0)).select("period", *[D(k.name) for k in fixed])
 
 
-@query("d10_utilisation", f"{W}, t AS (SELECT period, CAST(sum(quantity) AS DOUBLE) AS v FROM sales WHERE period <= DATE '2001-07-31' GROUP BY 1), x AS (SELECT period, v, 100 * (v - avg(v) OVER ()) / abs(avg(v) OVER ()) AS d, row_number() OVER (ORDER BY period DESC) AS r FROM t) SELECT period, v AS quantity, round(d, 6) AS vs_mean_pct, CASE WHEN d >= -5 THEN 'OK' WHEN d >= -10 THEN 'WARNING' ELSE 'DEGRADED' END AS status FROM x WHERE r <= 13", dates="period")
+@query("d10_utilisation", f"{W}, t AS (SELECT period, CAST(sum(quantity) AS DOUBLE) AS v FROM sales WHERE period <= (SELECT now FROM lately) GROUP BY 1), x AS (SELECT period, v, 100 * (v - avg(v) OVER ()) / abs(avg(v) OVER ()) AS d, row_number() OVER (ORDER BY period DESC) AS r FROM t) SELECT period, v AS quantity, round(d, 6) AS vs_mean_pct, CASE WHEN d >= -5 THEN 'OK' WHEN d >= -10 THEN 'WARNING' ELSE 'DEGRADED' END AS status FROM x WHERE r <= 13", dates="period")
 def d10(spark, sf):
-    s = monthly(spark, sf, until=NOW).select("period", C("quantity").cast("double"))
+    s = monthly(spark, sf, until=latest(spark, sf)[0]).select("period", C("quantity").cast("double"))
     return kpi.utilisation(s, "quantity").select("period", "quantity", D("vs_mean_pct"), "status")

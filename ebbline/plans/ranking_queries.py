@@ -12,12 +12,10 @@ from ..operators import periods as per
 from ..operators import ranking, series
 from ..sources.sinks import kept
 from .catalog import query
-from .facts import EVENTS_SQL, SALES_SQL, events, sales, table
+from .facts import EVENTS_SQL, SALES_SQL, events, latest, sales, table
 
 C = F.col
 W = f"WITH {SALES_SQL}"
-NOW, THEN = "2001-07-31", "2000-07-31"
-BOTH = (dt.date(2001, 7, 31), dt.date(2000, 7, 31))
 D = lambda c, n=None, k=6: F.round(C(c).cast("double"), k).alias(n or c)
 
 
@@ -27,13 +25,13 @@ def day(text: str):
 
 def _pair(spark, sf, *key):
     """Current and prior sums of a key in one pass over the two periods: their outer join, without joining."""
-    both = sales(spark, sf, *key, months=BOTH)
-    at = lambda p: F.sum(F.when(C("period") == day(p), C("revenue")).otherwise(0)).cast("double")
-    return both.groupBy(*key).agg(at(NOW).alias("current"), at(THEN).alias("prior"))
+    now, then = latest(spark, sf)
+    both = sales(spark, sf, *key, months=(now, then))
+    return both.groupBy(*key).agg(per.at(now, "revenue").alias("current"), per.at(then, "revenue").alias("prior"))
 
 
 def _pair_sql(key: str) -> str:
-    return f"{W}, c AS (SELECT {key}, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period = DATE '{NOW}' GROUP BY ALL), p AS (SELECT {key}, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period = DATE '{THEN}' GROUP BY ALL) SELECT {key}, coalesce(c.v, 0) AS current, coalesce(p.v, 0) AS prior FROM c FULL JOIN p USING ({key})"
+    return f"{W}, c AS (SELECT {key}, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period = (SELECT now FROM lately) GROUP BY ALL), p AS (SELECT {key}, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period = (SELECT year_ago FROM lately) GROUP BY ALL) SELECT {key}, coalesce(c.v, 0) AS current, coalesce(p.v, 0) AS prior FROM c FULL JOIN p USING ({key})"
 
 
 def _outer(name: str, *key: str):
@@ -77,12 +75,13 @@ def j08(spark, sf):
     return material(s, "brand", "revenue", 0.05).select("period", "brand", D("revenue"))
 
 
-MEMBERS = f"c AS (SELECT DISTINCT customer FROM sales WHERE period = DATE '{NOW}'), p AS (SELECT DISTINCT customer FROM sales WHERE period = DATE '{THEN}')"
+MEMBERS = f"c AS (SELECT DISTINCT customer FROM sales WHERE period = (SELECT now FROM lately)), p AS (SELECT DISTINCT customer FROM sales WHERE period = (SELECT year_ago FROM lately))"
 
 
 @query("j09_entity_sets", f"{W}, {MEMBERS} SELECT 'new' AS kind, customer FROM (SELECT * FROM c EXCEPT SELECT * FROM p) UNION ALL SELECT 'lost', customer FROM (SELECT * FROM p EXCEPT SELECT * FROM c) UNION ALL SELECT 'same', customer FROM (SELECT * FROM c INTERSECT SELECT * FROM p)")
 def j09(spark, sf):
-    return ranking.entity_sets(sales(spark, sf, "customer", months=BOTH), "customer", *BOTH)
+    both = latest(spark, sf)
+    return ranking.entity_sets(sales(spark, sf, "customer", months=both), "customer", *both)
 
 
 @query("j10_nearest_period", f"""{W}, p AS (SELECT DISTINCT order_date AS d FROM sales), t AS (SELECT DISTINCT CAST(make_date(y, m, 15) AS DATE) AS target FROM range(1994, 2003) AS r(y), range(1, 13) AS s(m))
@@ -99,7 +98,7 @@ CALENDAR = "cal AS (SELECT * FROM (VALUES ('NATION_5', '2001-07-31'), ('NATION_7
 @query("j11_event_calendar", f"{W}, {CALENDAR} SELECT nation, period, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales WHERE EXISTS (SELECT 1 FROM cal WHERE nation = item AND (cal.period = '' OR CAST(cal.period AS VARCHAR) = CAST(sales.period AS VARCHAR))) GROUP BY 1, 2", dates="period")
 def j11(spark, sf):
     n = table(spark, sf, "nation").filter(C("n_name").isin("NATION_5", "NATION_7", "NATION_9"))
-    when = F.when(C("n_name") == "NATION_5", NOW).when(C("n_name") == "NATION_9", "1999-01-31").otherwise("")
+    when = F.when(C("n_name") == "NATION_5", "2001-07-31").when(C("n_name") == "NATION_9", "1999-01-31").otherwise("")
     calendar = n.select(C("n_name").alias("item"), when.alias("event_period"))
     cells = sales(spark, sf, "nation").groupBy("nation", "period").agg(F.sum("revenue").cast("double").alias("revenue"))
     hit = (C("nation") == C("item")) & ((F.coalesce(C("event_period"), F.lit("")) == "") | (C("event_period") == C("period").cast("string")))
@@ -128,21 +127,22 @@ def j14(spark, sf):
     return table(spark, sf, "nation").join(first, "n_nationkey", "left").select("n_name", "first_customer", "segment")
 
 
-@query("j15_detail_attach", f"{W} SELECT nation, CAST(sum(revenue) AS DOUBLE) AS revenue, round(CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE), 6) AS price FROM sales WHERE period = DATE '{NOW}' GROUP BY 1")
+@query("j15_detail_attach", f"{W} SELECT nation, CAST(sum(revenue) AS DOUBLE) AS revenue, round(CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE), 6) AS price FROM sales WHERE period = (SELECT now FROM lately) GROUP BY 1")
 def j15(spark, sf):
-    df = sales(spark, sf, "nation", months=BOTH[:1])
+    df = sales(spark, sf, "nation", months=latest(spark, sf)[:1])
     drivers = df.groupBy("nation").agg(F.sum("revenue").cast("double").alias("revenue"))
     detail = df.groupBy("nation").agg(F.round(F.sum("revenue").cast("double") / F.sum("quantity").cast("double"), 6).alias("price"))
     return drivers.join(detail, "nation", "left")
 
 
-@query("j16_similar_history", f"""{W}, m AS (SELECT brand, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period <= DATE '{NOW}' GROUP BY 1, 2), d AS (SELECT *, v - lag(v) OVER (PARTITION BY brand ORDER BY period) AS delta FROM m),
-    n AS (SELECT brand, delta FROM d WHERE period = DATE '{NOW}'), h AS (SELECT d.brand, d.period, d.delta, n.delta AS now, row_number() OVER (PARTITION BY d.brand ORDER BY d.period DESC) AS r FROM d JOIN n USING (brand) WHERE d.period < DATE '{NOW}'),
+@query("j16_similar_history", f"""{W}, m AS (SELECT brand, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period <= (SELECT now FROM lately) GROUP BY 1, 2), d AS (SELECT *, v - lag(v) OVER (PARTITION BY brand ORDER BY period) AS delta FROM m),
+    n AS (SELECT brand, delta FROM d WHERE period = (SELECT now FROM lately)), h AS (SELECT d.brand, d.period, d.delta, n.delta AS now, row_number() OVER (PARTITION BY d.brand ORDER BY d.period DESC) AS r FROM d JOIN n USING (brand) WHERE d.period < (SELECT now FROM lately)),
     f AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY period DESC) AS k FROM h WHERE r <= 3 AND delta / nullif(now, 0) BETWEEN 0.5 AND 2.0) SELECT brand, period, round(delta, 4) AS delta FROM f WHERE k <= 2""", dates="period")
 def j16(spark, sf):
-    m = sales(spark, sf, "brand", until=BOTH[0]).groupBy("brand", "period").agg(F.sum("revenue").cast("double").alias("v"))
+    now, _ = latest(spark, sf)
+    m = sales(spark, sf, "brand", until=now).groupBy("brand", "period").agg(F.sum("revenue").cast("double").alias("v"))
     d = m.withColumn("delta", C("v") - F.lag("v").over(Window.partitionBy("brand").orderBy("period")))
-    return ranking.similar_history(d, "brand", "delta", BOTH[0]).select("brand", "period", D("delta", k=4))
+    return ranking.similar_history(d, "brand", "delta", now).select("brand", "period", D("delta", k=4))
 
 
 @query("w01_ranked_slice_2", f"{W}, {SLICE} SELECT * FROM b")
@@ -182,7 +182,7 @@ def w06(spark, sf):
     return ranking.tier_keys(sales(spark, sf, "brand"), ranking.Tier("brand", "top_pct", 80), "revenue")
 
 
-RANKED = f"{W}, d AS (SELECT nation AS item, CAST(sum(CASE WHEN period = DATE '{NOW}' THEN revenue ELSE 0 END) AS DOUBLE) - CAST(sum(CASE WHEN period = DATE '{THEN}' THEN revenue ELSE 0 END) AS DOUBLE) AS variance FROM sales WHERE period IN (DATE '{NOW}', DATE '{THEN}') GROUP BY 1)"
+RANKED = f"{W}, d AS (SELECT nation AS item, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) - CAST(sum(CASE WHEN period = (SELECT year_ago FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS variance FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY 1)"
 
 
 @query("w07_variance_rank", f"{RANKED} SELECT item, round(variance, 4) AS variance, row_number() OVER (ORDER BY abs(variance) DESC, item) AS rank, round(100 * sum(abs(variance)) OVER (ORDER BY abs(variance) DESC, item ROWS UNBOUNDED PRECEDING) / sum(abs(variance)) OVER (), 6) AS cumulative_pct FROM d")
@@ -253,9 +253,9 @@ def w15(spark, sf):
     return ranking.major_shares(sales(spark, sf, "nation"), "nation", "revenue").select("nation", D("share", k=9), "is_major")
 
 
-@query("w16_detail_rows", f"{W} SELECT order_id, line, CAST(revenue AS DOUBLE) AS revenue FROM sales WHERE period = DATE '{NOW}' AND region = 'ASIA' ORDER BY revenue DESC, order_id, line LIMIT 1000")
+@query("w16_detail_rows", f"{W} SELECT order_id, line, CAST(revenue AS DOUBLE) AS revenue FROM sales WHERE period = (SELECT now FROM lately) AND region = 'ASIA' ORDER BY revenue DESC, order_id, line LIMIT 1000")
 def w16(spark, sf):
-    df = sales(spark, sf, "region", "order_id", "line", months=BOTH[:1]).filter(C("region") == "ASIA")
+    df = sales(spark, sf, "region", "order_id", "line", months=latest(spark, sf)[:1]).filter(C("region") == "ASIA")
     return df.orderBy(F.desc("revenue"), "order_id", "line").limit(1000).select("order_id", "line", C("revenue").cast("double"))
 
 
@@ -265,7 +265,7 @@ def w17(spark, sf):
     return ranking.persistent_movers(kept(_monthly(spark, sf), "movers")).select("item", "times", "periods", "persistent")
 
 
-@query("w18_scope_entities", f"{W}, x AS (SELECT nation, segment, CAST(sum(CASE WHEN period = DATE '{NOW}' THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = DATE '{THEN}' THEN revenue ELSE 0 END) AS DOUBLE) AS p FROM sales WHERE period IN (DATE '{NOW}', DATE '{THEN}') GROUP BY 1, 2) SELECT nation, round(sum(abs(c - p)), 4) AS moved, round(max(abs((c - p) / nullif(p, 0))) * 100, 6) AS most_pct FROM x GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1")
+@query("w18_scope_entities", f"{W}, x AS (SELECT nation, segment, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = (SELECT year_ago FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS p FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY 1, 2) SELECT nation, round(sum(abs(c - p)), 4) AS moved, round(max(abs((c - p) / nullif(p, 0))) * 100, 6) AS most_pct FROM x GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1")
 def w18(spark, sf):
     return ranking.moved_entities(_pair(spark, sf, "nation", "segment"), "nation").select("nation", D("moved", k=4), D("most_pct"))
 
@@ -293,7 +293,8 @@ def u02(spark, sf):
 @query("u03_entity_intersection", f"{W}, {MEMBERS} SELECT customer FROM c INTERSECT SELECT customer FROM p")
 def u03(spark, sf):
     members = lambda p: sales(spark, sf, "customer", months=(p,)).select("customer")
-    return members(BOTH[0]).intersect(members(BOTH[1]))
+    now, then = latest(spark, sf)
+    return members(now).intersect(members(then))
 
 
 @query("u04_best_signals", f"{W}, s AS (SELECT nation AS title, segment AS metric, priority AS source, brand, CAST(sum(revenue) AS DOUBLE) AS score FROM sales GROUP BY 1, 2, 3, 4) SELECT title, metric, source, max(score) AS score FROM s GROUP BY 1, 2, 3")

@@ -13,7 +13,7 @@ from ..sources.loaders import period_aggregate
 from ..sources.sinks import kept
 from . import contract
 from .catalog import query
-from .facts import EVENTS_SQL, SALES_SQL, events, sales, table
+from .facts import EVENTS_SQL, SALES_SQL, events, latest, sales, table
 
 C = F.col
 W = f"WITH {SALES_SQL}"
@@ -102,9 +102,9 @@ def a15(spark, sf):
     return rollup.long_ratio(df, ("period",), "purchase", "view", days=F.max(F.dayofmonth("day"))).select("period", D("ratio"))
 
 
-@query("a16_level_sums", f"{W} SELECT coalesce(nullif(brand, 'Brand#11'), '(Unassigned)') AS item, CAST(sum(revenue) AS DOUBLE) AS total FROM sales WHERE period = DATE '2001-07-31' GROUP BY 1")
+@query("a16_level_sums", f"{W} SELECT coalesce(nullif(brand, 'Brand#11'), '(Unassigned)') AS item, CAST(sum(revenue) AS DOUBLE) AS total FROM sales WHERE period = (SELECT now FROM lately) GROUP BY 1")
 def a16(spark, sf):
-    df = sales(spark, sf, "brand", months=(datetime.date(2001, 7, 31),)).withColumn("brand", F.nullif("brand", F.lit("Brand#11")))
+    df = sales(spark, sf, "brand", months=latest(spark, sf)[:1]).withColumn("brand", F.nullif("brand", F.lit("Brand#11")))
     return rollup.level_sums(df, "brand", "revenue").select("item", D("total"))
 
 
@@ -190,8 +190,8 @@ def a29(spark, sf):
     return rollup.run_metadata(sales(spark, sf, "nation"), "nation")
 
 
-@query("a30_calendar_seasonality", f"""{W}, t AS (SELECT period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period < DATE '2001-08-01' GROUP BY 1), m AS (SELECT month(period) AS m, avg(v) AS v FROM t GROUP BY 1)
+@query("a30_calendar_seasonality", f"""{W}, t AS (SELECT period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period <= (SELECT now FROM lately) GROUP BY 1), m AS (SELECT month(period) AS m, avg(v) AS v FROM t GROUP BY 1)
     SELECT CAST(arg_max(m, v) AS INTEGER) AS peak, CAST(arg_min(m, v) AS INTEGER) AS trough, round(100 * (max(v) - min(v)) / avg(v), 6) AS amplitude_pct FROM m""")
 def a30(spark, sf):
-    t = sales(spark, sf, until=datetime.date(2001, 7, 31)).groupBy("period").agg(F.sum("revenue").cast("double").alias("v"))
+    t = sales(spark, sf, until=latest(spark, sf)[0]).groupBy("period").agg(F.sum("revenue").cast("double").alias("v"))
     return rollup.calendar_seasonality(t, "v").select("peak", "trough", F.round("amplitude_pct", 6).alias("amplitude_pct"))

@@ -10,8 +10,8 @@ from ..operators import periods as per
 from ..operators import stats as st
 from ..sources.sinks import kept
 from .catalog import query
-from .facts import EVENTS_SQL, SALES_SQL, calendar, events, sales
-from .variance_queries import NOW, monthly
+from .facts import EVENTS_SQL, SALES_SQL, complete, events, latest, sales
+from .variance_queries import monthly
 
 C = F.col
 W = f"WITH {SALES_SQL}"
@@ -20,11 +20,12 @@ D = lambda c, n=None, k=4: F.round(C(c).cast("double"), k).alias(n or c)  # noqa
 
 def series(spark, sf, dim="brand", value="revenue", keep=False):
     """Complete months of each item, 0 where it has none. keep: written once, for queries that use it several times."""
-    out = per.dense(monthly(spark, sf, dim, until=NOW), dim, value, [p for p in calendar(spark, sf) if p <= NOW])
+    periods = complete(spark, sf)
+    out = per.dense(monthly(spark, sf, dim, until=periods[-1]), dim, value, periods)
     return kept(out, "series") if keep else out
 
 
-DENSE = f"""{W}, p AS (SELECT period, CAST(row_number() OVER (ORDER BY period) AS INTEGER) AS period_idx FROM (SELECT DISTINCT period FROM sales WHERE period <= DATE '2001-07-31')), m0 AS (SELECT brand AS item, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2),
+DENSE = f"""{W}, p AS (SELECT period, CAST(row_number() OVER (ORDER BY period) AS INTEGER) AS period_idx FROM (SELECT DISTINCT period FROM sales WHERE period <= (SELECT now FROM lately))), m0 AS (SELECT brand AS item, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2),
     s AS (SELECT b.item, p.period, p.period_idx, coalesce(m0.v, 0) AS value FROM (SELECT DISTINCT item FROM m0) b CROSS JOIN p LEFT JOIN m0 ON m0.item = b.item AND m0.period = p.period)"""
 
 PROFILE = f"""{DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY period DESC) AS k FROM s), t AS (SELECT item, avg(value) AS a, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi, regr_slope(value, period_idx) FILTER (k <= 3) AS s3, corr(value, period_idx) FILTER (k <= 3) AS r3, regr_slope(value, period_idx) FILTER (k > 3 AND k <= 6) AS s6 FROM r GROUP BY 1)"""
@@ -133,7 +134,7 @@ def t08(spark, sf):
 
 
 @query("t08_leave_k_out", f"""{DENSE}, c AS (SELECT *, median(value) OVER (PARTITION BY item) AS med, avg(value) OVER (PARTITION BY item) AS m, stddev_pop(value) OVER (PARTITION BY item) AS sd FROM s), d AS (SELECT *, median(abs(value - med)) OVER (PARTITION BY item) AS mad FROM c), o AS (SELECT *, (abs(value - m) >= 2 * sd AND sd > 0) OR (abs(value - med) > 3 * mad AND mad > 0) AS hit FROM d),
-    k AS (SELECT *, CASE WHEN hit THEN value - avg(CASE WHEN NOT hit THEN value END) OVER (PARTITION BY item) ELSE 0 END AS impact FROM o), i AS (SELECT item, sum(abs(impact)) AS total_impact, arg_max(impact, period) AS marginal, count(*) FILTER (hit) AS outliers FROM k GROUP BY 1), t AS (SELECT sum(value) AS total FROM s WHERE period = DATE '2001-07-31')
+    k AS (SELECT *, CASE WHEN hit THEN value - avg(CASE WHEN NOT hit THEN value END) OVER (PARTITION BY item) ELSE 0 END AS impact FROM o), i AS (SELECT item, sum(abs(impact)) AS total_impact, arg_max(impact, period) AS marginal, count(*) FILTER (hit) AS outliers FROM k GROUP BY 1), t AS (SELECT sum(value) AS total FROM s WHERE period = (SELECT now FROM lately))
     SELECT item, round(total_impact, 3) AS total_impact, round(marginal, 3) AS marginal_impact, round(total - marginal, 3) AS adjusted_total, round(100 * marginal / total, 6) AS marginal_impact_pct FROM i, t WHERE outliers > 0 ORDER BY i.total_impact DESC, item LIMIT 5""")
 def t08k(spark, sf):
     """The five brands whose outliers matter most, each left out in turn."""
@@ -223,9 +224,9 @@ COLS = ("total_entities", "pareto_count", "top_5_share", "top_10_share", "hhi",
 shown = lambda df, *keys: df.select(*keys, "total_entities", "pareto_count", D("top_5_share", k=9), D("top_10_share", k=9), D("hhi", k=6), D("gini", k=9))
 
 
-@query("t13_concentration", f"{DENSE}, {_conc('s', '', chr(112) + 'eriod = DATE ' + chr(39) + '2001-07-31' + chr(39))} SELECT {', '.join(COLS)} FROM h")
+@query("t13_concentration", f"{DENSE}, {_conc('s', '', 'period = (SELECT now FROM lately)')} SELECT {', '.join(COLS)} FROM h")
 def t13(spark, sf):
-    return shown(st.concentration(series(spark, sf).filter(C("period") == NOW)))
+    return shown(st.concentration(series(spark, sf).filter(C("period") == latest(spark, sf)[0])))
 
 
 @query("t14_concentration_trend", f"{DENSE}, {_conc('s', 'period')}, j AS (SELECT h.*, p.period_idx FROM h JOIN p USING (period)) SELECT round(regr_slope(hhi_raw, period_idx), 6) AS hhi_slope, round(regr_slope(gini_raw, period_idx), 9) AS gini_slope, count(*) AS periods, (SELECT round({CORRELATION_P}, 6) FROM (SELECT corr(hhi_raw, period_idx) AS r, count(*) AS n FROM j)) AS hhi_p_value, (SELECT round({CORRELATION_P}, 6) FROM (SELECT corr(gini_raw, period_idx) AS r, count(*) AS n FROM j)) AS gini_p_value FROM j")
@@ -240,20 +241,20 @@ def t15(spark, sf):
     return shown(st.concentration(d))
 
 
-@query("t16_segmented_concentration", f"{W}, a AS (SELECT region, nation AS item, CAST(sum(revenue) AS DOUBLE) AS value FROM sales WHERE period = DATE '2001-07-31' GROUP BY 1, 2), {_conc('a', 'region')} SELECT region, {', '.join(COLS)} FROM h")
+@query("t16_segmented_concentration", f"{W}, a AS (SELECT region, nation AS item, CAST(sum(revenue) AS DOUBLE) AS value FROM sales WHERE period = (SELECT now FROM lately) GROUP BY 1, 2), {_conc('a', 'region')} SELECT region, {', '.join(COLS)} FROM h")
 def t16(spark, sf):
-    a = sales(spark, sf, "region", "nation", months=(NOW,)).groupBy("region", C("nation").alias("item")).agg(F.sum("revenue").cast("double").alias("value"))
+    a = sales(spark, sf, "region", "nation", months=latest(spark, sf)[:1]).groupBy("region", C("nation").alias("item")).agg(F.sum("revenue").cast("double").alias("value"))
     return shown(st.concentration(a, "region"), "region")
 
 
 METRICS = ("revenue", "quantity", "price", "lines")
-TABLE = f"{W}, m AS (SELECT {{}}period, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS price, CAST(count(*) AS DOUBLE) AS lines FROM sales WHERE period <= DATE '2001-07-31' GROUP BY ALL)"
+TABLE = f"{W}, m AS (SELECT {{}}period, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(revenue) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS price, CAST(count(*) AS DOUBLE) AS lines FROM sales WHERE period <= (SELECT now FROM lately) GROUP BY ALL)"
 PAIR_RAW = " UNION ALL ".join(f"SELECT {{0}}'{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {{1}}" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :])
 PAIR_SQL = " UNION ALL ".join(f"SELECT {{0}}'{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) AS n FROM m {{1}}" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :])
 
 
 def metrics(spark, sf, *dims):
-    m = sales(spark, sf, *dims, until=NOW).groupBy(*dims, "period").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("double").alias("quantity"), F.count("*").cast("double").alias("lines"))
+    m = sales(spark, sf, *dims, until=latest(spark, sf)[0]).groupBy(*dims, "period").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("double").alias("quantity"), F.count("*").cast("double").alias("lines"))
     return m.withColumn("price", C("revenue") / F.nullif("quantity", F.lit(0.0)))
 
 
@@ -288,14 +289,14 @@ def t18b(spark, sf):
     return out.select("region", "a", "b", D("r", k=6), D("population_r", k=6), "broken")
 
 
-LAGS = " UNION ALL ".join(f"SELECT '{a}' AS leader, '{b}' AS follower, {k} AS lag, corr(x.{a}, y.{b}) AS r FROM i x JOIN i y ON y.k = x.k + {k}" for a in METRICS[:3] for b in METRICS[:3] if a != b for k in range(7))
+LAGS = " UNION ALL ".join(f"SELECT '{a}' AS leader, '{b}' AS follower, {k} AS lag, CASE WHEN count(*) >= 6 AND isfinite(corr(x.{a}, y.{b})) THEN corr(x.{a}, y.{b}) ELSE 0 END AS r FROM i x JOIN i y ON y.k = x.k + {k}" for a in METRICS for b in METRICS if a != b for k in range(-6, 7))
 
 
-@query("t19_lead_lag", f"{TABLE.format('')}, i AS (SELECT *, row_number() OVER (ORDER BY period) AS k FROM m), l AS ({LAGS}), z AS (SELECT leader, follower, arg_max(lag, (abs(r), -lag)) AS optimal_lag, arg_max(r, (abs(r), -lag)) AS lag_r, max(CASE WHEN lag = 0 THEN r END) AS contemporaneous_r FROM l GROUP BY 1, 2) SELECT leader, follower, CAST(optimal_lag AS INTEGER) AS optimal_lag, round(lag_r, 6) AS lag_r, round(contemporaneous_r, 6) AS contemporaneous_r, round(abs(lag_r) - abs(contemporaneous_r), 6) AS improvement, abs(lag_r) >= 0.5 AND abs(lag_r) - abs(contemporaneous_r) >= 0.1 AS leads FROM z WHERE optimal_lag > 0 AND abs(lag_r) - abs(contemporaneous_r) >= 0.01")
+@query("t19_lead_lag", f"{TABLE.format('')}, i AS (SELECT *, row_number() OVER (ORDER BY period) AS k FROM m), l AS ({LAGS}), z AS (SELECT leader, follower, arg_max(lag, (round(abs(r), 12), -lag)) AS optimal_lag, arg_max(r, (round(abs(r), 12), -lag)) AS lag_r, max(CASE WHEN lag = 0 THEN r END) AS contemporaneous_r FROM l WHERE (SELECT count(*) FROM i) >= 12 GROUP BY 1, 2) SELECT leader, follower, CAST(optimal_lag AS INTEGER) AS optimal_lag, round(lag_r, 6) AS lag_r, round(contemporaneous_r, 6) AS contemporaneous_r, round(abs(lag_r) - abs(contemporaneous_r), 6) AS improvement, abs(lag_r) >= 0.5 AND abs(lag_r) - abs(contemporaneous_r) >= 0.1 AS leads FROM z WHERE optimal_lag > 0 AND abs(lag_r) - abs(contemporaneous_r) >= 0.01")
 def t19(spark, sf):
     """Pairs that are better at a lag by any 0.01, and which ones lead by the rule's 0.5 and 0.1."""
     wide = metrics(spark, sf).withColumn("period_idx", F.row_number().over(Window.orderBy("period")))
-    out = st.lead_lag(wide, METRICS[:3], least_r=0.0, gain=0.01)
+    out = st.lead_lag(wide, METRICS, least_r=0.0, gain=0.01)
     leads = (F.abs("lag_r") >= 0.5) & (C("improvement") >= 0.1)
     return out.select("leader", "follower", "optimal_lag", D("lag_r", k=6), D("contemporaneous_r", k=6), D("improvement", k=6), leads.alias("leads"))
 
@@ -342,11 +343,10 @@ CHANGES = LISTS + """, w AS (SELECT item, v, d, n, 3 * greatest(vp, 1e-12) * ln(
     r AS (SELECT item, CAST(0 AS BIGINT) AS e, [-pen] AS b, [CAST(0 AS BIGINT)] AS k FROM w UNION ALL SELECT item, e + 1, list_append(b, CASE WHEN e + 1 < 3 THEN 1e300 ELSE list_min(x) END), list_append(k, CASE WHEN e + 1 < 3 THEN 0 ELSE CAST(list_position(x, list_min(x)) - 1 AS BIGINT) END)
         FROM (SELECT r.item, e, b, k, list_transform(range(0, e - 1), lambda s: b[s + 1] + (c2[e + 2] - c2[s + 1]) - (c1[e + 2] - c1[s + 1]) ^ 2 / (e + 1 - s) + pen) AS x FROM r JOIN w USING (item) WHERE e < n)),
     fin AS (SELECT item, k FROM r JOIN w USING (item) WHERE e = n), bt AS (SELECT item, k[len(k)] AS pos FROM fin UNION ALL SELECT bt.item, fin.k[pos + 1] FROM bt JOIN fin USING (item) WHERE pos > 0),
-    cuts AS (SELECT bt.item, pos, coalesce(lag(pos) OVER (PARTITION BY bt.item ORDER BY pos), 0) AS lo, coalesce(lead(pos) OVER (PARTITION BY bt.item ORDER BY pos), n) AS hi FROM bt JOIN w ON w.item = bt.item WHERE pos > 0),
-    cp AS (SELECT cuts.item, d[pos + 1] AS period, pos, list_avg(v[lo + 1:pos]) AS bm, list_avg(v[pos + 1:hi]) AS am, list_stddev_pop(v[lo + 1:pos]) AS sd, pos - lo AS nb, hi - pos AS na FROM cuts JOIN w ON w.item = cuts.item)"""
+    cp AS (SELECT bt.item, d[pos + 1] AS period, pos, list_avg(v[1:pos]) AS bm, list_avg(v[pos + 1:n]) AS am, list_stddev_pop(v[1:pos]) AS sd, pos AS nb, n - pos AS na FROM bt JOIN w ON w.item = bt.item WHERE pos > 0)"""
 
 
-@query("t22_change_points", f"{CHANGES} SELECT item, period, CAST(pos AS INTEGER) AS change_point_index, round(bm, 4) AS before_mean, round(am, 4) AS after_mean, round(am - bm, 4) AS magnitude_dollar, round(100 * (am - bm) / abs(bm), 5) AS magnitude_pct, round(CASE WHEN sd > 0 THEN least(abs(am - bm) / sd, 10) ELSE 10 END, 6) AS confidence_score, CAST(nb AS INTEGER) AS periods_before, CAST(na AS INTEGER) AS periods_after FROM cp", dates="period")
+@query("t22_change_points", f"{CHANGES} SELECT item, period, CAST(pos AS INTEGER) AS change_point_index, round(bm, 4) AS before_mean, round(am, 4) AS after_mean, round(am - bm, 4) AS magnitude_dollar, round(100 * (am - bm) / abs(bm), 5) AS magnitude_pct, round(CASE WHEN sd > 0 THEN least(abs(am - bm) / sd, 10) ELSE 0 END, 6) AS confidence_score, CAST(nb AS INTEGER) AS periods_before, CAST(na AS INTEGER) AS periods_after FROM cp", dates="period")
 def t22(spark, sf):
     out = grouped.change_points(series(spark, sf))
     return out.select("item", "period", "change_point_index", D("before_mean"), D("after_mean"), D("magnitude_dollar"), D("magnitude_pct", k=5), D("confidence_score", k=6), "periods_before", "periods_after")

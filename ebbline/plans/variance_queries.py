@@ -11,12 +11,11 @@ from ..operators import periods as per
 from ..operators import variance as var
 from .catalog import query
 from .contract import SALES
-from .facts import EVENTS_SQL, SALES_SQL, calendar, events, sales
+from .facts import EVENTS_SQL, SALES_SQL, calendar, complete, events, latest, sales
 from .ranking_queries import RUNNING, _running
 
 C = F.col
 W = f"WITH {SALES_SQL}"
-NOW, THEN = dt.date(2001, 7, 31), dt.date(2000, 7, 31)
 D = lambda c, n=None, k=4: F.round(C(c).cast("double"), k).alias(n or c)
 
 
@@ -129,12 +128,13 @@ def v10c(spark, sf):
     return out.select("item", "period", "is_cumulative", D("value", k=2), D("change", k=2), D("change_pct", k=5))
 
 
-DRIVERS = f"{W}, d AS (SELECT brand AS item, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = DATE '2001-06-30' THEN revenue ELSE 0 END) AS DOUBLE) AS p FROM sales WHERE period IN (DATE '2001-07-31', DATE '2001-06-30') GROUP BY 1)"
+DRIVERS = f"{W}, d AS (SELECT brand AS item, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = (SELECT month_ago FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS p FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT month_ago FROM lately)) GROUP BY 1)"
 
 
 def _drivers(spark, sf):
-    before = dt.date(2001, 6, 30)
-    return var.delta_attribution(sales(spark, sf, "brand", months=(NOW, before)), "brand", "revenue", NOW, before)
+    days = complete(spark, sf)
+    now, before = days[-1], per.prior(days, days[-1], "mom")
+    return var.delta_attribution(sales(spark, sf, "brand", months=(now, before)), "brand", "revenue", now, before)
 
 
 @query("v11_delta_attribution", f"{DRIVERS} SELECT item, round(c - p, 4) AS delta, round((c - p) / sum(c - p) OVER (), 6) AS share FROM d ORDER BY abs(c - p) DESC")
@@ -147,23 +147,26 @@ def v12(spark, sf):
     return _drivers(spark, sf).select("item", D("contribution", k=6))
 
 
-@query("v13_pattern_labels", f"{W}, m AS (SELECT brand AS item, period, CAST(sum(revenue) AS DOUBLE) AS v, row_number() OVER (PARTITION BY brand ORDER BY period DESC) AS r FROM sales WHERE period < DATE '2001-08-01' GROUP BY 1, 2) SELECT item, CASE WHEN abs(max(CASE WHEN r = 1 THEN v END) - avg(v)) > 2 * stddev_samp(v) THEN 'spike' ELSE 'run_rate_change' END AS pattern FROM m WHERE r <= 3 GROUP BY 1")
+@query("v13_pattern_labels", f"{W}, m AS (SELECT brand AS item, period, CAST(sum(revenue) AS DOUBLE) AS v, row_number() OVER (PARTITION BY brand ORDER BY period DESC) AS r FROM sales WHERE period <= (SELECT now FROM lately) GROUP BY 1, 2) SELECT item, CASE WHEN abs(max(CASE WHEN r = 1 THEN v END) - avg(v)) > 2 * stddev_samp(v) THEN 'spike' ELSE 'run_rate_change' END AS pattern FROM m WHERE r <= 3 GROUP BY 1")
 def v13(spark, sf):
-    m = monthly(spark, sf, "brand", until=NOW)
+    m = monthly(spark, sf, "brand", until=latest(spark, sf)[0])
     return var.pattern_labels(m.select(C("brand").alias("item"), "period", C("revenue").cast("double").alias("value")))
 
 
-PVM = f"""{W}, a AS (SELECT {{}} AS item, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS t1, CAST(sum(CASE WHEN period = DATE '2000-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS t0, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN quantity ELSE 0 END) AS DOUBLE) AS q1,
-    CAST(sum(CASE WHEN period = DATE '2000-07-31' THEN quantity ELSE 0 END) AS DOUBLE) AS q0 FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1), f AS (SELECT *, coalesce(t1 / nullif(q1, 0), 0) AS p1, coalesce(t0 / nullif(q0, 0), 0) AS p0 FROM a)"""
+PVM = f"""{W}, a AS (SELECT {{}} AS item, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS t1, CAST(sum(CASE WHEN period = (SELECT year_ago FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS t0, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN quantity ELSE 0 END) AS DOUBLE) AS q1,
+    CAST(sum(CASE WHEN period = (SELECT year_ago FROM lately) THEN quantity ELSE 0 END) AS DOUBLE) AS q0 FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY 1), f AS (SELECT *, coalesce(t1 / nullif(q1, 0), 0) AS p1, coalesce(t0 / nullif(q0, 0), 0) AS p0 FROM a)"""
 
 
 def _two(spark, sf, *dims):
-    return monthly(spark, sf, *dims, months=(NOW, THEN))
+    """Sums of the last complete month and of a year before, and these two months."""
+    both = latest(spark, sf)
+    return monthly(spark, sf, *dims, months=both), *both
 
 
 @query("v14_price_volume", PVM.format("nation") + " SELECT item, round(t1 - t0, 4) AS total_variance, round((q1 - q0) * p0, 4) AS volume_impact, round((p1 - p0) * q1, 4) AS price_impact, q1 AS curr_vol, q0 AS prior_vol, round(p1, 6) AS curr_price, round(p0, 6) AS prior_price, abs((t1 - t0) - (q1 - q0) * p0 - (p1 - p0) * q1) < 1e-3 AS adds_up FROM f")
 def v14(spark, sf):
-    out = var.price_volume(_two(spark, sf, "nation"), "nation", "revenue", "quantity", NOW, THEN)
+    two, now, then = _two(spark, sf, "nation")
+    out = var.price_volume(two, "nation", "revenue", "quantity", now, then)
     return out.select("item", D("total_variance"), D("volume_impact"), D("price_impact"), "curr_vol", "prior_vol", D("curr_price", k=6), D("prior_price", k=6), (F.abs("residual") < 1e-3).alias("adds_up"))
 
 
@@ -177,35 +180,38 @@ def v15(spark, sf):
 @query("v16_mix_shift", PVM.format("segment") + """, w AS (SELECT *, q0 / sum(q0) OVER () AS w0, q1 / sum(q1) OVER () AS w1, sum(q1) OVER () AS v1, sum(q0) OVER () AS v0, sum(t1) OVER () / sum(q1) OVER () AS b1, sum(t0) OVER () / sum(q0) OVER () AS b0, sum(t1) OVER () - sum(t0) OVER () AS tv FROM f), z AS (SELECT *, sum(w0 * p1) OVER () AS o FROM w)
     SELECT item AS segment, round(w0, 9) AS prior_weight, round(w1, 9) AS current_weight, round((w1 - w0) * p1 * v1, 3) AS contribution_to_mix_effect, round((v1 - v0) * b0, 3) AS volume_effect, round((o - b0) * v1, 3) AS price_effect, round((b1 - o) * v1, 3) AS mix_effect, round(tv, 3) AS total_variance FROM z""")
 def v16(spark, sf):
-    out = var.mix_shift(_two(spark, sf, "segment"), "segment", "revenue", "quantity", NOW, THEN)
+    two, now, then = _two(spark, sf, "segment")
+    out = var.mix_shift(two, "segment", "revenue", "quantity", now, then)
     return out.select("segment", D("prior_weight", k=9), D("current_weight", k=9), *[D(c, k=3) for c in ("contribution_to_mix_effect", "volume_effect", "price_effect", "mix_effect", "total_variance")])
 
 
-@query("v17_bridge", f"""{W}, e AS (SELECT customer, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = DATE '2000-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS p, bool_or(period = DATE '2001-07-31') AS ic, bool_or(period = DATE '2000-07-31') AS ip FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1),
+@query("v17_bridge", f"""{W}, e AS (SELECT customer, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = (SELECT year_ago FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS p, bool_or(period = (SELECT now FROM lately)) AS ic, bool_or(period = (SELECT year_ago FROM lately)) AS ip FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY 1),
     s AS (SELECT sum(c) AS tc, sum(p) AS tp, coalesce(sum(c) FILTER (NOT ip), 0) AS n, coalesce(sum(p) FILTER (NOT ic), 0) AS l, coalesce(sum(c) FILTER (ic AND ip), 0) AS sc, coalesce(sum(p) FILTER (ic AND ip), 0) AS sp, count(*) FILTER (NOT ip) AS nn, count(*) FILTER (NOT ic) AS nl, count(*) FILTER (ic AND ip) AS ns FROM e)
     SELECT round(tc, 3) AS total_current, round(tp, 3) AS total_prior, round(tc - tp, 3) AS total_delta, round(n, 3) AS new_total, round(l, 3) AS lost_total, round(sc - sp, 3) AS same_store_delta, nn AS new_count, nl AS lost_count, ns AS same_store_count, round(100 * n / (tc - tp), 6) AS new_pct_of_delta, round(-100 * l / (tc - tp), 6) AS lost_pct_of_delta, round(100 * (sc - sp) / (tc - tp), 6) AS same_store_pct_of_delta FROM s""")
 def v17(spark, sf):
-    out = var.bridge(_two(spark, sf, "customer"), "customer", "revenue", NOW, THEN)
+    two, now, then = _two(spark, sf, "customer")
+    out = var.bridge(two, "customer", "revenue", now, then)
     return out.select(*[D(c, k=3) for c in ("total_current", "total_prior", "total_delta", "new_total", "lost_total", "same_store_delta")], "new_count", "lost_count", "same_store_count", *[D(c, k=6) for c in ("new_pct_of_delta", "lost_pct_of_delta", "same_store_pct_of_delta")])
 
 
-@query("v17_bridge_lists", f"""{W}, e AS (SELECT customer, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = DATE '2000-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS p, bool_or(period = DATE '2001-07-31') AS ic, bool_or(period = DATE '2000-07-31') AS ip FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1),
+@query("v17_bridge_lists", f"""{W}, e AS (SELECT customer, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = (SELECT year_ago FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS p, bool_or(period = (SELECT now FROM lately)) AS ic, bool_or(period = (SELECT year_ago FROM lately)) AS ip FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY 1),
     b AS (SELECT customer AS entity, c AS "current", p AS prior, CASE WHEN NOT ip THEN 'new' WHEN NOT ic THEN 'lost' ELSE 'same_store' END AS bucket, CASE WHEN NOT ip THEN c WHEN NOT ic THEN p ELSE abs(c - p) END AS size FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY size DESC, entity) AS rank FROM b)
     SELECT bucket, rank, entity, round("current", 3) AS "current", round(prior, 3) AS prior, round("current" - prior, 3) AS delta, round(coalesce(100 * ("current" - prior) / nullif(prior, 0), 0), 5) AS delta_pct FROM r WHERE rank <= 5""")
 def v17l(spark, sf):
     """The leading customers of each bucket; the periods follow from the calendar, the 13th-last against the last complete one."""
-    now, then, _ = var.bridge_periods([p for p in calendar(spark, sf) if p <= NOW], "YoY")
+    now, then, _ = var.bridge_periods(complete(spark, sf), "YoY")
     out = var.bridge_lists(monthly(spark, sf, "customer", months=(now, then)), "customer", "revenue", now, then)
     return out.select("bucket", "rank", "entity", *[D(c, k=3) for c in ("current", "prior", "delta")], D("delta_pct", k=5))
 
 
-CELLS = f"{W}, x AS (SELECT nation, segment, CAST(sum(CASE WHEN period = DATE '2001-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = DATE '2000-07-31' THEN revenue ELSE 0 END) AS DOUBLE) AS p FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1, 2), y AS (SELECT *, 100 * (c - p) / nullif(abs(p), 0) AS pct FROM x)"
+CELLS = f"{W}, x AS (SELECT nation, segment, CAST(sum(CASE WHEN period = (SELECT now FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS c, CAST(sum(CASE WHEN period = (SELECT year_ago FROM lately) THEN revenue ELSE 0 END) AS DOUBLE) AS p FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY 1, 2), y AS (SELECT *, 100 * (c - p) / nullif(abs(p), 0) AS pct FROM x)"
 
 
 @query("v18_cross_cutting", f"""{CELLS}, k AS (SELECT segment, 'boost' AS d, avg(pct) FILTER (pct > 1) AS m, count(*) FILTER (pct > 1) AS a, array_to_string(list_sort(list(nation) FILTER (pct > 1)), ',') AS e, count(*) AS n FROM y WHERE pct IS NOT NULL GROUP BY 1 UNION ALL SELECT segment, 'drag', avg(pct) FILTER (pct < -1), count(*) FILTER (pct < -1), array_to_string(list_sort(list(nation) FILTER (pct < -1)), ','), count(*) FROM y WHERE pct IS NOT NULL GROUP BY 1)
     SELECT segment AS auxiliary_value, d AS effect_direction, round(m, 4) AS mean_impact_pct, e AS affected_entities, a AS affected_entity_count, round(a / n, 6) AS consistency, a / n >= 0.6 AS kept FROM k WHERE a / n >= 0.5 AND a >= 2""")
 def v18(spark, sf):
-    two = var.cells(_two(spark, sf, "nation", "segment"), "nation", "segment", "revenue", NOW, THEN)
+    both, now, then = _two(spark, sf, "nation", "segment")
+    two = var.cells(both, "nation", "segment", "revenue", now, then)
     out = var.cross_cutting(two, consistency=0.5)
     return out.select("auxiliary_value", "effect_direction", D("mean_impact_pct"), F.array_join("affected_entities", ",").alias("affected_entities"), "affected_entity_count", D("consistency", k=6), (C("consistency") >= 0.6).alias("kept"))
 
@@ -216,18 +222,19 @@ def v19(spark, sf):
     return out.select("hierarchy_entity", "auxiliary_value", D("actual", k=3), D("expected", k=3), D("residual_z", k=6))
 
 
-@query("v20_trend_divergence", f"""{W}, p AS (SELECT period, row_number() OVER (ORDER BY period) AS k FROM (SELECT DISTINCT period FROM sales WHERE period <= DATE '2001-07-31')), m AS (SELECT brand AS item, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2), d AS (SELECT b.item, p.k, coalesce(m.v, 0) AS v FROM (SELECT DISTINCT item FROM m) b CROSS JOIN p LEFT JOIN m ON m.item = b.item AND m.period = p.period),
+@query("v20_trend_divergence", f"""{W}, p AS (SELECT period, row_number() OVER (ORDER BY period) AS k FROM (SELECT DISTINCT period FROM sales WHERE period <= (SELECT now FROM lately))), m AS (SELECT brand AS item, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2), d AS (SELECT b.item, p.k, coalesce(m.v, 0) AS v FROM (SELECT DISTINCT item FROM m) b CROSS JOIN p LEFT JOIN m ON m.item = b.item AND m.period = p.period),
     s AS (SELECT item, regr_slope(v, k) AS slope, regr_r2(v, k) AS r2, count(*) FILTER (v <> 0) AS n FROM d GROUP BY 1), o AS (SELECT regr_slope(v, k) AS w FROM (SELECT k, sum(v) AS v FROM d GROUP BY 1)) SELECT item, round(slope, 4) AS slope, round(r2, 9) AS r2, round(w, 3) AS overall_slope, CASE WHEN slope < 0 THEN 'declining' ELSE 'increasing' END AS direction, r2 >= 0.3 AND NOT (sign(slope) = sign(w) AND abs(slope) / abs(w) > 0.5 AND abs(slope) / abs(w) < 2) AS diverging FROM s, o WHERE n >= 3""")
 def v20(spark, sf):
     """Every brand's trend beside the whole's, and which ones diverge."""
-    periods = [p for p in calendar(spark, sf) if p <= NOW]
-    out = var.trend_divergence(per.dense(monthly(spark, sf, "brand", until=NOW), "brand", "revenue", periods))
+    periods = complete(spark, sf)
+    out = var.trend_divergence(per.dense(monthly(spark, sf, "brand", until=periods[-1]), "brand", "revenue", periods))
     return out.select("item", D("slope"), D("r2", k=9), D("overall_slope", k=3), "direction", "diverging")
 
 
 @query("v21_cross_dimension", f"{CELLS}, t AS (SELECT segment, sum(c) AS s, count(*) AS n, count(*) FILTER (pct > 1) AS up, count(*) FILTER (pct < -1) AS down FROM y GROUP BY 1 ORDER BY abs(sum(c)) DESC, 1 LIMIT 50) SELECT segment AS auxiliary_value, round(s, 3) AS current, n AS cells, up, down FROM t WHERE n >= 10")
 def v21(spark, sf):
-    two = var.cells(_two(spark, sf, "nation", "segment"), "nation", "segment", "revenue", NOW, THEN)
+    both, now, then = _two(spark, sf, "nation", "segment")
+    two = var.cells(both, "nation", "segment", "revenue", now, then)
     t = two.groupBy("auxiliary_value").agg(F.sum("current").alias("current"), F.count("*").alias("cells"), F.count_if(C("pct") > 1).alias("up"), F.count_if(C("pct") < -1).alias("down"))
     return t.orderBy(F.desc(F.abs("current")), "auxiliary_value").limit(50).filter("cells >= 10").select("auxiliary_value", D("current", k=3), "cells", "up", "down")
 
@@ -235,16 +242,18 @@ def v21(spark, sf):
 @query("v21_cross_dimension_summary")
 def v21s(spark, sf):
     """Segments across nations over all complete months: variance shares, cells, patterns and trends, and what they come to."""
-    periods = [p for p in calendar(spark, sf) if p <= NOW]
-    df = monthly(spark, sf, "nation", "segment", until=NOW).withColumn("revenue", C("revenue").cast("double"))
-    return var.cross_dimension(df, "nation", "segment", "revenue", NOW, THEN, periods)["summary"]
+    periods = complete(spark, sf)
+    now, then = periods[-1], per.prior(periods, periods[-1], "yoy")
+    df = monthly(spark, sf, "nation", "segment", until=now).withColumn("revenue", C("revenue").cast("double"))
+    return var.cross_dimension(df, "nation", "segment", "revenue", now, then, periods)["summary"]
 
 
-TOTALS = f"{W}, g AS (SELECT region, 100 * (CAST(sum(revenue) FILTER (period = DATE '2001-07-31') AS DOUBLE) / CAST(sum(revenue) FILTER (period = DATE '2000-07-31') AS DOUBLE) - 1) AS rev, 100 * (CAST(sum(quantity) FILTER (period = DATE '2001-07-31') AS DOUBLE) / CAST(sum(quantity) FILTER (period = DATE '2000-07-31') AS DOUBLE) - 1) AS vol FROM sales WHERE period IN (DATE '2001-07-31', DATE '2000-07-31') GROUP BY 1)"
+TOTALS = f"{W}, g AS (SELECT region, 100 * (CAST(sum(revenue) FILTER (period = (SELECT now FROM lately)) AS DOUBLE) / CAST(sum(revenue) FILTER (period = (SELECT year_ago FROM lately)) AS DOUBLE) - 1) AS rev, 100 * (CAST(sum(quantity) FILTER (period = (SELECT now FROM lately)) AS DOUBLE) / CAST(sum(quantity) FILTER (period = (SELECT year_ago FROM lately)) AS DOUBLE) - 1) AS vol FROM sales WHERE period IN ((SELECT now FROM lately), (SELECT year_ago FROM lately)) GROUP BY 1)"
 
 
 def _growth(spark, sf):
-    return var.growth(_two(spark, sf, "region"), "region", NOW, THEN, rev="revenue", vol="quantity")
+    two, now, then = _two(spark, sf, "region")
+    return var.growth(two, "region", now, then, rev="revenue", vol="quantity")
 
 
 @query("v22_metric_divergence", f"{TOTALS} SELECT region, round(rev, 6) AS rev, round(vol, 6) AS vol, rev * vol < 0 AND abs(rev) > 2 AND abs(vol) > 2 AS diverges, greatest(abs(rev), abs(vol)) > 2 * least(abs(rev), abs(vol)) AND abs(rev) > 3 AND abs(vol) > 3 AS rate_mismatch FROM g")
@@ -258,10 +267,11 @@ def v23(spark, sf):
     return var.price_yield(_growth(spark, sf), "rev", "vol").select("region", D("price_pct", k=6), "label")
 
 
-@query("v24_high_low", f"{W}, m AS (SELECT brand, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period < DATE '2001-08-01' GROUP BY 1, 2), x AS (SELECT *, max(v) OVER (PARTITION BY brand) AS hi, min(v) OVER (PARTITION BY brand) AS lo FROM m) SELECT brand, v >= 0.9 * hi AS near_high, v <= 1.5 * lo AS near_low FROM x WHERE period = DATE '2001-07-31'")
+@query("v24_high_low", f"{W}, m AS (SELECT brand, period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales WHERE period <= (SELECT now FROM lately) GROUP BY 1, 2), x AS (SELECT *, max(v) OVER (PARTITION BY brand) AS hi, min(v) OVER (PARTITION BY brand) AS lo FROM m) SELECT brand, v >= 0.9 * hi AS near_high, v <= 1.5 * lo AS near_low FROM x WHERE period = (SELECT now FROM lately)")
 def v24(spark, sf):
-    m = monthly(spark, sf, "brand", until=NOW).select(C("brand").alias("item"), "period", C("revenue").cast("double").alias("value"))
-    return var.near_extremes(m, NOW).withColumnRenamed("item", "brand")
+    now, _ = latest(spark, sf)
+    m = monthly(spark, sf, "brand", until=now).select(C("brand").alias("item"), "period", C("revenue").cast("double").alias("value"))
+    return var.near_extremes(m, now).withColumnRenamed("item", "brand")
 
 
 @query("v25_top3_risk", f"{W}, t AS (SELECT region, nation, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY v DESC, nation) AS r FROM t) SELECT region, round(sum(v) FILTER (r <= 3) / sum(v), 9) AS top3, sum(v) FILTER (r <= 3) / sum(v) > 0.6 AS at_risk FROM r GROUP BY 1")

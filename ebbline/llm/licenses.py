@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import functools
+import json
 import math
-import operator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, literal_rows, written
 
 #: Phrases of words with their labels, and sentences of public licenses and of the notices that they ask for.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -74,35 +74,53 @@ def needed(words, threshold: float) -> int:
     return math.ceil(len(set(words)) * threshold - 1e-9)
 
 
-def holds_one(tokens: Column, templates: tuple, threshold: float) -> Column:
-    """Whether the distinct words hold `threshold` of any template's."""
-    each = [sorted(set(text.split(" "))) for _, text in templates]
-    return functools.reduce(operator.or_, [F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in t]))) >= needed(t, threshold) for t in each])
+class Index(NamedTuple):
+    """Templates by the words that a match can't lack: rows of (template, label, words as ranks, spelt, room, need), ranks by word, and the words of all prefixes."""
 
+    rows: list[dict]
+    ranks: dict[str, int]
+    prefixes: list[str]
 
-def template_matches(blocks: DataFrame, frequency: DataFrame, templates: tuple, threshold: float) -> DataFrame:
-    """(key, label, containment) of blocks (key, tokens: distinct words of the templates' vocabulary, run: null or words in order) that hold `threshold` of a template's words.
+
+def prefix_index(counts: dict[str, int], templates: tuple, threshold: float) -> Index:
+    """The prefix index of templates whose words stand in `counts` documents.
+
+    Words are ordered from the rarest in the corpus. A block that holds `need` of a template's n words has one of its first n - need + 1 in that
+    order: its prefix.
+    """
+    ranks = {w: k for k, w in enumerate(sorted({w for _, text in templates for w in text.split(" ")}, key=lambda w: (counts.get(w, 0), w)))}
+    rows, prefixes = [], set()
+    for k, (label, text) in enumerate(templates):
+        spelt, need = sorted(set(text.split(" ")), key=ranks.__getitem__), needed(text.split(" "), threshold)
+        rows.append({"template": k, "label": label, "words": [ranks[w] for w in spelt], "spelt": spelt, "room": ROOM * len(text.split(" ")), "need": need})
+        prefixes.update(spelt[: len(spelt) - need + 1])
+    return Index(rows, ranks, sorted(prefixes))
+
+
+def listed(words: list[str]) -> Column:
+    """Words without spaces as an array, from one literal."""
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
+
+
+def template_matches(blocks: DataFrame, index: Index) -> DataFrame:
+    """(key, label, containment) of blocks (key, tokens: distinct words of the templates' vocabulary, run: null or words in order) that hold enough of a template's words.
 
     A block with a run must hold them within ROOM times as many words in a row as the template has; the run's tokens bound that from above.
 
-    Words are ordered from the rarest in the corpus. A block that holds `need` of a template's n words
-    has one of its first n - need + 1 in that order (prefix filter), has `need` words itself
+    A block meets the templates in whose prefix one of its words is (prefix filter), if it has `need` words itself
     (length filter), and enough words after and before the common one in both orders (positional
-    filter). The survivors' overlap is counted. The templates are a short fixed list, and so are their
-    words, ranks and prefixes: these alone come to the driver and are broadcast.
+    filter). The survivors' overlap is counted. The index is a parameter's size and is broadcast.
     """
     spark = blocks.sparkSession
-    counts = {r["token"]: r["n"] for r in frequency.collect()}  # of the templates' words alone
-    rank = {w: k for k, w in enumerate(sorted({w for _, text in templates for w in text.split(" ")}, key=lambda w: (counts.get(w, 0), w)))}
-    rows = [(k, label, sorted({rank[w] for w in text.split(" ")}), sorted(set(text.split(" "))), ROOM * len(text.split(" "))) for k, (label, text) in enumerate(templates)]
-    index = spark.createDataFrame([(*r, needed(r[3], threshold)) for r in rows], "template int, label string, words array<int>, spelt array<string>, room int, need int")
-    ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-    prefix = index.select("template", "label", "need", "words", "spelt", "room", F.posexplode(F.slice("words", 1, F.size("words") - F.col("need") + 1)).alias("tp", "token"))
+    rows = literal_rows(spark, index.rows, "template:int,label:string,words:array<int>,spelt:array<string>,room:int,need:int")
+    ranks = F.from_json(F.lit(json.dumps(index.ranks)), "map<string,int>")
+    prefix = rows.select("template", "label", "need", "words", "spelt", "room", F.posexplode(F.slice("words", 1, F.size("words") - F.col("need") + 1)).alias("tp", "token"))
     probe = blocks.select("key", "run", F.array_sort(F.transform("tokens", lambda t: ranks[t])).alias("own")).select("key", "run", "own", F.posexplode("own").alias("bp", "token"))
     own, words = F.size("own"), F.size("words")
     after = F.least(own - F.col("bp") - 1, words - F.col("tp") - 1)
     before = F.least("bp", "tp")
     pairs = probe.join(F.broadcast(prefix), "token").filter((own >= F.col("need")) & (after + before + 1 >= F.col("need")))
+    pairs = pairs.filter(F.size(F.array_intersect("own", "words")) >= F.col("need"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("room") + 1, F.lit(1)))
     within = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("run", k, F.col("room")), "spelt"))))
     overlap = F.when(F.col("run").isNull(), F.size(F.array_intersect("own", "words"))).otherwise(within)
@@ -116,33 +134,35 @@ def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templat
     Blocks are the \\n-split lines of a text, as sets of words, and runs of words across its lines: a
     template may stand in any ROOM * n words in a row, n being its own words, so that notices are found however they are wrapped.
     Runs are cut twice as long as the largest template's room, each overlapping the next by half, so every such stretch lies in one;
-    only those with enough words of some template are kept. One pass over the texts counts words,
-    finds phrases, and keeps of each block the templates' words, if there are as many as the
-    least demanding template needs; the frequencies that order words are counted over all documents in which they
-    stand. Null texts are empty; repeated rows give a row each; other columns are ignored.
+    only those that hold a word of some template's prefix are kept, whose words are looked up in the prefix index and nowhere else: the work doesn't grow with
+    templates that a block has no rare word of, and the plan doesn't grow with templates at all. A first pass over the texts counts in how many documents each of the
+    templates' words stands, which orders them; a second counts words, finds phrases and cuts blocks.
+    Null texts are empty; repeated rows give a row each; other columns are ignored. No templates give no matches.
     """
     vocabulary = sorted({w for _, text in templates for w in text.split(" ")})
-    least = min(needed(text.split(" "), threshold) for _, text in templates)
-    room = ROOM * max(len(text.split(" ")) for _, text in templates)
+    least = min([needed(text.split(" "), threshold) for _, text in templates], default=1)
+    room = ROOM * max([len(text.split(" ")) for _, text in templates], default=1)
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.array(*[F.lit(w) for w in vocabulary])
+    known = listed(vocabulary)
     lowered = lambda c: F.translate(c, UPPER, LOWER)
     tokens = lambda s: F.array_intersect(F.split(lowered(F.trim(s)), " "), known)
+    counted = docs.select(F.explode(tokens(spaced(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    index = prefix_index({r["token"]: r["n"] for r in counted.collect()}, templates, threshold)  # of the templates' words alone
+    prefixes = listed(index.prefixes)
+    promising = lambda t: (F.size(t) >= least) & F.arrays_overlap(t, prefixes)
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("hash"))
     rows = rows.select("doc_id", "hash", let(spaced(F.col("text")), lambda s: F.struct(n_words(s).alias("n"), phrase_places(s, phrases).alias("places"), tokens(s).alias("known"))).alias("s"), "text")
     whole = lambda t: F.struct(t.alias("tokens"), F.lit(None).cast("array<string>").alias("run"))
-    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: tokens(spaced(x))), lambda t: F.size(t) >= least), whole)
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: tokens(spaced(x))), promising), whole)
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - room, F.lit(1)), F.lit(room)), lambda k: F.slice(w, k, 2 * room))
     runs = let(F.split(lowered(F.trim(spaced(F.col("text")))), " "), cut)
     runs = F.transform(runs, lambda r: F.struct(F.array_intersect(r, known).alias("tokens"), r.alias("run")))
-    runs = F.filter(runs, lambda b: holds_one(b["tokens"], templates, threshold))
-    some = holds_one(F.col("s.known"), templates, threshold)
-    rows = rows.select("doc_id", "hash", F.col("s.n").alias("n_words"), "s.places", "s.known", F.when(some, F.concat(lines, runs)).otherwise(F.array().cast("array<struct<tokens:array<string>,run:array<string>>>")).alias("blocks"))
+    runs = F.filter(runs, lambda b: promising(b["tokens"]))
+    rows = rows.select("doc_id", "hash", F.col("s.n").alias("n_words"), "s.places", F.when(promising(F.col("s.known")), F.concat(lines, runs)).otherwise(F.array().cast("array<struct<tokens:array<string>,run:array<string>>>")).alias("blocks"))
     rows = written(rows, "licenses")
-    frequency = rows.select(F.explode("known").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     key = F.struct("doc_id", "hash").alias("key")
     blocks = rows.filter(F.size("blocks") > 0).select(key, F.explode("blocks").alias("b")).select("key", "b.tokens", "b.run")
-    found = template_matches(blocks, frequency, templates, threshold).groupBy("key", "label").agg(F.max("containment").alias("containment"))
+    found = template_matches(blocks, index).groupBy("key", "label").agg(F.max("containment").alias("containment"))
     found = found.groupBy(F.col("key.doc_id").alias("_d"), F.col("key.hash").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("label", "containment"))).alias("matches"))
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["hash"] == found["_h"]), "left")
     return joined.select("doc_id", "n_words", "places", F.coalesce("matches", F.array().cast("array<struct<label:string,containment:double>>")).alias("matches"))

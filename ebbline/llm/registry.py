@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, minhash, mixing, negatives, packing, quality, repeats, secrets, topk, toxicity, url_filter, warc, whitening
-from .common import table
+from .common import literal_rows, table
 from .oracles import SQL as SQL
 
 #: Fixed values of the query's contract: host, path, verdict.
@@ -14,7 +14,7 @@ URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    rules = literal_rows(spark, [dict(zip(("host", "path", "verdict"), r, strict=True)) for r in URL_RULES], "host:string,path:string,verdict:string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 

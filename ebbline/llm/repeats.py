@@ -342,8 +342,10 @@ def _met(cuts: DataFrame) -> DataFrame:
 
 
 def _fetched(rows: DataFrame, told: DataFrame, length: int) -> DataFrame:
-    """told with the bytes of each fragment; of equal rows' fragments one, found twice."""
-    by_text = told.groupBy("place", "hash").agg(F.collect_list(F.struct("at", "windows", "slot", "close", "twice")).alias("wanted"))
+    """told with the bytes of each fragment. Equal rows have the same fragments: each is wanted once, as found twice, and a task sends it once."""
+    again = F.bool_or("twice") | (F.count("*") > 1)
+    once = told.groupBy("place", "hash", "at", "windows", "slot").agg(F.bool_or("close").alias("close"), again.alias("twice"))
+    by_text = once.groupBy("place", "hash").agg(F.collect_list(F.struct("at", "windows", "slot", "close", "twice")).alias("wanted"))  # of one text
     met = rows.select("place", "hash", "text").join(written(by_text, "repeat-wanted"), ["place", "hash"])
     return met.mapInArrow(lambda batches: _fetch(batches, length), FETCHED)
 
@@ -366,10 +368,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, index_bytes: int = IND
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"), F.xxhash64("text").alias("hash"), "text")
     with dropped_after(docs.sparkSession):
-        # a fragment without a key has a slot of its own or, if hashes clash, shares one, and then only adds to what is compared
-        cuts = cut(rows, length, hot_keys(rows, length), fold).withColumn("slot", F.coalesce("key", F.xxhash64("place", "at"))).drop("key")
+        # a fragment without a key is found twice and has another to stand for it: it meets nothing, and its slot only deals it out
+        cuts = cut(rows, length, hot_keys(rows, length), fold).withColumn("slot", F.coalesce("key", F.xxhash64("place", "at")))
         n = F.count("*").over(Window.partitionBy("slot"))
-        told = written(cuts.withColumn("meets", (n > 1) | (F.col("close") & ~F.col("twice"))).filter("meets OR twice"), "repeat-fragments")
+        told = cuts.withColumn("meets", F.col("key").isNotNull() & ((n > 1) | (F.col("close") & ~F.col("twice")))).filter("meets OR twice")
+        # equal rows have the same fragments, which are found again in each other: one stands for all of them
+        again = F.bool_or("twice") | (F.count("*") > 1)
+        told = written(told.groupBy("place", "hash", "at", "windows", "slot").agg(F.bool_or("close").alias("close"), again.alias("twice"), F.bool_or("meets").alias("meets")), "repeat-fragments")
         deep = deep_fragments(rows, told.filter("meets").drop("meets"), length, index_bytes)
         total = deep.agg(F.sum(F.col("windows") + length - 1)).first()[0] or 0
         fetched = _fetched(rows, deep, length).withColumn("bucket", F.pmod(F.xxhash64("slot"), F.lit(max(8, total // index_bytes + 1))))
@@ -380,6 +385,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, index_bytes: int = IND
     return rows.join(spans, ["place", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
+#: Texts that a task remembers to have sent; those that it forgets, it may send again, which changes nothing.
+KNOWN = 1_000_000
 FETCHED = "place long, hash long, at long, slot long, close boolean, twice boolean, part binary"
 
 
@@ -387,17 +394,19 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     names = [x.split(" ")[0] for x in FETCHED.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    sent: set[tuple[int, int]] = set()
     for batch in batches:
         rows, held = [], 0
         for place, name, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if (place, name) in sent:  # an equal row
+                continue
+            if len(sent) >= KNOWN:
+                sent.clear()
+            sent.add((place, name))
             raw = text.as_py().encode("utf-8", "surrogatepass")
-            own: dict[tuple, list] = {}
             for w in wanted.as_py():
-                seen = own.setdefault((w["at"], w["windows"], w["slot"]), [w["close"], w["twice"], 0])
-                seen[1], seen[2] = seen[1] or w["twice"], seen[2] + 1
-            for (at, windows, slot), (close, twice, n) in own.items():
-                part = raw[at : at + windows + length - 1]
-                rows.append((place, name, at, slot, close, twice or n > 1, part))
+                part = raw[w["at"] : w["at"] + w["windows"] + length - 1]
+                rows.append((place, name, w["at"], w["slot"], w["close"], w["twice"], part))
                 held += len(part)
             if held >= 4 * PIECE:
                 yield made(rows)

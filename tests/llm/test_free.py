@@ -408,3 +408,25 @@ def test_sum_of_squares_takes_the_cheapest_level():
 
 def test_crc_is_of_little_endian_ids():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_equal_rows_are_wanted_once(spark, odd_docs):
+    """400 equal rows give what brute force gives, in about the time of 100; so do the odd rows with their long text."""
+    import random
+    import time
+
+    rnd = random.Random(6)
+    text = " ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(5000)}" for _ in range(1000))
+    other = "x" * 50 + text[2000:2600]
+    seconds = {}
+    for n in (100, 400, 100, 400):
+        rows = [(None if k % 2 else 7, text) for k in range(n)] + [(9, other)]
+        began = time.time()
+        got = Counter((r.doc_id, r.n_bytes, len(r.kept)) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect())
+        seconds[n] = time.time() - began  # the second time, with all warm
+        assert got == Counter({(None, len(text), 0): n // 2, (7, len(text), 0): n // 2, (9, 650, 50): 1})
+    assert seconds[400] < 1.5 * seconds[100] + 2
+    docs = odd_docs.select("doc_id", "text").filter("doc_id = 6").unionByName(odd_docs.select("doc_id", "text").filter("doc_id = 1"))
+    raws = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    want = {d: bytes(np.frombuffer(raw, np.uint8)[~c]) for (d, raw), c in zip(raws, _covered([raw for _, raw in raws]), strict=True)}
+    assert {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs).collect()} == want

@@ -219,3 +219,36 @@ def test_mix_edges(spark, odd_docs, no_docs):
 
 def test_digest_is_of_the_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_many_templates_by_brute_force(spark):
+    """500 templates: the rows are those of trying all, and the plan is no larger than that of one."""
+    import random
+
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(600)]
+    templates = tuple((f"t{k}", " ".join(rnd.sample(words, rnd.randrange(6, 14)))) for k in range(500))
+    rows = []
+    for k in range(200):
+        label, t = templates[rnd.randrange(500)]
+        w = t.split()
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(len(w))] = "other"
+        rows.append((k, " ".join([*rnd.sample(words, 5), "."]) + "\n" + " ".join(rnd.sample(w, len(w))) + "\n" + " ".join(rnd.sample(words, 3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = licenses.scan_licenses(docs, templates=templates)
+    got = {r.doc_id: {m.label: round(m.containment, 9) for m in r.matches} for r in out.collect()}
+    some = 0
+    for doc, text in rows:
+        w = text.replace(".", " ").split()
+        for label, t in templates:
+            have, room = set(t.split()), 2 * len(t.split())
+            c = max(len(have & set(part)) for part in [*(line.split() for line in text.split("\n")), *(w[i : i + room] for i in range(max(1, len(w) - room + 1)))]) / len(have)
+            want = round(c, 9) if c >= 0.8 - 1e-9 else None
+            assert got[doc].get(label) == want
+            some += want is not None
+    assert some > 50
+    nodes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    one = licenses.scan_licenses(docs, templates=templates[:1])
+    assert nodes(out) == nodes(one) and "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {len(r.matches) for r in licenses.scan_licenses(docs, templates=()).collect()} == {0}

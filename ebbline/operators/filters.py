@@ -76,6 +76,17 @@ def window_start(end: Column, focus: str | None = None, override: int | None = N
     return F.date_sub(end, override if override is not None else WINDOWS.get(focus, WINDOWS[None]))
 
 
+def first_day(end: dt.date, focus: str | None = None, override: int | None = None) -> dt.date:
+    """The same of a known day."""
+    return end - dt.timedelta(override if override is not None else WINDOWS.get(focus, WINDOWS[None]))
+
+
+def month_span(first: tuple[int, int], last: tuple[int, int]) -> tuple[dt.date, dt.date]:
+    """The first and the last day of a range of months (year, month)."""
+    year, month = divmod(last[0] * 12 + last[1], 12)
+    return dt.date(*first, 1), dt.date(year, month + 1, 1) - dt.timedelta(1)
+
+
 def clamped_end(df: DataFrame, period: str, asked) -> DataFrame:
     """One row: the asked end, or the last period there is if that is earlier."""
     return df.agg(F.least(F.lit(asked).cast("date"), F.max(period)).alias("end"), F.max(period).alias("latest"))

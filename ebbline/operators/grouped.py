@@ -148,25 +148,32 @@ def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions:
 
 
 def granger(series: DataFrame, lags: int = 2) -> DataFrame:
-    """F and p of whether a leader's past helps to predict a follower beyond its own: series is (leader, follower, period_idx, x, y)."""
+    """Whether a leader's past helps to predict a follower beyond its own: series is (leader, follower, period_idx, x, y).
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period_idx")
-        x, y = pdf["x"].to_numpy("f8"), pdf["y"].to_numpy("f8")
-        n = len(y) - lags
-        rest = n - 2 * lags - 1
+    F, p and lag of the number of lags from 1 to `lags` with the least p; of equal ones, the fewest. Null where no number leaves degrees of freedom.
+    """
+
+    def test(x: np.ndarray, y: np.ndarray, k: int) -> tuple[float, float, int] | None:
+        n = len(y) - k
+        rest = n - 2 * k - 1
         if rest <= 0:
-            return pd.DataFrame([(*key, np.nan, np.nan)], columns=["leader", "follower", "f", "p_value"])
-        past = lambda v: np.column_stack([v[lags - k : len(v) - k] for k in range(1, lags + 1)])
+            return None
+        past = lambda v: np.column_stack([v[k - j : len(v) - j] for j in range(1, k + 1)])
         own = np.column_stack([np.ones(n), past(y)])
-        full = np.column_stack([own, past(x)])
-        target = y[lags:]
+        target = y[k:]
         sse = lambda m: float(((target - m @ np.linalg.lstsq(m, target, rcond=None)[0]) ** 2).sum())
-        r0, r1 = sse(own), sse(full)
-        f = (r0 - r1) / lags / (r1 / rest) if r1 > 0 else np.inf
-        return pd.DataFrame([(*key, f, float(f_upper(f, lags, rest)))], columns=["leader", "follower", "f", "p_value"])
+        r0, r1 = sse(own), sse(np.column_stack([own, past(x)]))
+        f = (r0 - r1) / k / (r1 / rest) if r1 > 0 else np.inf
+        return float(f_upper(f, k, rest)), f, k
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["x", "y"]).sort_values("period_idx")
+        x, y = pdf["x"].to_numpy("f8"), pdf["y"].to_numpy("f8")
+        found = [t for k in range(1, lags + 1) if (t := test(x, y, k))]
+        p, f, k = min(found, key=lambda t: (t[0], t[2])) if found else (np.nan, np.nan, None)
+        return pd.DataFrame([(*key, f, p, k)], columns=["leader", "follower", "f", "p_value", "lags"])
 
-    return series.groupBy("leader", "follower").applyInPandas(one, "leader string, follower string, f double, p_value double")
+    return series.groupBy("leader", "follower").applyInPandas(one, "leader string, follower string, f double, p_value double, lags int")
 
 
 def cheapest_cuts(v: np.ndarray, penalty: float, least: int) -> list[int]:

@@ -46,6 +46,23 @@ def numbered(df: DataFrame, *order: Column, by: tuple[str, ...] = (), totals: di
     )
 
 
+def carried(df: DataFrame, value: str, name: str, *order: Column) -> DataFrame:
+    """df with `name`: the last value other than null of a column up to each row, in an order of all rows (an as-of merge, where the rows are a union of two tables).
+
+    Rows are dealt by ranges of the order; each range carries its own values on, and a row a range tells what the ranges before end with.
+    """
+    columns = df.columns
+    ranged = kept(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "carried")
+    here = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumn("_in", F.last(value, ignorenulls=True).over(here))
+    numbered_in = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).filter(F.col(value).isNotNull())
+    ends = numbered_in.groupBy("_range").agg(F.max_by(value, "_r").alias("_end"))
+    every = ranged.select("_range").distinct().join(ends, "_range", "left")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = every.select("_range", F.last("_end", ignorenulls=True).over(before).alias("_from"))
+    return inside.join(F.broadcast(starts), "_range").select(*columns, F.coalesce("_in", "_from").alias(name))
+
+
 def first_of_each(df: DataFrame, by: tuple[str, ...], top: int, *order: Column, name: str = "rank") -> DataFrame:
     """The first `top` rows of each group, numbered from 1. A task keeps no more of a group than that before anything is shuffled."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= top)

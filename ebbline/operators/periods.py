@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import distinct_periods, gaps
+from .ordered import carried
 
 #: Months or days back, and how many days off the target a period may be.
 BACK = {"yoy": (12, 0, 7), "qoq": (3, 0, 7), "mom": (1, 0, 7), "wow": (0, 7, 3)}
@@ -55,10 +56,18 @@ def comparison_kind(df: DataFrame, asked: str = "yoy") -> str:
 
 
 def nearest(periods: DataFrame, targets: DataFrame, tolerance: int) -> DataFrame:
-    """targets (target) with the observed period nearest to each, or null: an as-of join on distinct periods alone."""
-    near = F.abs(F.datediff("period", "target"))
-    pairs = targets.join(periods.select("period"), near <= tolerance, "left")
-    return pairs.groupBy("target").agg(F.min_by("period", F.struct(near, "period")).alias("period"))
+    """targets (target) with the period nearest to each of at most `tolerance` days off, or null; of two as near, the earlier one. Null targets find none.
+
+    Both kinds of days are sorted together, and each target takes the last period before it and the first one after it: no pair is compared. See carried.
+    """
+    known = periods.select(F.col("period").alias("at"), F.lit(True).alias("known")).filter("at IS NOT NULL").distinct()
+    asked = targets.select(F.col("target").alias("at"), F.lit(False).alias("known")).filter("at IS NOT NULL").distinct()
+    day = F.when(F.col("known"), F.col("at"))
+    found = carried(carried(known.unionByName(asked).withColumn("day", day), "day", "before", F.col("at"), F.desc("known")), "day", "after", F.desc("at"), F.desc("known")).filter("NOT known")
+    gap = lambda c: F.abs(F.datediff(c, "at"))
+    closer = F.when(F.coalesce(gap("before") <= gap("after"), F.col("after").isNull()), F.col("before")).otherwise(F.col("after"))
+    near = found.select("at", closer.alias("period")).filter(gap("period") <= tolerance)
+    return targets.select("target").join(near, F.col("target") == F.col("at"), "left").select("target", "period")
 
 
 def at(period: dt.date | None, value: str | Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,18 +47,19 @@ def frequency(df: DataFrame, day: str) -> DataFrame:
 def dependencies(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(child, parent) pairs where each child value has one parent and there are more children than parents; nulls tell nothing.
 
-    One aggregation a child: the least and the largest value of every other column, which are equal where there is but one.
+    One shuffle for all columns: each row counts once for each of its values, and each value of each column keeps the least and
+    the largest value of every other column, which are equal where there is but one. A task sends no more than the values that it has seen.
     """
-    out = []
-    for c in columns:
-        others = [p for p in columns if p != c]
-        per = df.groupBy(F.col(c).alias("child")).agg(*[(F.min(p).eqNullSafe(F.max(p))).alias(f"_{k}") for k, p in enumerate(others)]).filter("child IS NOT NULL")
-        one = per.agg(F.count("*").alias("children"), F.array(*[F.struct(F.lit(p).alias("parent"), F.bool_and(f"_{k}").alias("one")) for k, p in enumerate(others)]).alias("parents"))
-        out.append(one.select(F.lit(c).alias("child"), "children", "parents"))
-    found = kept(reduce(DataFrame.unionByName, out), "dependencies")  # a row a column
-    sizes = found.select(F.col("child").alias("parent"), F.col("children").alias("parents"))
-    pairs = found.select("child", "children", F.explode("parents").alias("p")).select("child", "children", "p.*").filter("one")
-    return pairs.join(sizes, "parent").filter("children > parents").select("child", "parent", "children", "parents")
+    if not columns:
+        return df.sparkSession.createDataFrame([], "child string, parent string, children long, parents long")
+    text = [F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(columns)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("v")) for k in range(len(columns))])).alias("e")
+    seen = df.select(*text).select("*", each).filter("e.v IS NOT NULL").groupBy("e.k", "e.v").agg(*[f(f"_{k}").alias(f"{n}{k}") for k in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))])
+    one = [F.struct(F.lit(p).alias("parent"), F.lit(k).alias("p"), F.bool_and(F.col(f"lo{k}").eqNullSafe(F.col(f"hi{k}"))).alias("one")) for k, p in enumerate(columns)]
+    found = kept(seen.groupBy("k").agg(F.count("*").alias("children"), F.array(*one).alias("parents")), "dependencies")  # a row a column
+    sizes = found.select(F.col("k").alias("p"), F.col("children").alias("parents"))
+    pairs = found.select("k", "children", F.explode("parents").alias("p")).select("k", "children", "p.*").filter("one AND k <> p")
+    return pairs.join(sizes, "p").filter("children > parents").select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("k") + 1).alias("child"), "parent", "children", "parents")
 
 
 #: Words in names of columns that number things, and in names of money and of rates.

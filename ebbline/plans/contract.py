@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 TYPES, ROLES, GOALS = ("additive", "non_additive", "ratio", "derived"), ("primary", "secondary", "time", "auxiliary"), ("maximize", "minimize", "neutral")
 #: Words of an expression that aren't columns.
-FUNCTIONS = {"abs", "sum", "avg", "min", "max", "nullif", "coalesce", "case", "when", "then", "else", "end", "and", "or", "not", "null", "is", "in", "between"}
+FUNCTIONS = {"abs", "sum", "avg", "min", "max", "nullif", "coalesce", "case", "when", "then", "else", "end", "and", "or", "not", "null", "is", "in", "between", "cast", "as", "double"}
 
 
 @dataclass(frozen=True)

@@ -99,7 +99,7 @@ SALES_SQL = """sales AS (
            p_brand AS brand, p_type AS ptype, l_partkey AS part, l_suppkey AS supplier, o_orderkey AS order_id, l_linenumber AS line, l_discount AS discount
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
          JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey),
-    lately AS (SELECT now, last_day(CAST(now - INTERVAL 12 MONTH AS DATE)) AS year_ago, last_day(CAST(now - INTERVAL 1 MONTH AS DATE)) AS month_ago FROM (SELECT DISTINCT period AS now FROM sales ORDER BY 1 DESC LIMIT 1 OFFSET 1))"""
+    lately AS (SELECT now, last_day(CAST(now - INTERVAL 12 MONTH AS DATE)) AS year_ago, last_day(CAST(now - INTERVAL 1 MONTH AS DATE)) AS month_ago FROM (SELECT DISTINCT last_day(CAST(o_orderdate AS DATE)) AS now FROM orders ORDER BY 1 DESC LIMIT 1 OFFSET 1))"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,10 +84,10 @@ def j09(spark, sf):
     return ranking.entity_sets(sales(spark, sf, "customer", months=both), "customer", *both)
 
 
-@query("j10_nearest_period", f"""{W}, p AS (SELECT DISTINCT order_date AS d FROM sales), t AS (SELECT DISTINCT CAST(make_date(y, m, 15) AS DATE) AS target FROM range(1994, 2003) AS r(y), range(1, 13) AS s(m))
+@query("j10_nearest_period", """WITH p AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), t AS (SELECT DISTINCT CAST(make_date(y, m, 15) AS DATE) AS target FROM range(1994, 2003) AS r(y), range(1, 13) AS s(m))
     SELECT target, arg_min(d, (abs(d - target), d)) AS period FROM t LEFT JOIN p ON abs(d - target) <= 7 GROUP BY 1""", dates="target period")
 def j10(spark, sf):
-    days = sales(spark, sf).select(C("order_date").alias("period")).distinct()
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("period"))
     targets = spark.range(1994 * 12, 2003 * 12).select(F.make_date((C("id") / 12).cast("int"), (C("id") % 12 + 1).cast("int"), F.lit(15)).alias("target"))
     return per.nearest(days, targets, 7)
 

@@ -170,7 +170,8 @@ def f07(spark, sf):
 
 @query("f08_month_range", _sql("order_date BETWEEN DATE '1996-11-01' AND DATE '1998-02-28'"))
 def f08(spark, sf):
-    return _count(sales(spark, sf, "region").filter(flt.between_months(F.year("order_date"), F.month("order_date"), (1996, 11), (1998, 2))))
+    first, last = flt.month_span((1996, 11), (1998, 2))  # the same as days, which reach the scan
+    return _count(sales(spark, sf, "region", since=first, until=last).filter(flt.between_months(F.year("order_date"), F.month("order_date"), (1996, 11), (1998, 2))))
 
 
 @query("f09_physical_values", _sql("flag IN ('A', 'R') AND priority = '2-HIGH'"))
@@ -183,19 +184,24 @@ def f10(spark, sf):
     return _count(sales(spark, sf, "region").withColumnRenamed("ship_date", "shipped").filter(F.to_date("shipped").between("1997-01-01", "1997-06-30")))
 
 
-@query("f11_query_window", f"WITH {SALES_SQL}, m AS (SELECT max(order_date) AS e FROM sales), w(focus, days) AS (VALUES ('default', 730), ('recent', 90), ('weekly', 56), ('monthly', 180), ('yearly', 1095), ('override', 45)) SELECT focus, CAST(e - CAST(days AS INTEGER) AS DATE) AS start, e AS \"end\", (SELECT count(*) FROM sales WHERE order_date BETWEEN e - CAST(days AS INTEGER) AND e) AS rows FROM m, w", dates="start end")
+def _days(spark, sf):
+    """Dates and months of the orders, from their date column alone."""
+    return table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("order_date")).distinct().withColumn("period", F.last_day("order_date"))
+
+
+@query("f11_query_window", f"WITH {SALES_SQL}, m AS (SELECT max(CAST(o_orderdate AS DATE)) AS e FROM orders), w(focus, days) AS (VALUES ('default', 730), ('recent', 90), ('weekly', 56), ('monthly', 180), ('yearly', 1095), ('override', 45)) SELECT focus, CAST(e - CAST(days AS INTEGER) AS DATE) AS start, e AS \"end\", (SELECT count(*) FROM sales WHERE order_date BETWEEN e - CAST(days AS INTEGER) AND e) AS rows FROM m, w", dates="start end")
 def f11(spark, sf):
-    df = sales(spark, sf)
-    end = df.agg(F.max("order_date").alias("end"))
+    end = table(spark, sf, "orders").agg(F.max(F.to_date("o_orderdate"))).first()[0]
     choices = [(None, None, "default"), ("recent", None, "recent"), ("weekly", None, "weekly"), ("monthly", None, "monthly"), ("yearly", None, "yearly"), ("weekly", 45, "override")]
-    spans = end.select("end", F.explode(F.array(*[F.struct(F.lit(n).alias("focus"), flt.window_start(C("end"), f, o).alias("start")) for f, o, n in choices])).alias("w")).select("w.*", "end")
-    days = df.groupBy("order_date").agg(F.count("*").alias("n"))
-    return days.join(spans, C("order_date").between(C("start"), C("end"))).groupBy("focus", "start", "end").agg(F.sum("n").alias("rows"))
+    spans = [(n, flt.first_day(end, f, o)) for f, o, n in choices]
+    days = sales(spark, sf, since=min((s for _, s in spans), default=None), until=end).groupBy("order_date").agg(F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(n).alias("focus"), F.lit(s).alias("start"), F.lit(end).alias("end")) for n, s in spans])
+    return days.select("n", F.explode(F.filter(each, lambda w: C("order_date") >= w["start"])).alias("w")).groupBy("w.focus", "w.start", "w.end").agg(F.sum("n").alias("rows"))
 
 
-@query("f12_clamped_end", f"WITH {SALES_SQL} SELECT least(DATE '2005-12-31', max(order_date)) AS \"end\", max(order_date) AS latest FROM sales", dates="end latest")
+@query("f12_clamped_end", "SELECT least(DATE '2005-12-31', max(CAST(o_orderdate AS DATE))) AS \"end\", max(CAST(o_orderdate AS DATE)) AS latest FROM orders", dates="end latest")
 def f12(spark, sf):
-    return flt.clamped_end(sales(spark, sf), "order_date", "2005-12-31")
+    return flt.clamped_end(_days(spark, sf), "order_date", "2005-12-31")
 
 
 @query("f13_slice", _sql("brand = 'Brand#12'"))
@@ -203,11 +209,11 @@ def f13(spark, sf):
     return _count(sales(spark, sf, "region", "brand").filter(C("brand") == "Brand#12"))
 
 
-@query("f14_effective_latest", f"WITH {SALES_SQL}, p AS (SELECT DISTINCT period FROM sales) SELECT (SELECT max(period) FROM p) AS lag0, (SELECT period FROM p ORDER BY 1 DESC LIMIT 1 OFFSET 1) AS lag1, (SELECT period FROM p ORDER BY 1 DESC LIMIT 1 OFFSET 3) AS lag3, (SELECT max(period) FROM p) AS lag999", dates="lag0 lag1 lag3 lag999")
+@query("f14_effective_latest", "WITH p AS (SELECT DISTINCT last_day(CAST(o_orderdate AS DATE)) AS period FROM orders) SELECT (SELECT max(period) FROM p) AS lag0, (SELECT period FROM p ORDER BY 1 DESC LIMIT 1 OFFSET 1) AS lag1, (SELECT period FROM p ORDER BY 1 DESC LIMIT 1 OFFSET 3) AS lag3, (SELECT max(period) FROM p) AS lag999", dates="lag0 lag1 lag3 lag999")
 def f14(spark, sf):
     from ..functions.dates import distinct_periods
 
-    p = distinct_periods(sales(spark, sf))
+    p = distinct_periods(_days(spark, sf))
     at = lambda lag: F.coalesce(F.max(F.when(C("from_last") == lag + 1, C("period"))), F.max("period")).alias(f"lag{lag}")
     return p.agg(*[at(k) for k in (0, 1, 3, 999)])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import BUCKETS
+from ..plans.contract import checked
 from ..operators.filters import in_set, metric_filter
 
 
@@ -88,11 +89,11 @@ def weekly_report(spark: SparkSession, path: str, ids: tuple[str, ...], pattern:
 
 
 def period_aggregate(df: DataFrame, date: str, grain: str, keys: tuple[str, ...], sums: tuple[str, ...] = (), averages: tuple[str, ...] = (), distincts: tuple[str, ...] = (), derived: dict[str, str] | None = None) -> DataFrame:
-    """Sums, means and distinct counts per period and keys, then expressions over them. Filters placed before it reach the scan."""
+    """Sums, means and distinct counts per period and keys, then expressions over them: arithmetic and known functions of known columns alone. Filters placed before it reach the scan."""
     aggregates = [*[F.sum(c).alias(c) for c in sums], *[F.avg(c).alias(f"avg_{c}") for c in averages], *[F.count_distinct(c).alias(f"n_{c}") for c in distincts]]
     out = df.groupBy(BUCKETS[grain](F.col(date)).alias("period"), *keys).agg(*aggregates)
     for name, expression in (derived or {}).items():
-        out = out.withColumn(name, F.expr(expression))
+        out = out.withColumn(name, checked(expression, out.columns))
     return out
 
 

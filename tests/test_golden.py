@@ -308,7 +308,12 @@ def test_granger_against_normal_equations(spark):
 
     own = [np.ones(58), y[1:-1], y[:-2]]
     r0, r1 = left(own), left([*own, x[1:-1], x[:-2]])
-    assert got.f == pytest.approx((r0 - r1) / 2 / (r1 / 53)) and got.p_value < 1e-6
+    two = (r0 - r1) / 2 / (r1 / 53)
+    m1, m0 = (np.column_stack(c) for c in ([np.ones(59), y[:-1], x[:-1]], [np.ones(59), y[:-1]]))
+    s1, s0 = (((y[1:] - m @ np.linalg.solve(m.T @ m, m.T @ y[1:])) ** 2).sum() for m in (m1, m0))
+    assert got.f == pytest.approx({1: (s0 - s1) / (s1 / 56), 2: two}[got.lags]) and got.p_value < 1e-6
+    only = grouped.granger(frame(spark, rows[:4], "leader string, follower string, period_idx int, x double, y double")).first()
+    assert only.lags is None and only.p_value is None or only.p_value != only.p_value
 
 
 def test_two_way_of_unbalanced_cells(spark):

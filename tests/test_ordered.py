@@ -70,3 +70,53 @@ def test_no_window_holds_a_level_or_group(spark):
 def test_first_of_each(spark):
     df = spark.createDataFrame([("a", 3), ("a", 5), ("a", 5), ("b", 1), (None, 2), (None, 1)], "g string, x int")
     assert sorted((str(r.g), r.x, r["rank"]) for r in first_of_each(df, ("g",), 2, F.desc("x")).collect()) == [("None", 1, 2), ("None", 2, 1), ("a", 5, 1), ("a", 5, 2), ("b", 1, 1)]
+
+
+def test_nearest_by_brute_force(spark):
+    import datetime as dt
+    import random
+
+    from ebbline.operators import periods as per
+
+    rnd = random.Random(2)
+    at = lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    known, asked = [at(rnd.randrange(900)) for _ in range(60)], [at(rnd.randrange(-50, 1000)) for _ in range(300)]
+    frame = lambda days, name: spark.createDataFrame([(d,) for d in [*days, None]], f"{name} date").repartition(5)
+    out = per.nearest(frame(known, "period"), frame(asked, "target"), 7)
+    got = sorted((str(r.target), r.period) for r in out.collect())
+    want = []
+    for t in asked:
+        near = min(known, key=lambda p: (abs((p - t).days), p))
+        want.append((str(t), near if abs((near - t).days) <= 7 else None))
+    assert got == sorted([*want, ("None", None)], key=str) or sorted(got, key=str) == sorted([*want, ("None", None)], key=str)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.period for r in per.nearest(frame([], "period"), frame(asked[:3], "target"), 7).collect()} == {None}
+
+
+def test_dependencies_in_one_shuffle(spark):
+    from ebbline.operators.quality import dependencies
+
+    rows = [(f"z{k % 60}", f"c{k % 12}", f"r{k % 3}", k % 60, None if k % 7 == 0 else f"m{k % 4}", 1.5) for k in range(600)]
+    df = spark.createDataFrame(rows, "zip string, city string, region string, n int, other string, same double")
+    names = tuple(df.columns)
+    got = {(r.child, r.parent, r.children, r.parents) for r in dependencies(df.repartition(6), names).collect()}
+    want = set()
+    for a in range(6):
+        for b in range(6):
+            parents = {}
+            for r in rows:
+                if r[a] is not None:
+                    parents.setdefault(r[a], set()).add(r[b])
+            sizes = [len({r[k] for r in rows if r[k] is not None}) for k in (a, b)]
+            if a != b and all(len(p - {None}) <= 1 for p in parents.values()) and sizes[0] > sizes[1]:
+                want.add((names[a], names[b], *sizes))
+    assert got == want and ("zip", "city", 60, 12) in got
+    assert dependencies(df, ()).count() == 0 and dependencies(df.filter("false"), names).count() == 0
+
+
+def test_month_ranges_reach_the_scan(spark, sf):
+    from ebbline.operators.filters import month_span
+    from ebbline.plans.registry import QUERIES
+
+    assert tuple(map(str, month_span((1996, 11), (1998, 2)))) == ("1996-11-01", "1998-02-28") and str(month_span((2000, 1), (2000, 12))[1]) == "2000-12-31"
+    assert "GreaterThanOrEqual(o_orderdate" in QUERIES["f08_month_range"](spark, sf)._jdf.queryExecution().executedPlan().toString()

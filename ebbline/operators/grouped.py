@@ -11,40 +11,105 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import f_upper
 
-def _additive(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[float, int]:
-    """What two factors explain together about cells' sums (about a mean of 0), and the rank of their model.
+def _explained(groups: list[np.ndarray], n: np.ndarray, s: np.ndarray) -> float:
+    """What terms explain together about cells' sums (about a mean of 0): groups has, for each term, the number of each cell's group.
 
-    The factor with more levels is solved for in closed form, the other by conjugate gradients; nothing is larger than the cells.
+    The normal equations have a value for each group of each term, and are solved by conjugate gradients; nothing is larger than the cells.
     """
-    if b.max() > a.max():
-        a, b = b, a
-    na, nb = np.bincount(a, n), np.bincount(b, n)
-    sa, sb = np.bincount(a, s), np.bincount(b, s)
-    times = lambda v: nb * v - np.bincount(b, n * (np.bincount(a, n * v[b]) / na)[a], len(nb))
-    left = sb - np.bincount(b, n * (sa / na)[a], len(nb))
-    x, z = np.zeros(len(nb)), left / nb
-    p, size = z.copy(), float(left @ (left / nb))
-    start = size
-    for _ in range(20 * len(nb) + 50):
-        if size <= start * 1e-30 or size == 0:
+    if not groups:
+        return 0.0
+    sums = lambda v: np.concatenate([np.bincount(g, v) for g in groups])
+    ends = np.cumsum([g.max() + 1 for g in groups])[:-1]
+    cells = lambda x: np.sum([part[g] for part, g in zip(np.split(x, ends), groups)], axis=0)
+    count, right = sums(n), sums(s)
+    x, left = np.zeros(len(right)), right.copy()
+    p = left / count
+    size = start = float(left @ p)
+    for _ in range(20 * len(right) + 50):
+        if size <= start * 1e-26 or size == 0:
             break
-        q = times(p)
-        step = size / float(p @ q) if float(p @ q) > 0 else 0.0
-        x, left = x + step * p, left - step * q
-        z = left / nb
+        q = sums(n * cells(p))
+        along = float(p @ q)
+        if along <= 0:
+            break
+        x, left = x + size / along * p, left - size / along * q
+        z = left / count
         size, old = float(left @ z), size
         p = z + size / old * p
-    y = (sa - np.bincount(a, n * x[b], len(na))) / na
-    mark_a, mark_b = np.arange(len(na)), np.full(len(nb), len(na))
-    while True:  # parts of the table that no cell joins
+    return float(x @ right)
+
+
+#: A prime below 2^31: products of two remainders fit in 63 bits, and sums of 4 million of them are exact as doubles.
+PRIME = 2147483647
+
+
+def _recurrence(values: list[int]) -> tuple[int, bool]:
+    """Length of the shortest linear recurrence of a sequence modulo PRIME, and whether its last coefficient is 0."""
+    seq = np.array(values, dtype=np.int64)
+    now, old = np.zeros(len(seq) + 2, np.int64), np.zeros(len(seq) + 2, np.int64)
+    now[0] = old[0] = 1
+    length, shift, last = 0, 1, 1
+    for i in range(len(seq)):
+        d = int((now[: length + 1] * seq[i - length : i + 1][::-1] % PRIME).sum() % PRIME)
+        if d == 0:
+            shift += 1
+            continue
+        c = d * pow(last, -1, PRIME) % PRIME
+        kept = now.copy()
+        now[shift:] = (now[shift:] - c * old[: len(now) - shift] % PRIME) % PRIME
+        if 2 * length <= i:
+            length, old, last, shift = i + 1 - length, kept, d, 1
+        else:
+            shift += 1
+    return length, bool(now[length] == 0)
+
+
+def _two_way_rank(a: np.ndarray, b: np.ndarray) -> int:
+    """Levels of both, less one for each part of the table that no cell joins to another."""
+    mark_a, mark_b = np.arange(a.max() + 1), np.full(b.max() + 1, a.max() + 1)
+    while True:
         np.minimum.at(mark_b, b, mark_a[a])
         new = mark_a.copy()
         np.minimum.at(new, a, mark_b[b])
         if (new == mark_a).all():
-            return float(sa @ y + sb @ x), len(na) + len(nb) - len(np.unique(mark_a))
+            return len(mark_a) + len(mark_b) - len(np.unique(mark_a))
         mark_a = new
 
 
+def _rank(groups: list[np.ndarray]) -> int:
+    """Rank of the terms' 0/1 design on the cells, found modulo a prime without a matrix.
+
+    A cell alone in a group adds 1, and goes with it; what is left takes time with the square of its groups.
+    With random weights of cells and groups, the least recurrence of a vector under the weighted normal equations is as long as their rank (and
+    one longer where they are singular); a bad draw can only make it shorter, so the greatest length that comes twice is taken.
+    """
+    if len(groups) < 2:
+        return int(groups[0].max()) + 1 if groups else 1
+    if len(groups) == 2:
+        return _two_way_rank(*groups)
+    gone = 0
+    while (lone := np.any([np.bincount(g)[g] == 1 for g in groups], axis=0)).any():
+        gone += int(lone.sum())
+        if lone.all():
+            return gone
+        groups = [np.unique(g[~lone], return_inverse=True)[1] for g in groups]
+    sizes = [int(g.max()) + 1 for g in groups]
+    width, ends = sum(sizes), np.cumsum(sizes)[:-1]
+    rng, seen = np.random.default_rng(7), []
+    while not seen or seen.count(max(seen)) < 2:
+        draw = lambda k: rng.integers(1, PRIME, k)
+        by_group, by_cell, u, v = draw(width), draw(len(groups[0])), draw(width), draw(width)
+        values = []
+        for _ in range(2 * width + 2):
+            values.append(int((u * v % PRIME).sum() % PRIME))
+            parts = np.split(by_group * v % PRIME, ends)
+            there = by_cell * (np.sum([p[g] for p, g in zip(parts, groups)], axis=0) % PRIME) % PRIME
+            v = by_group * (np.concatenate([np.bincount(g, there) for g in groups]).astype(np.int64) % PRIME) % PRIME
+        length, singular = _recurrence(values)
+        seen.append(length - singular)
+    return gone + max(seen)
+
+
 def two_way(df: DataFrame, a: str, b: str, value: str, interaction: bool = True) -> DataFrame:
     """Type II sums of squares of two factors and their interaction, with shares of the total, F and p.
 
@@ -59,7 +124,7 @@ def two_way(df: DataFrame, a: str, b: str, value: str, interaction: bool = True)
         mean = s.sum() / n.sum()
         total, s = float(pdf["ss"].sum() - n.sum() * mean * mean), s - n * mean
         alone = lambda c: float((np.bincount(c, s) ** 2 / np.bincount(c, n)).sum())
-        both, rank = _additive(ca, cb, n, s)
+        both, rank = _explained([ca, cb], n, s), _two_way_rank(ca, cb)
         cell = float((s * s / n).sum())
         left, rest = total - (cell if interaction else both), n.sum() - (len(n) if interaction else rank)
         terms = [(a, both - alone(cb), rank - cb.max() - 1), (b, both - alone(ca), rank - ca.max() - 1)] + ([(f"{a}:{b}", cell - both, len(n) - rank)] if interaction else [])
@@ -73,61 +138,39 @@ def two_way(df: DataFrame, a: str, b: str, value: str, interaction: bool = True)
     return cells.groupBy().applyInPandas(solve, schema)
 
 
-def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions: bool = True, most_parameters: int = 5000) -> DataFrame:
-    """Type II sums of squares of any number of factors and all their pairwise interactions, with shares, F and p; method says which analysis was made.
+def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions: bool = True) -> DataFrame:
+    """Type II sums of squares of any number of factors and all their pairwise interactions, with shares, F and p.
 
     A term is fitted after all terms that don't contain it; shares are of the sum of all terms and the residual. Rows without
-    a factor are left out, a null value is 0. Spark reduces the table to cells of all factors; one task adds
-    their normal equations up in blocks and solves them. With over `most_parameters`, whose equations one task can't hold, only one-way shares are
-    given (method one_way_fallback); two_way has no such limit.
+    a factor are left out, a null value is 0. Spark reduces the table to cells of all factors; one task solves over the list of
+    cells, whatever the number of levels: sums of squares by conjugate gradients, degrees of freedom from the levels if every combination
+    has a cell, else by the rank of the design. An empty table gives no rows.
     """
     y = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     rows = df.dropna(subset=list(factors)).select(*[F.col(c).cast("string").alias(f"f{k}") for k, c in enumerate(factors)], y.alias("y"))
     keys = [f"f{k}" for k in range(len(factors))]
     cells = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"))
-    levels = list(cells.agg(*[F.count_distinct(k) for k in keys]).first())
-    pairs = list(combinations(range(len(factors)), 2)) if interactions else []
-    terms = [(k,) for k in range(len(factors))] + pairs
-    if 1 + sum(int(np.prod([levels[k] - 1 for k in t])) for t in terms) > most_parameters:
-        from .stats import one_way_share
-
-        gone = [F.lit(None).cast("double").alias(c) for c in ("sum_sq", "df")]
-        shares = [one_way_share(rows, k, "y").select(F.lit(c).alias("term"), *gone, "eta_squared", *[F.lit(None).cast("double").alias(x) for x in ("f", "p_value")], F.lit("one_way_fallback").alias("method")) for k, c in zip(keys, factors)]
-        out = shares[0]
-        for x in shares[1:]:
-            out = out.unionByName(x)
-        return out
+    terms = [(k,) for k in range(len(factors))] + (list(combinations(range(len(factors)), 2)) if interactions else [])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, s, total_n = pdf["n"].to_numpy("f8"), pdf["s"].to_numpy("f8"), pdf["n"].sum()
-        mean = s.sum() / total_n
-        total = float(pdf["ss"].sum() - total_n * mean * mean)
-        codes = [pd.factorize(pdf[k], sort=True)[0] for k in keys]
-        sizes = [int(c.max()) for c in codes]  # levels but the first
-        starts, width = {}, 1
-        for t in terms:
-            starts[t] = (width, width := width + int(np.prod([sizes[k] for k in t])))
-        gram, right = np.zeros((width, width)), np.zeros(width)
-        for at in range(0, len(pdf), 2000):
-            part = slice(at, at + 2000)
-            x = np.zeros((len(n[part]), width))
-            x[:, 0] = 1
-            for t in terms:
-                own = [codes[k][part] for k in t]
-                there = np.flatnonzero(np.all([c > 0 for c in own], axis=0))
-                place = own[0][there] - 1 if len(t) == 1 else (own[0][there] - 1) * sizes[t[1]] + own[1][there] - 1
-                x[there, starts[t][0] + place] = 1
-            gram += x.T @ (x * n[part, None])
-            right += x.T @ (s[part] - n[part] * mean)
+        n, s = pdf["n"].to_numpy("f8"), pdf["s"].to_numpy("f8")
+        total_n, mean = n.sum(), s.sum() / n.sum()
+        total, s = float(pdf["ss"].sum() - total_n * mean * mean), s - n * mean
+        codes = [pd.factorize(pdf[k], sort=True)[0].astype(np.int64) for k in keys]
+        levels = [int(c.max()) + 1 for c in codes]
+        complete = len(pdf) == np.prod([float(k) for k in levels])
+        of = {t: codes[t[0]] if len(t) == 1 else np.unique(codes[t[0]] * levels[t[1]] + codes[t[1]], return_inverse=True)[1] for t in terms}
+        fits: dict[frozenset, tuple[float, int]] = {}
 
         def fit(kept: list) -> tuple[float, int]:
             """What the terms explain about the mean, and the rank of their design."""
-            cols = np.concatenate([[0], *[np.arange(*starts[t]) for t in kept]]).astype(int)
-            cols = cols[np.diag(gram)[cols] > 0]  # combinations that never occur
-            scale = 1 / np.sqrt(np.diag(gram)[cols])
-            w, v = np.linalg.eigh(gram[np.ix_(cols, cols)] * scale[:, None] * scale)
-            ok = w > w.max() * len(w) * 1e-13
-            return float(((v[:, ok].T @ (right[cols] * scale)) ** 2 / w[ok]).sum()), int(ok.sum())
+            key = frozenset(kept)
+            if key not in fits:
+                # a factor alone is in the span of its pairs
+                groups = [of[t] for t in kept if not any(set(t) < set(u) for u in kept)]
+                rank = 1 + sum(int(np.prod([levels[k] - 1 for k in t])) for t in kept) if complete else _rank(groups)
+                fits[key] = _explained(groups, n, s), rank
+            return fits[key]
 
         whole, rank = fit(terms)
         left, rest = max(total - whole, 0.0), float(total_n - rank)
@@ -141,10 +184,10 @@ def multi_way(df: DataFrame, factors: tuple[str, ...], value: str, interactions:
         out.append(("residual", left, rest, np.nan, np.nan))
         result = pd.DataFrame(out, columns=["term", "sum_sq", "df", "f", "p_value"])
         every = result["sum_sq"].sum()
-        result["eta_squared"], result["method"] = result["sum_sq"] / every if every else 0.0, "anova_type_2"
-        return result[["term", "sum_sq", "df", "eta_squared", "f", "p_value", "method"]]
+        result["eta_squared"] = result["sum_sq"] / every if every else 0.0
+        return result[["term", "sum_sq", "df", "eta_squared", "f", "p_value"]]
 
-    return cells.groupBy().applyInPandas(solve, "term string, sum_sq double, df double, eta_squared double, f double, p_value double, method string")
+    return cells.groupBy().applyInPandas(solve, "term string, sum_sq double, df double, eta_squared double, f double, p_value double")
 
 
 def granger(series: DataFrame, lags: int = 2) -> DataFrame:

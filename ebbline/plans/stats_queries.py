@@ -148,7 +148,7 @@ def t09(spark, sf):
 
 @query("t09_multi_way_anova")
 def t09m(spark, sf):
-    """Region, brand and segment with all pairwise interactions, Type II; t09_variance_decomposition has the one-way shares of its fallback."""
+    """Region, brand and segment with all pairwise interactions, Type II; t09_variance_decomposition has one-way shares."""
     return grouped.multi_way(sales(spark, sf, "region", "brand", "segment"), ("region", "brand", "segment"), "revenue")
 
 

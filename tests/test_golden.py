@@ -202,6 +202,33 @@ def test_multi_way_against_least_squares_of_rows(spark):
     assert sum(r.eta_squared for r in got.values()) == pytest.approx(1) and got["b:c"].p_value < 1e-6 and got["b"].eta_squared < 0.25 * got["a"].eta_squared
 
 
+def test_multi_way_of_many_levels(spark):
+    """Factors of 10,000 and 300 levels: a balanced table has its answer in closed form, and one with holes agrees with two_way."""
+    rows = spark.range(0, 60_000).select((F.col("id") % 10_000).alias("a"), (F.floor(F.col("id") / 10_000) % 3).alias("b"), (F.floor(F.col("id") / 30_000)).alias("c")).withColumn("y", (F.hash("a") % 100 + 7 * F.col("b") + F.hash("b", "c") % 5 + F.hash("a", "b", "c") % 3).cast("double"))
+    got = {r.term: r for r in grouped.multi_way(rows, ("a", "b", "c"), "y").collect()}
+    assert [got[t].df for t in ("a", "b", "c", "a:b", "a:c", "b:c", "residual")] == [9999.0, 2.0, 1.0, 19998.0, 9999.0, 2.0, 19998.0]
+    mean = rows.agg(F.avg("y")).first()[0]
+    for t in "abc":
+        alone = rows.groupBy(t).agg(F.count("*").alias("n"), F.avg("y").alias("m")).agg(F.sum(F.col("n") * (F.col("m") - mean) ** 2)).first()[0]
+        assert got[t].sum_sq == pytest.approx(alone)
+    holes = rows.withColumn("b", F.pmod(F.hash("a", "b", "c"), F.lit(300))).select("a", "b", "y")
+    one = {r.term: (r.sum_sq, r.df) for r in grouped.multi_way(holes, ("a", "b"), "y").collect()}
+    two = {r.term: (r.sum_sq, r.df) for r in grouped.two_way(holes, "a", "b", "y").collect()}
+    assert one.keys() == two.keys() and all(one[t] == pytest.approx(two[t]) for t in one)
+
+
+def test_ranks_of_designs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for sizes, m in (((4, 5, 3), 30), ((6, 7, 5), 60), ((3, 3, 3), 12)):
+        cells = np.unique(np.stack([rng.integers(0, k, m) for k in sizes], 1), axis=0).T
+        pair = lambda i, j: np.unique(cells[i] * 100 + cells[j], return_inverse=True)[1]
+        single = [np.unique(v, return_inverse=True)[1] for v in cells]
+        for groups in (single[:2], single, [pair(0, 1), single[2]], [pair(0, 1), pair(0, 2), pair(1, 2)]):
+            assert grouped._rank(groups) == np.linalg.matrix_rank(np.hstack([np.eye(g.max() + 1)[g] for g in groups]))
+
+
 def test_pairs_of_all_items(spark):
     """Brands that no list names decide, and the largest lead whatever they are called."""
     wave = [1.0, 5.0, 2.0, 8.0, 3.0, 9.0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -9,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,12 @@ RULES = (
 SPANS = "array<struct<start:int,end:int>>"
 
 
+def in_runs(items: Column, run: Callable[[Column], Column]) -> Column:
+    """run of each stretch of items, in order, of about as many items as there are stretches: folds over one stretch, and then over the stretches, stay far from the square of the items."""
+    wide = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / wide).cast("int"), F.lit(0))), lambda k: let(F.slice(items, k * wide + 1, wide), run))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Start and end, in code points, of each match that passes: the pieces between matches tell where they are."""
     pattern = F.lit(rule.pattern)
@@ -42,14 +49,20 @@ def spans_of(text: Column, rule: Rule) -> Column:
         F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)).alias("held"),
     )
     none = F.array().cast(SPANS)
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    moved = lambda spans, by: F.transform(spans, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end")))
 
     def step(s: Column, x: Column) -> Column:
         at = s["at"] + x["gap"]
         span = F.array(F.struct(at.alias("start"), (at + x["n"]).alias("end")))
         return F.struct((at + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["held"] >= rule.least, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(F.expr(rule.hint), F.aggregate(found, first, step, lambda s: s["spans"])).otherwise(none)
+    def join(s: Column, x: Column) -> Column:
+        return F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["spans"], moved(x["spans"], s["at"])).alias("spans"))
+
+    # spans of each run of matches from the run's own start on, then of all
+    spans = let(found, lambda f: F.aggregate(in_runs(f, lambda part: F.aggregate(part, start, step)), start, join, lambda s: s["spans"]))
+    return F.when(F.expr(rule.hint), spans).otherwise(none)
 
 
 def hinted(rules: tuple[Rule, ...]) -> Column:
@@ -113,14 +126,25 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """text with each span, or run of overlapping spans, replaced by the mask. Spans are ordered by start."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        lead = F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))))
-        out = F.when((x["start"] < s["at"]), s["out"]).otherwise(F.concat(lead, F.lit(mask)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+    def stretch(s: Column, part: Column) -> Column:
+        """Masks one run of spans within the piece of text from where the last run ended."""
+
+        def within(piece: Column) -> Column:
+            def step(t: Column, x: Column) -> Column:
+                lead = F.substring(piece, t["at"] - s["at"] + 1, F.greatest(x["start"] - t["at"], F.lit(0)))
+                out = F.when(x["start"] < t["at"], t["out"]).otherwise(F.concat(t["out"], lead, F.lit(mask)))
+                return F.struct(F.greatest(t["at"], x["end"]).alias("at"), out.alias("out"))
+
+            return F.aggregate(part, F.struct(s["at"].alias("at"), F.lit("").alias("out")), step)
+
+        ends = F.array_max(F.transform(part, lambda x: x["end"]))
+        done = let(F.substring(text, s["at"] + 1, F.greatest(ends - s["at"], F.lit(0))), within)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(s["out"], d["out"]).alias("out")))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(in_runs(spans, lambda part: part), empty, stretch, rest))
 
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:

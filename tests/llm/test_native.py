@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import textwrap
 from collections import Counter, defaultdict
@@ -123,9 +124,30 @@ def test_loads_meet_the_ledger_of_earlier_ones(spark, sf, odd_docs):
 
 
 def test_very_long_text_of_secrets(spark):
-    text = " ".join(f"token = secretsecret{k:06d}" for k in range(2_000))
+    text = " ".join(f"token = secretsecret{k:06d}" for k in range(20_000))
     out = secrets.mask_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert out.text == " ".join(["[secret]"] * 2_000)
+    assert out.text == " ".join(["[secret]"] * 20_000)
+
+
+def test_spans_and_masks_by_brute_force(spark):
+    """Texts of up to 90 secrets of all kinds, some of which overlap: over one run of matches, and many."""
+    rng = random.Random(4)
+    kinds = ("token = secretsecret42", "AKIA" + "Q" * 16, "password: " + "0123456789abcdef" * 2, "é中 words", "deadbeef" * 3, "api_key=AKIA" + "7" * 20, "secret: short")
+    texts = [" ".join(rng.choice(kinds) for _ in range(rng.randrange(90))) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def spans(text):
+        return sorted((m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, text) if len(m.group(r.group)) >= r.least)
+
+    def mask(text):
+        out, at = "", 0
+        for start, _, end in spans(text):
+            out += text[at:start] + "[secret]" if start >= at else ""
+            at = max(at, end)
+        return out + text[at:]
+
+    assert {r.doc_id: [(s.start, s["rank"], s.end) for s in r.spans] for r in secrets.findings(*secrets.scan_new_blobs(docs)).collect()} == dict(enumerate(map(spans, texts)))
+    assert {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()} == dict(enumerate(map(mask, texts)))
 
 
 def test_masks_keep_the_rest(odd_docs, no_docs):

@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = S
     a link may span (distance obeys the triangle inequality) or whose counts of shingles are too far apart; in large ones block by block, each
     pair of blocks for which these two bounds allow a link in one product of their shingle counts. No other pair in one bucket is left out.
 
-    The processes of bag_signatures are a tree of dyadic weight intervals, thinned by a point's place where a text's weight ends inside one.
+    The processes of bag_signatures run side by side, one for each doubling of the weight, thinned by a point's place where a text's weight ends inside one; none is split further.
 
     A text without words is in a class with its equals alone; null texts are empty. A null doc_id gets its class's
     smallest id, null if there is none. Repeated rows give a row each. No rows give no rows.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import correlation_p, normal_p, shapiro_p
 from .ordered import numbered
+from .pairs import strong_pairs
 
 
 def by_item():
@@ -71,9 +72,11 @@ def item_correlations(series: DataFrame) -> DataFrame:
 
 
 def uniform_growth(series: DataFrame, least: float = 0.95, share: float = 0.5) -> DataFrame:
-    """One row: of all pairs of items that vary, how many move alike, and whether these are over the share."""
-    strong = F.count_if(F.abs("r") >= least)
-    return item_correlations(series).filter("r IS NOT NULL").agg(F.count("*").alias("pairs"), strong.alias("strong"), (strong > share * F.count("*")).alias("uniform"))
+    """One row: of all pairs of items of a dense series that vary, how many move alike, and whether these are over the share. Pairs are counted, only those that may move alike are formed."""
+    known = series.filter("item IS NOT NULL AND value IS NOT NULL").groupBy("item").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).filter("hi > lo")
+    pairs = known.agg(F.count("*").alias("n")).select(F.expr("n * (n - 1) div 2").alias("pairs"))
+    both = pairs.crossJoin(F.broadcast(strong_pairs(series, least).agg(F.count("*").alias("strong"))))  # a row each
+    return both.select("pairs", "strong", (F.col("strong") > share * F.col("pairs")).alias("uniform"))
 
 
 def leading_items(series: DataFrame, most: int) -> DataFrame:

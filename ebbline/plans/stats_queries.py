@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import grouped
 from ..operators import periods as per
 from ..operators import stats as st
+from ..operators.pairs import strongest_pairs
 from ..sources.sinks import kept
 from .catalog import query
 from .facts import EVENTS_SQL, SALES_SQL, complete, events, latest, sales
@@ -101,8 +102,7 @@ def t05a(spark, sf):
 @query("t05_key_correlations", f"{EVERY_PAIR}, k AS (SELECT *, {CORRELATION_P} AS p FROM c) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value, abs(r) > 0.7 AND p < 0.05 AS kept FROM k ORDER BY abs(r) DESC, a, b LIMIT 6")
 def t05p(spark, sf):
     """The six strongest pairs of all items, and which are strong and significant."""
-    pairs = st.item_correlations(series(spark, sf, keep=True)).orderBy(F.desc(F.abs("r")), "a", "b").limit(6)
-    return st.with_p(pairs).select("a", "b", D("r", k=6), "n", D("p_value", k=6), ((F.abs("r") > 0.7) & (C("p_value") < 0.05)).alias("kept"))
+    return st.with_p(strongest_pairs(series(spark, sf), 6)).select("a", "b", D("r", k=6), "n", D("p_value", k=6), ((F.abs("r") > 0.7) & (C("p_value") < 0.05)).alias("kept"))
 
 
 @query("t05_leading_correlations", f"{EVERY_PAIR}, lead AS (SELECT item FROM s GROUP BY 1 ORDER BY abs(avg(value)) DESC, item LIMIT 4), k AS (SELECT *, {CORRELATION_P} AS p FROM c WHERE a IN (SELECT item FROM lead) AND b IN (SELECT item FROM lead)) SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p_value, abs(r) > 0.7 AND p < 0.05 AS kept FROM k")

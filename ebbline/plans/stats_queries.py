@@ -9,6 +9,7 @@ from ..operators import grouped
 from ..operators import periods as per
 from ..operators import stats as st
 from ..operators.pairs import strongest_pairs
+from ..operators.smoothing import fitted_forecasts
 from ..sources.sinks import kept
 from .catalog import query
 from .facts import EVENTS_SQL, SALES_SQL, complete, events, latest, sales
@@ -369,6 +370,21 @@ def t23s(spark, sf):
     return out.select("items_analyzed", "total_forecasts", "total_forecast_misses", "items_with_misses", D("miss_rate_pct", k=6), D("mape", k=5))
 
 
+#: Weights tried, the state after the first cycle, and one value after the other up to the end of the history; the least squared errors win.
+FITTED = LISTS + """, w AS (SELECT *, v[1:train] AS x, train >= 24 AS cyc, list_avg(v[1:12]) AS m1, (list_avg(v[13:24]) - list_avg(v[1:12])) / 12 AS dr FROM (SELECT *, CAST(floor(n * 0.8) AS INTEGER) AS train FROM v) WHERE n >= 18),
+    g AS (SELECT *, unnest(CASE WHEN cyc THEN [0.1, 0.3, 0.6] ELSE [0.0] END)::DOUBLE AS c FROM (SELECT *, unnest(CASE WHEN cyc THEN [0, 0.05, 0.2] ELSE [0.0] END)::DOUBLE AS b FROM (SELECT *, unnest([0.05, 0.2, 0.4, 0.6, 0.8])::DOUBLE AS a FROM w))),
+    h AS (SELECT item, a, b, c, x, train, CASE WHEN cyc THEN 12 ELSE 1 END AS i, CASE WHEN cyc THEN m1 + dr * 5.5 ELSE x[1] END AS l, CASE WHEN cyc THEN dr ELSE 0.0 END AS t, CASE WHEN cyc THEN list_transform(range(0, 12), lambda k: x[k + 1] - m1 - dr * (k - 5.5)) ELSE list_transform(range(0, 12), lambda k: 0.0::DOUBLE) END AS s, 0.0::DOUBLE AS e FROM g
+        UNION ALL SELECT item, a, b, c, x, train, i + 1, nl, b * (nl - l) + (1 - b) * t, list_append(s[2:12], c * (y - nl) + (1 - c) * s[1]), e + (y - l - t - s[1]) ^ 2 FROM (SELECT *, x[i + 1] AS y, a * (x[i + 1] - s[1]) + (1 - a) * (l + t) AS nl FROM h WHERE i < train)),
+    best AS (SELECT * FROM h WHERE i = train QUALIFY row_number() OVER (PARTITION BY item ORDER BY e, a, b, c) = 1),
+    fc AS (SELECT item, d[i + k + 1] AS period, a AS alpha, b AS beta, c AS gamma, v[i + k + 1] AS actual, l + (k + 1) * t + s[k % 12 + 1] AS forecast FROM (SELECT best.*, v.d, v.v, unnest(range(0, v.n - i)) AS k FROM best JOIN v USING (item)))"""
+
+
+@query("t23_fitted_forecast", f"{FITTED} SELECT item, period, alpha, beta, gamma, round(actual, 4) AS actual, round(forecast, 3) AS forecast, round(CASE WHEN forecast <> 0 THEN 100 * (actual - forecast) / abs(forecast) ELSE 0 END, 5) AS variance_pct FROM fc", dates="period")
+def t23f(spark, sf):
+    """Forecasts of the last fifth with weights fitted to each item's history."""
+    return fitted_forecasts(series(spark, sf)).select("item", "period", "alpha", "beta", "gamma", D("actual"), D("forecast", k=3), D("variance_pct", k=5))
+
+
 @query("t24_temporal_grain", f"{W}, p AS (SELECT DISTINCT period FROM sales), g AS (SELECT period - lag(period) OVER (ORDER BY period) AS gap FROM p) SELECT (SELECT count(*) FROM p) AS periods, round(avg(CASE WHEN gap BETWEEN 27 AND 32 THEN 1.0 ELSE 0 END), 9) AS monthly, 'monthly' AS grain FROM g WHERE gap IS NOT NULL")
 def t24(spark, sf):
     g = per.grain(sales(spark, sf), "period")

@@ -9,7 +9,7 @@ from ..operators import alerts as al
 from ..operators import periods as per
 from ..operators import stats as st
 from ..operators import variance as var
-from ..sources.sinks import kept, write_results
+from ..sources.sinks import commit, dropped_after, kept, write_results
 from .contract import Contract
 
 
@@ -39,3 +39,10 @@ def save(results: dict[str, DataFrame], metric: str, folder: str) -> None:
     """Each result as JSON below the folder, by metric."""
     for name, df in results.items():
         write_results(df.withColumn("metric", F.lit(metric)), f"{folder}/{name}")
+
+
+def run(fact: DataFrame, contract: Contract, metric: str, hierarchy: str, folder: str, comparison: str = "yoy") -> None:
+    """`analyse`, each result committed below the folder in place of an earlier run's (read it by `sinks.committed`), and no scratch table left, also where it fails."""
+    with dropped_after(fact.sparkSession):
+        for name, df in analyse(fact, contract, metric, hierarchy, comparison).items():
+            commit(df.withColumn("metric", F.lit(metric)), f"{folder}/{metric}/{name}", form="json")

@@ -117,8 +117,8 @@ def s12(spark, sf):
 @query("s13_result_sink", f"WITH {EVENTS_SQL} SELECT metric, day, CAST(sum(value) AS DOUBLE) AS total FROM ev GROUP BY ALL", dates="day")
 def s13(spark, sf):
     path = sinks.shared_path(spark, "results-json")
-    sinks.write_results(events(spark, sf).groupBy("metric", "day").agg(F.sum("value").cast("double").alias("total")), path)
-    return spark.read.schema("day date, total double, metric string").json(path).select("metric", "day", "total")
+    sinks.commit(events(spark, sf).groupBy("metric", "day").agg(F.sum("value").cast("double").alias("total")), path, form="json", by=("metric",))
+    return sinks.committed(spark, path).select("metric", "day", "total")
 
 
 @query("s15_distinct_values", "SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL ORDER BY 1 LIMIT 500")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_pattern
 from .ordered import first_of_each, with_totals
+from .patterns import bare, texts_with_globs, texts_with_words
 from .periods import at
 
 TAGS = ("expected", "false_positive", "confirmed", "investigating")
@@ -143,15 +144,43 @@ def fits_rule(item: Column, target: Column, period: Column, score: Column) -> Co
     return some("item_globs", item) & (free("target_globs") | some("target_globs", target)) & (free("periods") | F.array_contains("periods", period.cast("string"))) & (score < F.coalesce("below", F.lit(1.0)))
 
 
+def fitting(rows: DataFrame, rules: DataFrame, key: tuple[str, ...], item: str, target: str, period: str, score: Column | str) -> DataFrame:
+    """The distinct keys of the rows that some rule (RULES) fits; see fits_rule.
+
+    Rules meet rows by equal items, as their patterns find them; those that take any item meet them by targets, and those that take any target
+    too by periods. Only rules of nothing but wildcards are tried on all rows: of these, one for each wildcard and limit.
+    """
+    score = F.col(score) if isinstance(score, str) else score
+    rows = rows.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col(item).alias("_item"), F.col(target).alias("_target"), F.col(period).cast("string").alias("_period"), score.alias("_score"))
+    any_of = lambda c: F.coalesce(F.exists(c, bare), F.lit(False))
+    none = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
+    rules = rules.distinct().withColumn("_items", any_of("item_globs")).withColumn("_targets", any_of("target_globs") | none("target_globs"))
+    fits = fits_rule(F.col("_item"), F.col("_target"), F.col("_period"), F.col("_score"))
+
+    def by(some: DataFrame, globs: str, text: str) -> DataFrame:
+        pairs = some.withColumn("pattern", F.explode(globs))
+        found = texts_with_globs(rows.select(F.col(text).alias("text")), pairs.select("pattern"))
+        return rows.join(found.join(pairs, "pattern"), (F.col(text) == F.col("text")) & fits, "left_semi")
+
+    open_ = rules.filter("_items AND _targets")
+    dated = open_.withColumn("_p", F.explode("periods"))
+    rest = open_.filter(none("periods")).groupBy("item_globs", "target_globs").agg(F.first("periods").alias("periods"), F.max(F.coalesce("below", F.lit(1.0))).alias("below"))
+    parts = [
+        by(rules.filter("NOT _items"), "item_globs", "_item"), by(rules.filter("_items AND NOT _targets"), "target_globs", "_target"),
+        rows.join(dated, (F.col("_period") == F.col("_p")) & fits, "left_semi"), rows.join(rest, fits, "left_semi"),
+    ]
+    return reduce(DataFrame.unionByName, parts).select(*[F.col(f"_k_{c}").alias(c) for c in key]).distinct()
+
+
 def suppressed(alerts: DataFrame, rules: DataFrame, calendar: DataFrame, feedback: DataFrame) -> DataFrame:
     """alerts with why each is suppressed, or null: by a rule, else by a calendar event, else by feedback.
 
     rules: see RULES and fits_rule; the target is the alert's category. calendar (item, period): blank or unknown periods mean any.
-    feedback (id, tag): expected or false_positive. Rules are a contract's short list, as the calendar is.
+    feedback (id, tag): expected or false_positive. Rules may be many; the calendar meets alerts by their items.
     Each join finds alerts' ids alone, so that an alert that several rules fit stays one row.
     """
     ids = alerts.select("id", "item", "category", "period", "score")
-    rule = ids.join(rules, fits_rule(F.col("item"), F.col("category"), F.col("period"), F.col("score")), "left_semi").select("id", F.lit(1).alias("why"))
+    rule = fitting(ids, rules, ("id",), "item", "category", "period", "score").select("id", F.lit(1).alias("why"))
     events = calendar.select(F.lower("item").alias("c_item"), F.lower(F.coalesce(F.col("period").cast("string"), F.lit(""))).alias("c_period"))
     event = ids.join(events, (F.lower("item") == F.col("c_item")) & (F.col("c_period").isin("", "unknown") | (F.col("c_period") == F.col("period").cast("string"))), "left_semi").select("id", F.lit(2).alias("why"))
     tagged = ids.join(feedback.filter(F.col("tag").isin("expected", "false_positive")), "id", "left_semi").select("id", F.lit(3).alias("why"))
@@ -314,7 +343,8 @@ def in_scope(findings: DataFrame, hierarchy: DataFrame, parent: str, child: str,
     """The findings whose text mentions an entity or one of its children in the hierarchy."""
     below = hierarchy.filter(F.col(parent) == named)
     words = below.select(F.col(child).alias("_word")).unionByName(below.select(F.col(parent).alias("_word"))).distinct()
-    return findings.join(words, F.contains(F.col(text), F.col("_word")), "left_semi")
+    texts = texts_with_words(findings.select(F.col(text).alias("text")), words.select(F.col("_word").alias("word")))
+    return findings.join(texts.withColumnRenamed("text", "_text"), F.col(text) == F.col("_text"), "left_semi")
 
 
 def valid_alerts(alerts: DataFrame) -> DataFrame:

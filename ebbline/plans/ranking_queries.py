@@ -110,8 +110,7 @@ def j12(spark, sf):
     """Cells that a rule fits: by any of its item patterns, its target patterns, its periods, and a severity below its limit."""
     rules = spark.createDataFrame([(["s*", "*l"], ["brand#1?"], ["1996-01-31", "2001-07-31"], 0.5), (["*"], ["*25"], [], 0.01)], al.RULES)
     cells = sales(spark, sf, "ptype", "brand").groupBy("ptype", "brand", "period").agg(F.count("*").alias("n"), F.sum("revenue").cast("double").alias("v"))
-    fits = al.fits_rule(C("ptype"), C("brand"), C("period"), F.least(C("v") / 1e6, F.lit(1.0)))
-    return cells.join(rules, fits, "left_semi").select("ptype", "brand", "period", "n")
+    return al.fitting(cells, rules, ("ptype", "brand", "period", "n"), "ptype", "brand", "period", F.least(C("v") / 1e6, F.lit(1.0)))
 
 
 @query("j13_feedback_lookup", "SELECT o_orderstatus, count(*) AS n FROM orders LEFT JOIN (SELECT event_id, event_type FROM events) ON o_orderkey = event_id WHERE event_type IS NULL OR event_type NOT IN ('error', 'logout') GROUP BY 1")

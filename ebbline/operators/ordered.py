@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +46,23 @@ def numbered(df: DataFrame, *order: Column, by: tuple[str, ...] = (), totals: di
     )
 
 
+def quantiles(df: DataFrame, by: tuple[str, ...], value: str, **shares: float) -> DataFrame:
+    """One row a group of `by` (one row, if there is none): for each name of `shares` the exact quantile, interpolated between its two neighbours.
+
+    Neighbours are picked by their ranks (`numbered`), so that no buffer holds the distinct values of a group, as exact percentiles of one
+    aggregation do. Null values don't count; a group of nulls alone has no row, and without groups an empty table gives nulls.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    places = numbered(known, F.col("_v"), by=by, size="_n")
+    at = {n: (F.col("_n") - 1) * F.lit(float(q)) + 1 for n, q in shares.items()}
+    picked = places.filter(reduce(or_, [F.col("row").isin(F.floor(x), F.ceil(x)) for x in at.values()]))
+    low = lambda x: F.max(F.when(F.col("row") == F.floor(x), F.col("_v")))
+    high = lambda x: F.max(F.when(F.col("row") == F.ceil(x), F.col("_v")))
+    part = lambda x: F.max(x - F.floor(x))
+    # equal neighbours are taken as they are: infinite ones have no difference
+    return picked.groupBy(*by).agg(*[F.when(low(x) == high(x), low(x)).otherwise(low(x) + (high(x) - low(x)) * part(x)).alias(n) for n, x in at.items()])
+
+
 def carried(df: DataFrame, value: str, name: str, *order: Column) -> DataFrame:
     """df with `name`: the last value other than null of a column up to each row, in an order of all rows (an as-of merge, where the rows are a union of two tables).
 

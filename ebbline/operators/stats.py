@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import correlation_p, normal_p, shapiro_p
-from .ordered import numbered
+from ..sources.sinks import kept
+from .ordered import numbered, quantiles
 from .pairs import strong_pairs
 
 
@@ -101,9 +102,10 @@ def mad_outliers(series: DataFrame, threshold: float = 3.5, least: int = 6) -> D
 
 def robust_z(totals: DataFrame, least: float = 3.0, severe: float = 5.0) -> DataFrame:
     """Periods of a total series far from its median: by the median deviation, or the deviation where that is 0."""
-    every = Window.partitionBy(F.lit(0))
-    t = totals.withColumn("median", F.percentile("value", F.lit(0.5)).over(every))
-    t = t.withColumn("mad", F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)).over(every)).withColumn("sd", F.stddev_pop("value").over(every))
+    t = kept(totals, "totals")
+    t = t.crossJoin(F.broadcast(quantiles(t, (), "value", median=0.5)))  # a row
+    off = t.select(F.abs(F.col("value") - F.col("median")).alias("off"))
+    t = t.crossJoin(F.broadcast(quantiles(off, (), "off", mad=0.5))).crossJoin(F.broadcast(t.agg(F.stddev_pop("value").alias("sd"))))
     scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.nullif("sd", F.lit(0.0)))
     t = t.withColumn("z_score", (F.col("value") - F.col("median")) / scale).filter(F.abs("z_score") >= least)
     return t.withColumn("severity", F.when(F.abs("z_score") >= severe, "high").otherwise("medium"))
@@ -162,9 +164,11 @@ def one_way_shares(df: DataFrame, factors: tuple[str, ...], value: str) -> DataF
 
 def moments(series: DataFrame) -> DataFrame:
     """Shape of each item: population skew and excess kurtosis, seven quantiles, and the coefficient of bimodality."""
-    q = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
-    out = series.groupBy("item").agg(F.count("*").alias("n_observations"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("excess_kurtosis"), F.percentile("value", F.array(*[F.lit(x) for x in q])).alias("q"))
-    out = out.select("item", "n_observations", "skewness", "excess_kurtosis", *[F.col("q")[k].alias(f"p{round(x * 100)}") for k, x in enumerate(q)])
+    names = {f"p{k}": k / 100 for k in (5, 10, 25, 50, 75, 90, 95)}
+    rows = kept(series.select("item", "value"), "values")
+    shape = rows.groupBy("item").agg(F.count("*").alias("n_observations"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("excess_kurtosis"))
+    placed = quantiles(rows, ("item",), "value", **names).withColumnRenamed("item", "_i")
+    out = shape.join(placed, F.col("item").eqNullSafe(F.col("_i")), "left").drop("_i")
     b = (F.col("skewness") ** 2 + 1) / (F.col("excess_kurtosis") + 3)
     return out.withColumn("bimodality", F.when(F.col("n_observations") >= 10, b)).withColumn("is_bimodal", F.coalesce(F.col("bimodality") > 0.555, F.lit(False)))
 

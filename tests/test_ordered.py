@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ebbline.operators import ranking
 from ebbline.operators import stats as st
 from ebbline.operators import variance as var
-from ebbline.operators.ordered import first_of_each, numbered
+from ebbline.operators.ordered import first_of_each, numbered, quantiles
 
 
 def _plan(df):
@@ -120,3 +120,24 @@ def test_month_ranges_reach_the_scan(spark, sf):
 
     assert tuple(map(str, month_span((1996, 11), (1998, 2)))) == ("1996-11-01", "1998-02-28") and str(month_span((2000, 1), (2000, 12))[1]) == "2000-12-31"
     assert "GreaterThanOrEqual(o_orderdate" in QUERIES["f08_month_range"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_are_exact(spark):
+    """Ties, nulls, a null group, groups of one and of nulls alone, and a hot group over several ranges: as the exact percentile."""
+    rows = [("hot" if k % 3 else ["b", None, "c"][k % 9 // 3], None if k % 17 == 0 else float(k * 7919 % 1013 // 3)) for k in range(5000)] + [("one", 4.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(11)
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.95, "top": 1.0}
+    want = df.groupBy("g").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in shares.items()]).filter("mid IS NOT NULL")
+    got = {r.g: r for r in quantiles(df, ("g",), "v", **shares).collect()}
+    assert len(got) == 5 and "none" not in got
+    for r in want.collect():
+        assert all(got[r.g][n] == pytest.approx(r[n], rel=1e-12) for n in shares)
+    assert quantiles(df, (), "v", mid=0.5).first().mid == df.agg(F.percentile("v", F.lit(0.5))).first()[0]
+    assert quantiles(df.filter("false"), (), "v", mid=0.5).first().mid is None and quantiles(df.filter("false"), ("g",), "v", mid=0.5).count() == 0
+
+
+def test_robust_z_holds_no_table_in_one_task(spark):
+    t = spark.createDataFrame([(k, 100.0 if k == 7 else float(k % 5)) for k in range(40)], "period int, value double")
+    out = st.robust_z(t)
+    assert "windowspecdefinition(0" not in _plan(out)
+    assert [(r.period, r.severity) for r in out.collect()] == [(7, "high")]

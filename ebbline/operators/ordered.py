@@ -54,13 +54,13 @@ def quantiles(df: DataFrame, by: tuple[str, ...], value: str, **shares: float) -
     """
     known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     places = numbered(known, F.col("_v"), by=by, size="_n")
-    at = {n: (F.col("_n") - 1) * F.lit(float(q)) + 1 for n, q in shares.items()}
-    picked = places.filter(reduce(or_, [F.col("row").isin(F.floor(x), F.ceil(x)) for x in at.values()]))
-    low = lambda x: F.max(F.when(F.col("row") == F.floor(x), F.col("_v")))
-    high = lambda x: F.max(F.when(F.col("row") == F.ceil(x), F.col("_v")))
-    part = lambda x: F.max(x - F.floor(x))
-    # equal neighbours are taken as they are: infinite ones have no difference
-    return picked.groupBy(*by).agg(*[F.when(low(x) == high(x), low(x)).otherwise(low(x) + (high(x) - low(x)) * part(x)).alias(n) for n, x in at.items()])
+    at = {n: (F.col("_n") - 1) * F.lit(float(q)) for n, q in shares.items()}  # places from 0
+    picked = places.filter(reduce(or_, [F.col("row").isin(F.floor(x) + 1, F.ceil(x) + 1) for x in at.values()]))
+    low = lambda x: F.max(F.when(F.col("row") == F.floor(x) + 1, F.col("_v")))
+    high = lambda x: F.max(F.when(F.col("row") == F.ceil(x) + 1, F.col("_v")))
+    between = lambda x: F.max(F.ceil(x) - x) * low(x) + F.max(x - F.floor(x)) * high(x)
+    # equal neighbours are taken as they are: a place without a second neighbour, and infinite ones
+    return picked.groupBy(*by).agg(*[F.when(low(x) == high(x), low(x)).otherwise(between(x)).alias(n) for n, x in at.items()])
 
 
 def carried(df: DataFrame, value: str, name: str, *order: Column) -> DataFrame:

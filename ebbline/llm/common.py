@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A word of the documents: a longest run of characters other than these blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: Bytes of rows that a Python worker gets at once, where a session sets nothing else (Spark's default is 64 MB, which each task holds several times over).
+BATCH = 4 << 20
+
 #: Scratch paths of the innermost open `dropped_after`, if any.
 _open: list[list[str]] = []
 
@@ -22,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, of whose rows Python workers from now on get about BATCH bytes at once, however long its texts are; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH))
+    return df
+
+
 def shared_top(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; only a session on one machine may do without the setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,14 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped_after, written
+from .common import dropped_after, small_batches, written
 
 SHINGLE, HASHES, ROWS = 5, 64, 4
 U = np.uint64
 #: Texts in a bucket up to which single pairs are compared, and in a block of a larger one, where a text counts once for each UNIT bytes.
 SMALL, BLOCK, UNIT = 64, 256, 8192
-#: Texts are handled in pieces of about so many bytes.
-CHUNK = 4 << 20
+#: Texts are handled in pieces of about so many bytes; the arrays of a piece take some thirty times as much.
+CHUNK = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def sign(docs: DataFrame, *, shingle: int = SHINGLE, hashes: int = HASHES, rows:
                 lists = [b if h else [] for b, h in zip(bands, n > 0, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in (0, 1)), pa.array(n), pa.array(lists, pa.list_(pa.int64()))], ["place", "node", "n", "bands"])
 
-    return docs.select("place", "node", F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return small_batches(docs.select("place", "node", F.col("text").cast("string"))).mapInArrow(run, SIGNED)
 
 
 def overlap(a: pa.Array, b: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def distances(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> Dat
                 common, every = overlap(part.column("text_a"), part.column("text_b"), shingle)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(1 - common / np.maximum(every, 1))], ["a", "b", "gap"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, gap double")
+    return small_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")).mapInArrow(run, "a binary, b binary, gap double")
 
 
 def mixed_buckets(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:

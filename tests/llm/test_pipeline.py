@@ -1,9 +1,11 @@
+import tracemalloc
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
-from ebbline.llm import mixing
+from ebbline.llm import minhash, mixing, packing
 from ebbline.llm.common import table
 
 
@@ -62,3 +64,36 @@ def test_registered(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_workers_get_texts_in_small_batches(spark, tmp_path):
+    """40 MB of texts in one partition reach Python a few MB at a time, once a stage that runs Python is built."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 10_000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 4000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["bytes"])
+
+    for build in (lambda: minhash.sign(minhash.addressed(texts)), lambda: packing.pack(texts, "unused")):
+        spark.conf.unset(name)
+        build()
+        assert max(r.bytes for r in texts.mapInArrow(sizes, "bytes long").collect()) < 6 << 20
+    spark.conf.set(name, "1m")
+    minhash.sign(minhash.addressed(texts))
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
+
+
+def test_signatures_take_bounded_memory():
+    """A worker's arrays stay small beside 4 MB of texts."""
+    texts = pa.array([" ".join(f"w{k * 31 + j * j % 997}" for j in range(700)) for k in range(1000)])
+    tracemalloc.start()
+    for start, end in minhash.chunks(texts):
+        part = texts.slice(start, end - start)
+        doc, s = minhash.shingles(part)
+        _, doc, s, count = minhash.counted(doc, s)
+        minhash.bag_signatures(doc, s, count.astype("f8"), len(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 << 20

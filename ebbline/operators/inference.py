@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.contract import Contract, Dimension, Metric
-from .quality import DATE_FORMATS, IDENTIFIER_NAMES, date_share, dependencies, frequency, numeric_share
+from .quality import DATE_FORMATS, IDENTIFIER_NAMES, date_share, dependencies, frequency, number, numeric_share
 
 #: Words in names of areas, from the widest down; names beside each other are as wide.
 AREAS = (("continent",), ("region",), ("country", "nation"), ("state", "province"), ("county", "district"), ("city", "metro"), ("zip", "postal"))
@@ -48,7 +48,7 @@ def profiles(df: DataFrame) -> dict[str, dict]:
     """What decides each column's role, from one aggregation over all columns."""
     one = []
     for c in df.columns:
-        text = F.translate(F.col(c).cast("string"), "$,% ", "").try_cast("double")
+        text = number(F.col(c))
         one += [
             F.struct(
                 F.lit(c).alias("column"), F.count(c).alias("filled"), F.approx_count_distinct(c, 0.02).alias("distinct"), numeric_share(F.col(c)).alias("numeric"), F.min(text).alias("lo"), F.max(text).alias("hi"), F.stddev_samp(text).alias("sd"), F.avg(text).alias("mean"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,33 @@ from ..sources.sinks import kept
 #: Formats that a date column may have.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy-MM", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MMM yyyy")
 
+#: What a text must look like for a format to read it, and for a cast to see a number in it. Parsers throw where they fail, which costs a hundred times a look;
+#: so a text that can't be read isn't tried. Whether one that looks right is read, the parser says.
+_PARTS = {"yyyy": "[+-]?[0-9]{4,}", "MMM": "[^0-9]+", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}"}
+NUMBER_LIKE = r"^[\x00-\x20]*[+-]?(?:(?:[iI][nN][fF]|[nN][aA][nN]|0[xX])[\s\S]*|[0-9]*\.?[0-9]*(?:[eE][+-]?[0-9]+)?[fFdD]?[\x00-\x20]*)$"
+
+
+def date_like(date_format: str) -> str | None:
+    """A pattern that all texts match which the format reads; None for a format of other parts than those known here."""
+    out = ""
+    for whole in re.finditer(r"'[^']*'|([A-Za-z])\1*|[^A-Za-z']", date_format):
+        x = whole[0]
+        if x[0] == "'":
+            out += re.escape(x[1:-1])
+        elif x[0].isalpha():
+            if x not in _PARTS:
+                return None
+            out += _PARTS[x]
+        else:
+            out += re.escape(x)
+    return f"^(?i:{out})$"
+
+
+def readable(text: Column, date_format: str) -> Column:
+    """Whether a format reads a text; null or false if not."""
+    read, like = F.try_to_timestamp(text, F.lit(date_format)).isNotNull(), date_like(date_format)
+    return read if like is None else text.rlike(like) & read
+
 
 def profile(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows, filled and distinct values, least, largest, mean and deviation of numeric columns, in one pass."""
@@ -30,7 +59,7 @@ def duplicate_rows(df: DataFrame, grain: tuple[str, ...]) -> DataFrame:
 def date_share(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> dict[str, Column]:
     """The share of filled values that each format reads."""
     text = c.cast("string")
-    return {f: F.avg(F.when(text.isNotNull(), F.try_to_timestamp(text, F.lit(f)).isNotNull().cast("double"))) for f in formats}
+    return {f: F.avg(F.when(text.isNotNull(), readable(text, f).cast("double"))) for f in formats}
 
 
 def numeric_share(c: Column) -> Column:
@@ -47,14 +76,14 @@ def frequency(df: DataFrame, day: str) -> DataFrame:
 def dependencies(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(child, parent) pairs where each child value has one parent and there are more children than parents; nulls tell nothing.
 
-    One shuffle for all columns: each row counts once for each of its values, and each value of each column keeps the least and
-    the largest value of every other column, which are equal where there is but one. A task sends no more than the values that it has seen.
+    Each combination of values counts once for each of its values, and each value of each column keeps the least and the largest value of
+    every other column, which are equal where there is but one. Extremes of texts are found by sorting, so combinations come first: a task sends and sorts no more of them than it has seen.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "child string, parent string, children long, parents long")
     text = [F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(columns)]
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("v")) for k in range(len(columns))])).alias("e")
-    seen = df.select(*text).select("*", each).filter("e.v IS NOT NULL").groupBy("e.k", "e.v").agg(*[f(f"_{k}").alias(f"{n}{k}") for k in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))])
+    seen = df.select(*text).distinct().select("*", each).filter("e.v IS NOT NULL").groupBy("e.k", "e.v").agg(*[f(f"_{k}").alias(f"{n}{k}") for k in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))])
     one = [F.struct(F.lit(p).alias("parent"), F.lit(k).alias("p"), F.bool_and(F.col(f"lo{k}").eqNullSafe(F.col(f"hi{k}"))).alias("one")) for k, p in enumerate(columns)]
     found = kept(seen.groupBy("k").agg(F.count("*").alias("children"), F.array(*one).alias("parents")), "dependencies")  # a row a column
     sizes = found.select(F.col("k").alias("p"), F.col("children").alias("parents"))
@@ -67,7 +96,7 @@ IDENTIFIER_NAMES = ("id", "code", "key", "fips", "zip", "sku", "num")
 
 
 def numbers_in(c: Column) -> Column:
-    return F.translate(c.cast("string"), "$,% ", "").try_cast("double")
+    return number(c)
 
 
 def ratio_rule(x: Column) -> Column:
@@ -97,7 +126,8 @@ def categories(df: DataFrame, column: str, samples: int = 10) -> DataFrame:
 
 def number(c: Column) -> Column:
     """A text as number, without currency signs, thousands' commas, percent signs and spaces; null if it isn't one."""
-    return F.translate(c.cast("string"), "$,% ", "").try_cast("double")
+    text = F.translate(c.cast("string"), "$,% ", "")
+    return F.when(text.rlike(NUMBER_LIKE), text.try_cast("double"))
 
 
 def unreadable_dates(c: Column, date_format: str) -> Column:

@@ -13,7 +13,7 @@ from ..operators import variance as var
 from ..sources.sinks import kept
 from .catalog import query
 from .facts import SALES_SQL, complete, latest, sales, table
-from .stats_queries import CHANGES, DENSE, METRICS, SEASONAL, metrics, series
+from .stats_queries import CHANGES, DENSE, METRICS, SEASONAL, series
 from .variance_queries import STATS_SQL, monthly, resolved, stats
 
 C = F.col
@@ -167,6 +167,12 @@ def l14a(spark, sf):
     return al.statistical_cards(*every_card(spark, sf).values()).select("title", "period", D("score"), "priority", "rank")
 
 
+def geography(spark, sf, until):
+    """Exact sums and lines per month, region, nation and segment, written once: what regions' metrics and the cells of nations and segments are rolled up from, so that line items meet customers once."""
+    rows = sales(spark, sf, "region", "nation", "segment", until=until)
+    return kept(rows.groupBy("period", "region", "nation", "segment").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.count("*").alias("lines")), "geography")
+
+
 def every_card(spark, sf):
     """The cards of each builder, by name, over brands' monthly revenue and the monthly metrics."""
     s = series(spark, sf, keep=True)
@@ -174,7 +180,8 @@ def every_card(spark, sf):
     profiles = kept(st.item_profiles(s).join(shares, "item"), "profiles")
     months = complete(spark, sf)
     now, then = months[-1], per.prior(months, months[-1], "yoy")
-    cells = kept(metrics(spark, sf, "region"), "metrics")
+    fact = geography(spark, sf, now)
+    cells = kept(fact.groupBy("region", "period").agg(*[F.sum(c).cast("double").alias(c) for c in ("revenue", "quantity", "lines")]).withColumn("price", C("revenue") / F.nullif("quantity", F.lit(0.0))), "metrics")
     whole = kept(cells.groupBy("period").agg(*[F.sum(c).alias(c) for c in ("revenue", "quantity", "lines")]).withColumn("price", C("revenue") / F.nullif("quantity", F.lit(0.0))).withColumn("period_idx", F.row_number().over(Window.orderBy("period"))), "whole")
     pairs = kept(st.with_p(st.correlations(whole, METRICS)), "pairs")
     kind = F.when(F.abs("r") >= 0.8, "strong").when((F.abs("r") >= 0.5) & (C("p_value") <= 0.10), "significant").otherwise("weak")
@@ -183,7 +190,7 @@ def every_card(spark, sf):
     parts = kept(st.seasonal(s), "seasonal")
     spread = Window.partitionBy("item")
     residuals = parts.withColumn("residual_z", (C("residual") - F.avg("residual").over(spread)) / F.nullif(F.stddev_samp("residual").over(spread), F.lit(0.0)))
-    two = kept(monthly(spark, sf, "nation", "segment", until=now).withColumn("revenue", C("revenue").cast("double")), "cells")
+    two = kept(fact.groupBy("period", "nation", "segment").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").alias("quantity")), "cells")
     cross = var.cross_dimension(two, "nation", "segment", "revenue", now, then, months)
     return {
         "anomalies": cards.anomalies(st.z_anomalies(s).join(shares, "item"), months[-4:]), "correlations": cards.correlations(st.with_p(st.item_correlations(st.leading_items(s, 4)))),
